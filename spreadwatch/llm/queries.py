@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from spreadwatch.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from spreadwatch.llm.line_dedup import OP5_SQL, op5_line_dedup
+from spreadwatch.llm.mixing import OP3_SQL, op3_mix_sources
+from spreadwatch.llm.warc import OP10_SQL, op10_warc_archive
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_mix_sources": op3_mix_sources,
     "op5_line_dedup": op5_line_dedup,
+    "op10_warc_archive": op10_warc_archive,
 }
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,
+    "op3_mix_sources": OP3_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op10_warc_archive": OP10_SQL,
 }
