@@ -5,6 +5,7 @@ from __future__ import annotations
 from spreadwatch.llm.decontaminate import op4_decontaminate
 from spreadwatch.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from spreadwatch.llm.html_extract import op9_html_extract
+from spreadwatch.llm.language_id import op6_language_id
 from spreadwatch.llm.line_dedup import OP5_SQL, op5_line_dedup
 from spreadwatch.llm.mixing import OP3_SQL, op3_mix_sources
 from spreadwatch.llm.warc import OP10_SQL, op10_warc_archive
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
+    "op6_language_id": op6_language_id,
     "op9_html_extract": op9_html_extract,
     "op10_warc_archive": op10_warc_archive,
 }
