@@ -8,6 +8,8 @@ from spreadwatch.llm.html_extract import op9_html_extract
 from spreadwatch.llm.language_id import op6_language_id
 from spreadwatch.llm.line_dedup import OP5_SQL, op5_line_dedup
 from spreadwatch.llm.mixing import OP3_SQL, op3_mix_sources
+from spreadwatch.llm.substring_dedup import op7_substring_dedup
+from spreadwatch.llm.token_counts import op8_token_counts
 from spreadwatch.llm.warc import OP10_SQL, op10_warc_archive
 
 QUERIES = {
@@ -16,6 +18,8 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_token_counts": op8_token_counts,
     "op9_html_extract": op9_html_extract,
     "op10_warc_archive": op10_warc_archive,
 }
