@@ -8,7 +8,7 @@ from spreadwatch.llm.html_extract import op9_html_extract
 from spreadwatch.llm.language_id import op6_language_id
 from spreadwatch.llm.line_dedup import OP5_SQL, op5_line_dedup
 from spreadwatch.llm.mixing import OP3_SQL, op3_mix_sources
-from spreadwatch.llm.ngram_join import op2_ngram_jaccard
+from spreadwatch.llm.ngram_join import OP2_SQL, op2_ngram_jaccard
 from spreadwatch.llm.substring_dedup import op7_substring_dedup
 from spreadwatch.llm.token_counts import op8_token_counts
 from spreadwatch.llm.warc import OP10_SQL, op10_warc_archive
@@ -27,7 +27,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_exact_dedup": OP1_SQL,
-    "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op2_ngram_jaccard": OP2_SQL,
     "op3_mix_sources": OP3_SQL,
     "op5_line_dedup": OP5_SQL,
     "op10_warc_archive": OP10_SQL,
