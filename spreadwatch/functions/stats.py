@@ -73,12 +73,18 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
 
 
 def t_quantile(p: float, dof: int) -> float:
-    """The inverse of ``t_cdf`` by bisection."""
-    low, high = -1e3, 1e3
+    """The inverse of ``t_cdf``: Newton's steps, kept inside a shrinking bracket."""
+    low, high, t = -1e4, 1e4, 0.0
+    scale = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(dof * math.pi)
     for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if t_cdf(mid, dof) < p else (low, mid)
-    return (low + high) / 2
+        off = t_cdf(t, dof) - p
+        low, high = (t, high) if off < 0 else (low, t)
+        step = t - off / (scale * (1 + t * t / dof) ** (-(dof + 1) / 2))
+        new = step if low < step < high else (low + high) / 2
+        if abs(new - t) <= 1e-14 * max(1.0, abs(t)):
+            return new
+        t = new
+    return t
 
 
 def t_pvalue(t: float, dof: int) -> float:

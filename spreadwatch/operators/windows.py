@@ -37,10 +37,23 @@ def percentile_rank(v: str, w: WindowSpec, min_rows: int = THRESHOLD_MIN) -> Col
     return F.when(F.size(history) >= min_rows, F.size(F.filter(history, lambda x: x < F.col(v))) * 100.0 / F.size(history))
 
 
+def sorted_history(v: str, w: WindowSpec) -> Column:
+    """The frame's values in order; sorting a short array beats Spark's exact percentile per frame."""
+    return F.sort_array(F.collect_list(v).over(w))
+
+
+def interpolated(ordered: Column, p: float) -> Column:
+    """The p-quantile of a sorted array, linearly interpolated."""
+    at = (F.size(ordered) - 1) * F.lit(p)
+    low = F.get(ordered, F.floor(at).cast("int"))
+    high = F.coalesce(F.get(ordered, F.floor(at).cast("int") + 1), low)
+    return low + (high - low) * (at - F.floor(at))
+
+
 def percentile_bounds(v: str, w: WindowSpec, percent: float, min_rows: int = THRESHOLD_MIN) -> tuple[Column, Column]:
     """The two-tailed bounds at ``percent``, linearly interpolated."""
-    enough = F.count(v).over(w) >= min_rows
-    at = lambda p: F.when(enough, F.expr(f"percentile({v}, {p / 100!r})").over(w))
+    ordered = sorted_history(v, w)
+    at = lambda p: F.when(F.size(ordered) >= min_rows, interpolated(ordered, p / 100))
     return at(100 - percent), at(percent)
 
 

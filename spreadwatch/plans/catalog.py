@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadwatch.plans import basics, windows  # noqa: F401  they register their queries
+from spreadwatch.plans import basics, research, windows  # noqa: F401  they register their queries
 from spreadwatch.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

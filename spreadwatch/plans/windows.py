@@ -53,7 +53,7 @@ OU_SQL = """-b AS theta, CASE WHEN b <> 0 THEN -a / b ELSE ml END AS mu, sqrt(ss
 
 
 def ou_parts(over: str = "") -> str:
-    return f"""regr_slope(dv, lv) {over} AS b, regr_intercept(dv, lv) {over} AS a, avg(lv) {over} AS ml, regr_count(dv, lv) {over} AS n, regr_sxx(dv, lv) {over} AS sxx,
+    return f"""regr_slope(dv, lv) {over} AS b, regr_intercept(dv, lv) {over} AS a, avg(lv) {over} AS ml, CAST(regr_count(dv, lv) {over} AS BIGINT) AS n, regr_sxx(dv, lv) {over} AS sxx,
   greatest(regr_syy(dv, lv) {over} - regr_sxy(dv, lv) {over} * regr_sxy(dv, lv) {over} / nullif(regr_sxx(dv, lv) {over}, 0), 0) AS ss"""
 
 
