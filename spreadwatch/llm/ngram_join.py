@@ -37,12 +37,14 @@ from pyspark.sql import functions as F
 from spreadwatch.llm.common import KeyBitmap, connected_components, scratch
 
 #: Groups of the count vector that is kept per document, and groups within a block.
-GROUPS, BLOCK_GROUPS = 64, 256
+GROUPS, BLOCK_GROUPS = 512, 256
 #: Cell rows a partition holds before it combines and passes them on.
 FLUSH_CELLS = 1 << 20
 #: Nodes of a cell that one task compares with as many others.
 CHUNK = 1024
 LEAF = 32
+#: Groups of the shorter vectors that are looked at first.
+COARSE = 64
 MASK = (1 << 64) - 1
 ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 
@@ -135,7 +137,16 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def vector_of(hashes: np.ndarray) -> bytes:
-    return np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes()
+    """The group counts in one, two or four bytes each, as the largest needs."""
+    counts = np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def points_of(vectors: list[bytes]) -> np.ndarray:
+    """One row per vector, as wide as the widest needs."""
+    if all(len(v) == GROUPS for v in vectors):
+        return np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(v, f"u{len(v) // GROUPS}").astype(np.uint32) for v in vectors])
 
 
 def needed(a, b, percent: int):
@@ -241,82 +252,132 @@ def _meet(table: pa.Table) -> pa.Table:
 def _bound(percent: int):
     @F.pandas_udf("boolean")
     def may_link(n_a: pd.Series, n_b: pd.Series, v_a: pd.Series, v_b: pd.Series) -> pd.Series:
-        points = [np.frombuffer(b"".join(v), np.uint32).reshape(-1, GROUPS) for v in (v_a, v_b)]
-        most = np.minimum(*points).sum(axis=1, dtype=np.int64)
+        if not len(n_a):
+            return pd.Series([], dtype=bool)
+        most = np.minimum(points_of(list(v_a)), points_of(list(v_b))).sum(axis=1, dtype=np.int64)
         return pd.Series(most >= needed(n_a.to_numpy(np.int64), n_b.to_numpy(np.int64), percent))
 
     return may_link
 
 
-def rtree_pairs(points: np.ndarray, sizes: np.ndarray, groups: np.ndarray, others: np.ndarray, percent: int, same: bool) -> np.ndarray:
-    """Index pairs of different groups whose summed coordinate minima allow a link.
+def coarse(points: np.ndarray) -> np.ndarray:
+    """The points with groups put together to COARSE; minima summed over these bound more loosely."""
+    return points.reshape(len(points), COARSE, -1).sum(axis=2, dtype=np.uint32)
 
-    points, sizes, groups: of the indexed side and then, from ``others`` on, the asking side; with
-    ``same`` both are the indexed side. The R-tree is packed by size, then by the heaviest
-    coordinates; a leaf's bound is the summed minima with its upper corner.
-    """
-    n = int(others)
-    order = np.lexsort((points[:n, 1], points[:n, 0], sizes[:n] // 8))
-    leaves = [order[i : i + LEAF] for i in range(0, n, LEAF)]
-    upper = np.stack([points[x].max(axis=0) for x in leaves])
-    smallest = np.array([sizes[x].min() for x in leaves])
-    largest = np.array([sizes[x].max() for x in leaves])
-    asked = range(n) if same else range(n, len(points))
-    out = []
-    for q in asked:
-        near = np.flatnonzero((smallest * percent <= sizes[q] * 100) & (largest * 100 >= sizes[q] * percent))
-        # within a leaf the least overlap that any member needs is that of its smallest
-        near = near[np.minimum(upper[near], points[q]).sum(axis=1, dtype=np.int64) >= needed(smallest[near], sizes[q], percent)]
+
+class RTree:
+    """Points packed by size and then by their first coordinates into leaves under upper corners."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int):
+        self.points, self.sizes, self.percent, self.low = points, sizes, percent, coarse(points)
+        order = np.lexsort((self.low[:, 1], self.low[:, 0], sizes // 8))
+        self.leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
+        self.upper = np.stack([self.low[x].max(axis=0) for x in self.leaves])
+        self.smallest = np.array([sizes[x].min() for x in self.leaves])
+        self.largest = np.array([sizes[x].max() for x in self.leaves])
+
+    def search(self, point: np.ndarray, low: np.ndarray, size: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of allowed points that may link with the asked one, their largest possible overlaps)."""
+        near = np.flatnonzero((self.smallest * self.percent <= size * 100) & (self.largest * 100 >= size * self.percent))
+        # the least overlap any point of a leaf needs is that of its smallest
+        near = near[np.minimum(self.upper[near], low).sum(axis=1) >= needed(self.smallest[near], size, self.percent)]
         if not len(near):
-            continue
-        found = np.concatenate([leaves[i] for i in near])
-        found = found[groups[found] != groups[q]]
-        found = found[np.minimum(points[found], points[q]).sum(axis=1, dtype=np.int64) >= needed(sizes[found], sizes[q], percent)]
-        if same:
-            found = found[found < q]
-        out.append(np.stack([found, np.full(len(found), q)]))
-    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = np.concatenate([self.leaves[i] for i in near])
+        found = found[allowed[found]]
+        found = found[np.minimum(self.low[found], low).sum(axis=1) >= needed(self.sizes[found], size, self.percent)]
+        most = np.minimum(self.points[found], point).sum(axis=1, dtype=np.int64)
+        keep = most >= needed(self.sizes[found], size, self.percent)
+        return found[keep], most[keep]
+
 
+def cell_pairs(points: np.ndarray, sizes: np.ndarray, groups: np.ndarray, n: int, percent: int, best_only: bool) -> np.ndarray:
+    """Index pairs of different groups that may link by their counts, as two rows.
 
-def _search(percent: int):
-    """One pair of chunks of an unresolved cell: (a, b) across components that may link."""
+    The first n points are indexed; the others ask, or the indexed ones if there are no others.
+    With best_only each two groups propose their pair of largest relative bound alone.
+    """
+    tree, same = RTree(points[:n], sizes[:n], percent), n == len(points)
+    low = tree.low if same else coarse(points)
+    out, most = [], []
+    for q in range(n) if same else range(n, len(points)):
+        allowed = groups[:n] != groups[q]
+        if same:
+            allowed[q:] = False
+        if allowed.any():
+            found, bound = tree.search(points[q], low[q], int(sizes[q]), allowed)
+            out.append(np.stack([found, np.full(len(found), q)]))
+            most.append(bound / (sizes[found] + sizes[q]))
+    if not out:
+        return np.zeros((2, 0), np.int64)
+    pairs, most = np.concatenate(out, axis=1), np.concatenate(most)
+    if best_only and len(most):
+        two = np.sort(groups[pairs], axis=0)
+        order = np.lexsort((-most, two[1], two[0]))
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = (two[:, order[1:]] != two[:, order[:-1]]).any(axis=0)
+        pairs = pairs[:, order[first]]
+    return pairs
+
+
+def _search(percent: int, best_only: bool):
+    """The unresolved chunk pairs of one bucket: (a, b) across components that may link."""
 
     def search(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        order = np.argsort(side, kind="stable")
-        col = lambda c: table.column(c).to_numpy()[order]
-        points = np.frombuffer(b"".join(table.column("v").take(pa.array(order)).to_pylist()), np.uint32).reshape(-1, GROUPS)
-        n, same = int((side == 0).sum()), not (side == 1).any()
-        if n == 0:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        two = rtree_pairs(points, col("n"), col("component"), n, percent, same)
-        nodes = col("node")[two]
-        return pa.table({"a": pa.array(nodes.min(axis=0), pa.int64()), "b": pa.array(nodes.max(axis=0), pa.int64())})
+        table = table.sort_by([("cell", "ascending"), ("i", "ascending"), ("j", "ascending"), ("side", "ascending")])
+        cell, i, j, side, sizes, node, component = (table.column(c).to_numpy() for c in ("cell", "i", "j", "side", "n", "node", "component"))
+        change = (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        edges = np.flatnonzero(np.concatenate(([True], change, [True])))
+        out, vectors = [np.zeros((2, 0), np.int64)], table.column("v")
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            n = int((side[a:b] == 0).sum())
+            if b - a < 2 or not n or (component[a:b] == component[a]).all():
+                continue
+            two = cell_pairs(points_of(vectors.slice(a, b - a).to_pylist()), sizes[a:b], component[a:b], n, percent, best_only)
+            out.append(node[a:b][two])
+        nodes = np.concatenate(out, axis=1)
+        nodes = np.unique(np.stack([nodes.min(axis=0), nodes.max(axis=0)]), axis=1)
+        return pa.table({"a": pa.array(nodes[0], pa.int64()), "b": pa.array(nodes[1], pa.int64())})
 
     return search
 
 
+def _unresolved(members: DataFrame, joined: DataFrame, nodes: DataFrame, percent: int, n_buckets: int, best_only: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share a cell and may link by their counts."""
+    placed = members.join(joined, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
+    placed = scratch(placed, "placed")
+    mixed = placed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"))
+    mixed = scratch(mixed.where("low <> high").select("cell", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "mixed")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    # a chunk meets each other chunk once, and itself
+    met = placed.join(mixed, "cell").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = met.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "component")
+    met = met.join(nodes.select("node", "n", "v"), "node").withColumn("bucket", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(n_buckets)))
+    return met.groupBy("bucket").applyInArrow(_search(percent, best_only), "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of nodes those that link, by their counts first and then by their sets."""
     end = lambda c: nodes.select(F.col("node").alias(c), F.col("doc").alias(f"doc_{c}"), F.col("n").alias(f"n_{c}"), F.col("v").alias(f"v_{c}"))
     likely = pairs.join(end("a"), "a").join(end("b"), "b").where(_bound(percent)("n_a", "n_b", "v_a", "v_b"))
     likely = scratch(likely.select("a", "b", "doc_a", "doc_b", "n_a", "n_b"), "likely")
-    ids = scratch(likely.select(F.col("a").alias("node"), F.col("doc_a").alias("doc_id")).union(likely.select("b", "doc_b")).distinct(), "ids")
+    ids = likely.select(F.col("doc_a").alias("doc_id")).union(likely.select("doc_b"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_py(), words) for t in batch.column("text")]
+            found = [x for x in (shingles(t.as_py(), words) for t in batch.column("text")) if len(x)]
             offsets = np.cumsum([0] + [len(x) for x in found])
             flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([node_of(x) if len(x) else None for x in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["doc_id", "node", "shingles"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in found], pa.int64()), lists], ["node", "shingles"])
 
-    wanted = docs.where("doc_id is not null").where(KeyBitmap(ids.select("doc_id"), ids.count()).holds(F.col("doc_id")))
-    sets = wanted.mapInArrow(build, "doc_id long, node long, shingles array<long>").join(ids, ["doc_id", "node"], "left_semi")
-    sets = scratch(sets.dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    # the bitmap lets some other documents through; the joins on node drop them, or meet an equal set
+    wanted = docs.where("doc_id is not null").where(KeyBitmap(ids, 2 * likely.count()).holds(F.col("doc_id")))
+    sets = scratch(wanted.mapInArrow(build, "node long, shingles array<long>"), "sets")
     both = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b")
     shared = F.size(F.array_intersect("s_a", "s_b"))
-    return both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
+    return both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b").distinct()
 
 
 def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -341,25 +402,23 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     links = scratch(_verified(pairs, nodes, docs, words, percent), "links")
     joined = connected_components(links)
 
-    # cells whose nodes are not yet of one component
-    members = found.where(F.col("kind") == MEMBERS).select(F.col("a").alias("cell"), F.col("b").alias("node"))
-    placed = members.join(joined, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component")).distinct()
-    placed = scratch(placed, "members")
-    mixed = placed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"))
-    mixed = scratch(mixed.where("low <> high").select("cell", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "mixed")
-    open_cells = placed.join(mixed, "cell").join(nodes.select("node", "n", "v"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    # a chunk meets each other chunk once, and itself
-    met = open_cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "component", "n", "v")
-    more = met.groupBy("cell", "i", "j").applyInArrow(_search(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    late = scratch(_verified(scratch(more, "more"), nodes, docs, words, percent), "links")
-    joined = connected_components(links.union(late)) if late.limit(1).count() else joined
-
-    known = nodes.select("node", "doc").join(joined, "node", "left")
-    smallest = known.where("component is not null").groupBy("component").agg(F.min("doc").alias("component_id"))
-    names = known.join(smallest, "component", "left").select("node", F.coalesce("component_id", "doc").alias("component_id"))
-    names = scratch(names, "names")
+    # cells whose nodes are not yet of one component: first the best pair of each two components,
+    # which joins most that can be joined, then every pair that is left
+    members = found.where(F.col("kind") == MEMBERS).select(F.col("a").alias("cell"), F.col("b").alias("node")).distinct()
+    members = scratch(members, "members")
+    for best_only in (True, False):
+        more = _unresolved(members, joined, nodes, percent, 2 * n_buckets, best_only).join(pairs, ["a", "b"], "left_anti")
+        more = scratch(more, "more")
+        late = scratch(_verified(more, nodes, docs, words, percent), "links")
+        if late.limit(1).count():
+            links = links.union(late)
+            joined = connected_components(links)
+        pairs = pairs.union(more)
+
+    linked = scratch(nodes.select("node", "doc").join(joined, "node"), "linked")
+    smallest = scratch(linked.groupBy("component").agg(F.min("doc").alias("component_id")), "smallest")
+    alone = nodes.join(linked, "node", "left_anti").select("node", F.col("doc").alias("component_id"))
+    names = scratch(linked.join(smallest, "component").select("node", "component_id").unionByName(alone), "names")
     return rows.join(names, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
