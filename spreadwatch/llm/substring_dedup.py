@@ -4,8 +4,8 @@ Every line is cut at sentence ends into units; a unit is normalised (A-Z lower-c
 as single spaces, trimmed) and hashed to 128 bits. Digests are grouped over the whole corpus, the
 earliest occurrence by (doc_id, place in the document) is kept, and later ones are marked. Marked
 units that follow each other in a document join into spans, and spans of enough words are
-removed, with their offsets in the original text. Units of a few words say nothing by themselves:
-they never start or break a span.
+removed, with their offsets in the original text. Short sentences and lines that follow each other
+are one unit; what is left of a few words says nothing by itself and never starts or breaks a span.
 
 A unit that a third of all documents hold is counted where it is read and meets its kept place in
 a join that Spark can split; a fixed-size bitmap of repeated digests keeps all other units out of
@@ -27,17 +27,35 @@ from spreadwatch.llm.common import KeyBitmap, scratch
 
 #: Words a unit must have to be compared, and a span to be removed.
 MIN_UNIT_WORDS, MIN_SPAN_WORDS = 4, 25
-UNIT = re.compile(r"[^\n.!?]*[^\n.!?\s][^\n.!?]*[.!?]*|[.!?]+")
+UNIT = re.compile(r"[^\n.!?]+[.!?]*|[.!?]+")
 UNITS = "h1 long, h2 long, doc_id long, ord int, start int, stop int, n_words int"
 
 
-def units(text: str) -> Iterator[tuple[bytes, int, int, int]]:
-    """(digest, start, stop, words) of each unit of a text, offsets in code points."""
+def units(text: str, min_words: int = MIN_UNIT_WORDS) -> Iterator[tuple[bytes, int, int, int]]:
+    """(digest, start, stop, words) of each unit of a text, offsets in code points.
+
+    Neighbours of fewer than ``min_words`` words each are taken together, and left out if they
+    have fewer words even so.
+    """
+
+    def unit(words: list[bytes], start: int, stop: int) -> tuple[bytes, int, int, int]:
+        return hashlib.blake2b(b" ".join(words), digest_size=16).digest(), start, stop, len(words)
+
+    short: list[bytes] = []
+    first = last = 0
     for found in UNIT.finditer(text):
         words = found[0].encode("utf-8", "replace").lower().split()
-        if words:
-            lead = len(found[0]) - len(found[0].lstrip())
-            yield hashlib.blake2b(b" ".join(words), digest_size=16).digest(), found.start() + lead, found.end(), len(words)
+        start = found.end() - len(found[0].lstrip())
+        if len(words) >= min_words:
+            if len(short) >= min_words:
+                yield unit(short, first, last)
+            short = []
+            yield unit(words, start, found.end())
+        elif words:
+            first, last = first if short else start, found.end()
+            short += words
+    if len(short) >= min_words:
+        yield unit(short, first, last)
 
 
 def _units(min_words: int):
@@ -55,12 +73,9 @@ def _units(min_words: int):
                 return pa.RecordBatch.from_arrays(arrays, ["h1", "h2", "doc_id", "ord", "start", "stop", "n_words"])
 
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                n = 0
-                for digest, start, stop, words in units(text.as_py()):
-                    if words >= min_words:
-                        digests.append(digest)
-                        rows.append((doc_id, n, start, stop, words))
-                        n += 1
+                for n, (digest, start, stop, words) in enumerate(units(text.as_py(), min_words)):
+                    digests.append(digest)
+                    rows.append((doc_id, n, start, stop, words))
                 if len(rows) >= 50_000:
                     yield take()
             if rows:
