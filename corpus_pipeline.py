@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spreadwatch.llm.common import scratch
 from spreadwatch.llm.decontaminate import decontaminate
-from spreadwatch.llm.language_id import UNKNOWN, identify, learn
+from spreadwatch.llm.language_id import best_score, learn
 from spreadwatch.llm.line_dedup import apply_line_dedup
 from spreadwatch.llm.mixing import TARGETS, mix, source_domain
 from spreadwatch.llm.ngram_join import keep_one_per_component
@@ -21,10 +21,7 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognised language."""
-    langs, probabilities = learn(docs)
-    found = scratch(identify(docs, langs, probabilities), "languages")
-    rejected = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < MIN_LANGUAGE_SCORE)).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    return docs.where(best_score(docs, *learn(docs))(F.col("text")) >= MIN_LANGUAGE_SCORE)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,16 +75,28 @@ class KeyBitmap:
         bitmap[table.column("word").to_numpy()] = table.column("bits").to_numpy().astype(np.uint32)
         self._shared = keys.sparkSession.sparkContext.broadcast(bitmap)
 
+    def slot(self, key: Column) -> Column:
+        """The place of a key in the bitmap."""
+        return F.shiftrightunsigned(F.xxhash64(key), 64 - self.bits)
+
+    def lookup(self):
+        """A function from an array of slots to booleans, for use inside a task."""
+        shared = self._shared
+
+        def has(slot: np.ndarray) -> np.ndarray:
+            return ((shared.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1).astype(bool)
+
+        return has
+
     def holds(self, key: Column) -> Column:
         """False only where ``key`` is surely not among the keys; the 64-bit column alone goes to Python."""
-        shared, bits = self._shared, self.bits
+        has = self.lookup()
 
         @F.pandas_udf("boolean")
         def lookup(slots: pd.Series) -> pd.Series:
-            slot = slots.to_numpy(np.int64)
-            return pd.Series(((shared.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1).astype(bool))
+            return pd.Series(has(slots.to_numpy(np.int64)))
 
-        return lookup(F.shiftrightunsigned(F.xxhash64(key), 64 - bits))
+        return lookup(self.slot(key))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

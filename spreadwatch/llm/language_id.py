@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import base64
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ MAX_PIECE, MAX_STRETCH = 12, 40
 CACHE_WORDS = 300_000
 #: Words looked up together.
 GROUP_WORDS = 300_000
+#: Words of one length that go through the forward algorithm together.
+FORWARD_WORDS = 8192
 #: Each byte's probability is scaled up by this, so that products of small numbers stay in range.
 SCALE = 512.0
 UNKNOWN = "und"
@@ -101,8 +104,8 @@ class Forward:
         for i, word in enumerate(found):
             by_length.setdefault(len(word), []).append(i)
         for n, rows in by_length.items():
-            for a in range(0, len(rows), 50_000):
-                part = rows[a : a + 50_000]
+            for a in range(0, len(rows), FORWARD_WORDS):
+                part = rows[a : a + FORWARD_WORDS]
                 data = np.frombuffer(b"".join(found[i] for i in part), np.uint8).reshape(len(part), n)
                 alpha = np.zeros((n + 1, len(part), self.values.shape[1]))
                 alpha[0] = 1.0
@@ -260,6 +263,19 @@ def identify(docs: DataFrame, langs: list[str], probabilities: np.ndarray, path:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
 
 
+def best_score(docs: DataFrame, langs: list[str], probabilities: np.ndarray, path: str = VOCABULARY) -> Callable[[Column], Column]:
+    """A function from a column of texts to the score that ``identify`` gives: 0 where no language fits."""
+    model = docs.sparkSession.sparkContext.broadcast((langs, probabilities))  # languages x vocabulary
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(model.value[0], read_vocabulary(path), model.value[1])
+        for texts in batches:
+            yield pd.Series([found[1] for found in scorer.score([None if t is None else str(t) for t in texts])], dtype=float)
+
+    return score
+
+
 def op6_language_id(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     langs, probabilities = learn(docs.where(~is_held_out(F.col("doc_id"))))

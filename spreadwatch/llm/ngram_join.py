@@ -39,7 +39,9 @@ from spreadwatch.llm.common import KeyBitmap, connected_components, scratch
 #: Groups of the count vector that is kept per document, and groups within a block.
 GROUPS, BLOCK_GROUPS = 512, 256
 #: Cell rows a partition holds before it combines and passes them on.
-FLUSH_CELLS = 1 << 20
+FLUSH_CELLS = 1 << 19
+#: Shingles of verified sets that go out together.
+FLUSH_SHINGLES = 1 << 18
 #: Nodes of a cell that one task compares with as many others.
 CHUNK = 1024
 LEAF = 32
@@ -363,16 +365,30 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
     likely = scratch(likely.select("a", "b", "doc_a", "doc_b", "n_a", "n_b"), "likely")
     ids = likely.select(F.col("doc_a").alias("doc_id")).union(likely.select("doc_b"))
 
+    # the bitmap lets some other documents through; the joins on node drop them, or meet an equal set
+    maybe = KeyBitmap(ids, 2 * likely.count())
+    has = maybe.lookup()
+
+    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
+        offsets = np.cumsum([0] + [len(x) for x in found])
+        flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+        return pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in found], pa.int64()), lists], ["node", "shingles"])
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for x in (shingles(t.as_py(), words) for t in batch.column("text")) if len(x)]
-            offsets = np.cumsum([0] + [len(x) for x in found])
-            flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in found], pa.int64()), lists], ["node", "shingles"])
-
-    # the bitmap lets some other documents through; the joins on node drop them, or meet an equal set
-    wanted = docs.where("doc_id is not null").where(KeyBitmap(ids, 2 * likely.count()).holds(F.col("doc_id")))
+            found, n, texts = [], 0, batch.column("text")
+            for i in np.flatnonzero(has(batch.column("slot").to_numpy())):
+                if len(own := shingles(texts[int(i)].as_py(), words)):
+                    found.append(own)
+                    n += len(own)
+                if n >= FLUSH_SHINGLES:
+                    yield packed(found)
+                    found, n = [], 0
+            if found:
+                yield packed(found)
+
+    wanted = docs.where("doc_id is not null").select("text", maybe.slot(F.col("doc_id")).alias("slot"))
     sets = scratch(wanted.mapInArrow(build, "node long, shingles array<long>"), "sets")
     both = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b")
