@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,10 @@ WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+#: Spark's setting that drops an action's shuffle files as soon as the action has ended.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one in local mode."""
@@ -34,15 +39,37 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    The files go when the driver's JVM ends.
+    The write's shuffle files go when it has ended, the table with ``discard`` or when the driver's
+    JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(FILE_CLEANUP, None)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FILE_CLEANUP)
+        else:
+            spark.conf.set(FILE_CLEANUP, before)
+    store, at = _located(spark, path)
+    store.deleteOnExit(at)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def _located(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes scratch tables; nothing that is still to be computed may read them."""
+    for table in tables:
+        store, at = _located(table.sparkSession, _PATHS.pop(table))
+        store.delete(at, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -109,6 +136,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a"))).distinct()
     both = scratch(both, "edges")
     labels = scratch(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+    held = labels
     for _ in range(max_rounds):
         near = (
             both.join(labels.withColumnRenamed("node", "b"), "b")
@@ -121,7 +149,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             "node", F.least("to", F.coalesce("next", "to")).alias("label"), "was"
         )
         step = scratch(step, "labels")
-        labels = step.select("node", "label")
+        discard(held)
+        labels, held = step.select("node", "label"), step
         if step.where("label <> was").limit(1).count() == 0:
+            discard(both)
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError("components did not settle")

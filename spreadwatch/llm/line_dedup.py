@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spreadwatch.llm.common import WHITE, ascii_lower, scratch
+from spreadwatch.llm.common import WHITE, ascii_lower, discard, scratch
 
 
 def split_lines(text: Column) -> Column:
@@ -39,7 +39,9 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
         "lines",
     )
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("pos")]
-    return scratch(hashed.repartitionByRange(*order).sortWithinPartitions(*order), "lines-sorted")
+    ranged = scratch(hashed.repartitionByRange(*order).sortWithinPartitions(*order), "lines-sorted")
+    discard(hashed)
+    return ranged
 
 
 def dropped_runs(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:

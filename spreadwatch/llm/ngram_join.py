@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spreadwatch.llm.common import KeyBitmap, connected_components, scratch
+from spreadwatch.llm.common import KeyBitmap, connected_components, discard, scratch
 
 #: Groups of the count vector that is kept per document, and groups within a block.
 GROUPS, BLOCK_GROUPS = 512, 256
@@ -138,17 +138,21 @@ def node_of(hashes: np.ndarray) -> int:
     return int(mix64(np.array([total], dtype=np.uint64)).view(np.int64)[0])
 
 
-def vector_of(hashes: np.ndarray) -> bytes:
-    """The group counts in one, two or four bytes each, as the largest needs."""
-    counts = np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts in one, two or four bytes each, as the largest needs."""
     return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
 
 
-def points_of(vectors: list[bytes]) -> np.ndarray:
+def vector_of(hashes: np.ndarray) -> bytes:
+    """The group counts of a set."""
+    return narrow(np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS))
+
+
+def points_of(vectors: list[bytes], groups: int = GROUPS) -> np.ndarray:
     """One row per vector, as wide as the widest needs."""
-    if all(len(v) == GROUPS for v in vectors):
-        return np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, GROUPS)
-    return np.stack([np.frombuffer(v, f"u{len(v) // GROUPS}").astype(np.uint32) for v in vectors])
+    if all(len(v) == groups for v in vectors):
+        return np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, groups)
+    return np.stack([np.frombuffer(v, f"u{len(v) // groups}").astype(np.uint32) for v in vectors])
 
 
 def needed(a, b, percent: int):
@@ -251,12 +255,12 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.concat_tables([x.cast(pa.schema([(f.name, f.type) for f in _MADE][1:])) for x in parts])
 
 
-def _bound(percent: int):
+def _bound(percent: int, groups: int = GROUPS):
     @F.pandas_udf("boolean")
     def may_link(n_a: pd.Series, n_b: pd.Series, v_a: pd.Series, v_b: pd.Series) -> pd.Series:
         if not len(n_a):
             return pd.Series([], dtype=bool)
-        most = np.minimum(points_of(list(v_a)), points_of(list(v_b))).sum(axis=1, dtype=np.int64)
+        most = np.minimum(points_of(list(v_a), groups), points_of(list(v_b), groups)).sum(axis=1, dtype=np.int64)
         return pd.Series(most >= needed(n_a.to_numpy(np.int64), n_b.to_numpy(np.int64), percent))
 
     return may_link
@@ -267,6 +271,14 @@ def coarse(points: np.ndarray) -> np.ndarray:
     return points.reshape(len(points), COARSE, -1).sum(axis=2, dtype=np.uint32)
 
 
+def _low():
+    @F.pandas_udf("binary")
+    def low(vectors: pd.Series) -> pd.Series:
+        return pd.Series([narrow(x) for x in coarse(points_of(list(vectors)))] if len(vectors) else [], dtype=object)
+
+    return low
+
+
 class RTree:
     """Points packed by size and then by their first coordinates into leaves under upper corners."""
 
@@ -344,8 +356,8 @@ def _search(percent: int, best_only: bool):
     return search
 
 
-def _unresolved(members: DataFrame, joined: DataFrame, nodes: DataFrame, percent: int, n_buckets: int, best_only: bool) -> DataFrame:
-    """Pairs (a, b) of different components that share a cell and may link by their counts."""
+def _unresolved(members: DataFrame, joined: DataFrame, nodes: DataFrame, percent: int, pairs: DataFrame, n_buckets: int, best_only: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share a cell, may link by their counts and aren't in ``pairs``."""
     placed = members.join(joined, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
     placed = scratch(placed, "placed")
     mixed = placed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"))
@@ -355,13 +367,20 @@ def _unresolved(members: DataFrame, joined: DataFrame, nodes: DataFrame, percent
     met = placed.join(mixed, "cell").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "component")
     met = met.join(nodes.select("node", "n", "v"), "node").withColumn("bucket", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(n_buckets)))
-    return met.groupBy("bucket").applyInArrow(_search(percent, best_only), "a long, b long").distinct()
+    found = met.groupBy("bucket").applyInArrow(_search(percent, best_only), "a long, b long").distinct()
+    found = scratch(found.join(pairs, ["a", "b"], "left_anti"), "more")
+    discard(placed, mixed)
+    return found
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of nodes those that link, by their counts first and then by their sets."""
-    end = lambda c: nodes.select(F.col("node").alias(c), F.col("doc").alias(f"doc_{c}"), F.col("n").alias(f"n_{c}"), F.col("v").alias(f"v_{c}"))
-    likely = pairs.join(end("a"), "a").join(end("b"), "b").where(_bound(percent)("n_a", "n_b", "v_a", "v_b"))
+    end = lambda c, v: nodes.select(F.col("node").alias(c), F.col("doc").alias(f"doc_{c}"), F.col("n").alias(f"n_{c}"), F.col(v).alias(f"v_{c}"))
+    # the short vectors refuse most pairs, so that few carry whole ones through a shuffle
+    near = pairs.join(end("a", "low"), "a").drop("doc_a").join(end("b", "low"), "b")
+    near = near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    near = near.where(_bound(percent, COARSE)("n_a", "n_b", "v_a", "v_b")).select("a", "b")
+    likely = near.join(end("a", "v"), "a").join(end("b", "v"), "b").where(_bound(percent)("n_a", "n_b", "v_a", "v_b"))
     likely = scratch(likely.select("a", "b", "doc_a", "doc_b", "n_a", "n_b"), "likely")
     ids = likely.select(F.col("doc_a").alias("doc_id")).union(likely.select("doc_b"))
 
@@ -393,7 +412,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
     both = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b")
     shared = F.size(F.array_intersect("s_a", "s_b"))
-    return both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b").distinct()
+    both = both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared))
+    links = scratch(both.select("a", "b").distinct(), "links")
+    discard(likely, sets)
+    return links
 
 
 def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -412,20 +434,21 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     found = scratch(made.groupBy("bucket").applyInArrow(_meet, FOUND), "cells")
     rows = found.where(F.col("kind") == ROWS).select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n", F.col("data").alias("v"))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("v").alias("v"))
-    nodes = scratch(nodes, "nodes")
+    nodes = scratch(nodes.withColumn("low", _low()("v")), "nodes")
     pairs = found.where(F.col("kind") == PAIRS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = scratch(pairs, "pairs")
-    links = scratch(_verified(pairs, nodes, docs, words, percent), "links")
+    members = found.where(F.col("kind") == MEMBERS).select(F.col("a").alias("cell"), F.col("b").alias("node")).distinct()
+    members = scratch(members, "members")
+    rows = scratch(rows.drop("v"), "rows")
+    discard(found)
+    links = _verified(pairs, nodes, docs, words, percent)
     joined = connected_components(links)
 
     # cells whose nodes are not yet of one component: first the best pair of each two components,
     # which joins most that can be joined, then every pair that is left
-    members = found.where(F.col("kind") == MEMBERS).select(F.col("a").alias("cell"), F.col("b").alias("node")).distinct()
-    members = scratch(members, "members")
     for best_only in (True, False):
-        more = _unresolved(members, joined, nodes, percent, 2 * n_buckets, best_only).join(pairs, ["a", "b"], "left_anti")
-        more = scratch(more, "more")
-        late = scratch(_verified(more, nodes, docs, words, percent), "links")
+        more = _unresolved(members, joined, nodes, percent, pairs, 2 * n_buckets, best_only)
+        late = _verified(more, nodes, docs, words, percent)
         if late.limit(1).count():
             links = links.union(late)
             joined = connected_components(links)
