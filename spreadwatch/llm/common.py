@@ -126,32 +126,35 @@ class KeyBitmap:
         return lookup(self.slot(key))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b), both bigint; component is the smallest node.
 
-    Each round takes the smallest label among a node's neighbours and then jumps to that label's
-    own label, so paths shrink by doubling. Partial aggregation and splittable joins keep hubs
-    harmless; labels live in scratch tables, never on the driver.
+    Each round a node takes the smallest label of a label among its neighbours, and so does the
+    node that was its label until then; then every label jumps to its own label. Hooking the old
+    label too is what joins whole trees, so rounds grow with the logarithm of the longest path
+    however its nodes are numbered. Labels only fall, so the rounds end without a cap. Partial
+    aggregation and splittable joins keep hubs harmless; labels live in scratch tables, never on
+    the driver.
     """
     both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a"))).distinct()
     both = scratch(both, "edges")
-    labels = scratch(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
-    held = labels
-    for _ in range(max_rounds):
+    labels = both.select(F.col("a").alias("node")).distinct()
+    labels = held = scratch(labels.select("node", F.col("node").alias("label"), F.col("node").alias("next")), "labels")
+    while True:
         near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
+            both.join(labels.select(F.col("node").alias("b"), "next"), "b")
             .groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("seen"))
+            .agg(F.min("next").alias("seen"))
         )
-        lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "seen").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("next"))
-        step = lower.join(jump, "to", "left").select(
-            "node", F.least("to", F.coalesce("next", "to")).alias("label"), "was"
-        )
-        step = scratch(step, "labels")
-        discard(held)
-        labels, held = step.select("node", "label"), step
-        if step.where("label <> was").limit(1).count() == 0:
-            discard(both)
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError("components did not settle")
+        near = labels.join(near, "node")
+        own = near.select("node", F.least("next", "seen").alias("to"), F.col("label").alias("was"))
+        hooked = near.select(F.col("label").alias("node"), F.col("seen").alias("to"), F.lit(None).cast("long").alias("was"))
+        moved = own.unionByName(hooked).groupBy("node").agg(F.min("to").alias("label"), F.max("was").alias("was"))
+        moved = scratch(moved, "moved")
+        if moved.where("label <> was").limit(1).count() == 0:
+            discard(both, held)
+            return moved.select("node", F.col("label").alias("component"))
+        jump = moved.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        labels = scratch(moved.drop("was").join(jump, "label").select("node", "label", "next"), "labels")
+        discard(held, moved)
+        held = labels

@@ -247,3 +247,10 @@ def test_connected_components_of_a_long_path(spark):
     edges = spark.range(100).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(500, 501), (7, 7)], "a long, b long"))
     found = {r.node: r.component for r in connected_components(edges).collect()}
     assert found == {**{i: 0 for i in range(101)}, 500: 500, 501: 500}
+
+
+def test_connected_components_of_a_path_in_random_order(spark):
+    order = [int(x) for x in np.random.default_rng(0).permutation(1000)]
+    edges = spark.createDataFrame(list(itertools.pairwise(order)), "a long, b long")
+    found = {r.node: r.component for r in connected_components(edges).collect()}
+    assert found == dict.fromkeys(range(1000), 0)
