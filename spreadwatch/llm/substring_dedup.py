@@ -3,8 +3,9 @@
 Every line is cut at sentence ends into units; a unit is normalised (A-Z lower-cased, white space
 as single spaces, trimmed) and hashed to 128 bits. Digests are grouped over the whole corpus, the
 earliest occurrence by (doc_id, place in the document) is kept, and later ones are marked. Marked
-units that follow each other in a document join into spans, and spans of enough words are
-removed, with their offsets in the original text. Short sentences and lines that follow each other
+units that follow each other in a document join into spans, which are removed, with their offsets
+in the original text; a span may be one unit, as a repeated passage that begins and ends inside
+sentences can leave no more. Short sentences and lines that follow each other
 are one unit; what is left of a few words says nothing by itself and never starts or breaks a span.
 
 A unit that a third of all documents hold is counted where it is read and meets its kept place in
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from spreadwatch.llm.common import KeyBitmap, scratch
 
-#: Words a unit must have to be compared, and a span to be removed.
-MIN_UNIT_WORDS, MIN_SPAN_WORDS = 4, 25
+#: Words a unit must have to be compared, and a span to be removed: any repeated unit is.
+MIN_UNIT_WORDS = MIN_SPAN_WORDS = 4
 UNIT = re.compile(r"[^\n.!?]+[.!?]*|[.!?]+")
 UNITS = "h1 long, h2 long, doc_id long, ord int, start int, stop int, n_words int"
 

@@ -173,6 +173,16 @@ def test_remove_spans_cuts_and_keeps_offsets(spark):
     assert repeated_spans(frame(spark, [])).count() == 0
 
 
+def test_substring_dedup_removes_a_long_repeat_that_leaves_one_whole_unit(spark):
+    """The repeat of 52 words begins and ends inside sentences; 18 of its words are a whole one."""
+    word = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    whole = word("b", 17) + " end."
+    shared = f"{word('a', 17)}. {whole} {word('c', 17)}"
+    rows = [(1, f"One goes {shared} its own way."), (2, f"Two comes {shared} to another end."), (3, "Nothing of that is here.")]
+    (span,) = repeated_spans(frame(spark, rows)).collect()
+    assert (span.doc_id, rows[1][1][span.start : span.stop], span.n_words, span.kept_doc_id) == (2, whole, 18, 1)
+
+
 # n-gram join
 
 
