@@ -5,12 +5,13 @@ its characters, its tags and the container it stands in. A line's ratio of text
 smoothed with a Gaussian over its neighbours, and a threshold (the standard deviation of the
 smoothed ratios, or two means by one-dimensional 2-means where that is lower) splits the lines
 into content and the rest. Content lines vote, by their characters, for the container that holds
-the page's main region: the nearest article or main element, else the innermost element with
-most of the votes. Every line of that region which is not boilerplate is kept, so that short
+the page's main region: article or main elements, the parts of one article together, else the
+smallest element that holds all of the content. Every line of that region which is not boilerplate is kept, so that short
 paragraphs and headings of an article are not lost between long ones.
 
 Boilerplate is never content: scripts, styles, forms, navigation, headers and footers of the
-page, asides, and elements whose class, id or role names them as such.
+page, asides, and elements whose class, id or role names them as such. A form or a name hides
+nothing that holds the article itself, as a form or a wrapper around the whole page does.
 """
 
 from __future__ import annotations
@@ -35,16 +36,24 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose contents are never text of the page's main region.
 SKIPPED = frozenset(
-    "applet aside audio button canvas datalist dialog embed footer form head iframe input map menu nav noframes noscript object "
+    "applet aside audio button canvas datalist dialog embed footer head iframe input map menu nav noframes noscript object "
     "script search select style svg template textarea title video".split()
 )
-#: Words in class, id or role that name boilerplate.
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|captcha|comments?|consent|contentinfo|cookies?|disqus|footer|form|gdpr|legal|"
+#: Words in class, id or role that name boilerplate, and words that may stand with them in one name.
+WORD = (
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|captcha|comments?|consent|contentinfo|cookies?|disqus|footer|form|gdpr|legal|"
     r"login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|paywall|popup|popups|promo\w*|promoted|"
     r"recommend\w*|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|topbar|"
-    r"widgets?)(?:$|[\s_-])"
+    r"widgets?)"
 )
+BESIDE = (
+    r"(?:\d+|area|articles?|bar|block|body|bottom|box|buttons?|container|desktop|entry|global|group|header|icons?|inner|items?|js|left|"
+    r"links?|list|main|mobile|outer|page|panel|posts?|primary|right|secondary|section|site|slot|stories|text|to|top|unit|user|wrap|wrapper)"
+)
+#: A whole name, between spaces, of such words; has-sidebar, no-comments or long-form are none.
+NAMED = re.compile(rf"(?:^|\s)(?:{BESIDE}[_-]+)*{WORD}(?:[_-]+(?:{WORD}|{BESIDE}))*(?:$|\s)")
+#: Names of what readers add; it may hold most of a page and is still no part of the article.
+READERS = re.compile(r"comment|disqus|repl(?:y|ies)|respond")
 #: A paragraph starts when one of these starts inside an open one.
 CLOSES_P = BLOCKS - {"body", "html", "head", "option", "optgroup", "legend", "li", "td", "th", "tr", "tbody", "tfoot", "thead", "dd", "dt"} | {"p"}
 SMOOTH = 1.0
@@ -54,8 +63,14 @@ FOLD = re.compile(r"\s+")
 class Lines(HTMLParser):
     """Turns parser events into lines (text, number of tags, link characters, container id)."""
 
-    def __init__(self) -> None:
+    def __init__(self, spared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.spared = spared  # numbers of elements that a form or a name doesn't hide
+        self.soft: dict[int, list] = {}  # of those it hides: [characters, article characters, holds an article, readers' own]
+        self.within: list[int] = []  # such elements that are open
+        self.hard = 0  # how many open elements hide their contents for another reason
+        self.articles = 0  # how many article and main elements are open
+        self.all_chars = self.article_chars = 0
         self.lines: list[tuple[str, int, int, int]] = []
         self.parents: list[int] = [-1]  # of each element by number; 0 is the page
         self.names: list[str] = ["page"]
@@ -80,12 +95,21 @@ class Lines(HTMLParser):
             return False
         if tag == "header":  # an article's own header holds its headline
             return not any(name in ("article", "main") for name, _ in self.open)
-        for name, value in attrs:
-            if value and name in ("class", "id", "role") and NAMED.search(value.lower()):
-                return True
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-        return False
+        return any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attrs)
+
+    def _names(self, tag: str, attrs: list) -> str:
+        """The form or the names that make an element boilerplate, if nothing speaks for it."""
+        if tag in ("html", "body", "article", "main", "header"):
+            return ""
+        if tag == "form":
+            return tag
+        return " ".join(value.lower() for name, value in attrs if value and name in ("class", "id", "role") and NAMED.search(value.lower()))
+
+    def to_spare(self) -> frozenset[int]:
+        """Hidden elements that hold most of the article, or of a page without article and main."""
+        if self.article_chars:
+            return frozenset(at for at, (_, n, holds, _) in self.soft.items() if holds and 2 * n > self.article_chars)
+        return frozenset(at for at, (n, _, _, readers) in self.soft.items() if not readers and 2 * n > self.all_chars)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.n_tags += 1
@@ -99,10 +123,21 @@ class Lines(HTMLParser):
             return
         if tag == "a":
             self.links += 1
-        hides = self._hides(tag, attrs)
+        hides, number = self._hides(tag, attrs), len(self.parents)
         self.parents.append(self.open[-1][1])
         self.names.append(tag)
-        self.open.append((tag, len(self.parents) - 1))
+        self.open.append((tag, number))
+        if hides:
+            self.hard += 1
+        elif tag in ("article", "main"):
+            if not self.articles and not self.hard:
+                for at in self.within:
+                    self.soft[at][2] = True
+            self.articles += 1
+        elif number not in self.spared and (names := self._names(tag, attrs)):
+            hides = True
+            self.soft[number] = [0, 0, False, bool(READERS.search(names))]
+            self.within.append(number)
         if hides:
             self.skip += 1
             self.names[-1] = f"-{tag}"
@@ -115,8 +150,15 @@ class Lines(HTMLParser):
     def _close(self, tag: str) -> None:
         at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i][0] == tag), 0)
         if at:
-            for name, number in self.open[at:]:
-                self.skip -= self.names[number].startswith("-")
+            for name, number in reversed(self.open[at:]):
+                if self.names[number].startswith("-"):
+                    self.skip -= 1
+                    if self.within and self.within[-1] == number:
+                        self.within.pop()
+                    else:
+                        self.hard -= 1
+                elif name in ("article", "main"):
+                    self.articles -= 1
                 self.links -= name == "a"
             del self.open[at:]
 
@@ -127,6 +169,13 @@ class Lines(HTMLParser):
         self._close(tag)
 
     def handle_data(self, data: str) -> None:
+        if not self.hard:
+            n = len(data.strip())
+            self.all_chars += n
+            self.article_chars += n if self.articles else 0
+            for at in self.within:
+                self.soft[at][0] += n
+                self.soft[at][1] += n if self.articles else 0
         if not self.skip:
             self.text.append(data)
             if self.links:
@@ -166,6 +215,10 @@ def extract(html: str) -> str:
     page = Lines()
     page.feed(html)
     page.close()
+    if spared := page.to_spare():
+        page = Lines(spared)
+        page.feed(html)
+        page.close()
     if not page.lines:
         return ""
     chars = np.array([len(x[0]) - x[2] for x in page.lines], dtype=float)
@@ -176,26 +229,28 @@ def extract(html: str) -> str:
     votes: dict[int, float] = {}
     for (_, _, _, at), n, yes in zip(page.lines, chars, content, strict=True):
         while yes and at >= 0:
-            votes[at] = votes.get(at, 0.0) + n
+            votes[at] = votes.get(at, 0.0) + max(n, 0.0)
             at = page.parents[at]
     regions = [at for at in votes if page.names[at] in ("article", "main") and votes[at] > 0]
     if regions:
-        # the outermost article that has most; several articles of one page belong together
-        best = max(votes[at] for at in regions)
-        chosen = {at for at in regions if votes[at] >= 0.5 * best}
+        # the outermost article that has most, and its siblings: the parts of one article belong together
+        best = max(regions, key=lambda at: (votes[at], -_depth(page.parents, at)))
+        chosen = {at for at in regions if votes[at] >= 0.5 * votes[best] or page.parents[at] == page.parents[best]}
     else:
-        heavy = [at for at in votes if votes[at] >= 0.6 * votes[0]]
-        chosen = {max(heavy, key=lambda at: (_depth(page.parents, at)))}
-        if page.names[next(iter(chosen))] in ("p", "h1", "h2", "h3", "li", "td", "b", "i", "span"):
-            chosen = {page.parents[next(iter(chosen))]}
+        region = max((at for at in votes if votes[at] == votes[0]), key=lambda at: _depth(page.parents, at))
+        if page.names[region] in ("p", "h1", "h2", "h3", "li", "td", "b", "i", "span"):
+            region = page.parents[region]
+        chosen = {region}
     kept, inside = [], {}
-    for text, _, _, at in page.lines:
+    for (text, _, _, at), n in zip(page.lines, chars, strict=True):
         if at not in inside:
-            up = at
+            up, top = at, at
             while up >= 0 and up not in chosen:
-                up = page.parents[up]
-            inside[at] = up >= 0
-        if inside[at]:
+                up, top = page.parents[up], up
+            # beside the content, a block of nothing but links
+            inside[at] = up >= 0, not regions and up != at and not votes.get(top)
+        held, beside = inside[at]
+        if held and not (beside and n <= 0):
             kept.append(text)
     return " ".join(kept)
 

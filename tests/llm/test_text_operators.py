@@ -161,6 +161,31 @@ def test_extract_survives_odd_pages(html):
     assert isinstance(extract(html), str)
 
 
+def sentences(word, n):
+    return "".join(f"<p>The {word} part has sentence number {i}, long enough to count as text.</p>" for i in range(n))
+
+
+@pytest.mark.parametrize("parts", ["<div><section>{a}</section><section>{b}</section></div>", "<div><p>Intro: {b}</p><blockquote>{a}</blockquote></div>", "<article>{a}</article><article>{b}</article><article>{c}</article>"])
+def test_extract_keeps_all_parts_of_the_text(parts):
+    a, b, c = sentences("first", 8), sentences("second", 3), sentences("third", 2)
+    got = extract(f"<body><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul>{parts.format(a=a, b=b, c=c)}<div class=footer>Rights</div></body>")
+    assert got.count("first part") == 8 and got.count("second part") == 3 and got.count("third part") == 2 * ("{c}" in parts)
+    assert "Two" not in got and "Rights" not in got
+
+
+@pytest.mark.parametrize("wrapper", ["div class='container has-sidebar'", "div class=no-comments", "div class=long-form", "div id=sidebar-wrapper", "form"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_extract_looks_into_wrappers(wrapper, inner):
+    aside = "<div class='sidebar'><p>Other stories.</p></div><form><p>Sign up here.</p></form><div id=post-comments><p>A reader speaks.</p></div>"
+    got = extract(f"<body><{wrapper}><{inner}>{sentences('only', 6)}</{inner}>{aside}</{wrapper.split()[0]}></body>")
+    assert got.count("only part") == 6 and not any(x in got for x in ("Other", "Sign", "reader"))
+
+
+def test_extract_hides_long_comments():
+    got = extract(f"<body><div>{sentences('only', 3)}</div><div id=comments>{sentences('reader', 9)}</div></body>")
+    assert got.count("only part") == 3 and "reader" not in got
+
+
 def test_extract_pages_keeps_every_row(spark):
     rows = [(1, "u", "<p>Some text here</p>"), (1, "u", "<p>Some text here</p>"), (None, None, None), (2, "v", "")]
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)))
