@@ -382,7 +382,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
     near = near.where(_bound(percent, COARSE)("n_a", "n_b", "v_a", "v_b")).select("a", "b")
     likely = near.join(end("a", "v"), "a").join(end("b", "v"), "b").where(_bound(percent)("n_a", "n_b", "v_a", "v_b"))
     likely = scratch(likely.select("a", "b", "doc_a", "doc_b", "n_a", "n_b"), "likely")
-    ids = likely.select(F.col("doc_a").alias("doc_id")).union(likely.select("doc_b"))
+    ends = likely.select(F.col("a").alias("node"), F.col("doc_a").alias("doc_id")).union(likely.select("b", "doc_b"))
+    ids = ends.where("doc_id is not null").select("doc_id")
 
     # the bitmap lets some other documents through; the joins on node drop them, or meet an equal set
     maybe = KeyBitmap(ids, 2 * likely.count())
@@ -397,7 +398,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, n, texts = [], 0, batch.column("text")
-            for i in np.flatnonzero(has(batch.column("slot").to_numpy())):
+            slots = batch.column("slot")
+            # rows without an id have no slot; all of them are built
+            for i in np.flatnonzero(slots.is_null() if slots.null_count else has(slots.to_numpy())):
                 if len(own := shingles(texts[int(i)].as_py(), words)):
                     found.append(own)
                     n += len(own)
@@ -408,7 +411,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
                 yield packed(found)
 
     wanted = docs.where("doc_id is not null").select("text", maybe.slot(F.col("doc_id")).alias("slot"))
-    sets = scratch(wanted.mapInArrow(build, "node long, shingles array<long>"), "sets")
+    sets = wanted.mapInArrow(build, "node long, shingles array<long>")
+    nameless = ends.where("doc_id is null").select("node").distinct()
+    if nameless.limit(1).count():
+        # sets that only rows with a null id hold; each is needed once
+        extra = docs.where("doc_id is null").select("text", F.lit(None).cast("long").alias("slot"))
+        extra = extra.mapInArrow(build, "node long, shingles array<long>").join(nameless, "node", "left_semi")
+        sets = sets.unionByName(extra.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    sets = scratch(sets, "sets")
     both = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b")
     shared = F.size(F.array_intersect("s_a", "s_b"))

@@ -234,6 +234,14 @@ def test_ngram_join_empty_table_null_ids_and_repeated_rows(spark):
     assert join.keep_one_per_component(docs).where("doc_id = 7").count() == 2
 
 
+def test_ngram_join_links_through_a_null_id_row(spark):
+    """Two known documents are each near to rows with a null id, and not near enough to each other."""
+    words = [f"w{i}" for i in range(110)]
+    rows = [(5, " ".join(words[:100])), (None, " ".join(words[5:105])), (None, " ".join(words[5:105])), (8, " ".join(words[10:])), (None, "alone and by itself")]
+    got = sorted((tuple(r) for r in join.ngram_components(frame(spark, rows), 4, 85).collect()), key=repr)
+    assert got == sorted([(5, 97, 5), (None, 97, 5), (None, 97, 5), (8, 97, 5), (None, 1, None)], key=repr)
+
+
 def test_chunked_cells_lose_no_link(spark, monkeypatch):
     """Cells larger than a chunk are searched chunk against chunk."""
     monkeypatch.setattr(join, "CHUNK", 4)
