@@ -4,24 +4,26 @@ A document is the set of its distinct word shingles. Two documents link when
 ``100 * |A & B| >= percent * |A | B|``. The join returns the connected components of the links.
 
 *Count vectors.* Shingles hash into groups; a document is the point of its group counts. The
-overlap of two documents is at most the sum of their points' coordinate minima, so their L1
-distance bounds how much they can share.
-
-*Cells.* A link between sets of sizes a <= b leaves at most d = (100 - p) / (100 + p) * (a + b)
-shingles unshared. The point's coordinates are dealt into more than d blocks, so at least one
-block of coordinates is equal in both points. Equal blocks meet in a cell, the leaf of an index
-over that block's coordinates; no link is lost. Size classes keep d fixed within a cell: a
-document takes part in its own class and the one below. In larger classes a few blocks more are
-dealt than needed, so that each document may leave out its weakest, nearly empty ones.
-
-*No pairs within groups.* Documents with equal sets are one node from the start. A cell of m
-nodes proposes m - 1 pairs with one of its nodes; most groups of near copies join through those.
-Only cells that still hold nodes of different components are searched, by a packed R-tree whose
-node bounds are summed coordinate minima, and only across components.
-
-*Bounded tasks.* Cells are combined where they are made: a partition sends one row per cell, so
-a cell that a third of all rows share arrives as one row per partition. Large unresolved cells
-are cut into chunks that meet pairwise. Sets are only built for documents in proposed pairs.
+overlap of two documents is at most the sum of their points' coordinate minima.
+
+*Cells.* The coordinates of a point are put in one order for all documents: groups that the whole
+corpus fills least come first. A link leaves so few shingles of a set of size n unshared that both
+sets hold an equal shingle among their first n - ceil(n * percent / 100) + 1 in that order. Each of
+those is a cell; linked documents meet in the cell of the first shingle they share, where what
+follows in either set bounds their overlap. A cell is about a shingle that documents hold, so
+unrelated documents don't meet, and frequent passages, which come last, form no cells as long as a
+document has rarer words. Any order gives the same links; the totals only keep cells small.
+
+*No pairs within groups.* Documents with equal sets are one node from the start. A cell of m nodes
+proposes m - 1 pairs with one of its nodes; groups of near copies join through those. Only cells
+that still hold nodes of different components are searched, and only across components: a small
+cell is one leaf; a large one is an R-tree whose leaves have upper corners, and whatever summed
+coordinate minima with a corner refuse is skipped.
+
+*Bounded tasks.* Texts are read once, into a table of sets; everything after works on that. Cells
+are counted with partial aggregation and met in joins that Spark can split. In an unresolved large
+cell those outside its largest component ask, in chunks, the chunks of all its nodes, one pair of
+chunks at a time. Only sets of nodes in pairs that passed the bounds are moved.
 """
 
 from __future__ import annotations
@@ -36,19 +38,17 @@ from pyspark.sql import functions as F
 
 from spreadwatch.llm.common import KeyBitmap, connected_components, discard, scratch
 
-#: Groups of the count vector that is kept per document, and groups within a block.
-GROUPS, BLOCK_GROUPS = 512, 256
-#: Cell rows a partition holds before it combines and passes them on.
-FLUSH_CELLS = 1 << 19
-#: Shingles of verified sets that go out together.
+#: Groups of the count vector that is kept per document, and of the shorter ones that are looked at first.
+GROUPS, COARSE = 512, 64
+#: Shingles of sets that go out together.
 FLUSH_SHINGLES = 1 << 18
-#: Nodes of a cell that one task compares with as many others.
-CHUNK = 1024
-LEAF = 32
-#: Groups of the shorter vectors that are looked at first.
-COARSE = 64
-MASK = (1 << 64) - 1
-ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
+#: Groups whose totals make one row.
+SLICE = 1 << 12
+#: Nodes of a cell that are scanned without a tree; nodes of a leaf; nodes of a large cell that ask or are asked together.
+SMALL, LEAF, CHUNK = 64, 32, 1024
+ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+#: Which node of a cell stands for it: the least after flipping these bits, by the cell's number modulo three.
+TURNS = (0, 0x2AAAAAAAAAAAAAAA, 0x1555555555555555)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -93,49 +93,16 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(total)
 
 
-class Classes:
-    """Size classes: each ends at 100 / percent of its start, so linked sizes are at most one apart."""
+def name_of(hashes: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of a set, as two longs."""
+    sums = np.array([mix64(hashes ^ ODD[2]).sum(), mix64(hashes ^ ODD[3]).sum()], dtype=np.uint64)
+    a, b = mix64(sums + np.uint64(len(hashes))).view(np.int64)
+    return int(a), int(b)
 
-    def __init__(self, percent: int):
-        self.percent, self.starts, self.ends = percent, [1], [100 // percent]
 
-    def of(self, n: int) -> int:
-        while self.ends[-1] < n:
-            self.starts.append(self.ends[-1] + 1)
-            self.ends.append(self.starts[-1] * 100 // self.percent)
-        return int(np.searchsorted(self.ends, n))
-
-    def blocks(self, k: int) -> tuple[int, int]:
-        """(blocks dealt in class k, blocks a document may leave out)."""
-        low = self.ends[k]
-        most = (100 - self.percent) * (low + low * 100 // self.percent) // (100 + self.percent)
-        spare = (most + 1) // 24
-        return most + 1 + 2 * spare, spare
-
-
-def cells(hashes: np.ndarray, classes: Classes) -> np.ndarray:
-    """The cell keys of a set: one per block and class."""
-    own = classes.of(len(hashes))
-    high, group = hashes >> np.uint64(32), mix64((hashes & np.uint64(BLOCK_GROUPS - 1)) + ODD[2])
-    out = []
-    for k in range(max(0, own - 1), own + 1):
-        n, spare = classes.blocks(k)
-        block = ((high * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
-        # hashes are sorted, so a block's shingles are next to each other
-        edge = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        sums = np.zeros(n, dtype=np.uint64)
-        sums[block[edge]] = np.add.reduceat(group, edge)
-        use = np.arange(n)
-        if spare:
-            use = np.sort(np.argsort(np.bincount(block, minlength=n), kind="stable")[spare:])
-        out.append(mix64(sums[use] + mix64(use.astype(np.uint64) * ODD[3] + np.uint64((k + 1) * int(ODD[4]) & MASK))))
-    return np.concatenate(out)
-
-
-def node_of(hashes: np.ndarray) -> int:
-    """A 64-bit name of the set."""
-    total = (int(mix64(hashes ^ ODD[2]).sum()) + len(hashes)) & MASK
-    return int(mix64(np.array([total], dtype=np.uint64)).view(np.int64)[0])
+def prefix_size(n: int, percent: int) -> int:
+    """How many of the first shingles of a set of size n every linked set must meet."""
+    return n + (-percent * n) // 100 + 1 if n else 0
 
 
 def narrow(counts: np.ndarray) -> bytes:
@@ -155,128 +122,120 @@ def points_of(vectors: list[bytes], groups: int = GROUPS) -> np.ndarray:
     return np.stack([np.frombuffer(v, f"u{len(v) // groups}").astype(np.uint32) for v in vectors])
 
 
+def coarse(points: np.ndarray) -> np.ndarray:
+    """The points with groups put together to COARSE; minima summed over these bound more loosely."""
+    return points.reshape(len(points), COARSE, -1).sum(axis=2, dtype=np.uint32)
+
+
 def needed(a, b, percent: int):
     """The least overlap with which sets of sizes a and b link."""
     return -((-percent * (a + b)) // (100 + percent))
 
 
-def _runs(cell: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted and distinct (cell, node) with each row's run start and run size.
+def may_meet(n_a, rest_a, n_b, rest_b, percent: int):
+    """Whether sets may link whose first shared shingle has ``rest`` of each set from it on."""
+    fits = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+    return fits & (np.minimum(rest_a, rest_b) >= needed(n_a, n_b, percent))
 
-    The first node of a run stands for the cell; which one it is varies with the cell.
-    """
-    turn = np.array(ODD[:3], dtype=np.uint64)[(cell % np.uint64(3)).astype(np.int64)]
-    order = np.lexsort((node * turn, cell))
-    cell, node = cell[order], node[order]
-    if len(cell):
-        keep = np.concatenate(([True], (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])))
-        cell, node = cell[keep], node[keep]
-    first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(cell)))
-    return cell, node, np.repeat(first, size), np.repeat(size, size)
-
-
-MADE = "bucket int, kind int, a long, b long, n long, data binary"
-ROWS, PAIRS, MEMBERS, CELLS = 0, 1, 2, 3
-_MADE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
-
-
-def _packed(kind: int, buckets: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple]:
-    """Rows of two 64-bit columns as one binary row per bucket."""
-    order = np.argsort(buckets, kind="stable")
-    buckets, both = buckets[order], np.stack([a[order], b[order]])
-    edges = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1], [True]))) if len(buckets) else [0]
-    return [(int(buckets[i]), kind, None, None, None, np.ascontiguousarray(both[:, i:j]).tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
-
-
-def _make(words: int, percent: int, n_buckets: int):
-    def bucket_of(x: np.ndarray) -> np.ndarray:
-        return (((x >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
-
-    def combine(parts: list[tuple[np.ndarray, int]]) -> list[tuple]:
-        cell = np.concatenate([c for c, _ in parts])
-        node = np.repeat(np.array([n for _, n in parts], dtype=np.int64).view(np.uint64), [len(c) for c, _ in parts])
-        cell, node, first, size = _runs(cell & ~np.uint64(1), node)
-        many = size > 1
-        head = first == np.arange(len(cell))
-        pairs = np.unique(np.stack([node[first], node])[:, many & ~head], axis=1)
-        out = _packed(PAIRS, bucket_of(mix64(pairs[1])), pairs[0], pairs[1])
-        out += _packed(MEMBERS, bucket_of(mix64(node[many])), cell[many], node[many])
-        # the lowest bit of a cell says that members stayed behind
-        return out + _packed(CELLS, bucket_of(cell[head]), cell[head] | many[head].astype(np.uint64), node[head])
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, parts, n, seen = Classes(percent), [], 0, set()
+
+# ---- sets and points
+
+
+SETS = "rid long, doc_id long, n long, name_a long, name_b long, shingles array<long>"
+
+
+def _sets(words: int):
+    def pack(rows: list[tuple], found: list[np.ndarray]) -> pa.RecordBatch:
+        offsets = np.cumsum([0] + [len(x) for x in found])
+        flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+        columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, lists], ["rid", "doc_id", "n", "name_a", "name_b", "shingles"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                found = shingles(text.as_py(), words)
-                bucket = int(bucket_of(mix64(np.array([(doc_id or 0) & MASK], dtype=np.uint64)))[0])
-                if not len(found):
-                    rows.append((bucket, ROWS, doc_id, None, 0, None))
-                    continue
-                node = node_of(found)
-                rows.append((bucket, ROWS, doc_id, node, len(found), vector_of(found)))
-                if node not in seen:
-                    seen.add(node)
-                    parts.append((cells(found, classes), node))
-                    n += len(parts[-1][0])
-                if n >= FLUSH_CELLS:
-                    rows += combine(parts)
-                    parts, n, seen = [], 0, set()
+            rows, found, n = [], [], 0
+            for rid, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = shingles(text.as_py(), words)
+                rows.append((rid, doc_id, len(own), *name_of(own)))
+                found.append(own)
+                n += len(own)
+                if n >= FLUSH_SHINGLES:
+                    yield pack(rows, found)
+                    rows, found, n = [], [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _MADE, strict=True)], schema=_MADE)
-        if parts and (rows := combine(parts)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _MADE, strict=True)], schema=_MADE)
+                yield pack(rows, found)
 
-    return make
+    return run
 
 
-FOUND = "kind int, a long, b long, n long, data binary"
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of the shingles of a batch."""
+    column = batch.column("shingles")
+    return column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy() - column.offsets[0].as_py()
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """One bucket: cells that several partitions filled become pairs and members; the rest passes."""
-    kinds = table.column("kind").to_numpy()
-    unpack = lambda kind: np.concatenate([np.frombuffer(x.as_py(), np.uint64).reshape(2, -1) for x in table.column("data").filter(pa.array(kinds == kind))] or [np.zeros((2, 0), np.uint64)], axis=1)
-    sent = unpack(CELLS)
-    left = sent[0] & np.uint64(1)
-    behind = np.unique(sent[0][left == 1] & ~np.uint64(1))
-    cell, node, first, size = _runs(sent[0] & ~np.uint64(1), sent[1])
-    head = first == np.arange(len(cell))
-    pairs = np.unique(np.concatenate([unpack(PAIRS), np.stack([node[first], node])[:, (size > 1) & ~head]], axis=1), axis=1)
-    more = (size > 2) | ((size > 1) & np.isin(cell, behind))
-    members = np.unique(np.concatenate([unpack(MEMBERS), np.stack([cell, node])[:, more]], axis=1), axis=1)
-    rows = table.filter(pa.array(kinds == ROWS)).select(["kind", "a", "b", "n", "data"])
-    parts = [rows]
-    for kind, two in ((PAIRS, pairs), (MEMBERS, members)):
-        n = two.shape[1]
-        parts.append(pa.table([pa.array(np.full(n, kind, np.int32)), pa.array(two[0].view(np.int64)), pa.array(two[1].view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=rows.column_names))
-    return pa.concat_tables([x.cast(pa.schema([(f.name, f.type) for f in _MADE][1:])) for x in parts])
+def group_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The fine group of a shingle; other bits than those of the count vector."""
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _bound(percent: int, groups: int = GROUPS):
-    @F.pandas_udf("boolean")
-    def may_link(n_a: pd.Series, n_b: pd.Series, v_a: pd.Series, v_b: pd.Series) -> pd.Series:
-        if not len(n_a):
-            return pd.Series([], dtype=bool)
-        most = np.minimum(points_of(list(v_a), groups), points_of(list(v_b), groups)).sum(axis=1, dtype=np.int64)
-        return pd.Series(most >= needed(n_a.to_numpy(np.int64), n_b.to_numpy(np.int64), percent))
+def group_totals(sets: DataFrame, bits: int) -> np.ndarray:
+    """How often the corpus fills each of 2**bits fine groups, one byte each in steps of a sixteenth of a doubling.
 
-    return may_link
+    A task sends one row per slice of groups; the driver gets one byte a group, 2**24 at most.
+    """
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(1 << bits, dtype=np.uint32)
+        for batch in batches:
+            values, _ = _lists(batch)
+            at, n = np.unique(group_of(values, bits), return_counts=True)
+            totals[at] += n.astype(np.uint32)
+        for i in range(0, len(totals), SLICE):
+            part = totals[i : i + SLICE]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // SLICE], pa.int32()), pa.array([narrow(part)], pa.binary())], ["slice", "counts"])
 
-def coarse(points: np.ndarray) -> np.ndarray:
-    """The points with groups put together to COARSE; minima summed over these bound more loosely."""
-    return points.reshape(len(points), COARSE, -1).sum(axis=2, dtype=np.uint32)
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(SLICE, dtype=np.uint64)
+        for x in table.column("counts"):
+            total += np.frombuffer(x.as_py(), f"u{len(x.as_py()) // SLICE}")
+        steps = np.minimum(255, np.round(5.3 * np.log2(1 + total.astype(float)))).astype(np.uint8)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "steps": pa.array([steps.tobytes()], pa.binary())})
+
+    table = sets.select("shingles").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, steps binary").toArrow()
+    out = np.zeros(1 << bits, dtype=np.uint8)
+    for i, steps in zip(table.column("slice").to_pylist(), table.column("steps").to_pylist(), strict=True):
+        out[i * SLICE : (i + 1) * SLICE] = np.frombuffer(steps, np.uint8)
+    return out
+
+
+def first_in_order(hashes: np.ndarray, totals: np.ndarray, bits: int, percent: int) -> np.ndarray:
+    """The cells of a set: its first shingles by the totals of their groups, then by hash."""
+    key = (totals[group_of(hashes, bits)].astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8))
+    return hashes[np.argsort(key, kind="stable")[: prefix_size(len(hashes), percent)]]
+
+
+POINTS = "rid long, v binary, low binary, cells array<long>"
+
+
+def _points(percent: int, bits: int, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, offsets = _lists(batch)
+            vectors, cells = [], []
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                vectors.append(vector_of(values[a:b]))
+                cells.append(first_in_order(values[a:b], shared.value, bits, percent))
+            low = [narrow(x) for x in coarse(points_of(vectors))] if vectors else []
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in cells]), pa.int32()), pa.array(np.concatenate([*cells, np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(vectors, pa.binary()), pa.array(low, pa.binary()), lists], ["rid", "v", "low", "cells"])
 
+    return run
 
-def _low():
-    @F.pandas_udf("binary")
-    def low(vectors: pd.Series) -> pd.Series:
-        return pd.Series([narrow(x) for x in coarse(points_of(list(vectors)))] if len(vectors) else [], dtype=object)
 
-    return low
+# ---- the index within cells
 
 
 class RTree:
@@ -305,25 +264,20 @@ class RTree:
         return found[keep], most[keep]
 
 
-def cell_pairs(points: np.ndarray, sizes: np.ndarray, groups: np.ndarray, n: int, percent: int, best_only: bool) -> np.ndarray:
-    """Index pairs of different groups that may link by their counts, as two rows.
+def cell_pairs(points: np.ndarray, sizes: np.ndarray, rest: np.ndarray, groups: np.ndarray, n: int, percent: int, best_only: bool) -> np.ndarray:
+    """Index pairs of different groups that may link, as two rows: the first n points are indexed, the others ask.
 
-    The first n points are indexed; the others ask, or the indexed ones if there are no others.
-    With best_only each two groups propose their pair of largest relative bound alone.
+    rest: of each set what follows from the cell's shingle on. With best_only each two groups
+    propose their pair of largest relative bound alone.
     """
-    tree, same = RTree(points[:n], sizes[:n], percent), n == len(points)
-    low = tree.low if same else coarse(points)
-    out, most = [], []
-    for q in range(n) if same else range(n, len(points)):
-        allowed = groups[:n] != groups[q]
-        if same:
-            allowed[q:] = False
+    tree, low = RTree(points[:n], sizes[:n], percent), coarse(points[n:])
+    out, most = [np.zeros((2, 0), np.int64)], [np.zeros(0)]
+    for q in range(n, len(points)):
+        allowed = (groups[:n] != groups[q]) & may_meet(sizes[:n], rest[:n], sizes[q], rest[q], percent)
         if allowed.any():
-            found, bound = tree.search(points[q], low[q], int(sizes[q]), allowed)
+            found, bound = tree.search(points[q], low[q - n], int(sizes[q]), allowed)
             out.append(np.stack([found, np.full(len(found), q)]))
             most.append(bound / (sizes[found] + sizes[q]))
-    if not out:
-        return np.zeros((2, 0), np.int64)
     pairs, most = np.concatenate(out, axis=1), np.concatenate(most)
     if best_only and len(most):
         two = np.sort(groups[pairs], axis=0)
@@ -334,150 +288,206 @@ def cell_pairs(points: np.ndarray, sizes: np.ndarray, groups: np.ndarray, n: int
     return pairs
 
 
-def _search(percent: int, best_only: bool):
-    """The unresolved chunk pairs of one bucket: (a, b) across components that may link."""
-
-    def search(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("cell", "ascending"), ("i", "ascending"), ("j", "ascending"), ("side", "ascending")])
-        cell, i, j, side, sizes, node, component = (table.column(c).to_numpy() for c in ("cell", "i", "j", "side", "n", "node", "component"))
-        change = (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-        edges = np.flatnonzero(np.concatenate(([True], change, [True])))
-        out, vectors = [np.zeros((2, 0), np.int64)], table.column("v")
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            n = int((side[a:b] == 0).sum())
-            if b - a < 2 or not n or (component[a:b] == component[a]).all():
-                continue
-            two = cell_pairs(points_of(vectors.slice(a, b - a).to_pylist()), sizes[a:b], component[a:b], n, percent, best_only)
-            out.append(node[a:b][two])
-        nodes = np.concatenate(out, axis=1)
-        nodes = np.unique(np.stack([nodes.min(axis=0), nodes.max(axis=0)]), axis=1)
-        return pa.table({"a": pa.array(nodes[0], pa.int64()), "b": pa.array(nodes[1], pa.int64())})
-
-    return search
-
-
-def _unresolved(members: DataFrame, joined: DataFrame, nodes: DataFrame, percent: int, pairs: DataFrame, n_buckets: int, best_only: bool) -> DataFrame:
-    """Pairs (a, b) of different components that share a cell, may link by their counts and aren't in ``pairs``."""
-    placed = members.join(joined, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
-    placed = scratch(placed, "placed")
-    mixed = placed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"))
-    mixed = scratch(mixed.where("low <> high").select("cell", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks")), "mixed")
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    # a chunk meets each other chunk once, and itself
-    met = placed.join(mixed, "cell").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "component")
-    met = met.join(nodes.select("node", "n", "v"), "node").withColumn("bucket", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(n_buckets)))
-    found = met.groupBy("bucket").applyInArrow(_search(percent, best_only), "a long, b long").distinct()
-    found = scratch(found.join(pairs, ["a", "b"], "left_anti"), "more")
-    discard(placed, mixed)
-    return found
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _ordered(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    two = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(two[0], pa.int64()), pa.array(two[1], pa.int64())], ["a", "b"])
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], key: list[str], at_least: int) -> Iterator[pa.Table]:
+    """Rows that come sorted by ``key`` in tables of about ``at_least`` rows which never cut a run of equal keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) < at_least:
+            continue
+        table = pa.Table.from_batches(held)
+        change = np.zeros(len(table) - 1, dtype=bool)
+        for c in key:
+            x = table.column(c).to_numpy()
+            change |= x[1:] != x[:-1]
+        if len(last := np.flatnonzero(change)):
+            cut = int(last[-1]) + 1
+            yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _scan_small(percent: int):
+    """Rows (cell, id, n, i, component) sorted by cell to pairs across components that may meet there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_runs(batches, ["cell"], 20_000):
+            cell, node, n, i, component = (table.column(c).to_numpy() for c in ("cell", "id", "n", "i", "component"))
+            rest, here, k, a, b = n - i, np.arange(len(cell)), 1, [], []
+            while True:  # each row with the k-th after it, as long as that is in its cell
+                here = here[here < len(cell) - k]
+                here = here[cell[here] == cell[here + k]]
+                if not len(here):
+                    break
+                there = here + k
+                good = (component[here] != component[there]) & may_meet(n[here], rest[here], n[there], rest[there], percent)
+                a.append(node[here[good]])
+                b.append(node[there[good]])
+                k += 1
+            if a:
+                yield _ordered(np.concatenate(a), np.concatenate(b))
+
+    return run
+
+
+def _search_large(percent: int, best_only: bool):
+    """Rows of chunk pairs sorted by (cell, asks, asked, side) to pairs across components that may link."""
+    key = ["cell", "asks", "asked"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_runs(batches, key, 2 * CHUNK):
+            parts = [table.column(c).to_numpy() for c in key]
+            change = np.any([x[1:] != x[:-1] for x in parts], axis=0) if len(table) > 1 else np.zeros(0, bool)
+            edges = np.flatnonzero(np.concatenate(([True], change, [True])))
+            side, sizes, i, node, component = (table.column(c).to_numpy() for c in ("side", "n", "i", "id", "component"))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                n = int((side[a:b] == 0).sum())
+                if 0 < n < b - a:
+                    points = points_of(table.column("v").slice(a, b - a).to_pylist())
+                    two = cell_pairs(points, sizes[a:b], (sizes - i)[a:b], component[a:b], n, percent, best_only)
+                    if two.shape[1]:
+                        yield _ordered(*node[a:b][two])
+
+    return run
+
+
+def _large(open_rows: DataFrame, nodes: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """Pairs (a, b) in the unresolved large cells: all that are outside a cell's largest component ask all of it."""
+    rows = open_rows.where(F.col("m") > SMALL).select("cell", "id", "n", "i", "component")
+    sizes = rows.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("c"))
+    cells = sizes.groupBy("cell").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("m"))
+    cells = cells.select("cell", F.col("top.component").alias("main"), F.ceil((F.col("m") - F.col("top.c")) / CHUNK).cast("int").alias("n_asks"), F.ceil(F.col("m") / CHUNK).cast("int").alias("n_asked"))
+    cells = scratch(cells, "large-cells")
+    met = rows.join(cells, "cell")
+    turn = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = met.select("cell", numbers("n_asks").alias("asks"), turn("n_asked").alias("asked"), F.lit(0).alias("side"), "id", "n", "i", "component")
+    asks = met.where("component <> main").select("cell", turn("n_asks").alias("asks"), numbers("n_asked").alias("asked"), F.lit(1).alias("side"), "id", "n", "i", "component")
+    both = asked.unionByName(asks).join(nodes.select("id", "v"), "id")
+    both = both.repartition("cell", "asks", "asked").sortWithinPartitions("cell", "asks", "asked", "side")
+    return both.mapInArrow(_search_large(percent, best_only), "a long, b long")
+
+
+# ---- bounds and sets
+
+
+def _bound(percent: int, groups: int = GROUPS):
+    @F.pandas_udf("boolean")
+    def may_link(n_a: pd.Series, n_b: pd.Series, v_a: pd.Series, v_b: pd.Series) -> pd.Series:
+        if not len(n_a):
+            return pd.Series([], dtype=bool)
+        most = np.minimum(points_of(list(v_a), groups), points_of(list(v_b), groups)).sum(axis=1, dtype=np.int64)
+        return pd.Series(most >= needed(n_a.to_numpy(np.int64), n_b.to_numpy(np.int64), percent))
+
+    return may_link
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of nodes those that link, by their counts first and then by their sets."""
-    end = lambda c, v: nodes.select(F.col("node").alias(c), F.col("doc").alias(f"doc_{c}"), F.col("n").alias(f"n_{c}"), F.col(v).alias(f"v_{c}"))
+    end = lambda c, v: nodes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col(v).alias(f"v_{c}"))
     # the short vectors refuse most pairs, so that few carry whole ones through a shuffle
-    near = pairs.join(end("a", "low"), "a").drop("doc_a").join(end("b", "low"), "b")
+    near = pairs.join(end("a", "low"), "a").join(end("b", "low"), "b")
     near = near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     near = near.where(_bound(percent, COARSE)("n_a", "n_b", "v_a", "v_b")).select("a", "b")
     likely = near.join(end("a", "v"), "a").join(end("b", "v"), "b").where(_bound(percent)("n_a", "n_b", "v_a", "v_b"))
-    likely = scratch(likely.select("a", "b", "doc_a", "doc_b", "n_a", "n_b"), "likely")
-    ends = likely.select(F.col("a").alias("node"), F.col("doc_a").alias("doc_id")).union(likely.select("b", "doc_b"))
-    ids = ends.where("doc_id is not null").select("doc_id")
-
-    # the bitmap lets some other documents through; the joins on node drop them, or meet an equal set
-    maybe = KeyBitmap(ids, 2 * likely.count())
-    has = maybe.lookup()
-
-    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
-        offsets = np.cumsum([0] + [len(x) for x in found])
-        flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-        return pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in found], pa.int64()), lists], ["node", "shingles"])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, n, texts = [], 0, batch.column("text")
-            slots = batch.column("slot")
-            # rows without an id have no slot; all of them are built
-            for i in np.flatnonzero(slots.is_null() if slots.null_count else has(slots.to_numpy())):
-                if len(own := shingles(texts[int(i)].as_py(), words)):
-                    found.append(own)
-                    n += len(own)
-                if n >= FLUSH_SHINGLES:
-                    yield packed(found)
-                    found, n = [], 0
-            if found:
-                yield packed(found)
-
-    wanted = docs.where("doc_id is not null").select("text", maybe.slot(F.col("doc_id")).alias("slot"))
-    sets = wanted.mapInArrow(build, "node long, shingles array<long>")
-    nameless = ends.where("doc_id is null").select("node").distinct()
-    if nameless.limit(1).count():
-        # sets that only rows with a null id hold; each is needed once
-        extra = docs.where("doc_id is null").select("text", F.lit(None).cast("long").alias("slot"))
-        extra = extra.mapInArrow(build, "node long, shingles array<long>").join(nameless, "node", "left_semi")
-        sets = sets.unionByName(extra.groupBy("node").agg(F.first("shingles").alias("shingles")))
-    sets = scratch(sets, "sets")
-    both = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b")
+    likely = scratch(likely.select("a", "b", "n_a", "n_b"), "likely")
+    ends = likely.select(F.col("a").alias("rid")).union(likely.select("b"))
+    # the bitmap lets some other sets through; the joins drop them
+    maybe = KeyBitmap(ends, 2 * likely.count())
+    wanted = scratch(sets.where(maybe.holds(F.col("rid"))).select("rid", "shingles"), "wanted")
+    both = likely.join(wanted.select(F.col("rid").alias("b"), F.col("shingles").alias("s_b")), "b")
+    both = both.join(wanted.select(F.col("rid").alias("a"), F.col("shingles").alias("s_a")), "a")
     shared = F.size(F.array_intersect("s_a", "s_b"))
     both = both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared))
-    links = scratch(both.select("a", "b").distinct(), "links")
-    discard(likely, sets)
+    links = scratch(both.select("a", "b"), "links")
+    discard(likely, wanted)
     return links
 
 
-def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of ``docs``.
+def _resolve(members: DataFrame, nodes: DataFrame, sets: DataFrame, links: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(node, component) when every pair of different components that may link has been verified.
 
-    component_id is the smallest doc_id that links reach, the row's own included. Null or blank
-    text has no shingles and links with nothing. Documents with equal sets share a component. A
-    row with a null doc_id links like any other; its component is the smallest known id, null if
-    there is none. Rows that repeat a doc_id are treated each by its own text. An empty table
-    gives an empty one; other columns are ignored.
+    Small cells are searched once, whole. In large ones the best pair of each two components comes
+    first, which joins most that can be joined, then every pair that is left.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = docs.mapInArrow(_make(words, percent, n_buckets), MADE)
-    found = scratch(made.groupBy("bucket").applyInArrow(_meet, FOUND), "cells")
-    rows = found.where(F.col("kind") == ROWS).select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n", F.col("data").alias("v"))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("v").alias("v"))
-    nodes = scratch(nodes.withColumn("low", _low()("v")), "nodes")
-    pairs = found.where(F.col("kind") == PAIRS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = scratch(pairs, "pairs")
-    members = found.where(F.col("kind") == MEMBERS).select(F.col("a").alias("cell"), F.col("b").alias("node")).distinct()
-    members = scratch(members, "members")
-    rows = scratch(rows.drop("v"), "rows")
-    discard(found)
-    links = _verified(pairs, nodes, docs, words, percent)
     joined = connected_components(links)
-
-    # cells whose nodes are not yet of one component: first the best pair of each two components,
-    # which joins most that can be joined, then every pair that is left
     for best_only in (True, False):
-        more = _unresolved(members, joined, nodes, percent, pairs, 2 * n_buckets, best_only)
-        late = _verified(more, nodes, docs, words, percent)
+        placed = members.where("m > 2" if best_only else f"m > {SMALL}").join(joined.withColumnRenamed("node", "id"), "id", "left")
+        placed = scratch(placed.select("cell", "id", "n", "i", "m", F.coalesce("component", "id").alias("component")), "placed")
+        mixed = placed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        mixed = scratch(mixed.where("low <> high").select("cell"), "mixed")
+        open_rows = scratch(placed.join(mixed, "cell"), "open")
+        discard(placed, mixed)
+        found = _large(open_rows, nodes, percent, best_only)
+        if best_only:
+            small = open_rows.where(F.col("m") <= SMALL).drop("m").repartition("cell").sortWithinPartitions("cell")
+            found = found.unionByName(small.mapInArrow(_scan_small(percent), "a long, b long"))
+        more = scratch(found.distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+        discard(open_rows)
+        late = _verified(more, nodes, sets, percent)
         if late.limit(1).count():
             links = links.union(late)
             joined = connected_components(links)
         pairs = pairs.union(more)
+    return joined
+
 
-    linked = scratch(nodes.select("node", "doc").join(joined, "node"), "linked")
-    smallest = scratch(linked.groupBy("component").agg(F.min("doc").alias("component_id")), "smallest")
-    alone = nodes.join(linked, "node", "left_anti").select("node", F.col("doc").alias("component_id"))
-    names = scratch(linked.join(smallest, "component").select("node", "component_id").unionByName(alone), "names")
-    return rows.join(names, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of ``docs``.
+
+    component_id is the smallest doc_id that links reach, the row's own included. Null or blank
+    text has no shingles and links with nothing. Documents with equal sets share a component. A
+    row with a null doc_id links like any other; its component is the smallest known id, null if
+    there is none. Rows that repeat a doc_id are treated each by its own text. An empty table
+    gives an empty one; other columns are ignored.
+    """
+    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = scratch(texts.mapInArrow(_sets(words), SETS), "sets")
+    names = ["name_a", "name_b"]
+    rows = sets.drop("shingles")
+    n_rows = rows.count()
+    # one row of each set stands for it: its rid is the node
+    nodes = scratch(rows.where("n > 0").groupBy(*names).agg(F.min("rid").alias("id"), F.min("doc_id").alias("doc"), F.first("n").alias("n")), "names")
+    bits = min(24, max(16, n_rows.bit_length() + 2))
+    totals = docs.sparkSession.sparkContext.broadcast(group_totals(sets, bits))  # one byte a group
+    points = sets.where("n > 0").select("rid", "shingles").mapInArrow(_points(percent, bits, totals), POINTS)
+    points = scratch(points.withColumnRenamed("rid", "id").join(nodes.select("id", "n"), "id"), "points")
+    cells = points.select("id", "n", F.posexplode("cells").alias("i", "cell"))
+    flip = F.element_at(F.array(*map(F.lit, TURNS)), F.pmod("cell", F.lit(3)).cast("int") + 1)
+    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.min(F.col("id").bitwiseXOR(flip)).alias("head"))
+    shared = scratch(shared.where("m > 1").select("cell", "m", F.col("head").bitwiseXOR(flip).alias("head")), "shared")
+    members = scratch(cells.join(shared, "cell"), "members")
+    pairs = members.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+    pairs = scratch(pairs.distinct(), "pairs")
+    links = _verified(pairs, points, sets, percent)
+    joined = _resolve(members, points, sets, links, pairs, percent)
+
+    known = nodes.select("id", "doc", *names).join(joined.withColumnRenamed("node", "id"), "id", "left")
+    known = scratch(known.withColumn("component", F.coalesce("component", "id")), "known")
+    smallest = scratch(known.groupBy("component").agg(F.min("doc").alias("component_id")), "smallest")
+    found = scratch(known.join(smallest, "component").select(*names, "component_id"), "found")
+    out = rows.join(found, names, "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+    out = scratch(out, "components")
+    discard(sets, nodes, points, shared, members, pairs, known, smallest, found)
+    return out
 
 
 def keep_one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest doc_id."""
-    found = ngram_components(docs, words, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(scratch(found, "near-copies"), "doc_id", "left_anti")
+    """``docs`` with one document of each component: that with the smallest doc_id.
 
+    Rows without a doc_id stay, and rows that repeat a doc_id stay or go together; null, blank and
+    empty texts link with nothing and stay. An empty table gives an empty one.
+    """
+    found = ngram_components(docs, words, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti")
 
 def op2_ngram_jaccard(spark, sf_dir):
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, percent=85)

@@ -245,6 +245,7 @@ def test_ngram_join_links_through_a_null_id_row(spark):
 def test_chunked_cells_lose_no_link(spark, monkeypatch):
     """Cells larger than a chunk are searched chunk against chunk."""
     monkeypatch.setattr(join, "CHUNK", 4)
+    monkeypatch.setattr(join, "SMALL", 2)
     rng = random.Random(11)
     head = [f"h{i}" for i in range(60)]
     rows = [(i, " ".join(head + [f"t{rng.randrange(6)}" for _ in range(14)])) for i in range(40)]
@@ -252,6 +253,38 @@ def test_chunked_cells_lose_no_link(spark, monkeypatch):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_null_id_near_copies_link_known_documents(spark):
+    """5 ~ null ~ 9 by near, not equal, texts: both known documents reach 5."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(9, " ".join(words[24:])), (None, " ".join(words[12:288])), (5, " ".join(words[:276])), (None, None), (7, "")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in join.ngram_components(frame(spark, rows), 4, 85).collect()}
+    assert got == {(9, 273): 5, (None, 273): 5, (5, 273): 5, (None, 0): None, (7, 0): 7}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_cells_meet_in_any_order_and_stay_small(percent):
+    """Linked sets share one of their first shingles whatever the totals; unrelated ones meet in no cell, however many there are."""
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 5, 9, 40, 200):
+        for _ in range(40):
+            base = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+            other = np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(0, 1 << 62, n // 12).astype(np.uint64)]))
+            both = len(np.intersect1d(base, other))
+            if not both or 100 * both < percent * (len(base) + len(other) - both):
+                continue
+            totals = rng.integers(0, 4, 1 << 16).astype(np.uint8)
+            a, b = (join.first_in_order(x, totals, 16, percent) for x in (base, other))
+            first = next(x for x in a if x in set(b.tolist()))
+            i, j = a.tolist().index(first), b.tolist().index(first)
+            assert join.may_meet(len(base), len(base) - i, len(other), len(other) - j, percent)
+    flat = np.zeros(1 << 16, dtype=np.uint8)
+    largest = []
+    for n_docs in (500, 2000):
+        cells = np.concatenate([join.first_in_order(np.unique(rng.integers(0, 1 << 62, 100).astype(np.uint64)), flat, 16, percent) for _ in range(n_docs)])
+        largest.append(int(np.unique(cells, return_counts=True)[1].max()))
+    assert largest == [1, 1]
+
+
 def test_coordinate_minima_bound_the_overlap():
     rng = np.random.default_rng(2)
     for _ in range(50):
