@@ -6,18 +6,22 @@ smoothed with a Gaussian over its neighbours, and a threshold (the standard devi
 smoothed ratios, or two means by one-dimensional 2-means where that is lower) splits the lines
 into content and the rest. Content lines vote, by their characters, for the container that holds
 the page's main region: article or main elements, the parts of one article together, else the
-smallest element that holds all of the content. Every line of that region which is not boilerplate is kept, so that short
-paragraphs and headings of an article are not lost between long ones.
-
-Boilerplate is never content: scripts, styles, forms, navigation, headers and footers of the
-page, asides, and elements whose class, id or role names them as such. A form or a name hides
-nothing that holds the article itself, as a form or a wrapper around the whole page does.
+smallest element that holds all of the content. Every line of that region which is not
+boilerplate is kept, so that short paragraphs and headings of an article are not lost between
+long ones.
+
+Elements and names only weigh. Navigation, headers and footers of the page, asides, forms and
+names such as ``sidebar`` hide what they hold, unless the page's content lies there: a form or a
+wrapper around everything, or a menu that was never closed. Vaguer names (``legal``, ``search``)
+hide only what the ratios don't take for content anyway. What readers add is always hidden, and
+so are scripts, styles and controls. All steps are linear in the page, however deep it nests.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,113 +38,95 @@ BLOCKS = frozenset(
 )
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose contents are never text of the page's main region.
+#: Elements whose contents are no text of the page.
 SKIPPED = frozenset(
-    "applet aside audio button canvas datalist dialog embed footer head iframe input map menu nav noframes noscript object "
-    "script search select style svg template textarea title video".split()
+    "applet audio button canvas datalist dialog embed head iframe input map noframes noscript object "
+    "script select style svg template textarea title video".split()
 )
-#: Words in class, id or role that name boilerplate, and words that may stand with them in one name.
+#: Elements that hold boilerplate, unless the page's content lies in them.
+ASIDE = frozenset("aside footer form label legend menu nav search".split())
+ARTICLE = frozenset(("article", "main"))
+#: Words in class, id or role that name boilerplate; those that do so only for what is no running text; what may stand beside them in one name.
 WORD = (
-    r"(?:ads?|advert\w*|banner|breadcrumbs?|captcha|comments?|consent|contentinfo|cookies?|disqus|footer|form|gdpr|legal|"
-    r"login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|paywall|popup|popups|promo\w*|promoted|"
-    r"recommend\w*|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|topbar|"
-    r"widgets?)"
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|contentinfo|cookies?|disqus|footer|gdpr|masthead|menu|nav|navbar|navigation|"
+    r"newsletter|notices?|pagination|popup|popups|promo\w*|promoted|replies|reply|respond|sidebar|signup|sponsor\w*|subscribe)"
 )
+VAGUE = r"(?:captcha|form|legal|login|modal|paywall|recommend\w*|related|search|share|sharing|skip|social|toolbar|topbar|widgets?)"
 BESIDE = (
     r"(?:\d+|area|articles?|bar|block|body|bottom|box|buttons?|container|desktop|entry|global|group|header|icons?|inner|items?|js|left|"
     r"links?|list|main|mobile|outer|page|panel|posts?|primary|right|secondary|section|site|slot|stories|text|to|top|unit|user|wrap|wrapper)"
 )
 #: A whole name, between spaces, of such words; has-sidebar, no-comments or long-form are none.
-NAMED = re.compile(rf"(?:^|\s)(?:{BESIDE}[_-]+)*{WORD}(?:[_-]+(?:{WORD}|{BESIDE}))*(?:$|\s)")
+NAMED, VAGUELY = (re.compile(rf"(?:^|\s)(?:(?:{BESIDE}|{VAGUE})[_-]+)*{w}(?:[_-]+(?:{WORD}|{VAGUE}|{BESIDE}))*(?:$|\s)") for w in (WORD, VAGUE))
 #: Names of what readers add; it may hold most of a page and is still no part of the article.
 READERS = re.compile(r"comment|disqus|repl(?:y|ies)|respond")
 #: A paragraph starts when one of these starts inside an open one.
 CLOSES_P = BLOCKS - {"body", "html", "head", "option", "optgroup", "legend", "li", "td", "th", "tr", "tbody", "tfoot", "thead", "dd", "dt"} | {"p"}
 SMOOTH = 1.0
+#: Content in an element that boilerplate is named after outweighs that outside such elements by this much where it is the page's own.
+OUTWEIGHS = 4
 FOLD = re.compile(r"\s+")
+PLAIN, HIDES, READ, VAGUE_NAME = range(4)
 
 
 class Lines(HTMLParser):
-    """Turns parser events into lines (text, number of tags, link characters, container id)."""
+    """Turns parser events into lines (text, number of tags, link characters, container) and a tree of elements."""
 
-    def __init__(self, spared: frozenset[int] = frozenset()) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.spared = spared  # numbers of elements that a form or a name doesn't hide
-        self.soft: dict[int, list] = {}  # of those it hides: [characters, article characters, holds an article, readers' own]
-        self.within: list[int] = []  # such elements that are open
-        self.hard = 0  # how many open elements hide their contents for another reason
-        self.articles = 0  # how many article and main elements are open
-        self.all_chars = self.article_chars = 0
         self.lines: list[tuple[str, int, int, int]] = []
-        self.parents: list[int] = [-1]  # of each element by number; 0 is the page
+        self.parents: list[int] = [-1]  # of each element by number; 0 is the page, parents come before their children
         self.names: list[str] = ["page"]
-        self.open: list[tuple[str, int]] = [("page", 0)]
-        self.skip = 0  # how many open elements hide their contents
-        self.links = 0
+        self.kinds: list[int] = [PLAIN]
+        self.open: list[tuple[str, int, bool]] = [("page", 0, False)]
+        self.counts: Counter[str] = Counter()  # open elements by name
+        self.hard = 0  # how many open elements hide their contents for good
         self.text: list[str] = []
-        self.n_tags = 0
-        self.link_chars = 0
+        self.n_tags = self.link_chars = 0
 
     def _end_line(self) -> None:
-        text = FOLD.sub(" ", "".join(self.text)).strip()
-        if text:
-            self.lines.append((text, self.n_tags, self.link_chars, self.open[-1][1]))
-            self.n_tags = self.link_chars = 0
-        self.text = []
-
-    def _hides(self, tag: str, attrs: list) -> bool:
-        if tag in SKIPPED:
-            return True
+        if self.text:
+            text = FOLD.sub(" ", "".join(self.text)).strip()
+            if text:
+                self.lines.append((text, self.n_tags, self.link_chars, self.open[-1][1]))
+                self.n_tags = self.link_chars = 0
+            self.text = []
+
+    def _kind(self, tag: str, attrs: list) -> int:
+        """What the element and its names say about its contents."""
         if tag in ("html", "body", "article", "main"):
-            return False
+            return PLAIN
         if tag == "header":  # an article's own header holds its headline
-            return not any(name in ("article", "main") for name, _ in self.open)
-        return any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attrs)
-
-    def _names(self, tag: str, attrs: list) -> str:
-        """The form or the names that make an element boilerplate, if nothing speaks for it."""
-        if tag in ("html", "body", "article", "main", "header"):
-            return ""
-        if tag == "form":
-            return tag
-        return " ".join(value.lower() for name, value in attrs if value and name in ("class", "id", "role") and NAMED.search(value.lower()))
-
-    def to_spare(self) -> frozenset[int]:
-        """Hidden elements that hold most of the article, or of a page without article and main."""
-        if self.article_chars:
-            return frozenset(at for at, (_, n, holds, _) in self.soft.items() if holds and 2 * n > self.article_chars)
-        return frozenset(at for at, (n, _, _, readers) in self.soft.items() if not readers and 2 * n > self.all_chars)
+            return PLAIN if self.counts["article"] or self.counts["main"] else HIDES
+        kind = HIDES if tag in ASIDE else PLAIN
+        for name, value in attrs:
+            if value and name in ("class", "id", "role"):
+                value = value.lower()
+                if NAMED.search(value):
+                    return READ if READERS.search(value) else HIDES
+                if kind == PLAIN and VAGUELY.search(value):
+                    kind = VAGUE_NAME
+        return kind
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.n_tags += 1
         if tag in BLOCKS:
             self._end_line()
-            if tag in CLOSES_P and any(name == "p" for name, _ in self.open[-6:]):
+            if self.counts["head"] and tag != "head":
+                self._close("head")
+            if tag in CLOSES_P and self.counts["p"] and any(name == "p" for name, _, _ in self.open[-6:]):
                 self._close("p")
         elif tag == "br":
             self.text.append(" ")
         if tag in VOID:
             return
-        if tag == "a":
-            self.links += 1
-        hides, number = self._hides(tag, attrs), len(self.parents)
-        self.parents.append(self.open[-1][1])
+        hard = tag in SKIPPED or any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attrs)
+        self.open.append((tag, len(self.parents), hard))
+        self.parents.append(self.open[-2][1])
         self.names.append(tag)
-        self.open.append((tag, number))
-        if hides:
-            self.hard += 1
-        elif tag in ("article", "main"):
-            if not self.articles and not self.hard:
-                for at in self.within:
-                    self.soft[at][2] = True
-            self.articles += 1
-        elif number not in self.spared and (names := self._names(tag, attrs)):
-            hides = True
-            self.soft[number] = [0, 0, False, bool(READERS.search(names))]
-            self.within.append(number)
-        if hides:
-            self.skip += 1
-            self.names[-1] = f"-{tag}"
+        self.kinds.append(self._kind(tag, attrs))
+        self.counts[tag] += 1
+        self.hard += hard
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -148,19 +134,18 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def _close(self, tag: str) -> None:
-        at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i][0] == tag), 0)
-        if at:
-            for name, number in reversed(self.open[at:]):
-                if self.names[number].startswith("-"):
-                    self.skip -= 1
-                    if self.within and self.within[-1] == number:
-                        self.within.pop()
-                    else:
-                        self.hard -= 1
-                elif name in ("article", "main"):
-                    self.articles -= 1
-                self.links -= name == "a"
-            del self.open[at:]
+        """Ends the innermost such element and what is open in it; no block ends with an inline element."""
+        if not self.counts[tag]:
+            return
+        at = len(self.open) - 1
+        while self.open[at][0] != tag:
+            if tag not in BLOCKS and self.open[at][0] in BLOCKS:
+                return
+            at -= 1
+        while len(self.open) > at:
+            name, _, hard = self.open.pop()
+            self.counts[name] -= 1
+            self.hard -= hard
 
     def handle_endtag(self, tag: str) -> None:
         self.n_tags += 1
@@ -170,15 +155,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.hard:
-            n = len(data.strip())
-            self.all_chars += n
-            self.article_chars += n if self.articles else 0
-            for at in self.within:
-                self.soft[at][0] += n
-                self.soft[at][1] += n if self.articles else 0
-        if not self.skip:
             self.text.append(data)
-            if self.links:
+            if self.counts["a"]:
                 self.link_chars += len(data)
 
     def close(self) -> None:
@@ -190,9 +168,8 @@ def smoothed(ratios: np.ndarray, sigma: float = SMOOTH) -> np.ndarray:
     """The ratios under a normalised Gaussian of radius ceil(3 sigma)."""
     radius = math.ceil(3 * sigma)
     kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-    return np.convolve(ratios, kernel, "same")[: len(ratios)] / np.convolve(np.ones(len(ratios)), kernel, "same")[: len(ratios)] if len(ratios) > 2 * radius else np.array(
-        [np.dot(k := np.exp(-0.5 * ((np.arange(len(ratios)) - i) / sigma) ** 2), ratios) / k.sum() for i in range(len(ratios))]
-    )
+    weigh = lambda x: np.convolve(x, kernel)[radius : radius + len(ratios)]
+    return weigh(ratios) / weigh(np.ones(len(ratios))) if len(ratios) else ratios
 
 
 def threshold(ratios: np.ndarray) -> float:
@@ -210,58 +187,82 @@ def threshold(ratios: np.ndarray) -> float:
     return min(float(ratios.std()), (low + high) / 2)
 
 
+def _hidden(page: Lines, at: np.ndarray, chars: np.ndarray, mass: np.ndarray) -> list[bool]:
+    """Of each element whether what it holds is boilerplate. at: containers of lines; mass: their content characters."""
+    n, parents, kinds = len(page.parents), page.parents, page.kinds
+    near, article, reads = [0] * n, [False] * n, [False] * n  # the nearest element that hides; in an article; of readers
+    for e in range(1, n):
+        up = parents[e]
+        near[e] = e if kinds[e] in (HIDES, READ) else near[up]
+        article[e] = article[up] or page.names[e] in ARTICLE
+        reads[e] = reads[up] or kinds[e] == READ
+    own = np.where(np.array(reads)[at], 0.0, mass)
+    if (inside := np.where(np.array(article)[at], own, 0.0)).any():
+        own = inside
+    pockets = np.bincount(np.array(near)[at], own, n)
+    most, spared = int(pockets.argmax()), set()
+    if most and pockets[most] > OUTWEIGHS * pockets[0]:
+        while most > 0:
+            spared.add(most)
+            most = parents[most]
+    whole, good = np.bincount(at, chars, n), np.bincount(at, mass, n)
+    for e in range(n - 1, 0, -1):
+        whole[parents[e]] += whole[e]
+        good[parents[e]] += good[e]
+    hidden = [False] * n
+    for e in range(1, n):
+        hides = kinds[e] in (HIDES, READ) and e not in spared or kinds[e] == VAGUE_NAME and 2 * good[e] < whole[e]
+        hidden[e] = hidden[parents[e]] or hides
+    return hidden
+
+
 def extract(html: str) -> str:
     """The main text of a page: kept lines in page order, joined by single spaces."""
     page = Lines()
     page.feed(html)
     page.close()
-    if spared := page.to_spare():
-        page = Lines(spared)
-        page.feed(html)
-        page.close()
     if not page.lines:
         return ""
-    chars = np.array([len(x[0]) - x[2] for x in page.lines], dtype=float)
-    ratio = smoothed(np.maximum(chars, 0) / np.array([max(1, x[1]) for x in page.lines]))
+    at = np.array([x[3] for x in page.lines])
+    chars = np.maximum(np.array([len(x[0]) - x[2] for x in page.lines], dtype=float), 0)
+    ratio = smoothed(chars / np.array([max(1, x[1]) for x in page.lines]))
     content = ratio >= threshold(ratio)
-    if not content.any():
+    hidden = _hidden(page, at, np.array([len(x[0]) for x in page.lines], dtype=float), np.where(content, chars, 0.0))
+    seen = ~np.array(hidden)[at]
+    n, parents, names = len(page.parents), page.parents, page.names
+    votes = np.bincount(at, np.where(content & seen, chars, 0.0), n)
+    if not votes.any():  # a page of few words: whatever is not boilerplate
+        votes = np.bincount(at, np.where(seen, chars, 0.0), n)
+    depth = [0] * n
+    for e in range(1, n):
+        depth[e] = depth[parents[e]] + 1
+    for e in range(n - 1, 0, -1):
+        votes[parents[e]] += votes[e]
+    if not votes[0]:
         return ""
-    votes: dict[int, float] = {}
-    for (_, _, _, at), n, yes in zip(page.lines, chars, content, strict=True):
-        while yes and at >= 0:
-            votes[at] = votes.get(at, 0.0) + max(n, 0.0)
-            at = page.parents[at]
-    regions = [at for at in votes if page.names[at] in ("article", "main") and votes[at] > 0]
+    regions = [e for e in range(n) if names[e] in ARTICLE and votes[e] > 0]
     if regions:
         # the outermost article that has most, and its siblings: the parts of one article belong together
-        best = max(regions, key=lambda at: (votes[at], -_depth(page.parents, at)))
-        chosen = {at for at in regions if votes[at] >= 0.5 * votes[best] or page.parents[at] == page.parents[best]}
+        best = max(regions, key=lambda e: (votes[e], -depth[e]))
+        chosen = {e for e in regions if votes[e] >= 0.5 * votes[best] or parents[e] == parents[best]}
     else:
-        region = max((at for at in votes if votes[at] == votes[0]), key=lambda at: _depth(page.parents, at))
-        if page.names[region] in ("p", "h1", "h2", "h3", "li", "td", "b", "i", "span"):
-            region = page.parents[region]
+        region = max((e for e in range(n) if votes[e] == votes[0]), key=lambda e: depth[e])
+        while names[region] not in BLOCKS - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "tr", "dt", "dd"} and region:
+            region = parents[region]
         chosen = {region}
-    kept, inside = [], {}
-    for (text, _, _, at), n in zip(page.lines, chars, strict=True):
-        if at not in inside:
-            up, top = at, at
-            while up >= 0 and up not in chosen:
-                up, top = page.parents[up], up
-            # beside the content, a block of nothing but links
-            inside[at] = up >= 0, not regions and up != at and not votes.get(top)
-        held, beside = inside[at]
-        if held and not (beside and n <= 0):
+    held, top = [False] * n, list(range(n))  # in a region; the region's child that holds it
+    for e in range(n):
+        up = parents[e]
+        held[e] = e in chosen or (e > 0 and held[up])
+        if e and held[up] and up not in chosen:
+            top[e] = top[up]
+    kept = []
+    for (text, _, _, e), shown, own in zip(page.lines, seen, chars, strict=True):
+        # without an article, a block of nothing but links beside the content is a menu
+        if shown and held[e] and not (not regions and e not in chosen and not votes[top[e]] and own <= 0):
             kept.append(text)
     return " ".join(kept)
 
-
-def _depth(parents: list[int], at: int) -> int:
-    n = 0
-    while at >= 0:
-        at, n = parents[at], n + 1
-    return n
-
-
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [extract(html.as_py() or "") for html in batch.column("html")]
@@ -275,8 +276,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) per row of ``pages`` (page_id, url, html).
 
     Character references are decoded, white space inside a block becomes one space, blocks are
-    joined in page order by one space. Null or empty html gives empty text; a page of any length
-    is parsed whole; null and repeated ids pass through. Other columns are ignored.
+    joined in page order by one space. Null or empty html gives empty text; a page of any length or
+    depth is parsed whole, in linear time; unclosed and stray tags are taken as browsers do as far
+    as lines go. Null and repeated ids pass through, an empty table gives an empty one, other
+    columns are ignored.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html")
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -186,6 +187,66 @@ def test_extract_hides_long_comments():
     assert got.count("only part") == 3 and "reader" not in got
 
 
+@pytest.mark.parametrize(
+    "page",
+    [f"<nav>{{menu}}</nav><div class='{c}'>{{main}}</div>" for c in ("has-sidebar", "no-sidebar content", "search-results", "content-with-nav", "single-post social-on", "legal-content")]
+    + ["<form action=x><nav>{menu}</nav><article>{main}</article><input name=q><button>Go</button></form>", "<form><div>{menu}</div><div>{main}</div><label>Your name</label></form>"]
+    + ["<nav>{menu}<article>{main}</article>", "<nav>{menu}<div>{main}</div>", "<header><aside>{menu}<article>{main}</article></aside></header>"]
+    + [f"<nav>{{menu}}</nav><article>{{first}}<section {a}>{{second}}</section></article>" for a in ("id=related-work", "class=share-price", "class=legal")]
+    + ["<nav>{menu}</nav><article>{first}</article><article>{second}</article>", "<nav>{menu}</nav><div>{first}</div><div>{second}</div>"],
+)
+def test_extract_lets_names_and_forms_only_weigh(page):
+    first, second = sentences("first", 5), sentences("second", 2)
+    menu = "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul>"
+    got = extract(f"<body>{page.format(menu=menu, first=first, second=second, main=first + second)}<footer>Rights</footer></body>")
+    assert got.count("first part") == 5 and got.count("second part") == 2
+    assert not any(x in got for x in ("Home", "News", "Go", "Your", "Rights"))
+
+
+@pytest.mark.parametrize("outer", ["aside", "div class=sidebar", "div class='cookie-banner'", "div role=contentinfo", "div class='promo-box'", "ol class=comment-list"])
+def test_extract_leaves_out_long_text_beside_a_short_article(outer):
+    beside = f"<{outer}>{sentences('beside', 9)}</{outer.split()[0]}>"
+    for main in ("<article>{}</article>", "<div>{}</div>"):
+        got = extract(f"<body>{beside}{main.format(sentences('only', 3))}{beside}</body>")
+        assert got.count("only part") == 3 and "beside" not in got
+
+
+def brute_content(chars, tags, sigma=1.0):
+    """Ratio, smoothing and clustering by their definitions."""
+    ratio = [c / max(1, t) for c, t in zip(chars, tags, strict=True)]
+    out = []
+    for i in range(len(ratio)):
+        weights = [(np.exp(-0.5 * ((j - i) / sigma) ** 2), r) for j, r in enumerate(ratio) if abs(j - i) <= 3 * sigma]
+        out.append(sum(w * r for w, r in weights) / sum(w for w, _ in weights))
+    low, high = min(out), max(out)
+    for _ in range(20):
+        a, b = [x for x in out if x <= (low + high) / 2], [x for x in out if x > (low + high) / 2]
+        if not a or not b:
+            break
+        low, high = sum(a) / len(a), sum(b) / len(b)
+    mean = sum(out) / len(out)
+    edge = min((sum((x - mean) ** 2 for x in out) / len(out)) ** 0.5, (low + high) / 2)
+    return [x >= edge for x in out], edge
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 8, 40])
+def test_content_lines_against_the_definitions(n):
+    rng = random.Random(n)
+    for _ in range(30):
+        chars, tags = [rng.choice([0, 5, 20, 300, 900]) * rng.random() for _ in range(n)], [rng.randint(0, 9) for _ in range(n)]
+        ratio = smoothed(np.array(chars) / np.maximum(1, tags))
+        content, edge = brute_content(chars, tags)
+        assert threshold(ratio) == pytest.approx(edge)
+        assert all(got == want or abs(r - edge) < 1e-9 for got, want, r in zip(ratio >= threshold(ratio), content, ratio, strict=True))
+
+
+def test_extract_is_linear_in_depth():
+    for html in ("<div>word" * 100_000, "<div>" + "</p></b>" * 100_000, "<b>" * 100_000 + "</i></div>" * 100_000, "<p>" * 100_000):
+        start = time.process_time()
+        extract(html)
+        assert time.process_time() - start < 10
+
+
 def test_extract_pages_keeps_every_row(spark):
     rows = [(1, "u", "<p>Some text here</p>"), (1, "u", "<p>Some text here</p>"), (None, None, None), (2, "v", "")]
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)))
