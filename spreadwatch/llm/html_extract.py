@@ -121,10 +121,13 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         hard = tag in SKIPPED or any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attrs)
+        kind = self._kind(tag, attrs)
+        if kind in (HIDES, READ):  # a line of its own, in a block or not
+            self._end_line()
         self.open.append((tag, len(self.parents), hard))
         self.parents.append(self.open[-2][1])
         self.names.append(tag)
-        self.kinds.append(self._kind(tag, attrs))
+        self.kinds.append(kind)
         self.counts[tag] += 1
         self.hard += hard
 
@@ -149,7 +152,7 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.n_tags += 1
-        if tag in BLOCKS:
+        if tag in BLOCKS or (self.open[-1][0] == tag and self.kinds[self.open[-1][1]] in (HIDES, READ)):
             self._end_line()
         self._close(tag)
 
