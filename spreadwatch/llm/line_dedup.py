@@ -1,21 +1,23 @@
 """Line dedup on DataFrame functions only (no Python on the executors).
 
-Method: long lines become hashed keys; the occurrences are range-partitioned by hash with a
-secondary sort by document and position and kept in that order; each key's run of occurrences
-is streamed into a count of documents and its first document in sort order (the largest id);
-the rest lose the line. What comes back is a run-length bitmap per document, not text.
-
-Skew: the range boundaries run over (hash, document, position), so a line that a third of all
-documents hold spans many partitions; its run is pre-aggregated before the one shuffle that
-merges partial runs, and the join back onto occurrences is a plain one that Spark can split.
+Method: long lines become hashed keys; occurrences are range-partitioned by hash and sorted by
+hash, document (largest first) and position. That one exchange also serves the windows that
+stream over each key's run: they number its documents and hold its first one, which keeps the
+line; in a key of enough documents all others lose it. What comes back is a run-length bitmap per
+document, not text.
+
+Skew: a key can't be cut by ranges of its hash. Hashes are counted by their first bits, one row a
+slot and task; occurrences in the few slots that would fill half a partition or more are taken
+out, counted per document and key with partial aggregation, and met again in a plain join that
+Spark can split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spreadwatch.llm.common import WHITE, ascii_lower, discard, scratch
+from spreadwatch.llm.common import WHITE, ascii_lower, scratch
 
 
 def split_lines(text: Column) -> Column:
@@ -28,20 +30,41 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(WHITE)))
 
 
+#: Bits of a hash that name its slot.
+SLOT_BITS = 16
+
+
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(h1, h2, doc_id, pos) for each line whose key has ``min_chars`` code points or more, sorted by hash."""
+    """(h1, h2, doc_id, pos) for each line whose key has ``min_chars`` code points or more."""
     lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
     keys = lines.where(F.length("line") >= min_chars).select("doc_id", "pos", line_key(F.col("line")).alias("key"))
-    hashed = scratch(
-        keys.where(F.length("key") >= min_chars).select(
-            F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "pos"
-        ),
-        "lines",
-    )
-    order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("pos")]
-    ranged = scratch(hashed.repartitionByRange(*order).sortWithinPartitions(*order), "lines-sorted")
-    discard(hashed)
-    return ranged
+    return keys.where(F.length("key") >= min_chars).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "pos")
+
+
+def hot_slots(lines: DataFrame) -> list[int]:
+    """Slots of ``h1`` that hold half a partition's share of all occurrences or more: twice the partitions at most."""
+    partitions = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = lines.groupBy(F.shiftrightunsigned("h1", 64 - SLOT_BITS).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.agg(F.sum("n").alias("whole"))
+    return [r.slot for r in sizes.join(F.broadcast(whole)).where(2 * partitions * F.col("n") >= F.col("whole")).select("slot").collect()]  # whole is one row
+
+
+def lost_lines(lines: DataFrame, min_docs: int) -> DataFrame:
+    """(doc_id, pos) of occurrences in streamed runs: all but those of the first document of a key of ``min_docs`` or more."""
+    key = ["h1", "h2"]
+    run = Window.partitionBy(*key).orderBy(F.col("doc_id").desc(), "pos")
+    ranged = lines.repartitionByRange(*key)
+    seen = ranged.withColumns({"first_doc": F.first("doc_id").over(run), "opens": F.coalesce(F.lag("doc_id").over(run) != F.col("doc_id"), F.lit(True))})
+    counted = seen.withColumn("n_docs", F.sum(F.col("opens").cast("int")).over(Window.partitionBy(*key)))
+    return counted.where((F.col("n_docs") >= min_docs) & (F.col("doc_id") != F.col("first_doc"))).select("doc_id", "pos")
+
+
+def lost_hot_lines(lines: DataFrame, min_docs: int) -> DataFrame:
+    """The same for the few slots that hold too much for one range, from partial counts and a join."""
+    by_doc = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
+    frequent = by_doc.groupBy("h1", "h2").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("first_doc"))
+    frequent = scratch(frequent.where(F.col("n_docs") >= min_docs).select("h1", "h2", "first_doc"), "frequent-lines")
+    return lines.join(frequent, ["h1", "h2"]).where("doc_id <> first_doc").select("doc_id", "pos")
 
 
 def dropped_runs(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -50,32 +73,22 @@ def dropped_runs(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     keep_runs is the keep bitmap as alternating run lengths, kept first: [2, 1, 3] keeps two
     lines, drops one, keeps three; the lines after the last run are kept.
     """
-    lines = occurrences(docs, min_chars)
-    by_doc = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-    frequent = (
-        by_doc.groupBy("h1", "h2")
-        .agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("first_doc"))
-        .where(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", "first_doc")
-    )
-    lost = lines.join(frequent, ["h1", "h2"]).where("doc_id <> first_doc").select("doc_id", "pos")
+    lines = scratch(occurrences(docs, min_chars), "lines")
+    hot = F.shiftrightunsigned("h1", 64 - SLOT_BITS).isin(slots) if (slots := hot_slots(lines)) else F.lit(False)
+    lost = lost_lines(lines.where(~hot), min_docs)
+    if slots:
+        lost = lost.unionByName(lost_hot_lines(lines.where(hot), min_docs))
     positions = lost.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
-    # a gone line either extends the last dropped run or opens a kept and a dropped run
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("runs"))
-    runs = F.aggregate(
-        "gone",
-        start,
-        lambda acc, pos: F.struct(
-            (pos + 1).alias("at"),
-            F.when(
-                (pos == acc["at"]) & (F.size(acc["runs"]) > 0),
-                F.concat(F.slice(acc["runs"], 1, F.size(acc["runs"]) - 1), F.array(F.element_at(acc["runs"], -1) + 1)),
-            )
-            .otherwise(F.concat(acc["runs"], F.array(pos - acc["at"], F.lit(1))))
-            .alias("runs"),
-        ),
-    )["runs"]
-    return positions.select("doc_id", F.size("gone").cast("long").alias("n_dropped"), runs.alias("keep_runs"))
+    # where dropped runs start and where they end
+    edges = positions.select(
+        "doc_id",
+        F.size("gone").cast("long").alias("n_dropped"),
+        F.filter("gone", lambda pos, i: (i == 0) | (F.get("gone", i - 1) != pos - 1)).alias("starts"),
+        F.filter("gone", lambda pos, i: (i == F.size("gone") - 1) | (F.get("gone", i + 1) != pos + 1)).alias("ends"),
+    )
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("ends", i - 1) + 1)
+    runs = F.flatten(F.transform("starts", lambda pos, i: F.array(pos - before(i), F.get("ends", i) - pos + 1)))
+    return edges.select("doc_id", "n_dropped", runs.alias("keep_runs"))
 
 
 def kept_text(text: Column, keep_runs: Column) -> Column:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spreadwatch.llm import exact_dedup as exact
+from spreadwatch.llm import line_dedup as line_module
 from spreadwatch.llm import ngram_join as join
 from spreadwatch.llm.common import connected_components
 from spreadwatch.llm.line_dedup import apply_line_dedup, line_dedup
@@ -117,6 +118,26 @@ def test_line_dedup_null_ids_empty_table_and_clashing_columns(spark):
     assert apply_line_dedup(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_streams_runs_after_one_range_exchange(spark, monkeypatch):
+    """No exchange by hash of the line; hot keys, taken out, give the same as streamed ones."""
+    rng = random.Random(4)
+    rows = [(i, "\n".join(f"line number {rng.randint(0, 30)} of the text" for _ in range(rng.randint(0, 12)))) for i in range(80)]
+    lines = line_module.occurrences(frame(spark, rows), 10)
+    plan = line_module.lost_lines(lines, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning(h1" in plan
+    streamed, hot = (sorted(map(tuple, f(lines, 5).distinct().collect())) for f in (line_module.lost_lines, line_module.lost_hot_lines))
+    assert streamed == hot and streamed
+    assert len(line_module.hot_slots(lines)) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_line_dedup_of_many_dropped_runs(spark):
+    """Every other line of a long document goes: thousands of runs."""
+    common = "\n".join(x for i in range(5000) for x in (f"a line {i} that is in all of the documents", f"short {i}"))
+    rows = [(d, common) for d in range(6)]
+    found = {r.doc_id: r for r in line_dedup(frame(spark, rows), 20, 5).collect()}
+    assert found[5].keep_runs is None and found[0].n_dropped == 5000 and found[0].keep_runs == [0, 1] + [1, 1] * 4999
+
+
 def test_line_dedup_plan_has_no_python(spark):
     plan = apply_line_dedup(frame(spark, EDGE))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
