@@ -104,6 +104,75 @@ def test_forward_sums_all_segmentations():
             assert got[i, k] == pytest.approx(np.log(brute_forward(word, pieces, probabilities[:, k])), rel=1e-9)
 
 
+def brute_segmentations(word, pieces):
+    """Every way to cut a word into pieces, as lists of piece numbers."""
+    if not word:
+        return [[]]
+    return [[i, *rest] for i, p in enumerate(pieces) if p and word.startswith(p) for rest in brute_segmentations(word[len(p) :], pieces)]
+
+
+def test_forward_takes_long_words_and_long_pieces_whole():
+    """Words of 60 bytes and more, pieces of 20: against the recurrence."""
+    rng = np.random.default_rng(5)
+    pieces = [b"a", b"b", b"ab", b"ba" * 10, b"abba" * 5, b"c", "é".encode(), b"\xc3", b"\xa9"]
+    probabilities = rng.random((len(pieces), 2)) / 10
+    words = [b"ab" * 30, b"abba" * 16, b"ba" * 45, b"abc" * 40, "éa".encode() * 30, b"ba" * 10 + b"c" * 50 + b"abba" * 5]
+    forward = lid.Forward(pieces, probabilities)
+    for i, word in enumerate(words):
+        assert b"".join(forward.stretches(word)) == word
+        parts = sum(forward.log_probabilities(forward.stretches(word)))
+        for k in range(2):
+            want = np.log(brute_forward(word, pieces, probabilities[:, k]))
+            assert forward.log_probabilities(words)[i, k] == pytest.approx(want, rel=1e-9) and parts[k] == pytest.approx(want, rel=1e-9)
+    assert len(forward.stretches(b"abc" * 40)) == 80  # no piece crosses a c
+
+
+def test_expected_counts_over_all_segmentations(monkeypatch):
+    rng = np.random.default_rng(6)
+    pieces = [b"a", b"b", b"c", b"ab", b"bc", b"abc", b"ca", b"aab", b"cab"]
+    probabilities = rng.random((len(pieces), 2)) / 10
+    words, times = [b"abc", b"aabcab", b"cabcabcab", b"bca"], np.array([1.0, 2.0, 5.0, 3.0])
+    want = np.zeros_like(probabilities)
+    for word, n in zip(words, times, strict=True):
+        for k in range(2):
+            ways = [(cut, np.prod(probabilities[cut, k])) for cut in brute_segmentations(word, pieces)]
+            total = sum(p for _, p in ways)
+            for cut, p in ways:
+                for i in cut:
+                    want[i, k] += n * p / total
+    for long in (64, 2):  # by scaled sums, and by logarithms
+        monkeypatch.setattr(lid, "LONG", long)
+        assert lid.Forward(pieces, probabilities).expected_counts(words, times) == pytest.approx(want, rel=1e-9)
+
+
+def test_language_query_against_brute_force(spark):
+    """Every row of the query, from the model by the plain recurrence over each word."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(TEXTS[lang].split(), k=rng.randint(1, 6))), lang) for i in range(40) for lang in [rng.choice(list(TEXTS))]]
+    rows += [(90, None, "en"), (91, "1 2", "de"), (92, "Haus" * 30, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, probabilities = lid.learn(docs)
+    pieces = lid.read_vocabulary()
+    number = {p: i for i, p in enumerate(pieces)}
+
+    def word_log(word, k):
+        ways = [0.0] * (len(word) + 1)
+        ways[0] = 1.0
+        for end in range(1, len(word) + 1):
+            ways[end] = sum(ways[a] * probabilities[number[word[a:end]], k] * 300.0 ** (end - a) for a in range(max(0, end - 33), end) if word[a:end] in number)
+        return np.log(ways[-1]) - len(word) * np.log(300.0)
+
+    for r in lid.identify(docs, langs, probabilities).collect():
+        text = next(t for d, t, _ in rows if d == r.doc_id)
+        if text is None or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        found = [b" " + w.encode() for w in text.lower().split()]
+        total = [sum(word_log(w, k) for w in found) for k in range(len(langs))]
+        assert r.lang_pred == langs[int(np.argmax(total))]
+        assert r.score == pytest.approx(1 / sum(np.exp((t - max(total)) / len(found)) for t in total), rel=1e-6)
+
+
 TEXTS = {"en": "the house and the garden of the man who was there", "de": "das haus und der garten des mannes der dort war", "es": "la casa y el jardín del hombre que estaba allí"}
 
 
