@@ -39,9 +39,9 @@ LONG = 64
 #: Distinct words of the sample that a task takes.
 TASK_WORDS = 40_000
 #: Words a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Words looked up together.
-GROUP_WORDS = 300_000
+GROUP_WORDS = 100_000
 #: Words of one length that go through the forward algorithm together.
 FORWARD_WORDS = 8192
 #: Each byte's probability is scaled up by this, so that products of small numbers stay in range.

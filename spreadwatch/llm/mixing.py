@@ -8,8 +8,9 @@ capped by the same subtree supply one level up.
 
 A leaf with budget b and supply s takes b // s whole epochs of its documents and a token-prefix
 of the next epoch, in the order of a seeded hash of (seed, epoch, doc_id). The prefix is turned
-into one cut-off key per leaf, found through 256 hash ranges, so no task ever sorts a whole leaf
-and the documents themselves only meet a table with one row per leaf.
+into one cut-off key per leaf: summed ranges of the hash say in which range it lies, that range is
+cut into 4096 finer ones, and so on until it holds few enough rows to sort. No task ever sorts a
+large part of a leaf, and the documents themselves only meet a table with one row per leaf.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from spreadwatch.llm.common import scratch
 
 LEAF = ["domain", "lang", "source"]
+#: Digits of a hash by which a range is refined, and rows of a range that are sorted.
+DIGITS, SORTED_ROWS = 3, 1 << 16
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -108,37 +111,52 @@ def mix(
     with the names of new ones are replaced.
     """
     docs = docs.drop("n_tokens", "leaf_budget", "copies")
+    own = "mix_"  # before the names of helping columns; other than those of docs
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own = f"_{own}"
     named = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
-    leaf_of = {"mix_domain": named(domain), "mix_lang": named(F.col("lang")), "mix_source": named(F.col("source"))}
+    leaf_of = {f"{own}domain": named(domain), f"{own}lang": named(F.col("lang")), f"{own}source": named(F.col("source"))}
     wide = docs.withColumns(leaf_of | {"n_tokens": n_tokens(F.col("text"))})
-    narrow = scratch(
-        wide.select("doc_id", "n_tokens", *[F.col(f"mix_{x}").alias(x) for x in LEAF]).where("n_tokens > 0"), "tokens"
-    )
+    narrow = scratch(wide.select("doc_id", "n_tokens", *[F.col(f"{own}{x}").alias(x) for x in LEAF]).where("n_tokens > 0"), "tokens")
     leaves = narrow.groupBy(*LEAF).agg(F.sum("n_tokens").alias("supply"))
     plan = scratch(leaf_budgets(leaves, targets, budget_fraction, max_epochs), "budgets")
-    keyed = narrow.join(plan.where("rest > 0").select(*LEAF, "epochs", "rest"), LEAF).withColumn(
-        "key", epoch_key(seed, F.col("epochs"), F.col("doc_id"))
-    )
-    ranges = keyed.groupBy(*LEAF, F.substring("key", 1, 2).alias("range")).agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
-    in_order = Window.partitionBy(*LEAF).orderBy("range")
-    ranges = ranges.withColumn("upto", F.sum("n").over(in_order)).withColumn("before", F.col("upto") - F.col("n"))
-    edge = ranges.where("before <= rest and upto > rest").select(*LEAF, "range", "before")
-    # the one range of each leaf where the prefix ends decides the cut-off key
-    at_edge = keyed.withColumn("range", F.substring("key", 1, 2)).join(edge, [*LEAF, "range"])
-    running = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEAF).orderBy("key"))
-    inside = at_edge.withColumn("upto", running).where("upto <= rest").groupBy(*LEAF).agg(F.max("key").alias("cut"))
-    cuts = edge.join(inside, LEAF, "left").select(*LEAF, F.coalesce("cut", "range").alias("cut"))
+    largest = narrow.groupBy(*LEAF).count().agg(F.max("count")).first()[0] or 0
+    cuts = cut_keys(narrow, plan, seed, largest)
     plan = scratch(plan.join(cuts, LEAF, "left"), "cuts").select(
-        *[F.col(x).alias(f"mix_{x}") for x in LEAF], "leaf_budget", "epochs", "cut"
+        *[F.col(x).alias(f"{own}{x}") for x in LEAF], "leaf_budget", F.col("epochs").alias(f"{own}epochs"), F.col("cut").alias(f"{own}cut")
     )
     chosen = wide.where("n_tokens > 0").join(plan, list(leaf_of))
-    partial = F.coalesce(epoch_key(seed, F.col("epochs"), F.col("doc_id")) <= F.col("cut"), F.lit(False))
-    kept = chosen.withColumn("copies", F.col("epochs") + partial.cast("long")).where("copies > 0")
+    partial = F.coalesce(epoch_key(seed, F.col(f"{own}epochs"), F.col("doc_id")) <= F.col(f"{own}cut"), F.lit(False))
+    kept = chosen.withColumn("copies", F.col(f"{own}epochs") + partial.cast("long")).where("copies > 0")
     return kept.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != "domain"], F.col("mix_domain").alias("domain"), "n_tokens", "leaf_budget", "copies"
+        *[F.col(f"`{c}`") for c in docs.columns if c.lower() != "domain"], F.col(f"{own}domain").alias("domain"), "n_tokens", "leaf_budget", "copies"
     )
 
 
+def cut_keys(narrow: DataFrame, plan: DataFrame, seed: int, largest: int) -> DataFrame:
+    """(domain, lang, source, cut): the last key of each leaf's token-prefix, for leaves that have one.
+
+    narrow: (doc_id, n_tokens, domain, lang, source); largest: rows of the largest leaf, which says
+    how often ranges are refined.
+    """
+    keyed = narrow.join(plan.where("rest > 0").select(*LEAF, "epochs", "rest"), LEAF)
+    keyed = keyed.withColumn("key", epoch_key(seed, F.col("epochs"), F.col("doc_id"))).drop("epochs")
+    edge = plan.where("rest > 0").select(*LEAF, F.lit("").alias("range"), F.lit(0).cast("long").alias("before"))
+    level, left = 0, largest
+    while level == 0 or left > SORTED_ROWS:
+        # the one range of each leaf where the prefix ends
+        inside = keyed.join(edge, LEAF).where(F.substring("key", 1, level * DIGITS) == F.col("range")).drop("range")
+        level, left = level + 1, left / 16**DIGITS
+        ranges = inside.groupBy(*LEAF, F.substring("key", 1, level * DIGITS).alias("range")).agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+        upto = F.col("before") + F.sum("n").over(Window.partitionBy(*LEAF).orderBy("range"))
+        ranges = ranges.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
+        edge = scratch(ranges.where("before <= rest and upto > rest").select(*LEAF, "range", "before"), "edges")
+    at_edge = keyed.join(edge, LEAF).where(F.substring("key", 1, level * DIGITS) == F.col("range"))
+    running = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEAF).orderBy("key"))
+    inside = at_edge.withColumn("upto", running).where("upto <= rest").groupBy(*LEAF).agg(F.max("key").alias("cut"))
+    return edge.join(inside, LEAF, "left").select(*LEAF, F.coalesce("cut", "range").alias("cut"))
+
+
 #: Documents have no domain column; the query takes it from the number in the source's name.
 DOMAINS = ("web", "books", "forum")
 TARGETS = MixTargets(

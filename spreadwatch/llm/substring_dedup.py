@@ -117,7 +117,12 @@ def repeated_spans(docs: DataFrame, min_unit_words: int = MIN_UNIT_WORDS, min_sp
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with the spans cut out of ``text`` and ``removed``, their original offsets, added."""
+    """``docs`` with the spans cut out of ``text`` and ``removed``, their original offsets, added.
+
+    Null text stays null; a null doc_id or one without spans keeps its text, and ``removed`` is
+    null. Rows that repeat a doc_id are all cut alike. A column ``removed`` of ``docs`` is
+    replaced, other columns stay; an empty table gives an empty one.
+    """
     cuts = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed"))
     state = F.aggregate(
         "removed",

@@ -4,7 +4,9 @@ A batch of changes (inserts, deletes, revised counts) becomes signed sums per ke
 folder of the store. Totals are the sum of all committed folders, so they are additive and the
 order of batches does not matter. A batch commits when Spark's writer leaves its success marker;
 repeating a committed batch does nothing, and a batch that failed half-way is overwritten whole.
-``compact`` folds committed batches into a base that names them, so that old folders can go.
+``compact`` folds committed batches into a base that names them; its names are written first and
+its sums last, whose success marker commits it at once. ``vacuum`` then drops the old folders. A
+batch id has one writer at a time; different ids may be written by different jobs.
 
 Everything that is summed is pre-aggregated where it is read; a source with a third of all rows
 is one row per task before the shuffle.
@@ -43,7 +45,9 @@ def bpe_counter(path: str = RANKS, pattern: str = PATTERN) -> Callable[[list[str
 def count_tokens(docs: DataFrame, tokenizer: str, path: str = RANKS) -> DataFrame:
     """(doc_id, source, lang, tokenizer, n_tokens, estimate) of every whole text of ``docs``.
 
-    estimate is a quarter of the code points, what a document counts as until it is tokenized.
+    estimate is a quarter of the code points, what a document counts as until it is tokenized. Null
+    and empty texts have no tokens; null ids, sources and languages pass through, repeated rows are
+    counted each, an empty table gives an empty one, other columns are ignored or replaced.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,17 +83,17 @@ class TokenRollup:
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
-    def _list(self, name: str) -> list[str]:
+    def _list(self, name: str, marker: str = "_SUCCESS") -> list[str]:
         """The names of the finished folders in a folder of the store."""
         at = self._at(name)
         if not self._fs.exists(at):
             return []
         found = [s.getPath().getName() for s in self._fs.listStatus(at)]
-        return sorted(n for n in found if self._fs.exists(self._at(f"{name}/{n}/_SUCCESS")))
+        return sorted(n for n in found if self._fs.exists(self._at(f"{name}/{n}/{marker}")))
 
     def _base(self) -> tuple[str | None, set[str]]:
         """The newest base and the batches in it."""
-        if not (bases := self._list("base")):
+        if not (bases := self._list("base", "sums/_SUCCESS")):
             return None, set()
         names = self.spark.read.text(f"{self.path}/base/{bases[-1]}/batches").collect()
         return bases[-1], {r.value for r in names}
@@ -108,7 +112,7 @@ class TokenRollup:
         return True
 
     def _sum(self, base: str | None, names: list[str]) -> DataFrame:
-        parts = [f"{self.path}/deltas/batch={n}" for n in names] + ([f"{self.path}/base/{base}"] if base else [])
+        parts = [f"{self.path}/deltas/batch={n}" for n in names] + ([f"{self.path}/base/{base}/sums"] if base else [])
         schema = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
         rows = self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
         return rows.groupBy(*KEY).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
@@ -124,21 +128,30 @@ class TokenRollup:
         return found.where("d_docs <> 0 or d_tokens <> 0").select(*KEY, F.col("d_docs").alias("n_docs"), F.col("d_tokens").alias("n_tokens"))
 
     def compact(self) -> None:
-        """Fold the committed batches into a new base; readers see the old state or the new one."""
+        """Fold the committed batches into a new base; readers see the old state or the new one.
+
+        A compaction that stopped after any of its writes leaves the old state, and the next one
+        writes over what it left.
+        """
         base, inside = self._base()
         names = [n.removeprefix("batch=") for n in self._list("deltas")]
         fresh = [n for n in names if n not in inside]
         if not fresh:
             return
-        name = f"{int(base) + 1 if base else 0:09d}"
-        target = f"{self.path}/base/{name}"
+        target = f"{self.path}/base/{int(base) + 1 if base else 0:09d}"
         everything = self.spark.createDataFrame([(n,) for n in sorted(inside | set(fresh))], "value string")
-        self._sum(base, fresh).write.mode("overwrite").parquet(target)
-        # the marker goes until the list of batches is there too
-        marker = self._at(f"base/{name}/_SUCCESS")
-        self._fs.delete(marker, False)
         everything.coalesce(1).write.mode("overwrite").text(f"{target}/batches")
-        self._fs.create(marker).close()
+        self._sum(base, fresh).write.mode("overwrite").parquet(f"{target}/sums")
+
+    def vacuum(self) -> None:
+        """Drop folders of batches that the newest base holds, and older bases; readers that began before a compaction must have ended."""
+        base, inside = self._base()
+        for name in self._list("deltas"):
+            if name.removeprefix("batch=") in inside:
+                self._fs.delete(self._at(f"deltas/{name}"), True)
+        for name in self._list("base", "sums/_SUCCESS"):
+            if name != base:
+                self._fs.delete(self._at(f"base/{name}"), True)
 
 
 def change(op: str, rows: DataFrame, n_tokens: Column | None = None, old_tokens: Column | None = None) -> DataFrame:

@@ -31,13 +31,14 @@ READ = "record_id string, page_id long, url string, record_type string, refers_t
 
 
 def records(pages: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """``pages`` as records: page_id, url, payload, payload_digest, payload_bytes, refers_to.
+    """``pages`` as records: row (a number of its own), page_id, url, payload, payload_digest, payload_bytes, refers_to.
 
     Of equal payloads of at least ``min_bytes`` bytes the largest page_id keeps the payload;
     the others refer to it and carry none. A null page_id keeps its own payload.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumns(
+    # the number is taken at the scan, so that a task that runs again gives its rows the same record ids
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", payload.alias("payload")).withColumns(
         {"payload_digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")}
     )
     shared = (
@@ -102,19 +103,17 @@ def archive(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, date: str = "2024-
     reads back as null; rows that repeat a page_id are records of their own. An empty table gives
     an empty archive; other columns are ignored.
     """
-    rows = records(pages).withColumn("record_id", F.uuid())
-    n_chunks = F.when(F.col("refers_to").isNotNull(), 0).otherwise(F.ceil(F.col("payload_bytes") / chunk_bytes)).cast("int")
-    part = lambda i: F.substring(F.col("payload"), i * chunk_bytes + 1, F.lit(chunk_bytes))
-    piece = lambda kind, data: F.struct(F.lit(kind).alias("kind"), data.alias("data"))
-    payload = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda i: piece("payload", part(i)))
-    pieces = F.concat(
-        F.array(piece("header", F.encode(_header(date), "UTF-8"))),
-        F.when(n_chunks > 0, payload).otherwise(F.array().cast("array<struct<kind:string,data:binary>>")),
-        F.array(piece("end", F.encode(F.lit(CRLF * 2), "UTF-8"))),
-    )
-    chunks = rows.select("record_id", F.posexplode(pieces).alias("n", "piece")).select(
-        "record_id", F.col("n").cast("long").alias("chunk_no"), "piece.kind", "piece.data"
-    )
+    name = F.md5(F.concat_ws(":", F.col("row").cast("string"), F.col("payload_digest")))
+    record_id = F.regexp_replace(name, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    rows = records(pages).withColumn("record_id", record_id)
+    n_chunks = F.when(F.col("refers_to").isNotNull(), 0).otherwise(F.ceil(F.col("payload_bytes") / chunk_bytes)).cast("long")
+    # one row per chunk number; each takes its own piece, so that no array of pieces is ever built
+    numbered = rows.withColumn("n_chunks", n_chunks).withColumn("chunk_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") + 1)))
+    head, tail = F.col("chunk_no") == 0, F.col("chunk_no") > F.col("n_chunks")
+    part = F.substring(F.col("payload"), ((F.col("chunk_no") - 1) * chunk_bytes + 1).cast("int"), F.lit(chunk_bytes))
+    kind = F.when(head, "header").when(tail, "end").otherwise("payload")
+    data = F.when(head, F.encode(_header(date), "UTF-8")).when(tail, F.encode(F.lit(CRLF * 2), "UTF-8")).otherwise(part)
+    chunks = numbered.select("record_id", "chunk_no", kind.alias("kind"), data.alias("data"))
     return chunks.mapInArrow(_carry_digests, ARCHIVE)
 
 
@@ -190,7 +189,9 @@ def read_records(chunks: DataFrame) -> DataFrame:
 def page_records(chunks: DataFrame) -> DataFrame:
     """Per record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, intact.
 
-    A revisit takes the size of the payload from the record that it refers to.
+    A revisit takes the size of the payload from the record that it refers to. Null page_ids and
+    urls come back as they were written, rows that repeat a page_id are records of their own (all
+    of them responses, if that page_id is the one that stays), an empty archive gives no rows.
     """
     found = read_records(chunks)
     sizes = found.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("stored_bytes").alias("there"), F.col("stored_digest").alias("declared_digest")).distinct()
@@ -272,8 +273,9 @@ def op10_warc_archive(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     path = f"{shared_dir(spark)}/scratch/warc-{uuid.uuid4().hex}"
     write_archive(pages, path)
+    damaged = F.raise_error(F.concat(F.lit("damaged record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("long")
     return page_records(spark.read.parquet(path)).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+        F.when(F.col("intact"), F.col("page_id")).otherwise(damaged).alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 
 

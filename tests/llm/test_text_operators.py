@@ -368,6 +368,27 @@ def test_mix_takes_a_prefix_of_the_seeded_order(spark):
     assert spent <= 0.6 * sum(n for m in leaves.values() for _, n in m)
 
 
+def test_mix_keeps_extra_columns_whatever_their_names(spark):
+    rows = [(i, "w " * (1 + i % 7), "en", f"src{i % 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    extra = ["epochs", "cut", "key", "range", "rest", "before", "supply", "mix_domain", "mix_epochs", "weight"]
+    clash = docs.withColumns({c: F.lit(c) for c in [*extra, "domain", "n_tokens"]})
+    plain, odd = (mixing.mix(d, mixing.source_domain(F.col("source")), mixing.TARGETS) for d in (docs, clash))
+    want = sorted((r.doc_id, r.domain, r.n_tokens, r.copies) for r in plain.collect())
+    got = odd.collect()
+    assert sorted((r.doc_id, r.domain, r.n_tokens, r.copies) for r in got) == want and all(r[c] == c for r in got for c in extra)
+
+
+def test_mix_refines_ranges_until_they_are_small(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 7), "en", f"src{i % 2}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = []
+    for few in (1 << 16, 0.0001):  # one level of ranges, and several
+        monkeypatch.setattr(mixing, "SORTED_ROWS", few)
+        found.append(sorted(map(tuple, mixing.mix(docs, F.lit("web"), mixing.TARGETS, 0.3).select("doc_id", "copies").collect())))
+    assert found[0] == found[1] and found[0]
+
+
 def test_mix_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert mixing.mix(docs, F.lit("web"), mixing.TARGETS).count() == 0
@@ -406,6 +427,38 @@ def test_a_half_written_batch_does_not_count(spark, tmp_path):
     assert store.commit("a", changes(spark, [("insert", "s", "en", "t", 10, None)])) and store.totals().first().n_tokens == 10
 
 
+def test_a_stopped_compaction_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    store = token_counts.TokenRollup(spark, f"file://{tmp_path}/store")
+    store.commit("a", changes(spark, [("insert", "s", "en", "t", 10, None)]))
+    store.compact()
+    store.commit("b", changes(spark, [("insert", "s", "en", "t", 5, None)]))
+    whole = token_counts.TokenRollup._sum
+
+    def stopped(self, base, names):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(token_counts.TokenRollup, "_sum", stopped)  # after the first write
+    with pytest.raises(RuntimeError):
+        store.compact()
+    monkeypatch.setattr(token_counts.TokenRollup, "_sum", whole)
+    assert store.totals().first().n_tokens == 15 and store.commit("c", changes(spark, [("insert", "s", "en", "t", 1, None)]))
+    store.compact()
+    (tmp_path / "store/base/000000001/sums/_SUCCESS").unlink()  # after the second, before its marker
+    assert store.totals().first().n_tokens == 16 and store.batches() == ["a", "b", "c"]
+    store.compact()
+    store.vacuum()
+    assert store.totals().first().n_tokens == 16 and not store.commit("b", changes(spark, []))
+    assert not list((tmp_path / "store/deltas").glob("batch=*")) and len(list((tmp_path / "store/base").iterdir())) == 1
+
+
+def test_count_tokens_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s"), (1, "a b", "en", "s"), (None, None, None, None)], "doc_id long, text string, lang string, source string")
+    clash = docs.withColumns({c: F.lit("x") for c in ("tokenizer", "n_tokens", "estimate")})
+    got = sorted((tuple(r) for r in token_counts.count_tokens(clash, "v").collect()), key=repr)
+    assert got == sorted([(1, "s", "en", "v", 2, 1)] * 2 + [(None, None, None, "v", 0, 0)], key=repr)
+    assert token_counts.count_tokens(docs.limit(0), "v").count() == 0
+
+
 def test_count_tokens_of_whole_texts(spark):
     import tiktoken  # noqa: F401
 
@@ -451,6 +504,16 @@ def test_archive_round_trip(spark, tmp_path):
         assert (r.record_type, r.refers_to) == (("revisit", 2) if page_id == 1 else ("response", None))
 
 
+def test_archive_of_repeated_pages_and_stable_record_ids(spark, tmp_path):
+    pages = [(1, "u", BIG), (1, "u", BIG), (2, "v", BIG), (2, "v", BIG), (3, "w", "short"), (3, "w", "short")]
+    spark.createDataFrame(pages, PAGE).coalesce(1).write.parquet(f"file://{tmp_path}/pages")
+    table = spark.read.parquet(f"file://{tmp_path}/pages")
+    ids = [sorted(r.record_id for r in warc.archive(table).select("record_id").distinct().collect()) for _ in range(2)]
+    assert ids[0] == ids[1] and len(ids[0]) == 6
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.page_records(warc.archive(table)).collect())
+    assert got == [(1, "revisit", 2)] * 2 + [(2, "response", None)] * 2 + [(3, "response", None)] * 2
+
+
 def test_archive_notices_damage(spark, tmp_path):
     chunks = warc.archive(spark.createDataFrame(PAGES, PAGE), chunk_bytes=1000)
     chunks = spark.createDataFrame(chunks.collect(), warc.ARCHIVE)
