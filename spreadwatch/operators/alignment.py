@@ -29,21 +29,19 @@ def complete_legs(bars: DataFrame, legs: DataFrame) -> DataFrame:
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: Column, right_ts: Column, values: list[str], direction: str = "backward", strict: bool = False) -> DataFrame:
     """For each left row the nearest right row of its key, earlier or later, as r_ts and r_<value>.
 
-    Both sides go through one sort per key as a union; the last (or next) right row is carried
-    along by a window, so cost is linear in rows and no pair of rows is ever formed. ``strict``
-    leaves out rows of the same time. Left rows without a match keep nulls.
+    Both sides go through one sort per key as a union, backwards in time for later rows; the last
+    right row passed is carried along by a growing window frame, which Spark evaluates step by
+    step, so cost is linear in rows and no pair of rows is ever formed. ``strict`` leaves out rows
+    of the same time. Left rows without a match keep nulls.
     """
     back = direction == "backward"
     carried = F.struct(right_ts.alias("ts"), *values)
     sides = left.select(F.col(key), left_ts.alias("_ts"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(carried.alias("x")).schema["x"].dataType).alias("_right"), F.lit(1).alias("_is_left"))
     others = right.select(F.col(key), right_ts.alias("_ts"), F.lit(None).cast(sides.schema["_left"].dataType).alias("_left"), carried.alias("_right"), F.lit(0).alias("_is_left"))
     # on equal times the right row must be passed before the left one unless that is excluded
-    first = F.col("_is_left").asc() if back != strict else F.col("_is_left").desc()
-    w = Window.partitionBy(key).orderBy(F.col("_ts").asc(), first)
-    if back:
-        near = F.last("_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        near = F.first("_right", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    first = F.col("_is_left").desc() if strict else F.col("_is_left").asc()
+    w = Window.partitionBy(key).orderBy(F.col("_ts").asc() if back else F.col("_ts").desc(), first)
+    near = F.last("_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     found = sides.unionByName(others).withColumn("_near", near).where("_is_left = 1")
     return found.select("_left.*", F.col("_near.ts").alias("r_ts"), *[F.col(f"_near.{v}").alias(f"r_{v}") for v in values])
 

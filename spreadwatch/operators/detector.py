@@ -1,6 +1,6 @@
 """The composed detector: an adaptive hedge ratio, an empirical threshold and a reversion gate.
 
-``verdicts`` scores whole tables: everything but the filter is window expressions. ``Detector`` is
+``verdicts`` scores whole tables: all of it streams in order of each series. ``Detector`` is
 the same thing one observation at a time, with a snapshot, for streams; tests hold them together.
 """
 
@@ -25,18 +25,10 @@ HORIZON = 3.0
 
 def verdicts(df: DataFrame, key: str, i: str, v: str, friction: float, min_edge: float = 0.0, horizon: float = HORIZON) -> DataFrame:
     """``df`` with seen, percentile, exceeds, fit, gate, alert and reason for each row of each series."""
-    past = W.past(key, i, W.THRESHOLD_WINDOW)
-    lagged = W.with_lag(df, key, i, v).withColumns({
-        "seen": F.row_number().over(Window.partitionBy(key).orderBy(i)).cast("long"),
-        "_history": W.sorted_history(v, past),
-        "fit": W.rolling_ou(v, W.upto(key, i, W.FIT_WINDOW - 1), 29),
-    })
-    history, n = F.col("_history"), F.size("_history")
-    below = F.size(F.filter(history, lambda x: x < F.col(v)))
-    scored = lagged.withColumns({
-        "percentile": F.when(n >= W.THRESHOLD_MIN, below * 100.0 / n),
-        "exceeds": F.when(n >= W.THRESHOLD_MIN, (F.col(v) > W.interpolated(history, 0.99)) | (F.col(v) < W.interpolated(history, 0.01))),
-    })
+    lagged = W.with_lag(df, key, i, v).withColumn("seen", F.row_number().over(Window.partitionBy(key).orderBy(i)).cast("long"))
+    scored = W.with_quantiles(lagged, key, i, v, W.THRESHOLD_WINDOW, {"_low": 0.01, "_high": 0.99}, "percentile")
+    scored = scored.withColumn("exceeds", (F.col(v) > F.col("_high")) | (F.col(v) < F.col("_low")))
+    scored = W.with_ou(scored, key, i, W.FIT_WINDOW - 1, 29, upto=True)
     f = F.col("fit")
     gate = E.horizon_gate(F.col(v) - f["mu"], f["theta"], f["t"], f["half_life"], horizon, F.lit(friction), F.lit(min_edge))
     scored = scored.withColumn("gate", F.when(f.isNotNull(), gate))
@@ -48,7 +40,7 @@ def verdicts(df: DataFrame, key: str, i: str, v: str, friction: float, min_edge:
         .otherwise(F.col("gate.reason"))
     )
     open_ = (F.col("seen") >= WARMUP) & F.coalesce("exceeds", F.lit(False)) & F.coalesce("gate.passed", F.lit(False))
-    return scored.withColumns({"alert": open_, "reason": reason}).drop("_history", "lv", "dv")
+    return scored.withColumns({"alert": open_, "reason": reason}).drop("_low", "_high", "lv", "dv")
 
 
 def fit_ou(values: np.ndarray) -> dict[str, float | None] | None:

@@ -30,19 +30,11 @@ def eligible(series: DataFrame, detrended: bool = False, warmup: int = WARMUP, h
         start = max(warmup, 2 * W.FIT_WINDOW)
     w = W.past("pair_id", "i", W.FIT_WINDOW)
     order = Window.partitionBy("pair_id").orderBy("i")
-    lagged = W.with_lag(df, "pair_id", "i", "v").withColumns({
-        "_history": W.sorted_history("v", w),
-        "fit": W.rolling_ou("v", W.past("pair_id", "i", W.FIT_WINDOW - 1), 29),
-        "mean": F.avg("v").over(w), "sd": F.stddev_samp("v").over(w),
-        "later": F.lead("v", h).over(order),
-    })
-    whole = lagged.where((F.col("i") > start) & F.col("v").isNotNull() & F.col("later").isNotNull() & (F.size("_history") == W.FIT_WINDOW))
-    history = F.col("_history")
-    return whole.withColumns({
-        "move": F.abs("v") - F.abs("later"),
-        "median": W.interpolated(history, 0.5),
-        "exceeds": (F.col("v") > W.interpolated(history, 0.99)) | (F.col("v") < W.interpolated(history, 0.01)),
-    }).drop("_history", "lv", "dv")
+    scored = W.with_lag(df, "pair_id", "i", "v").withColumns({"mean": F.avg("v").over(w), "sd": F.stddev_samp("v").over(w), "later": F.lead("v", h).over(order)})
+    scored = W.with_ou(scored, "pair_id", "i", W.FIT_WINDOW - 1)
+    scored = W.with_quantiles(scored, "pair_id", "i", "v", W.FIT_WINDOW, {"_low": 0.01, "median": 0.5, "_high": 0.99}, min_rows=W.FIT_WINDOW)
+    whole = scored.where((F.col("i") > start) & F.col("v").isNotNull() & F.col("later").isNotNull() & F.col("median").isNotNull())
+    return whole.withColumns({"move": F.abs("v") - F.abs("later"), "exceeds": (F.col("v") > F.col("_high")) | (F.col("v") < F.col("_low"))}).drop("_low", "_high", "lv", "dv")
 
 
 def backtest_alerts(rows: DataFrame, friction: float, h: int = HORIZON) -> DataFrame:

@@ -1,15 +1,24 @@
 """Causal rolling statistics of series (key, i, v), all keys at once.
 
 Every frame that scores a row ends before it, unless said otherwise. Rows of one key are sorted
-once; frames over the same order share that sort.
+once; frames over the same order share that sort. Means and deviations are Spark's own window
+aggregates. Spark evaluates a sliding frame anew for every row, which is dear for regressions and
+quantiles: those stream through ``with_rolling``, one pass over sorted Arrow batches that carries
+no more than a window of rows from batch to batch and works on many windows at a time.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from spreadwatch.functions.stats import ols, ou_fit
+from spreadwatch.functions.expressions import MIN_FIT
 
 Z_WINDOW, Z_MIN = 720, 30
 THRESHOLD_WINDOW, THRESHOLD_MIN = 750, 100
@@ -31,40 +40,116 @@ def rolling_z(v: str, w: WindowSpec, min_rows: int = Z_MIN) -> Column:
     return F.when((F.count(v).over(w) >= min_rows) & (sd > 0), (F.col(v) - F.avg(v).over(w)) / sd)
 
 
-def percentile_rank(v: str, w: WindowSpec, min_rows: int = THRESHOLD_MIN) -> Column:
-    """The share of the frame strictly below the row, in percent."""
-    history = F.collect_list(v).over(w)
-    return F.when(F.size(history) >= min_rows, F.size(F.filter(history, lambda x: x < F.col(v))) * 100.0 / F.size(history))
-
-
-def sorted_history(v: str, w: WindowSpec) -> Column:
-    """The frame's values in order; sorting a short array beats Spark's exact percentile per frame."""
-    return F.sort_array(F.collect_list(v).over(w))
-
-
-def interpolated(ordered: Column, p: float) -> Column:
-    """The p-quantile of a sorted array, linearly interpolated."""
-    at = (F.size(ordered) - 1) * F.lit(p)
-    low = F.get(ordered, F.floor(at).cast("int"))
-    high = F.coalesce(F.get(ordered, F.floor(at).cast("int") + 1), low)
-    return low + (high - low) * (at - F.floor(at))
+#: Rows whose windows are worked on together.
+BLOCK = 1024
+Scores = dict[str, np.ndarray]
 
 
-def percentile_bounds(v: str, w: WindowSpec, percent: float, min_rows: int = THRESHOLD_MIN) -> tuple[Column, Column]:
-    """The two-tailed bounds at ``percent``, linearly interpolated."""
-    ordered = sorted_history(v, w)
-    at = lambda p: F.when(F.size(ordered) >= min_rows, interpolated(ordered, p / 100))
-    return at(100 - percent), at(percent)
+def with_rolling(df: DataFrame, key: str, order: str, needs: list[str], carry: int, fields: list[str], score: Callable[[Scores, int], Scores]) -> DataFrame:
+    """``df`` with double columns ``fields``, scored in order of each key.
 
+    ``score`` gets the columns of ``needs`` as arrays (nan for null), of which the first rows are up
+    to ``carry`` earlier ones, and how many these are; it returns the fields of the others.
+    """
+    schema = StructType([*df.schema.fields, *(StructField(f, DoubleType()) for f in fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, tail = None, None
+        for batch in batches:
+            keys = batch.column(key).to_pylist()
+            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            values = {c: batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in needs}
+            found: dict[str, list[np.ndarray]] = {f: [] for f in fields}
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                before = tail if tail is not None and keys[a] == last else {c: np.zeros(0) for c in needs}
+                whole = {c: np.concatenate([before[c], values[c][a:b]]) for c in needs}
+                start = len(before[needs[0]])
+                for at in range(start, len(whole[needs[0]]), BLOCK):
+                    low, high = max(0, at - carry), min(at + BLOCK, len(whole[needs[0]]))
+                    for f, x in score({c: x[low:high] for c, x in whole.items()}, at - low).items():
+                        found[f].append(x)
+                last, tail = keys[a], {c: x[max(0, len(x) - carry) :] for c, x in whole.items()}
+            arrays = [pa.array(np.concatenate(found[f]), pa.float64(), from_pandas=True) for f in fields]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *fields])
+
+    return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+
+
+def frames_of(x: np.ndarray, start: int, n: int, upto: bool = False) -> np.ndarray:
+    """The n values before each row from ``start`` on, or those that end with it; nan where there are none."""
+    padded = np.concatenate([np.full(n, np.nan), x])
+    return np.lib.stride_tricks.sliding_window_view(padded, n)[start + upto : len(x) + upto]
+
+
+def with_quantiles(df: DataFrame, key: str, order: str, v: str, n: int, quantiles: dict[str, float], rank: str | None = None, min_rows: int = THRESHOLD_MIN) -> DataFrame:
+    """Adds quantiles of the n rows before each row, linearly interpolated, and as ``rank`` the share of them strictly below it, in percent."""
+
+    def score(columns: Scores, start: int) -> Scores:
+        history, now = frames_of(columns[v], start, n), columns[v][start:]
+        ordered = np.sort(history, axis=1)  # nan last
+        size = np.count_nonzero(~np.isnan(history), axis=1)
+        enough, rows, out = size >= max(1, min_rows), np.arange(len(now)), {}
+        for name, p in quantiles.items():
+            at = np.maximum(size - 1, 0) * p
+            low = np.floor(at).astype(int)
+            a, b = ordered[rows, low], ordered[rows, np.minimum(low + 1, np.maximum(size - 1, 0))]
+            out[name] = np.where(enough, a + (b - a) * (at - low), np.nan)
+        if rank:
+            below = np.count_nonzero(history < now[:, None], axis=1)
+            out[rank] = np.where(enough & ~np.isnan(now), below * 100.0 / np.maximum(size, 1), np.nan)
+        return out
+
+    return with_rolling(df, key, order, [v], n, [*quantiles, *([rank] if rank else [])], score)
+
+
+def percentile_rank(df: DataFrame, key: str, order: str, v: str, n: int, name: str = "percentile") -> DataFrame:
+    """Adds the share of the n rows before that lie strictly below each row, in percent."""
+    return with_quantiles(df, key, order, v, n, {}, name)
+
+
+def percentile_bounds(df: DataFrame, key: str, order: str, v: str, n: int, percent: float, min_rows: int = THRESHOLD_MIN) -> DataFrame:
+    """Adds low and high, the two-tailed bounds at ``percent`` of the n rows before, and exceeds, whether a row is beyond them."""
+    found = with_quantiles(df, key, order, v, n, {"low": (100 - percent) / 100, "high": percent / 100}, None, min_rows)
+    return found.withColumn("exceeds", (F.col(v) > F.col("high")) | (F.col(v) < F.col("low")))
+
+
+def regressions(x: np.ndarray, y: np.ndarray) -> Scores:
+    """Least squares of each row of y on the same row of x, where both are known."""
+    known = ~(np.isnan(x) | np.isnan(y))
+    n = known.sum(axis=1).astype(float)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mx, my = (np.where(known, z, 0.0).sum(axis=1) / n for z in (x, y))
+        dx, dy = np.where(known, x - mx[:, None], 0.0), np.where(known, y - my[:, None], 0.0)
+        sxx, sxy, syy = ((a * b).sum(axis=1) for a, b in ((dx, dx), (dx, dy), (dy, dy)))
+        beta = np.where(sxx > 0, sxy / sxx, np.nan)
+        rss = np.maximum(np.where(sxx > 0, syy - sxy * sxy / sxx, np.nan), 0.0)
+    return {"n": n, "mx": mx, "beta": beta, "alpha": my - beta * mx, "sxx": sxx, "syy": syy, "rss": rss}
+
+
+FIT_FIELDS = ("theta", "mu", "sigma", "half_life", "t", "r2", "n")
+
+
+def with_ou(df: DataFrame, key: str, order: str, n_pairs: int, min_pairs: int = MIN_FIT - 1, upto: bool = False) -> DataFrame:
+    """Adds fit, the OU fit over pairs of dv (change) and lv (level before it): of the n_pairs before each row, or that end with it.
+
+    Null with fewer than ``min_pairs`` pairs. mu falls back to the mean level when the slope is 0.
+    """
 
-def exceeds(v: str, w: WindowSpec, percent: float, min_rows: int = THRESHOLD_MIN) -> Column:
-    low, high = percentile_bounds(v, w, percent, min_rows)
-    return (F.col(v) > high) | (F.col(v) < low)
-
+    def score(columns: Scores, start: int) -> Scores:
+        p = regressions(frames_of(columns["lv"], start, n_pairs, upto), frames_of(columns["dv"], start, n_pairs, upto))
+        b, dof = p["beta"], np.where(p["n"] > 2, p["n"] - 2, np.nan)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            error = np.sqrt(p["rss"] / dof / p["sxx"])
+            t = np.where(error > 0, b / error, 0.0)
+            out = {
+                "theta": -b, "mu": np.where(b != 0, -p["alpha"] / b, p["mx"]), "sigma": np.sqrt(p["rss"] / dof),
+                "half_life": np.where(b < 0, math.log(2) / -b, np.nan), "t": t, "r2": np.where(p["syy"] > 0, 1 - p["rss"] / p["syy"], 0.0),
+            }
+        return {f"_fit_{k}": x for k, x in (out | {"n": p["n"]}).items()}
 
-def rolling_ou(v: str, w_pairs: WindowSpec, min_pairs: int) -> Column:
-    """OU fit over pairs of columns dv (change) and lv (level before it)."""
-    return ou_fit(F.col("dv"), F.col("lv"), w_pairs, min_pairs)
+    found = with_rolling(df, key, order, ["lv", "dv"], n_pairs, [f"_fit_{f}" for f in FIT_FIELDS], score)
+    fit = F.struct(*[F.col(f"_fit_{f}").cast("long" if f == "n" else "double").alias(f) for f in FIT_FIELDS])
+    return found.withColumn("fit", F.when(F.col("_fit_n") >= min_pairs, fit)).drop(*[f"_fit_{f}" for f in FIT_FIELDS])
 
 
 def with_lag(df: DataFrame, key: str, order: str, v: str) -> DataFrame:
@@ -78,13 +163,17 @@ def causal_detrend(df: DataFrame, key: str, order: str, v: str, n: int = FIT_WIN
 
     ``order`` must count the rows of a key without gaps.
     """
-    w = past(key, order, n)
-    line = ols(F.col(v), F.col(order).cast("double"), w)
-    full = F.count(v).over(w) == n
-    return df.withColumns({
-        "slope": F.when(full, line["beta"]),
-        "resid": F.when(full, F.col(v) - (line["alpha"] + line["beta"] * F.col(order))),
-    })
+
+    def score(columns: Scores, start: int) -> Scores:
+        at, value = columns["_at"], columns[v]
+        history = frames_of(value, start, n)
+        p = regressions(frames_of(at, start, n), history)
+        full = np.count_nonzero(~np.isnan(history), axis=1) == n
+        line = p["alpha"] + p["beta"] * at[start:]
+        return {"slope": np.where(full, p["beta"], np.nan), "resid": np.where(full, value[start:] - line, np.nan)}
+
+    found = with_rolling(df.withColumn("_at", F.col(order).cast("double")), key, order, ["_at", v], n, ["slope", "resid"], score)
+    return found.drop("_at")
 
 
 def rolling_corr(x: str, y: str, w: WindowSpec, n: int) -> Column:

@@ -171,7 +171,7 @@ g AS (SELECT *, theta > 0 AND abs(t) >= 2.86 AS ok, abs(v - mu) * CASE WHEN thet
 
 def fits(spark, sf_dir):
     lagged = W.with_lag(series(spark, sf_dir), "pair_id", "i", "v")
-    return lagged.withColumn("f", W.rolling_ou("v", W.past("pair_id", "i", W.FIT_WINDOW - 1), 29)).where(F.col("i") > W.FIT_WINDOW)
+    return W.with_ou(lagged, "pair_id", "i", W.FIT_WINDOW - 1).withColumnRenamed("fit", "f").where(F.col("i") > W.FIT_WINDOW)
 
 
 @query(
@@ -230,7 +230,7 @@ def jn_date_intersection(spark, sf_dir):
 
 
 WINDOWS_SQL = BARS_SQL + ", " + EVENTS_SQL + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d) AS k FROM bars),
-entry AS (SELECT c.*, (SELECT max(k) FROM ranked r WHERE r.symbol = c.symbol AND r.d < c.day) AS k FROM calendar c),
+entry AS (SELECT c.*, r.k FROM calendar c ASOF JOIN ranked r ON r.symbol = c.symbol AND r.d < c.day),
 win AS (SELECT e.event_id, e.symbol, e.day, e.surprise_pct, r0.d AS entry_d, r0.close AS p0, r1.d AS exit_d, r1.close AS p1
   FROM entry e JOIN ranked r0 ON r0.symbol = e.symbol AND r0.k = e.k JOIN ranked r1 ON r1.symbol = e.symbol AND r1.k = e.k + 3 JOIN ranked r2 ON r2.symbol = e.symbol AND r2.k = e.k + 4)"""
 MOVES_SQL = WINDOWS_SQL + """, moves AS (SELECT event_id, day, surprise_pct, (p1 / p0 - 1) * 100 AS raw, (b1.close / b0.close - 1) * 100 AS bench
@@ -277,13 +277,13 @@ def jn_alert_outcome_asof(spark, sf_dir):
 
 @query(
     "jn_event_suppression",
-    f"""WITH {LINKS_SQL}, cal AS (SELECT o_orderstatus AS s, o_orderdate AS ts FROM orders WHERE o_orderkey % 100 = 0), c AS (SELECT CASE s WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END AS symbol, CAST(epoch_us(ts) - epoch_us(TIMESTAMP '1997-06-01') AS DOUBLE) / 86400000000 AS away, ts FROM cal),
+    f"""WITH {LINKS_SQL}, cal AS (SELECT o_orderstatus AS s, o_orderdate AS ts FROM orders), c AS (SELECT CASE s WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END AS symbol, CAST(epoch_us(ts) - epoch_us(TIMESTAMP '1997-06-01') AS DOUBLE) / 86400000000 AS away, ts FROM cal),
 n AS (SELECT symbol, arg_min(ts, away) AS event_ts, min(away) AS away FROM c WHERE away >= 0 AND away <= 3 GROUP BY symbol)
 SELECT linkage_id, leg, legs.symbol, event_ts, round(away, 6) AS days_away, bool_or(away IS NOT NULL) OVER (PARTITION BY linkage_id) AS suppressed FROM legs LEFT JOIN n ON n.symbol = legs.symbol""",
 )
 def jn_event_suppression(spark, sf_dir):
     symbol = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R")
-    cal = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(symbol.alias("symbol"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    cal = table(spark, sf_dir, "orders").select(symbol.alias("symbol"), F.col("o_orderdate").cast("timestamp").alias("ts"))
     met = within(UNIVERSE.legs_frame(spark), cal, "symbol", F.lit("1997-06-01").cast("timestamp"), "ts", 3.0)
     blocked = F.bool_or(F.col("days_away").isNotNull()).over(Window.partitionBy("linkage_id"))
     return met.select("linkage_id", "leg", "symbol", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"), F.round("days_away", 6).alias("days_away"), blocked.alias("suppressed"))

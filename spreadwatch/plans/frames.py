@@ -13,7 +13,7 @@ from spreadwatch.sources.market import daily_vwap
 PAIRS = [("A-N", "A", "N"), ("A-R", "A", "R"), ("N-R", "N", "R")]
 
 BARS_SQL = """bars AS (
-  SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS d, round(sum(l_extendedprice) / sum(l_quantity), 6) AS close
+  SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS d, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS close
   FROM lineitem GROUP BY 1, 2)"""
 FRAME_SQL = BARS_SQL + """, pairs(pair_id, a, b) AS (VALUES ('A-N', 'A', 'N'), ('A-R', 'A', 'R'), ('N-R', 'N', 'R')),
 frame AS (
@@ -24,12 +24,13 @@ LAGGED_SQL = SERIES_SQL + """, lagged AS (
   SELECT *, lag(v) OVER k AS lv, v - lag(v) OVER k AS dv FROM series WINDOW k AS (PARTITION BY pair_id ORDER BY i))"""
 EVENTS_SQL = """calendar AS (
   SELECT o_orderkey AS event_id, 'A' AS symbol, CAST(o_orderdate AS DATE) AS day, (o_totalprice / avg(o_totalprice) OVER () - 1) * 100 AS surprise_pct
-  FROM orders WHERE o_orderkey % 100 = 0)"""
+  FROM orders)"""
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = table(spark, sf_dir, "lineitem")
-    return daily_vwap(trades, F.col("l_returnflag"), F.col("l_shipdate"), F.col("l_extendedprice"), F.col("l_quantity"))
+    exact = lambda c: F.col(c).cast("decimal(18,2)")  # noqa: E731  the tables hold cents
+    return daily_vwap(trades, F.col("l_returnflag"), F.col("l_shipdate"), exact("l_extendedprice"), exact("l_quantity"))
 
 
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +46,8 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, symbol, day, surprise_pct) from large orders; one number, the mean, is joined in."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0")
+    """(event_id, symbol, day, surprise_pct): every order is one; one number, the mean, is joined in."""
+    orders = table(spark, sf_dir, "orders")
     mean = F.avg("o_totalprice").alias("mean")
     found = orders.crossJoin(F.broadcast(orders.agg(mean)))
     return found.select(

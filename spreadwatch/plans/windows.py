@@ -31,8 +31,7 @@ def wn_rolling_z(spark, sf_dir):
 SELECT pair_id, d, CASE WHEN len(h) >= 100 THEN round(len(list_filter(h, lambda x: x < v)) * 100.0::DOUBLE / len(h), 6) END AS percentile FROM h""",
 )
 def wn_percentile_rank(spark, sf_dir):
-    w = W.past("pair_id", "i", W.FIT_WINDOW)
-    return series(spark, sf_dir).select("pair_id", "d", F.round(W.percentile_rank("v", w), 6).alias("percentile"))
+    return W.percentile_rank(series(spark, sf_dir), "pair_id", "i", "v", W.FIT_WINDOW).select("pair_id", "d", *r6("percentile"))
 
 
 @query(
@@ -43,9 +42,8 @@ def wn_percentile_rank(spark, sf_dir):
 SELECT pair_id, d, round(low, 9) AS low, round(high, 9) AS high, v > high OR v < low AS exceeds FROM b""",
 )
 def wn_percentile_bounds(spark, sf_dir):
-    low, high = W.percentile_bounds("v", W.past("pair_id", "i", W.THRESHOLD_WINDOW), 99)
-    found = series(spark, sf_dir).select("pair_id", "d", "v", low.alias("low"), high.alias("high"))
-    return found.select("pair_id", "d", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), ((F.col("v") > F.col("high")) | (F.col("v") < F.col("low"))).alias("exceeds"))
+    found = W.percentile_bounds(series(spark, sf_dir), "pair_id", "i", "v", W.THRESHOLD_WINDOW, 99)
+    return found.select("pair_id", "d", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "exceeds")
 
 
 OU_SQL = """-b AS theta, CASE WHEN b <> 0 THEN -a / b ELSE ml END AS mu, sqrt(ss / nullif(n - 2, 0)) AS sigma,
@@ -65,9 +63,8 @@ SELECT pair_id, d, round(theta, 6) AS theta, round(mu, 6) AS mu, round(sigma, 6)
 )
 def wn_rolling_ou(spark, sf_dir):
     lagged = W.with_lag(series(spark, sf_dir), "pair_id", "i", "v")
-    fit = W.rolling_ou("v", W.past("pair_id", "i", W.FIT_WINDOW - 1), 29)
-    found = lagged.withColumn("f", fit).where(F.col("i") > W.FIT_WINDOW)
-    return found.select("pair_id", "d", *[F.round(f"f.{c}", 6).alias(c) for c in ("theta", "mu", "sigma", "half_life", "t")])
+    found = W.with_ou(lagged, "pair_id", "i", W.FIT_WINDOW - 1).where(F.col("i") > W.FIT_WINDOW)
+    return found.select("pair_id", "d", *[F.round(f"fit.{c}", 6).alias(c) for c in ("theta", "mu", "sigma", "half_life", "t")])
 
 
 @query(

@@ -28,9 +28,9 @@ class MarketSource(Protocol):
 
 
 def daily_vwap(trades: DataFrame, symbol: Column, day: Column, value: Column, size: Column) -> DataFrame:
-    """(symbol, d, close): daily volume-weighted price to six places."""
+    """(symbol, d, close): daily volume-weighted price. Sums of decimal columns are exact, whatever the order of trades."""
     found = trades.groupBy(symbol.alias("symbol"), day.cast("date").alias("d"))
-    return found.agg(F.round(F.sum(value) / F.sum(size), 6).alias("close"))
+    return found.agg((F.sum(value).cast("double") / F.sum(size).cast("double")).alias("close"))
 
 
 def ohlc(ticks: DataFrame, timeframe: str) -> DataFrame:

@@ -21,8 +21,14 @@ def duck():
 
 
 def rows(found, names):
+    """Rows with columns in order of their names, in an order that does not hang on a float's last place."""
     order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted(tuple(repr(r[i]) for i in order) for r in found)
+    plain = [tuple(r[i] for i in order) for r in found]
+    return sorted(plain, key=lambda r: [f"{x:.4g}" if isinstance(x, float) else repr(x) for x in r])
+
+
+def same(a, b):
+    return abs(a - b) <= 1e-9 * max(abs(a), abs(b), 1e3) if isinstance(a, float) and isinstance(b, float) else a == b
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
@@ -33,7 +39,9 @@ def test_query(spark, duck, name):
         res = duck.execute(catalog.ORACLES[name])
         names = [d[0] for d in res.description]
         assert sorted(names) == sorted(df.columns)
-        assert rows(res.fetchall(), names) == got
+        want = rows(res.fetchall(), names)
+        assert len(want) == len(got)
+        assert [] == [(a, b) for a, b in zip(want, got, strict=True) if not all(map(same, a, b))][:3]
 
 
 def test_entry(spark):

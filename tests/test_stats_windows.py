@@ -47,9 +47,8 @@ def test_unit_root_rates():
 def test_rolling_statistics_against_numpy(spark):
     v = ou(np.random.default_rng(2), 330)
     df = W.with_lag(series(spark, v), "key", "i", "v")
-    w, pairs = W.past("key", "i", 250), W.past("key", "i", 249)
-    low, high = W.percentile_bounds("v", w, 99)
-    row = df.select("i", W.rolling_z("v", w).alias("z"), W.percentile_rank("v", w).alias("p"), low.alias("low"), high.alias("high"), W.rolling_ou("v", pairs, 29).alias("f")).where("i = 300").first()
+    df = W.percentile_rank(W.percentile_bounds(W.with_ou(df, "key", "i", 249), "key", "i", "v", 250, 99), "key", "i", "v", 250, "p")
+    row = df.withColumn("z", W.rolling_z("v", W.past("key", "i", 250))).withColumnRenamed("fit", "f").where("i = 300").first()
     past, now = v[49:299], v[299]
     assert math.isclose(row.z, (now - past.mean()) / past.std(ddof=1), rel_tol=1e-9)
     assert math.isclose(row.p, (past < now).mean() * 100)
@@ -68,7 +67,7 @@ def test_detrend_against_polyfit(spark):
 @pytest.mark.parametrize("cut", [150, 260])
 def test_no_lookahead(spark, cut):
     v = ou(np.random.default_rng(4), 280)
-    score = lambda df: W.causal_detrend(df, "key", "i", "v", 100).select("i", "resid", W.rolling_z("v", W.past("key", "i", 720)).alias("z"), W.percentile_rank("v", W.past("key", "i", 750)).alias("p"))
+    score = lambda df: W.percentile_rank(W.causal_detrend(df, "key", "i", "v", 100), "key", "i", "v", 750, "p").select("i", "resid", W.rolling_z("v", W.past("key", "i", 720)).alias("z"), "p")
     full = {r.i: r for r in score(series(spark, v)).collect() if r.i <= cut}
     short = {r.i: r for r in score(series(spark, v[:cut])).collect()}
     assert full == short
@@ -93,6 +92,26 @@ def test_false_discovery(spark):
     assert [r.threshold for r in rows if r.family == "g"] == [0.0]
 
 
-def test_interpolated_edges(spark):
-    df = spark.createDataFrame([([1.0, 2.0, 4.0],), ([3.0],)], "h array<double>")
-    assert [(r[0], r[1]) for r in df.select(W.interpolated(F.col("h"), 0.75), W.interpolated(F.col("h"), 1.0)).collect()] == [(3.0, 4.0), (3.0, 3.0)]
+def test_streamed_windows_across_batches_and_keys(spark, monkeypatch):
+    """Windows that cross Arrow batches and blocks, gaps and several keys, against numpy on the whole series."""
+    monkeypatch.setattr(W, "BLOCK", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        rng, rows = np.random.default_rng(8), []
+        for key in ("k", "q", None):
+            rows += [(key, i, None if rng.random() < 0.05 else float(rng.normal())) for i in range(1, 201)]
+        df = spark.createDataFrame(rows, "key string, i long, v double").repartition(5)
+        got = {(r.key, r.i): r for r in W.with_quantiles(df, "key", "i", "v", 50, {"low": 0.25, "high": 1.0}, "rank", 20).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 600
+    for key in ("k", "q", None):
+        v = [x for k, _, x in rows if k == key]
+        for i in range(200):
+            past = np.array([x for x in v[max(0, i - 50) : i] if x is not None])
+            r = got[key, i + 1]
+            if len(past) < 20:
+                assert r.low is None and r.rank is None
+            else:
+                assert math.isclose(r.low, np.quantile(past, 0.25)) and math.isclose(r.high, past.max())
+                assert (r.rank is None) == (v[i] is None) and (v[i] is None or math.isclose(r.rank, (past < v[i]).mean() * 100))
