@@ -95,8 +95,8 @@ def calibrate(closes: DataFrame, linkage, param: str, min_days: int = 30) -> Dat
     return out.select(F.lit(linkage.id).alias("linkage_id"), F.lit(param).alias("param"), F.lit(asserted).alias("asserted"), "estimated", "samples", drift.alias("drift_pct"), "sd_bps", "mean_abs_bps", calibration_verdict(drift).alias("verdict"))
 
 
-def scorecard(outcomes: DataFrame, friction: float, few: int = 15) -> DataFrame:
-    """One row over outcomes (predicted, move): resolved, wins, mean net, bias of predictions, caution."""
+def scorecard(outcomes: DataFrame, friction, few: int = 15) -> DataFrame:
+    """One row over outcomes (predicted, move), friction a number or a column: resolved, wins, mean net, bias of predictions, caution."""
     net, done = F.col("move") - friction, F.col("move").isNotNull()
     return outcomes.agg(
         F.count(F.lit(1)).alias("alerts"), F.count("move").alias("resolved"), F.count(F.when(net > 0, 1)).alias("wins"), F.avg(net).alias("mean_net_bps"),

@@ -13,7 +13,9 @@ from spreadwatch.plans.frames import BARS_SQL, EVENTS_SQL, FRAME_SQL, LAGGED_SQL
 from spreadwatch.plans.registry import query, table
 from spreadwatch.plans.windows import OU_SQL, ou_parts
 from spreadwatch.sources.config import AlertRule, Linkage, Universe
-from spreadwatch.sources.market import last_bars, latest_quotes, ohlc
+from spreadwatch.sources.market import event_calendar, last_bars, latest_quotes, ohlc, without_empty_rows
+from spreadwatch.sources.reports import universe_counts
+from spreadwatch.streaming.scan import books, history_quotes, observations, scan_line
 
 UNIVERSE = Universe((
     Linkage("ratio", "A against N", "validation", {"a": ("A", "table"), "b": ("N", "table")}, "b * k", "a", {"k": 1.0}, {"fees": 20.0, "tax": 6.95}),
@@ -205,7 +207,10 @@ def exp_tail_probability(spark, sf_dir):
     return series(spark, sf_dir).withColumn("p", p).select("pair_id", "d", F.round(E.tail_probability(F.col("p")), 6).alias("tail"))
 
 
-@query("exp_state_fingerprint")
+FINGERPRINT_SQL = " UNION ALL ".join(f"""SELECT '{x.id}' AS linkage_id, substr(sha256('{x.meaning.replace("'", "''")}'), 1, 16) AS fingerprint""" for x in UNIVERSE.linkages)
+
+
+@query("exp_state_fingerprint", FINGERPRINT_SQL)
 def exp_state_fingerprint(spark, sf_dir):
     return UNIVERSE.frame(spark).select("linkage_id", "fingerprint")
 
@@ -304,30 +309,91 @@ def jn_missing_leg_anti(spark, sf_dir):
     return gone.groupBy("pair_id").agg(F.concat(F.lit("no prices for "), F.array_join(F.array_sort(F.collect_list("symbol")), ", ")).alias("reason"))
 
 
-SAVED = [("ratio", "same", 2), ("cross", "old", 2), ("power", "same", 1)]
+RESUME_SQL = """CASE WHEN saved IS NULL THEN 'no saved state' WHEN saved <> fingerprint THEN 'declaration changed' WHEN version <> 2 THEN 'other version' WHEN seen IS NULL THEN 'unreadable' ELSE 'restored' END"""
 
 
 @query(
     "jn_state_left",
-    """WITH l(linkage_id, fingerprint) AS (VALUES ('ratio', 'same'), ('cross', 'new'), ('power', 'same'), ('fresh', 'same')), s(linkage_id, saved, version) AS (VALUES ('ratio', 'same', 2), ('cross', 'old', 2), ('power', 'same', 1))
-SELECT linkage_id, CASE WHEN saved IS NULL THEN 'no saved state' WHEN saved <> fingerprint THEN 'declaration changed' WHEN version <> 2 THEN 'other version' ELSE 'restored' END AS outcome FROM l LEFT JOIN s USING (linkage_id)""",
+    f"""WITH l AS (SELECT c_custkey AS linkage_id, 'f' || (c_custkey % 3) AS fingerprint FROM customer),
+s AS (SELECT o_custkey AS linkage_id, 'f' || (o_orderkey % 3) AS saved, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 2 END AS version, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 240 END AS seen
+  FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+SELECT linkage_id, {RESUME_SQL} AS outcome, coalesce({RESUME_SQL} = 'restored' AND seen >= 120, false) AS ready FROM l LEFT JOIN s USING (linkage_id)""",
 )
 def jn_state_left(spark, sf_dir):
-    from spreadwatch.sources.store import resume_outcome
-
-    l = spark.createDataFrame([("ratio", "same"), ("cross", "new"), ("power", "same"), ("fresh", "same")], "linkage_id string, fingerprint string")  # noqa: E741
-    s = spark.createDataFrame(SAVED, "linkage_id string, saved string, version int")
-    return l.join(s, "linkage_id", "left").select("linkage_id", resume_outcome(F.col("fingerprint"), F.col("saved"), F.col("version")).alias("outcome"))
+    """Every customer as a declared linkage, every order as a saved state: the newest of each decides."""
+    from spreadwatch.sources.store import READY, resume_outcome
+
+    declared = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("linkage_id"), F.concat(F.lit("f"), F.col("c_custkey") % 3).alias("fingerprint"))
+    newest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    saved = table(spark, sf_dir, "orders").withColumn("_n", F.row_number().over(newest)).where("_n = 1").select(
+        F.col("o_custkey").alias("linkage_id"), F.concat(F.lit("f"), F.col("o_orderkey") % 3).alias("saved"), F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(2).alias("version"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.to_json(F.struct((F.col("o_orderkey") % 240).alias("seen")))).alias("snapshot"),
+    )
+    outcome = resume_outcome(F.col("fingerprint"), F.col("saved"), F.col("version"), F.col("snapshot"))
+    seen = F.get_json_object("snapshot", "$.seen").try_cast("long")
+    met = declared.join(saved, "linkage_id", "left").withColumn("outcome", outcome)
+    return met.select("linkage_id", "outcome", F.coalesce((F.col("outcome") == "restored") & (seen >= READY), F.lit(False)).alias("ready"))
 
 
 @query(
     "st_merge_universes",
-    """WITH u AS (SELECT 'u1' AS source, unnest(['x', 'y', 'z']) AS linkage_id UNION ALL SELECT 'u2', unnest(['z', 'w'])) SELECT linkage_id, count(*) AS n, count(*) > 1 AS clash FROM u GROUP BY linkage_id""",
+    "WITH u AS (SELECT 'customers' AS source, c_nationkey % 25 * 100000 + c_custkey % 1000 AS linkage_id FROM customer UNION ALL SELECT 'suppliers', s_nationkey % 25 * 100000 + s_suppkey % 1000 FROM supplier) SELECT linkage_id, count(*) AS n, count(*) > 1 AS clash FROM u GROUP BY linkage_id",
 )
 def st_merge_universes(spark, sf_dir):
-    one = spark.createDataFrame([("x",), ("y",), ("z",)], "linkage_id string")
-    two = spark.createDataFrame([("z",), ("w",)], "linkage_id string")
-    return one.unionByName(two).groupBy("linkage_id").agg(F.count(F.lit(1)).alias("n")).withColumn("clash", F.col("n") > 1)
+    """Declarations of two universes put together; ids that occur twice clash."""
+    ids = lambda t, n, k: table(spark, sf_dir, t).select((F.col(n) % 25 * 100_000 + F.col(k) % 1000).alias("linkage_id"))
+    both = ids("customer", "c_nationkey", "c_custkey").unionByName(ids("supplier", "s_nationkey", "s_suppkey"))
+    return both.groupBy("linkage_id").agg(F.count(F.lit(1)).alias("n")).withColumn("clash", F.col("n") > 1)
+
+
+@query(
+    "jn_books_from_quotes",
+    f"WITH {LEGS_SQL} SELECT linkage_id, CAST(d AS TIMESTAMP) AS ts, a AS reference_price, round(fair, 6) AS fair_value, round((a - fair) / nullif(a, 0) * 10000, 6) AS spread_bps, false AS stale FROM fair WHERE a <> 0 AND fair IS NOT NULL",
+)
+def jn_books_from_quotes(spark, sf_dir):
+    """Daily closes as quotes, met with the legs of each linkage and evaluated."""
+    made = books(history_quotes(bars(spark, sf_dir)), UNIVERSE.legs_frame(spark))
+    found = observations(made, UNIVERSE)
+    return found.select("linkage_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "reference_price", *r6("fair_value", "spread_bps"), "stale")
+
+
+@query(
+    "ss_scan_line",
+    f"WITH {LEGS_SQL} SELECT rtrim(rpad(linkage_id, 12, ' ') || '  ' || printf('%+9.1f bps', (a - fair) / a * 10000) || '  -  -  not scored') AS line, d FROM fair WHERE a <> 0 AND fair IS NOT NULL",
+)
+def ss_scan_line(spark, sf_dir):
+    seen = observations(books(history_quotes(bars(spark, sf_dir)), UNIVERSE.legs_frame(spark)), UNIVERSE)
+    none = F.lit(None).cast("double")
+    said = seen.withColumns({"percentile": none, "net_bps": none, "alert": F.lit(False), "cooling": F.lit(False), "reason": F.lit("not scored")})
+    return said.select(scan_line().alias("line"), F.col("ts").cast("date").alias("d"))
+
+
+@query(
+    "src_event_calendar",
+    """WITH r AS (SELECT o_orderstatus AS symbol, o_orderdate AS ts, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS estimate, CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice + (o_orderkey % 200 - 100) * 8 END AS reported FROM orders)
+SELECT symbol, ts, estimate, reported, round((reported - estimate) / nullif(abs(estimate), 0) * 100, 6) AS surprise_pct FROM r""",
+)
+def src_event_calendar(spark, sf_dir):
+    """Orders as announcements; what is missing comes as not-a-number, as feeds have it."""
+    gap = lambda n, x: F.when(F.col("o_orderkey") % n != 0, x).otherwise(float("nan"))
+    reported = F.col("o_totalprice") + (F.col("o_orderkey") % 200 - 100) * 8
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("symbol"), F.col("o_orderdate").alias("ts"), gap(11, F.col("o_totalprice")).alias("estimate"), gap(13, reported).alias("reported"), F.lit(float("nan")).alias("surprise_pct"))
+    return event_calendar(rows).select("symbol", "ts", "estimate", "reported", *r6("surprise_pct"))
+
+
+@query(
+    "src_rows_with_any_price",
+    f"WITH {BARS_SQL}, w AS (SELECT d, max(CASE WHEN symbol = 'A' AND close > 1500 THEN close END) AS a, max(CASE WHEN symbol = 'N' AND close > 1500 THEN close END) AS n FROM bars GROUP BY d) SELECT d, a, n FROM w WHERE a IS NOT NULL OR n IS NOT NULL",
+)
+def src_rows_with_any_price(spark, sf_dir):
+    high = F.when(F.col("close") > 1500, F.col("close"))
+    wide = bars(spark, sf_dir).groupBy("d").agg(*[F.max(F.when(F.col("symbol") == s, high)).alias(s.lower()) for s in "AN"])
+    return without_empty_rows(wide)
+
+
+@query("ag_universe_counts", f"WITH {LINKS_SQL} SELECT category, count(DISTINCT linkage_id) AS linkages, count(DISTINCT symbol) AS symbols FROM links JOIN legs USING (linkage_id) GROUP BY category")
+def ag_universe_counts(spark, sf_dir):
+    return universe_counts(UNIVERSE.frame(spark))
 
 
 @query(

@@ -68,13 +68,18 @@ class Linkage:
         return float(sum(self.friction_bps.values()))
 
     @property
-    def fingerprint(self) -> str:
-        """Changes whenever the meaning of saved detector state does; costs and alert rules don't count."""
+    def meaning(self) -> str:
+        """What saved detector state depends on, as JSON; costs and alert rules don't count."""
         what = {
             "legs": {name: {"provider": provider, "symbol": symbol} for name, (symbol, provider) in self.legs.items()},
             "fair_value": self.fair_value, "params": self.params, "reference": self.reference, "kalman_delta": self.kalman_delta,
         }
-        return hashlib.sha256(json.dumps(what, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
+        return json.dumps(what, sort_keys=True, separators=(",", ":"))
+
+    @property
+    def fingerprint(self) -> str:
+        """Changes whenever the meaning of saved detector state does."""
+        return hashlib.sha256(self.meaning.encode()).hexdigest()[:16]
 
     @classmethod
     def parse(cls, raw: dict[str, Any]) -> Linkage:

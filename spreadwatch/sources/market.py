@@ -58,6 +58,23 @@ def last_bars(bars: DataFrame, count: int, order: str = "d") -> DataFrame:
     return whole.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= count).drop("_n")
 
 
+def without_empty_rows(prices: DataFrame, key: str = "d") -> DataFrame:
+    """A wide table of prices, one column a symbol, without the rows in which no symbol has one."""
+    known = [F.col(c).isNotNull() & ~F.isnan(c) for c in prices.columns if c != key]
+    return prices.where(F.exists(F.array(*known), lambda x: x))
+
+
+def event_calendar(rows: DataFrame) -> DataFrame:
+    """(symbol, ts, estimate, reported, surprise_pct) of announcements; what is not a number becomes null.
+
+    A missing surprise is worked out from the other two, if the estimate isn't zero.
+    """
+    number = lambda c: F.when(~F.isnan(c), F.col(c))
+    found = rows.select("symbol", "ts", *[number(c).alias(c) for c in ("estimate", "reported", "surprise_pct")])
+    worked_out = F.try_divide(F.col("reported") - F.col("estimate"), F.abs("estimate")) * 100
+    return found.withColumn("surprise_pct", F.coalesce("surprise_pct", worked_out))
+
+
 @dataclass
 class TableSource:
     """A source over a table of ticks (symbol, ts, seq, price)."""

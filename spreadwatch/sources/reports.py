@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spreadwatch.operators.aggregates import scorecard
 from spreadwatch.operators.alignment import asof_join
 from spreadwatch.sources.config import Universe, dump_universe
 from spreadwatch.sources.store import Store
@@ -50,6 +51,27 @@ def backtest_report(summary: DataFrame) -> str:
     return markdown(summary.orderBy("pair_id"), ["pair_id", "baseline_n", "alerts", "hit_rate", "profit_rate", "mean_move", "mean_net", "edge", "verdict"])
 
 
+def fit_report(admissions: DataFrame) -> str:
+    """How many pairs were tested and admitted, the false-discovery threshold, and each pair with its reason, admitted ones first."""
+    sums = admissions.agg(F.count(F.lit(1)).alias("n"), F.count("coint_p").alias("tested"), F.count(F.when(F.col("admitted"), 1)).alias("admitted"), F.min("coint_p").alias("least"), F.max("threshold").alias("threshold")).first()
+    head = f"{sums.n} pairs, {sums.tested} tested, {sums.admitted} admitted; least p {_cell(sums.least)}, threshold {_cell(sums.threshold)}"
+    return "\n".join([head, markdown(admissions.orderBy(F.desc("admitted"), "coint_p", "pair_id"), ["pair_id", "n", "beta", "coint_p", "half_life", "net_edge", "admitted", "reason"])])
+
+
+def calibration_report(found: DataFrame) -> str:
+    return markdown(found.orderBy("linkage_id", "param"), ["linkage_id", "param", "asserted", "estimated", "drift_pct", "samples", "sd_bps", "verdict"])
+
+
+def event_report(found: DataFrame) -> str:
+    return markdown(found.orderBy("symbol"), ["symbol", "n", "expected", "low", "high", "typical_abs_move", "r2", "p", "coverage", "informative", "calibrated"])
+
+
+def universe_counts(universe: DataFrame) -> DataFrame:
+    """(category, linkages, symbols) of a universe's frame."""
+    legs = universe.select("category", "linkage_id", F.explode("legs").alias("leg", "source"))
+    return legs.groupBy("category").agg(F.count_distinct("linkage_id").alias("linkages"), F.count_distinct("source.symbol").alias("symbols"))
+
+
 def fitted_universe(admissions: DataFrame, linkages: Iterable, n_pairs: int) -> str:
     """The admitted pairs as a declaration file, with a note on how many were."""
     found = Universe(tuple(linkages))
@@ -59,7 +81,7 @@ def fitted_universe(admissions: DataFrame, linkages: Iterable, n_pairs: int) ->
 
 def outcomes(store: Store, horizon_days: int = 3, most: int = MOST) -> DataFrame:
     """The latest alerts met with the first observation of their linkage ``horizon_days`` or more later."""
-    alerts = store.alerts().drop("batch").orderBy(F.desc("ts")).limit(most)
+    alerts = store.alerts().drop("run", "batch").orderBy(F.desc("ts")).limit(most)
     due = F.col("ts") + F.expr(f"make_interval(0, 0, 0, {int(horizon_days)})")
     met = asof_join(alerts, store.observations().select("linkage_id", "ts", "spread_bps"), "linkage_id", due, F.col("ts"), ["spread_bps"], "forward")
     move = F.abs("spread_bps") - F.abs("r_spread_bps")
@@ -78,9 +100,13 @@ def dashboard(store: Store, universe: Universe, horizon_days: int = 3) -> str:
         ("Alerts", outcomes(store, horizon_days).orderBy(F.desc("ts")), ["linkage_id", "ts", "spread_bps", "predicted", "move", "net", "resolved_at"]),
         ("Coverage", seen, ["linkage_id", "n", "last"]),
     ]
+    card = scorecard(outcomes(store, horizon_days).select("predicted", "move", "friction_bps"), F.col("friction_bps"))
+    panels.insert(1, ("Scorecard", card, ["alerts", "resolved", "wins", "mean_net_bps", "mean_bias_bps", "too_few"]))
     body = []
     for title, df, columns in panels:
         head = "".join(f"<th>{html.escape(c)}</th>" for c in columns)
-        rows = "".join("<tr>" + "".join(f"<td>{html.escape(_cell(v))}</td>" for v in r) + "</tr>" for r in df.select(*columns).limit(MOST).collect())
-        body.append(f"<h2>{html.escape(title)}</h2><table><tr>{head}</tr>{rows}</table>")
+        shown = df.select(*columns).limit(MOST).collect()
+        rows = "".join("<tr>" + "".join(f"<td>{html.escape(_cell(v))}</td>" for v in r) + "</tr>" for r in shown)
+        more = f"<p>the first {MOST} of {df.count()}</p>" if len(shown) == MOST else ""
+        body.append(f"<h2>{html.escape(title)}</h2><table><tr>{head}</tr>{rows}</table>{more}")
     return "<!doctype html><html><head><meta charset='utf-8'><title>Scan</title></head><body>" + "".join(body) + "</body></html>"

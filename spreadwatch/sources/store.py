@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STATE_VERSION = 2
+#: Observations after which a detector no longer needs warming up.
+READY = 120
 ALERTS = (
     "linkage_id string, ts timestamp, fingerprint string, category string, spread_bps double, kalman_z double, beta double, percentile double, "
     "half_life_days double, theta_tstat double, predicted_reversion_bps double, friction_bps double, predicted_net_bps double"
@@ -14,41 +18,63 @@ OBSERVATIONS = "linkage_id string, ts timestamp, fingerprint string, reference_p
 STATE = "linkage_id string, fingerprint string, version int, snapshot string, last_alert_at timestamp, updated_at timestamp"
 
 
-def resume_outcome(fingerprint: Column, saved: Column, version: Column) -> Column:
+def resume_outcome(fingerprint: Column, saved: Column, version: Column, snapshot: Column | None = None) -> Column:
     """Why saved state is or is not taken up again."""
-    return (
+    out = (
         F.when(saved.isNull(), "no saved state")
         .when(saved != fingerprint, "declaration changed")
-        .when(version != STATE_VERSION, "other version")
-        .otherwise("restored")
+        .when(version.isNull() | (version != STATE_VERSION), "other version")
     )
+    if snapshot is not None:
+        out = out.when(F.get_json_object(snapshot, "$.seen").try_cast("long").isNull(), "unreadable")
+    return out.otherwise("restored")
 
 
 class Store:
-    """Three tables under one folder. Appends carry a batch number, so a repeated batch replaces itself."""
+    """Three tables under one folder.
+
+    Appends go to a folder of their run (one checkpoint of a stream) and batch, so a repeated batch
+    replaces itself and another run replaces nothing. State is one row per linkage: each save
+    writes the newest of all in a new folder before the old ones go, so a stop in between loses nothing.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _append(self, name: str, schema: str, rows: DataFrame, batch: int) -> None:
+    def _at(self, name: str) -> tuple:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _append(self, name: str, schema: str, rows: DataFrame, batch: int, run: str) -> None:
         names = [f.split()[0] for f in schema.split(", ")]
-        rows.select(*names).write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+        rows.select(*names).write.mode("overwrite").parquet(f"{self.path}/{name}/run={run}/batch={batch}")
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            return self.spark.createDataFrame([], f"{schema}, batch bigint")
-        return self.spark.read.schema(f"{schema}, batch bigint").parquet(f"{self.path}/{name}")
+        schema = f"{schema}, run string, batch bigint"
+        store, at = self._at(name)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if store.exists(at) else self.spark.createDataFrame([], schema)
 
-    def record_alerts(self, rows: DataFrame, batch: int) -> None:
-        self._append("alerts", ALERTS, rows, batch)
+    def record_alerts(self, rows: DataFrame, batch: int, run: str = "0") -> None:
+        self._append("alerts", ALERTS, rows, batch, run)
 
-    def record_observations(self, rows: DataFrame, batch: int) -> None:
+    def record_observations(self, rows: DataFrame, batch: int, run: str = "0") -> None:
         """Stale observations are never kept."""
-        self._append("observations", OBSERVATIONS, rows.where("not stale"), batch)
+        self._append("observations", OBSERVATIONS, rows.where("not stale"), batch, run)
+
+    def _states(self) -> list[str]:
+        """The finished folders of state."""
+        store, at = self._at("detector_state")
+        names = [s.getPath().getName() for s in store.listStatus(at)] if store.exists(at) else []
+        return sorted(n for n in names if store.exists(self._at(f"detector_state/{n}/_SUCCESS")[1]))
 
     def save_state(self, rows: DataFrame, batch: int) -> None:
-        self._append("detector_state", STATE, rows, batch)
+        """Put the rows in place of older ones of their linkages."""
+        old = self._states()
+        new = rows.select(*[f.split()[0] for f in STATE.split(", ")], F.lit(batch).cast("bigint").alias("batch"))
+        self._newest(self._state(old).unionByName(new)).write.parquet(f"{self.path}/detector_state/{uuid.uuid4().hex}")
+        for name in old:
+            store, at = self._at(f"detector_state/{name}")
+            store.delete(at, True)
 
     def alerts(self) -> DataFrame:
         return self._read("alerts", ALERTS)
@@ -56,17 +82,25 @@ class Store:
     def observations(self) -> DataFrame:
         return self._read("observations", OBSERVATIONS)
 
+    def _state(self, names: list[str]) -> DataFrame:
+        schema = f"{STATE}, batch bigint"
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/detector_state/{n}" for n in names]) if names else self.spark.createDataFrame([], schema)
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy("linkage_id").orderBy(F.desc("updated_at"), F.desc("batch"))
+        return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
     def state(self) -> DataFrame:
-        """The newest state of each linkage."""
-        w = Window.partitionBy("linkage_id").orderBy(F.desc("batch"))
-        return self._read("detector_state", STATE).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+        """The newest state of each linkage, by the time it was saved for."""
+        return self._newest(self._state(self._states()))
 
     def resume(self, linkages: DataFrame) -> DataFrame:
-        """Linkages (linkage_id, fingerprint) with their snapshot where it can be taken up, and the outcome."""
+        """Linkages (linkage_id, fingerprint) with their snapshot where it can be taken up, the outcome, and whether they are ready."""
         saved = self.state().select("linkage_id", F.col("fingerprint").alias("saved"), "version", "snapshot", "last_alert_at")
         met = linkages.join(saved, "linkage_id", "left")
-        outcome = resume_outcome(F.col("fingerprint"), F.col("saved"), F.col("version"))
-        return met.withColumn("outcome", outcome).withColumn("snapshot", F.when(F.col("outcome") == "restored", F.col("snapshot")))
+        outcome = resume_outcome(F.col("fingerprint"), F.col("saved"), F.col("version"), F.col("snapshot"))
+        met = met.withColumn("outcome", outcome).withColumn("snapshot", F.when(F.col("outcome") == "restored", F.col("snapshot")))
+        return met.withColumn("ready", F.coalesce(F.get_json_object("snapshot", "$.seen").try_cast("long") >= READY, F.lit(False)))
 
     def alert_count(self, linkage_id: str | None = None) -> int:
         rows = self.alerts()

@@ -7,10 +7,11 @@ that brings the rows of a linkage together.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -50,6 +51,41 @@ def observations(quotes: DataFrame, universe: Universe, max_age_seconds: float =
     return rows.where("spread_bps is not null").select(*[f.split()[0] for f in OBSERVATION.split(", ")])
 
 
+def books(quotes: DataFrame, legs: DataFrame) -> DataFrame:
+    """Quotes (poll_ts, symbol, price, ts, stale) met with legs (linkage_id, leg, symbol, n_legs) as books for ``observations``.
+
+    A linkage without a quote for every leg at a poll has no book of it. Legs are declarations and
+    few, quotes may be a stream with a watermark on poll_ts.
+    """
+    met = quotes.where("price is not null").join(F.broadcast(legs), "symbol")  # one row per declared leg
+    whole = met.groupBy("linkage_id", "poll_ts").agg(F.collect_list(F.struct("leg", "price", "ts", "stale")).alias("found"), F.max("n_legs").alias("n_legs"))
+    whole = whole.where(F.size(F.array_distinct(F.transform("found", lambda x: x["leg"]))) == F.col("n_legs"))
+    by_leg = lambda c: F.map_from_entries(F.transform(F.array_sort("found"), lambda x: F.struct(x["leg"], x[c])))
+    return whole.select("linkage_id", F.col("poll_ts").alias("ts"), by_leg("price").alias("prices"), by_leg("ts").alias("leg_ts"), by_leg("stale").alias("leg_stale"))
+
+
+def history_quotes(bars: DataFrame) -> DataFrame:
+    """Daily closes (symbol, d, close) as quotes that are never stale, for warming up."""
+    ts = F.col("d").cast("timestamp")
+    return bars.select(ts.alias("poll_ts"), "symbol", F.col("close").alias("price"), ts.alias("ts"), F.lit(False).alias("stale"))
+
+
+def scan_line() -> Column:
+    """One line of the scan per verdict: linkage, spread, state of the detector."""
+    number = lambda fmt, c: F.when(F.col(c).isNotNull(), F.format_string(fmt, F.col(c))).otherwise(F.lit("-"))
+    flag = F.when(F.col("alert"), "ALERT").when(F.col("stale"), "stale").when(F.col("cooling"), "cooling").otherwise("")
+    return F.rtrim(F.concat_ws("  ", F.rpad("linkage_id", 12, " "), number("%+9.1f bps", "spread_bps"), number("p%5.1f", "percentile"), number("net %+.1f", "net_bps"), "reason", flag))
+
+
+def warmed_up(history: DataFrame, universe: Universe, snapshots: dict[str, str], ready: set[str]) -> dict[str, str]:
+    """Snapshots after history (books) has gone through the detectors of linkages that aren't ready; alerts are not sent. One row per linkage comes back."""
+    waiting = history.where(~F.col("linkage_id").isin(sorted(ready))) if ready else history
+    said = replay(observations(waiting, universe, float("inf")), universe, {k: v for k, v in snapshots.items() if k in ready})
+    last = said.where("snapshot is not null").select("linkage_id", "snapshot").collect()
+    # an alert of the past must not keep a live one back
+    return snapshots | {r.linkage_id: json.dumps(json.loads(r.snapshot) | {"last_alert": None}) for r in last}
+
+
 def _advance(rows: pd.DataFrame, detector: Detector, friction: float, min_edge: float, cooldown: float) -> pd.DataFrame:
     """The rows of one linkage in time order, with what the detector says to each."""
     out = []
@@ -116,16 +152,18 @@ def suppressed(verdicts: DataFrame, legs: DataFrame, calendar: DataFrame, days:
     return verdicts.join(hit.withColumn("_hit", F.lit(True)), ["linkage_id", "ts"], "left").withColumn("blocked", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def sink(store: Store, universe: Universe, notifier: Notifier, calendar: DataFrame | None = None, days: float = 3.0, most: int = 1000):
+def sink(store: Store, universe: Universe, notifier: Notifier, calendar: DataFrame | None = None, days: float = 3.0, checkpoint: str | None = None):
     """A foreachBatch function: record alerts, observations and state, then announce the alerts.
 
-    Writes are keyed by batch number, so a repeated batch replaces itself. What is sent is one
-    message per alert, ``most`` at once; the log holds all of them.
+    Writes are keyed by the run, which the checkpoint names, and the batch number, so a repeated
+    batch replaces itself and a new checkpoint replaces nothing. Every alert is sent, one message
+    each, in order of time; they come to the driver partition by partition.
     """
     spark = store.spark
     facts = spark.createDataFrame([(x.id, x.category, x.fingerprint, x.total_friction) for x in universe.linkages], "linkage_id string, category string, fingerprint string, friction double")
 
     def write(batch: DataFrame, number: int) -> None:
+        run = json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"] if checkpoint else "0"
         batch = batch.persist()
         try:
             rows = batch.join(F.broadcast(facts), "linkage_id")  # one row per declared linkage
@@ -134,13 +172,13 @@ def sink(store: Store, universe: Universe, notifier: Notifier, calendar: DataFra
                 "linkage_id", "ts", "fingerprint", "category", "spread_bps", F.col("kz").alias("kalman_z"), "beta", "percentile", F.col("half_life").alias("half_life_days"),
                 F.col("t").alias("theta_tstat"), F.col("expected_bps").alias("predicted_reversion_bps"), F.col("friction").alias("friction_bps"), F.col("net_bps").alias("predicted_net_bps"),
             )
-            store.record_alerts(alerts, number)
-            store.record_observations(rows, number)
+            store.record_alerts(alerts, number, run)
+            store.record_observations(rows, number, run)
             state = rows.where("snapshot is not null").select(
                 "linkage_id", "fingerprint", F.lit(STATE_VERSION).alias("version"), "snapshot", F.timestamp_seconds("last_alert").alias("last_alert_at"), F.col("ts").alias("updated_at")
             )
             store.save_state(state, number)
-            for row in rows.where("alert and not blocked").select(message().alias("text")).limit(most).collect():
+            for row in rows.where("alert and not blocked").orderBy("ts", "linkage_id").select(message().alias("text")).toLocalIterator():
                 notifier.send(row.text)
         finally:
             batch.unpersist()
@@ -148,10 +186,17 @@ def sink(store: Store, universe: Universe, notifier: Notifier, calendar: DataFra
     return write
 
 
-def start(quotes: DataFrame, universe: Universe, store: Store, notifier: Notifier, checkpoint: str, cadence_seconds: float | None = 60.0, calendar: DataFrame | None = None):
-    """Start the scan over a stream of books; without a cadence it takes what is there and ends."""
-    resumed = {r.linkage_id: r.snapshot for r in store.resume(universe.frame(store.spark).select("linkage_id", "fingerprint")).where("snapshot is not null").select("linkage_id", "snapshot").collect()}
+def start(quotes: DataFrame, universe: Universe, store: Store, notifier: Notifier, checkpoint: str, cadence_seconds: float | None = 60.0, calendar: DataFrame | None = None, history: DataFrame | None = None):
+    """Start the scan over a stream of books; without a cadence it takes what is there and ends.
+
+    Saved state is taken up where its declaration and version are the same; linkages that have none
+    or too little are warmed up with ``history``, books of the past, if it is given.
+    """
+    saved = store.resume(universe.frame(store.spark).select("linkage_id", "fingerprint")).where("snapshot is not null").select("linkage_id", "snapshot", "ready").collect()  # one row per declared linkage
+    resumed = {r.linkage_id: r.snapshot for r in saved}
+    if history is not None:
+        resumed = warmed_up(history, universe, resumed, {r.linkage_id for r in saved if r.ready})
     found = detect(observations(quotes, universe), universe, resumed)
-    writer = found.writeStream.foreachBatch(sink(store, universe, notifier, calendar)).option("checkpointLocation", checkpoint).outputMode("append")
+    writer = found.writeStream.foreachBatch(sink(store, universe, notifier, calendar, checkpoint=checkpoint)).option("checkpointLocation", checkpoint).outputMode("append")
     trigger = {"availableNow": True} if cadence_seconds is None else {"processingTime": f"{cadence_seconds:g} seconds"}
     return writer.trigger(**trigger).start()

@@ -75,14 +75,71 @@ def test_stream_equals_batch_across_restarts(spark, tmp_path):
     assert state.fingerprint == LINK.fingerprint and Detector.restore(state.snapshot).seen == len(rows) - 1
     got = {r.linkage_id: r.outcome for r in store.resume(spark.createDataFrame([("x", LINK.fingerprint), ("y", "f")], "linkage_id string, fingerprint string")).collect()}
     assert got == {"x": "restored", "y": "no saved state"}
+    assert store.resume(U.frame(spark).select("linkage_id", "fingerprint")).first().ready
     done = reports.outcomes(store, 1).collect()
     assert done and all(r.resolved_at is None or r.resolved_at >= r.ts + timedelta(days=1) for r in done)
     page = reports.dashboard(store, U)
-    assert "<script" not in page and "Detectors" in page
+    assert "<script" not in page and "Detectors" in page and "Scorecard" in page
     warm = scan.replay(scan.observations(spark.createDataFrame(rows[300:], BOOK), U), U, {"x": Detector().snapshot()})
     assert warm.count() == 30
 
 
+def observed(ts, value):
+    return ("x", ts, "f", 1.0, 1.0, value, False)
+
+
+SEEN = "linkage_id string, ts timestamp, fingerprint string, reference_price double, fair_value double, spread_bps double, stale boolean"
+
+
+def test_a_new_checkpoint_loses_nothing(spark, tmp_path):
+    """Batch numbers start again: earlier batches stay, and the newest state counts, not the largest number."""
+    store = Store(spark, f"file://{tmp_path}/store")
+    state = lambda ts, seen: spark.createDataFrame([("x", "f", 2, f'{{"seen": {seen}}}', None, ts)], "linkage_id string, fingerprint string, version int, snapshot string, last_alert_at timestamp, updated_at timestamp")
+    for run, batch, ts, seen in (("one", 0, T, 100), ("one", 7, T + timedelta(days=1), 130), ("two", 0, T + timedelta(days=2), 140), ("two", 0, T + timedelta(days=2), 140)):
+        store.record_observations(spark.createDataFrame([observed(ts, float(seen))], SEEN), batch, run)
+        store.save_state(state(ts, seen), batch)
+    assert store.observations().count() == 3
+    (row,) = store.state().collect()
+    assert row.updated_at == T + timedelta(days=2) and len(list((tmp_path / "store/detector_state").iterdir())) == 1
+    (tmp_path / "store/detector_state/half").mkdir()  # a save that stopped
+    assert store.state().count() == 1
+    outcome = lambda: {(r.linkage_id, r.outcome, r.ready) for r in store.resume(spark.createDataFrame([("x", "f")], "linkage_id string, fingerprint string")).collect()}
+    assert outcome() == {("x", "restored", True)}
+    store.save_state(state(T + timedelta(days=3), 119), 1)
+    assert outcome() == {("x", "restored", False)}
+    store.save_state(state(T + timedelta(days=4), '"no number"'), 2)
+    assert outcome() == {("x", "unreadable", False)}
+
+
+def test_two_checkpoints_share_a_store_and_history_warms_up(spark, tmp_path):
+    rows = books(330)
+    store, sent = Store(spark, f"file://{tmp_path}/store"), notify.MemoryNotifier()
+    history = spark.createDataFrame(rows[:200], BOOK)
+    for part, cut in enumerate((rows[200:260], rows[260:])):
+        spark.createDataFrame(cut, BOOK).coalesce(1).write.parquet(f"{tmp_path}/in{part}")
+        stream = spark.readStream.schema(BOOK).parquet(f"{tmp_path}/in{part}")
+        scan.start(stream, U, store, sent, f"{tmp_path}/checkpoint{part}", cadence_seconds=None, history=history).awaitTermination()
+    assert store.observations().select("ts").distinct().count() == 129  # one of them is stale
+    assert Detector.restore(store.state().first().snapshot).seen == 329 and store.alert_count() == len(sent.texts)
+
+
+def test_books_need_all_legs(spark):
+    quote = "poll_ts timestamp, symbol string, price double, ts timestamp, stale boolean"
+    rows = [(T, "A", 1.0, T, False), (T, "B", 2.0, T, True), (T + timedelta(hours=1), "A", 1.0, T, False), (T + timedelta(hours=2), "A", 1.0, T, False), (T + timedelta(hours=2), "B", None, T, False)]
+    (book,) = scan.books(spark.createDataFrame(rows, quote), U.legs_frame(spark)).collect()
+    assert (book.ts, book.prices, book.leg_stale) == (T, {"a": 1.0, "b": 2.0}, {"a": False, "b": True})
+    (seen,) = scan.observations(spark.createDataFrame([book]), U).collect()
+    assert seen.stale and seen.stale_reason == "b is flagged"
+
+
+def test_text_reports(spark):
+    found = spark.createDataFrame([("p", 300, 0.9, 0.01, 2.0, 5.0, True, "admitted", 0.02), ("q", 300, 0.9, 0.5, None, None, False, "not cointegrated", 0.02)], "pair_id string, n int, beta double, coint_p double, half_life double, net_edge double, admitted boolean, reason string, threshold double")
+    text = reports.fit_report(found)
+    assert text.startswith("2 pairs, 2 tested, 1 admitted") and text.index("| p |") < text.index("| q |")
+    assert {tuple(r) for r in reports.universe_counts(U.frame(spark)).collect()} == {("tradeable", 1, 2)}
+    assert "| ratio |" in reports.calibration_report(spark.createDataFrame([("ratio", "k", 1.0, 1.1, 10.0, 40, 1.0, "wrong")], "linkage_id string, param string, asserted double, estimated double, drift_pct double, samples int, sd_bps double, verdict string"))
+
+
 def test_events_block_alerts(spark):
     v = spark.createDataFrame([("x", T, True), ("x", T + timedelta(days=9), True)], "linkage_id string, ts timestamp, alert boolean")
     legs = spark.createDataFrame([("x", "A")], "linkage_id string, symbol string")
