@@ -1,16 +1,47 @@
 """Recurrences over ordered rows: what a window frame cannot express.
 
 The per-key state is small and bounded; Spark partitions and sorts the rows, and each recurrence
-is one step function that batch and streaming share.
+is one step function that batch and streaming share. Tasks stream over the sorted rows: they hold
+one Arrow batch and the state of one key, however long that key's series is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+ARROW = {"double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64()}
+
+
+def recurrence(df: DataFrame, key: str, order: str, needs: list[str], fields: str, start: Callable[[], Any], step: Callable[..., tuple]) -> DataFrame:
+    """``df`` with ``fields``: for each row in order of its key what ``step(state, *needs)`` returns.
+
+    Each key starts with a new state; null keys are one key. Null comes as None.
+    """
+    added = StructType.fromDDL(fields)
+    kinds = [ARROW[f.dataType.simpleString()] for f in added.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            found = []
+            for k, *values in zip(*(batch.column(c).to_pylist() for c in (key, *needs)), strict=True):
+                if state is None or k != last:
+                    last, state = k, start()
+                found.append(step(state, *values))
+            columns = zip(*found, strict=True) if found else [[]] * len(kinds)
+            arrays = [pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *added.names])
+
+    rows = df.repartition(key).sortWithinPartitions(key, order)
+    return rows.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))
+
 
 # ---- hedge-ratio filter
 
@@ -55,16 +86,20 @@ KALMAN_FIELDS = "beta double, intercept double, beta_var double, prediction doub
 
 
 def kalman(df: DataFrame, key: str, order: str, y: str, x: str, delta: float = 1e-7) -> DataFrame:
-    """(key, order, beta, ..., kz, confident) by one pass over each key's rows in order."""
+    """(key, order, beta, ..., kz, confident) by one pass over each key's rows in order.
+
+    A row without both prices gets nulls and leaves the filter as it is.
+    """
+    names = StructType.fromDDL(KALMAN_FIELDS).names
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state = pdf.sort_values(order), Kalman(delta=delta)
-        steps = [state.step(b, a) for b, a in zip(pdf[y], pdf[x], strict=True)]
-        return pd.concat([pdf[[key, order]].reset_index(drop=True), pd.DataFrame(steps)], axis=1)
+    def step(state: Kalman, b: float | None, a: float | None) -> tuple:
+        if a is None or b is None or a != a or b != b:
+            return (None,) * len(names)
+        out = state.step(b, a)
+        return tuple(out[n] for n in names)
 
-    rows = df.select(key, order, y, x)
-    kinds = dict(rows.dtypes)
-    out = rows.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {KALMAN_FIELDS}")
+    rows = df.select(key, order, F.col(y).cast("double").alias("_y"), F.col(x).cast("double").alias("_x"))
+    out = recurrence(rows, key, order, ["_y", "_x"], KALMAN_FIELDS, lambda: Kalman(delta=delta), step).drop("_y", "_x")
     return out.withColumn("confident", (F.col("innovation_var") > 0) & (F.col("beta_var") < 1))
 
 
@@ -110,19 +145,14 @@ class Episode:
 
 
 def episodes(df: DataFrame, key: str, ts: str, z: str, net: str, stale: str, warn: float, alert: float, min_net: float, cooldown_seconds: float) -> DataFrame:
-    """(key, ts, state, fired, peak_z) after each row. ts is a number of seconds."""
+    """(key, ts, state, fired, peak_z, peak_net) after each row. ts is a number of seconds."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, episode, out = pdf.sort_values(ts), Episode(), []
-        for row in pdf.itertuples(index=False):
-            clean = lambda x: None if pd.isna(x) else float(x)
-            fired = episode.step(float(getattr(row, ts)), clean(getattr(row, z)), clean(getattr(row, net)), bool(getattr(row, stale)), warn, alert, min_net, cooldown_seconds)
-            out.append((episode.state, fired, episode.peak_z))
-        return pd.concat([pdf[[key, ts]].reset_index(drop=True), pd.DataFrame(out, columns=["state", "fired", "peak_z"])], axis=1)
+    def step(episode: Episode, at: float, z: float | None, net: float | None, stale: bool | None) -> tuple:
+        fired = episode.step(float(at), z, net, bool(stale), warn, alert, min_net, cooldown_seconds)
+        return episode.state, fired, episode.peak_z, episode.peak_net
 
-    rows = df.select(key, ts, z, net, stale)
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {ts} {kinds[ts]}, state string, fired boolean, peak_z double")
+    out = recurrence(df.select(key, ts, z, net, stale), key, ts, [ts, z, net, stale], "state string, fired boolean, peak_z double, peak_net double", Episode, step)
+    return out.drop(z, net, stale)
 
 
 # ---- cooldown
@@ -174,57 +204,78 @@ class Levels:
         self.levels.append([price, 1, bar, price, price])
 
 
-LEVEL_FIELDS = "side string, price double, touches long, bar long, low double, high double, close double, atr double"
+@dataclass
+class Wilder:
+    """Wilder's running mean: the plain mean of the first n, then a smoothing of 1/n."""
 
+    n: int
+    seen: int = 0
+    total: float = 0.0
+    mean: float | None = None
 
-def wilder(values: list[float], n: int) -> list[float | None]:
-    """Wilder's running mean: the plain mean of the first n, then a smoothing of 1/n."""
-    out, mean = [], None
-    for i, v in enumerate(values):
-        if i == n - 1:
-            mean = sum(values[:n]) / n
-        elif i >= n:
-            mean += (v - mean) / n
-        out.append(mean)
-    return out
+    def step(self, value: float | None) -> float | None:
+        if value is None or value != value:
+            return self.mean
+        self.seen += 1
+        if self.seen > self.n:
+            self.mean += (value - self.mean) / self.n
+        else:
+            self.total += value
+            self.mean = self.total / self.n if self.seen == self.n else None
+        return self.mean
 
 
 def atr(bars: DataFrame, key: str, order: str, n: int = 14) -> DataFrame:
-    """``bars`` with atr, null for the first n - 1 bars of a key."""
-    ranged = bars.withColumn("tr", true_range(bars, key, order))
+    """``bars`` with tr and atr, atr null for the first n - 1 bars of a key; a bar without a range leaves it as it is."""
+    ranged = bars.withColumn("tr", true_range(bars, key, order).cast("double"))
+    return recurrence(ranged, key, order, ["tr"], "atr double", lambda: Wilder(n), lambda state, tr: (state.step(tr),))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.assign(atr=pd.Series(wilder(list(pdf["tr"]), n), index=pdf.index, dtype="float64"))
 
-    schema = ", ".join(f"{c} {t}" for c, t in ranged.dtypes)
-    return ranged.groupBy(key).applyInPandas(run, f"{schema}, atr double")
+LEVEL_FIELDS = ["side", "price", "touches", "bar", "low", "high", "close", "atr"]
 
 
 def levels(bars: DataFrame, key: str, order: str, n: int = 10, merge: float = 0.5) -> DataFrame:
     """Per key the levels at its last bar, resistance from high pivots and support from low ones.
 
-    bars must have atr; a pivot is known, and merged by the range of that day, n bars later.
+    bars must have atr; a pivot is known, and merged by the range of that day, n bars later. Only
+    pivots leave Spark's windows; a task folds them key by key.
     """
-    found = pivots(bars, key, order, n)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        sides = {"resistance": Levels(), "support": Levels()}
-        for i in range(n, len(pdf)):
-            seen, now = pdf.iloc[i - n], pdf.iloc[i]
-            if pd.isna(now["atr"]):
-                continue
-            for side, column in (("resistance", "pivot_high"), ("support", "pivot_low")):
-                if not pd.isna(seen[column]):
-                    sides[side].absorb(float(seen[column]), i - n, float(now["atr"]) * merge)
-        last = pdf.iloc[-1]
-        rows = [(last[key], side, *level, float(last["close"]), last["atr"]) for side, x in sides.items() for level in x.levels]
-        return pd.DataFrame(rows, columns=[key, "side", "price", "touches", "bar", "low", "high", "close", "atr"])
-
-    kinds = dict(found.dtypes)
-    cols = [key, order, "pivot_high", "pivot_low", "close", "atr"]
-    return found.select(*cols).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {LEVEL_FIELDS}")
+    w = Window.partitionBy(key).orderBy(order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = pivots(bars, key, order, n).select(
+        key, order, *(F.col(c).cast("double").alias(c) for c in ("pivot_high", "pivot_low")), (F.row_number().over(w) - 1).cast("long").alias("bar"),
+        (F.lead("atr", n).over(w) * merge).cast("double").alias("tolerance"), F.last("close").over(whole).cast("double").alias("close"), F.last("atr").over(whole).cast("double").alias("atr"),
+    )
+    found = found.where("tolerance is not null and (pivot_high is not null or pivot_low is not null)")
+    kind = found.schema[key]
+    schema = StructType([kind]).add("side", "string").add("price", "double").add("touches", "long").add("bar", "long")
+    for c in ("low", "high", "close", "atr"):
+        schema = schema.add(c, "double")
+    needs = [key, "pivot_high", "pivot_low", "bar", "tolerance", "close", "atr"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides, last = None, None
+
+        def finished() -> pa.RecordBatch:
+            rows = [(last[0], side, *level, *last[1:]) for side, x in sides.items() for level in x.levels]
+            columns = zip(*rows, strict=True)
+            types = [at, pa.string(), pa.float64(), pa.int64(), pa.int64(), *[pa.float64()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], [key, *LEVEL_FIELDS])
+
+        for batch in batches:
+            at = batch.schema.field(key).type
+            for k, top, low, bar, tolerance, close, range_ in zip(*(batch.column(c).to_pylist() for c in needs), strict=True):
+                if sides is None or k != last[0]:
+                    if sides is not None:
+                        yield finished()
+                    sides, last = {"resistance": Levels(), "support": Levels()}, (k, close, range_)
+                for side, price in (("resistance", top), ("support", low)):
+                    if price is not None:
+                        sides[side].absorb(price, bar, tolerance)
+        if sides is not None:
+            yield finished()
+
+    return found.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
 
 def ranked_levels(found: DataFrame, key: str, most: int = 6, near_pct: float = 25.0, min_touch: int = 2, equal: float = 0.12) -> DataFrame:

@@ -271,7 +271,7 @@ def ss_kalman_batch(spark, sf_dir):
 EPISODE_SQL = SERIES_SQL + """, zs AS (SELECT pair_id, i, d, CASE WHEN count(v) OVER w >= 30 THEN round((v - avg(v) OVER w) / stddev_samp(v) OVER w, 6) END AS z, round(abs(v) - 26.95, 6) AS net FROM series WINDOW w AS (PARTITION BY pair_id ORDER BY i ROWS BETWEEN 720 PRECEDING AND 1 PRECEDING)),
 o AS (SELECT *, epoch(d) AS ts, row_number() OVER (PARTITION BY pair_id ORDER BY i) AS k FROM zs WHERE z IS NOT NULL),
 ep AS (
-  SELECT pair_id, 0::BIGINT AS k, 0::BIGINT AS i, 'DORMANT' AS state, -1e18::DOUBLE AS alerted, false AS fired FROM pairs
+  SELECT pair_id, 0::BIGINT AS k, 0::BIGINT AS i, 'DORMANT' AS state, -1e18::DOUBLE AS alerted, false AS fired, 0.0::DOUBLE AS peak_z, 0.0::DOUBLE AS peak_net FROM pairs
   UNION ALL
   SELECT o.pair_id, o.k, o.i,
     CASE WHEN state = 'DORMANT' THEN CASE WHEN abs(z) >= 1 THEN 'WATCHING' ELSE 'DORMANT' END
@@ -279,16 +279,18 @@ ep AS (
          WHEN abs(z) < 1 THEN 'DORMANT'
          WHEN abs(z) >= 2 AND net >= 0 AND (ts - alerted >= 864000 OR state = 'DECAYING') THEN 'ALERT' ELSE state END,
     CASE WHEN state IN ('WATCHING', 'DECAYING') AND abs(z) >= 2 AND net >= 0 AND ts - alerted >= 864000 THEN ts ELSE alerted END,
-    state IN ('WATCHING', 'DECAYING') AND abs(z) >= 2 AND net >= 0 AND ts - alerted >= 864000
+    state IN ('WATCHING', 'DECAYING') AND abs(z) >= 2 AND net >= 0 AND ts - alerted >= 864000,
+    CASE WHEN state = 'DORMANT' AND abs(z) >= 1 THEN abs(z) WHEN state IN ('WATCHING', 'DECAYING') AND abs(z) < 1 THEN 0 ELSE greatest(peak_z, abs(z)) END,
+    CASE WHEN state = 'DORMANT' AND abs(z) >= 1 THEN net WHEN state IN ('WATCHING', 'DECAYING') AND abs(z) < 1 THEN 0 ELSE greatest(peak_net, net) END
   FROM ep JOIN o ON o.pair_id = ep.pair_id AND o.k = ep.k + 1)"""
 
 
-@query("ss_episode_states", f"WITH RECURSIVE {EPISODE_SQL} SELECT pair_id, i, state, fired FROM ep WHERE k > 0")
+@query("ss_episode_states", f"WITH RECURSIVE {EPISODE_SQL} SELECT pair_id, i, state, fired, peak_z, peak_net FROM ep WHERE k > 0")
 def ss_episode_states(spark, sf_dir):
     z = series(spark, sf_dir).withColumn("z", F.round(W.rolling_z("v", W.past("pair_id", "i", W.Z_WINDOW)), 6))
     rows = z.select("pair_id", F.col("i").cast("long").alias("i"), F.unix_timestamp(F.col("d").cast("timestamp")).cast("double").alias("ts"), "z", F.round(F.abs("v") - 26.95, 6).alias("net"), F.lit(False).alias("stale"))
     found = S.episodes(rows, "pair_id", "ts", "z", "net", "stale", 1.0, 2.0, 0.0, 10 * 86_400.0)
-    return found.join(rows.select("pair_id", "ts", "i", "z"), ["pair_id", "ts"]).where("z is not null").select("pair_id", "i", "state", "fired")
+    return found.join(rows.select("pair_id", "ts", "i", "z"), ["pair_id", "ts"]).where("z is not null").select("pair_id", "i", "state", "fired", "peak_z", "peak_net")
 
 
 # ---- chart

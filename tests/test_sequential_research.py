@@ -46,7 +46,25 @@ def test_levels_merge_and_rank(spark):
     assert math.isclose(found["resistance", 2].price, 15.1) and found["resistance", 1].price == 30.0
     top = S.ranked_levels(S.levels(df, "symbol", "d", n=2), "symbol", near_pct=50.0, min_touch=1).collect()
     assert {r.label for r in top if r.side == "resistance"} == {"2x"} and all(r.price < 30 for r in top)
-    assert S.wilder([1.0, 2.0, 3.0, 9.0], 3) == [None, None, 2.0, 2.0 + 7 / 3]
+    mean = S.Wilder(3)
+    assert [mean.step(x) for x in (1.0, 2.0, None, 3.0, 9.0, None)] == [None, None, None, 2.0, 2.0 + 7 / 3, 2.0 + 7 / 3]
+
+
+def test_recurrences_carry_their_state_over_batches(spark):
+    rows = [(k, i, float(i % 7), 1.0 + i % 3) for k in ("a", "b", None) for i in range(100)]
+    df = spark.createDataFrame(rows, "key string, i long, y double, x double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        got = S.recurrence(df, "key", "i", ["y"], "total double", lambda: [0.0], lambda state, y: (state.__setitem__(0, state[0] + y) or state[0],)).collect()
+        gap = S.kalman(df.withColumn("x", F.when(F.col("i") != 5, F.col("x"))), "key", "i", "y", "x").where("key = 'a'").orderBy("i").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(k, i): sum(float(j % 7) for j in range(i + 1)) for k in ("a", "b", None) for i in range(100)}
+    assert {(r.key, r.i): r.total for r in got} == want and len(got) == 300
+    state = S.Kalman()
+    for r, (_, i, y, x) in zip(gap, rows[:100], strict=True):
+        assert (r.beta is None) if i == 5 else r.beta == state.step(y, x)["beta"]
+    assert S.kalman(df.where("false"), "key", "i", "y", "x").count() == 0
 
 
 def test_sessions_follow_daylight_saving(spark):
