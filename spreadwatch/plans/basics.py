@@ -13,7 +13,7 @@ from spreadwatch.plans.frames import BARS_SQL, EVENTS_SQL, FRAME_SQL, LAGGED_SQL
 from spreadwatch.plans.registry import query, table
 from spreadwatch.plans.windows import OU_SQL, ou_parts
 from spreadwatch.sources.config import AlertRule, Linkage, Universe
-from spreadwatch.sources.market import event_calendar, last_bars, latest_quotes, ohlc, without_empty_rows
+from spreadwatch.sources.market import TableSource, event_calendar, last_bars, latest_quotes, ohlc, without_empty_rows
 from spreadwatch.sources.reports import universe_counts
 from spreadwatch.streaming.scan import books, history_quotes, observations, scan_line
 
@@ -70,6 +70,17 @@ def src_quote_lookup(spark, sf_dir):
     return wanted.join(latest_quotes(ticks(spark, sf_dir)).drop("ts"), "symbol", "left").withColumn("missing", F.col("price").isNull())
 
 
+@query(
+    "src_source_bars",
+    f"""WITH {TICKS_SQL}, b AS (SELECT symbol, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, count(*) AS volume
+  FROM ticks WHERE symbol IN ('view', 'click', 'absent') GROUP BY 1, 2)
+SELECT * FROM b WHERE open IS NOT NULL AND close IS NOT NULL AND high IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 40""",
+)
+def src_source_bars(spark, sf_dir):
+    found = TableSource(ticks(spark, sf_dir)).bars(["view", "click", "absent"], "15m", 40)
+    return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 # ---- expressions over linkages
 
 def fair_values(spark, sf_dir):
@@ -113,6 +124,18 @@ def exp_total_friction(spark, sf_dir):
     return UNIVERSE.frame(spark).select("linkage_id", "category", F.round(E.total_friction(F.col("friction")), 6).alias("friction"))
 
 
+@query(
+    "exp_finite_filter",
+    f"""WITH {TICKS_SQL}, x AS (SELECT symbol, CASE symbol WHEN 'view' THEN 'NaN'::DOUBLE WHEN 'click' THEN '-Infinity'::DOUBLE ELSE CAST(price AS DOUBLE) END AS x FROM ticks)
+SELECT symbol, count(*) AS n, count(*) FILTER (x IS NOT NULL AND isfinite(x)) AS kept, round(max(x) FILTER (isfinite(x)), 6) AS highest FROM x GROUP BY symbol""",
+)
+def exp_finite_filter(spark, sf_dir):
+    """Prices of which two kinds of event give no number: what the filter leaves of each."""
+    x = F.when(F.col("symbol") == "view", float("nan")).when(F.col("symbol") == "click", float("-inf")).otherwise(F.col("price").cast("double"))
+    good = F.when(E.finite(x), x)
+    return ticks(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.count(good).alias("kept"), F.round(F.max(good), 6).alias("highest"))
+
+
 STALE_SQL = TICKS_SQL + """, snap AS (SELECT user_id % 50 AS book, event_type AS leg, max(ts) AS ts FROM events GROUP BY 1, 2),
 age AS (SELECT book, leg, CAST(epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts) AS DOUBLE) / 1000000 AS age FROM snap),
 stale AS (SELECT book, max(age) > 3600 AS stale, min(CASE WHEN age > 3600 THEN leg END) AS first_stale_leg, round(max(age), 6) AS oldest FROM age GROUP BY book)"""

@@ -31,6 +31,12 @@ def ag_ols_hedge(spark, sf_dir):
     return A.ols_hedge(frame(spark, sf_dir)).select("pair_id", *r6("alpha", "beta", "r2"), F.col("n").cast("long").alias("n"), *r6("t"))
 
 
+@query("exp_beta_drift", f"WITH {OLS_SQL} SELECT pair_id, round(abs(beta - 1), 6) AS drift FROM ols")
+def exp_beta_drift(spark, sf_dir):
+    """How far the hedge ratio of each pair is from the one that an equal-weighted spread assumes."""
+    return A.ols_hedge(frame(spark, sf_dir)).select("pair_id", F.round(E.beta_drift(F.col("beta")), 6).alias("drift"))
+
+
 @query("exp_hedged_spread", f"WITH {OLS_SQL} SELECT pair_id, d, round(s, 4) AS spread_bps FROM hedged")
 def exp_hedged_spread(spark, sf_dir):
     rows = frame(spark, sf_dir)
@@ -151,6 +157,19 @@ def pl_event_study(spark, sf_dir):
     return R.event_study(abnormal(spark, sf_dir), ["day", "event_id"])
 
 
+@query(
+    "pl_event_study_fit",
+    f"""WITH {WALK_SQL}, f AS (SELECT count(*) AS n, regr_intercept(y, x) AS a, regr_slope(y, x) AS b, regr_r2(y, x) AS r2, quantile_cont(abs(y), 0.5) AS typical FROM m),
+c AS (SELECT count(*) AS coverage_n, avg(CASE WHEN y BETWEEN centre - half AND centre + half THEN 1.0::DOUBLE ELSE 0 END) AS coverage FROM h WHERE n >= 12)
+SELECT 'A' AS symbol, n, round(a + b * 0.5, 6) AS expected, round(typical, 6) AS typical_abs_move, round(b, 6) AS beta, round(r2, 6) AS r2, round(coverage, 6) AS coverage, coverage_n, coalesce(abs(coverage - 0.8) <= 0.1, FALSE) AS calibrated FROM f, c WHERE n >= 12""",
+)
+def pl_event_study_fit(spark, sf_dir):
+    """The event study for a surprise of half a percent, without what needs t distributions of any size."""
+    found = R.event_study(abnormal(spark, sf_dir), ["day", "event_id"], surprise=0.5)
+    longs = [F.col(c).cast("long").alias(c) for c in ("n", "coverage_n")]
+    return found.select("symbol", *longs, *r6("expected", "typical_abs_move", "beta", "r2", "coverage"), "calibrated")
+
+
 @query("ag_typical_move", f"WITH {MOVES_SQL} SELECT round(quantile_cont(abs(raw - bench), 0.5), 6) AS typical_abs_move, count(*) AS n FROM moves")
 def ag_typical_move(spark, sf_dir):
     return abnormal(spark, sf_dir).agg(F.round(F.expr("percentile(abs(move), 0.5)"), 6).alias("typical_abs_move"), F.count(F.lit(1)).alias("n"))
