@@ -164,14 +164,14 @@ def walk_forward(moves: DataFrame, order: list[str], confidence: float = 0.8, mi
     return rows.withColumn("inside", F.when(F.col("checked"), inside)).drop("_n", "_ss", "_sxx", "_mean", "tq")
 
 
-def event_study(moves: DataFrame, order: list[str], surprise: float = 0.0, confidence: float = 0.8, min_events: int = 12) -> DataFrame:
+def event_study(moves: DataFrame, order: list[str], surprise: float = 0.0, confidence: float = 0.8, min_events: int = 12, most: int = 400) -> DataFrame:
     """One row per symbol with enough events: expected move, its interval, how well surprise explains it, coverage."""
     fit = ols(F.col("move"), F.col("surprise"))
     whole = moves.groupBy("symbol").agg(
         fit["n"].alias("n"), fit["alpha"].alias("alpha"), fit["beta"].alias("beta"), fit["r2"].alias("r2"), fit["ss_res"].alias("ss"), fit["sxx"].alias("sxx"),
         F.avg("surprise").alias("mean"), F.expr("percentile(abs(move), 0.5)").alias("typical_abs_move"),
     ).where(F.col("n") >= min_events)
-    tested = walk_forward(moves, order, confidence, min_events).groupBy("symbol").agg(F.avg(F.col("inside").cast("double")).alias("coverage"), F.count("inside").alias("coverage_n"))
+    tested = walk_forward(moves, order, confidence, min_events, most).groupBy("symbol").agg(F.avg(F.col("inside").cast("double")).alias("coverage"), F.count("inside").alias("coverage_n"))
 
     @F.pandas_udf("double")
     def quantile(n: pd.Series) -> pd.Series:

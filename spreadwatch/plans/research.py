@@ -165,7 +165,7 @@ SELECT 'A' AS symbol, n, round(a + b * 0.5, 6) AS expected, round(typical, 6) AS
 )
 def pl_event_study_fit(spark, sf_dir):
     """The event study for a surprise of half a percent, without what needs t distributions of any size."""
-    found = R.event_study(abnormal(spark, sf_dir), ["day", "event_id"], surprise=0.5)
+    found = R.event_study(abnormal(spark, sf_dir), ["day", "event_id"], surprise=0.5, most=200)
     longs = [F.col(c).cast("long").alias(c) for c in ("n", "coverage_n")]
     return found.select("symbol", *longs, *r6("expected", "typical_abs_move", "beta", "r2", "coverage"), "calibrated")
 
