@@ -84,21 +84,33 @@ def pair_tests(frame: DataFrame, logs: bool) -> DataFrame:
     return frame.groupBy("pair_id").applyInPandas(_tests(logs), "pair_id string, coint_p double, adf_p double")
 
 
+def _measured(spread: DataFrame, fits: DataFrame, window: int) -> DataFrame:
+    """What a profile holds besides its tests, from screened rows with the spread of the pair's own fit."""
+    k = Window.partitionBy("pair_id").orderBy("d")
+    rets = spread.select("pair_id", "d", (F.col("pa") / F.lag("pa").over(k) - 1).alias("ra"), (F.col("pb") / F.lag("pb").over(k) - 1).alias("rb"))
+    rolled = rets.withColumn("c", W.rolling_corr("ra", "rb", W.upto("pair_id", "d", window), window))
+    corr = rolled.groupBy("pair_id").agg(F.corr("ra", "rb").alias("return_corr"), F.max_by("c", "d").alias("corr_now"), F.min("c").alias("corr_min"), F.max("c").alias("corr_max"))
+    out = spread.groupBy("pair_id").agg(F.min("d").alias("start"), F.max("d").alias("end"))
+    for part in (fits, corr, A.spread_stats(spread, "pair_id", "d", "spread_bps"), A.half_life(spread, "pair_id", "d", "spread_bps")):
+        out = out.join(part, "pair_id", "left")
+    return out.withColumn("stability", E.stability(F.col("corr_max") - F.col("corr_min")))
+
+
+def profile_measures(frame: DataFrame, window: int = 60) -> DataFrame:
+    """Of each pair (pair_id, d, pa, pb) its regression, correlations, spread and half-life: all Spark can do without Python."""
+    clean = screen(frame)
+    fits = A.ols_hedge(clean)
+    return _measured(A.hedged_spread(clean, fits), fits, window)
+
+
 def profile(frame: DataFrame, window: int = 60) -> DataFrame:
     """What there is to know about each pair (pair_id, d, pa, pb), one row per pair."""
     clean = screen(frame)
     fits = A.ols_hedge(clean)
     spread = A.hedged_spread(clean, fits)
-    k = Window.partitionBy("pair_id").orderBy("d")
-    rets = clean.select("pair_id", "d", (F.col("pa") / F.lag("pa").over(k) - 1).alias("ra"), (F.col("pb") / F.lag("pb").over(k) - 1).alias("rb"))
-    rolled = rets.withColumn("c", W.rolling_corr("ra", "rb", W.upto("pair_id", "d", window), window))
-    corr = rolled.groupBy("pair_id").agg(F.corr("ra", "rb").alias("return_corr"), F.max_by("c", "d").alias("corr_now"), F.min("c").alias("corr_min"), F.max("c").alias("corr_max"))
-    span = clean.groupBy("pair_id").agg(F.min("d").alias("start"), F.max("d").alias("end"))
-    out = span
-    for part in (fits, corr, A.spread_stats(spread, "pair_id", "d", "spread_bps"), A.half_life(spread, "pair_id", "d", "spread_bps"), pair_tests(spread, logs=False)):
-        out = out.join(part, "pair_id", "left")
+    out = _measured(spread, fits, window).join(pair_tests(spread, logs=False), "pair_id", "left")
     swing = F.col("corr_max") - F.col("corr_min")
-    return out.withColumns({"stability": E.stability(swing), "verdict": E.profile_verdict(F.col("n"), F.col("coint_p"), F.col("half_life"), swing)})
+    return out.withColumn("verdict", E.profile_verdict(F.col("n"), F.col("coint_p"), F.col("half_life"), swing))
 
 
 def fit_catalogue(frame: DataFrame, catalogue: DataFrame, horizon: float = 3.0, q: float = 0.05) -> DataFrame:

@@ -15,7 +15,7 @@ from spreadwatch.operators.detector import verdicts
 from spreadwatch.plans.basics import ALERTS_SQL, MOVES_SQL, event_moves, outcomes
 from spreadwatch.plans.frames import BARS_SQL, FRAME_SQL, LAGGED_SQL, SERIES_SQL, TICKS_SQL, bars, frame, r6, series, ticks
 from spreadwatch.plans.registry import query, table
-from spreadwatch.plans.windows import OU_SQL, ROLLING_SQL, ou_parts, returns, rolling
+from spreadwatch.plans.windows import FLAGS_SQL, OU_SQL, ROLLING_SQL, ou_parts, returns, rolling
 from spreadwatch.sources.config import Linkage
 
 # ---- aggregates
@@ -242,6 +242,26 @@ def pl_backtest_summary_detrended(spark, sf_dir):
 # ---- pairs
 
 
+PROFILE_SQL = FLAGS_SQL + """, clean AS (SELECT pair_id, d, pa, pb FROM flags WHERE NOT (spike_a OR spike_b OR stale_a OR stale_b OR outlier)),
+fit AS (SELECT pair_id, regr_intercept(ln(pa), ln(pb)) AS alpha, regr_slope(ln(pa), ln(pb)) AS beta, regr_r2(ln(pa), ln(pb)) AS r2, count(*) AS n FROM clean GROUP BY pair_id),
+spread AS (SELECT pair_id, d, (ln(pa) - (alpha + beta * ln(pb))) * 10000 AS s, pa / lag(pa) OVER k - 1 AS ra, pb / lag(pb) OVER k - 1 AS rb FROM clean JOIN fit USING (pair_id) WINDOW k AS (PARTITION BY pair_id ORDER BY d)),
+step AS (SELECT pair_id, d, s, ra, rb, lag(s) OVER k AS ls, s - lag(s) OVER k AS ds, CASE WHEN count(ra) OVER w = 60 THEN corr(ra, rb) OVER w END AS c
+  FROM spread WINDOW k AS (PARTITION BY pair_id ORDER BY d), w AS (PARTITION BY pair_id ORDER BY d ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+whole AS (SELECT pair_id, min(d) AS first_day, max(d) AS last_day, corr(ra, rb) AS return_corr, arg_max(c, d) AS corr_now, min(c) AS corr_min, max(c) AS corr_max, stddev_samp(s) AS sd, (arg_max(s, d) - avg(s)) / stddev_samp(s) AS current_z,
+  CASE WHEN regr_slope(ds, ls) < 0 AND regr_count(ds, ls) >= 30 THEN -ln(2) / regr_slope(ds, ls) END AS half_life FROM step GROUP BY pair_id)"""
+
+
+@query(
+    "pl_profile_measures",
+    f"""WITH {PROFILE_SQL} SELECT pair_id, n, first_day, last_day, round(beta, 6) AS beta, round(r2, 6) AS r2, round(return_corr, 6) AS return_corr, round(corr_now, 6) AS corr_now, round(corr_min, 6) AS corr_min, round(corr_max, 6) AS corr_max,
+  round(sd, 4) AS sd, round(current_z, 6) AS current_z, round(half_life, 6) AS half_life, CASE WHEN corr_max - corr_min < 0.4 THEN 'stable' WHEN corr_max - corr_min < 0.8 THEN 'variable' ELSE 'unstable' END AS stability FROM whole JOIN fit USING (pair_id)""",
+)
+def pl_profile_measures(spark, sf_dir):
+    found = R.profile_measures(frame(spark, sf_dir))
+    days = F.col("start").alias("first_day"), F.col("end").alias("last_day")
+    return found.select("pair_id", F.col("n").cast("long").alias("n"), *days, *r6("beta", "r2", "return_corr", "corr_now", "corr_min", "corr_max"), F.round("sd", 4).alias("sd"), *r6("current_z", "half_life"), "stability")
+
+
 @query("pl_pair_profile")
 def pl_pair_profile(spark, sf_dir):
     return R.profile(frame(spark, sf_dir))
