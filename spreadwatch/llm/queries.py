@@ -8,6 +8,7 @@ from spreadwatch.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from spreadwatch.llm.html_extract import op9_html_extract
 from spreadwatch.llm.language_id import op6_language_id
 from spreadwatch.llm.line_dedup import OP5_SQL, op5_line_dedup
+from spreadwatch.llm.lm_scoring import op11_lm_scoring
 from spreadwatch.llm.mixing import OP3_SQL, op3_mix_sources
 from spreadwatch.llm.ngram_join import OP2_SQL, op2_ngram_jaccard
 from spreadwatch.llm.prefix_trie import OP13_SQL, op13_prefix_trie
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_html_extract": op9_html_extract,
     "op10_warc_archive": op10_warc_archive,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_prefix_trie": op13_prefix_trie,
 }
