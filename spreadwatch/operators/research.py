@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadwatch.functions import expressions as E
-from spreadwatch.functions.stats import adf, engle_granger, ols, t_quantile
+from spreadwatch.functions.stats import adf, engle_granger, ols, t_pvalue_of, t_quantile_of
 from spreadwatch.operators import aggregates as A
 from spreadwatch.operators import windows as W
 from spreadwatch.operators.quality import screen
@@ -151,54 +151,38 @@ def compile_pair(pair: Pair, k: float, beta: float, friction: float) -> Linkage:
     )
 
 
-def t_quantiles(spark, p: float, most: int) -> DataFrame:
-    """(n, tq): the t-quantile with n - 2 degrees of freedom for n from 3 to ``most``."""
-    return spark.createDataFrame([(n, t_quantile(p, n - 2)) for n in range(3, most + 1)], "n long, tq double")
-
-
-def walk_forward(moves: DataFrame, order: list[str], confidence: float = 0.8, min_train: int = 12, most: int = 400) -> DataFrame:
+def walk_forward(moves: DataFrame, order: list[str], confidence: float = 0.8, min_train: int = 12) -> DataFrame:
     """Each outcome (symbol, surprise, move) against the interval that earlier ones predict for it.
 
-    An expanding regression per symbol; the t-quantiles of up to ``most`` earlier outcomes come from
-    a small table, and beyond it from the last entry, which differs by less than 1e-3.
+    An expanding regression per symbol, with the t-quantile of exactly as many earlier outcomes as
+    there are, worked out in Arrow batches once for each number.
     """
     w = Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     fit = ols(F.col("move"), F.col("surprise"), w)
     mean = F.avg("surprise").over(w)
     rows = moves.withColumns({"n": fit["n"], "centre": fit["alpha"] + fit["beta"] * F.col("surprise"), "_ss": fit["ss_res"], "_sxx": fit["sxx"], "_mean": mean})
-    table = t_quantiles(moves.sparkSession, 1 - (1 - confidence) / 2, most)
-    rows = rows.withColumn("_n", F.least("n", F.lit(most))).join(F.broadcast(table.withColumnRenamed("n", "_n")), "_n", "left")
+    rows = rows.withColumn("_tq", t_quantile_of(1 - (1 - confidence) / 2, F.when(F.col("n") >= 3, F.col("n") - 2)))
     leverage = F.when(F.col("_sxx") > 0, F.pow(F.col("surprise") - F.col("_mean"), F.lit(2.0)) / F.col("_sxx")).otherwise(0.0)
-    half = F.col("tq") * F.sqrt(F.col("_ss") / (F.col("n") - 2)) * F.sqrt(1 + 1 / F.col("n") + leverage)
+    half = F.col("_tq") * F.sqrt(F.col("_ss") / (F.col("n") - 2)) * F.sqrt(1 + 1 / F.col("n") + leverage)
     half = F.when(F.col("n") >= 3, half)
     rows = rows.withColumns({"low": F.col("centre") - half, "high": F.col("centre") + half, "checked": F.col("n") >= min_train})
     inside = (F.col("move") >= F.col("low")) & (F.col("move") <= F.col("high"))
-    return rows.withColumn("inside", F.when(F.col("checked"), inside)).drop("_n", "_ss", "_sxx", "_mean", "tq")
+    return rows.withColumn("inside", F.when(F.col("checked"), inside)).drop("_ss", "_sxx", "_mean", "_tq")
 
 
-def event_study(moves: DataFrame, order: list[str], surprise: float = 0.0, confidence: float = 0.8, min_events: int = 12, most: int = 400) -> DataFrame:
+def event_study(moves: DataFrame, order: list[str], surprise: float = 0.0, confidence: float = 0.8, min_events: int = 12) -> DataFrame:
     """One row per symbol with enough events: expected move, its interval, how well surprise explains it, coverage."""
     fit = ols(F.col("move"), F.col("surprise"))
     whole = moves.groupBy("symbol").agg(
         fit["n"].alias("n"), fit["alpha"].alias("alpha"), fit["beta"].alias("beta"), fit["r2"].alias("r2"), fit["ss_res"].alias("ss"), fit["sxx"].alias("sxx"),
         F.avg("surprise").alias("mean"), F.expr("percentile(abs(move), 0.5)").alias("typical_abs_move"),
     ).where(F.col("n") >= min_events)
-    tested = walk_forward(moves, order, confidence, min_events, most).groupBy("symbol").agg(F.avg(F.col("inside").cast("double")).alias("coverage"), F.count("inside").alias("coverage_n"))
-
-    @F.pandas_udf("double")
-    def quantile(n: pd.Series) -> pd.Series:
-        return n.map(lambda x: t_quantile(1 - (1 - confidence) / 2, int(x) - 2))
-
-    from spreadwatch.functions.stats import t_pvalue
-
-    @F.pandas_udf("double")
-    def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([t_pvalue(a, int(b) - 2) if a == a else None for a, b in zip(t, n, strict=True)])
+    tested = walk_forward(moves, order, confidence, min_events).groupBy("symbol").agg(F.avg(F.col("inside").cast("double")).alias("coverage"), F.count("inside").alias("coverage_n"))
 
     s = F.sqrt(F.col("ss") / (F.col("n") - 2))
     leverage = F.when(F.col("sxx") > 0, F.pow(F.lit(surprise) - F.col("mean"), F.lit(2.0)) / F.col("sxx")).otherwise(0.0)
-    half = quantile("n") * s * F.sqrt(1 + 1 / F.col("n") + leverage)
-    out = whole.join(tested, "symbol").withColumns({"expected": F.col("alpha") + F.col("beta") * surprise, "half": half, "p": p_value(F.col("beta") / (s / F.sqrt("sxx")), F.col("n"))})
+    half = t_quantile_of(1 - (1 - confidence) / 2, F.col("n") - 2) * s * F.sqrt(1 + 1 / F.col("n") + leverage)
+    out = whole.join(tested, "symbol").withColumns({"expected": F.col("alpha") + F.col("beta") * surprise, "half": half, "p": t_pvalue_of(F.col("beta") / (s / F.sqrt("sxx")), F.col("n") - 2)})
     return out.select(
         "symbol", "n", "expected", (F.col("expected") - F.col("half")).alias("low"), (F.col("expected") + F.col("half")).alias("high"), "typical_abs_move", "beta", "r2", "p", "coverage", "coverage_n",
         ((F.col("p") < 0.05) & (F.col("r2") > 0.05)).alias("informative"), F.coalesce(F.abs(F.col("coverage") - confidence) <= 0.10, F.lit(False)).alias("calibrated"),

@@ -9,7 +9,7 @@ from spreadwatch.functions import expressions as E
 from spreadwatch.functions.formula import compile_formula
 from spreadwatch.operators import windows as W
 from spreadwatch.operators.alignment import asof_join, complete_legs, event_windows, within
-from spreadwatch.plans.frames import BARS_SQL, EVENTS_SQL, FRAME_SQL, LAGGED_SQL, SERIES_SQL, TICKS_SQL, announcements, bars, frame, r6, series, ticks
+from spreadwatch.plans.frames import BARS_SQL, BENCHMARKS, EVENTS_SQL, FRAME_SQL, LAGGED_SQL, SERIES_SQL, TICKS_SQL, announced, announcements, bars, frame, r6, series, ticks
 from spreadwatch.plans.registry import query, table
 from spreadwatch.plans.windows import OU_SQL, ou_parts
 from spreadwatch.sources.config import AlertRule, Linkage, Universe
@@ -261,29 +261,30 @@ WINDOWS_SQL = BARS_SQL + ", " + EVENTS_SQL + """, ranked AS (SELECT *, row_numbe
 entry AS (SELECT c.*, r.k FROM calendar c ASOF JOIN ranked r ON r.symbol = c.symbol AND r.d < c.day),
 win AS (SELECT e.event_id, e.symbol, e.day, e.surprise_pct, r0.d AS entry_d, r0.close AS p0, r1.d AS exit_d, r1.close AS p1
   FROM entry e JOIN ranked r0 ON r0.symbol = e.symbol AND r0.k = e.k JOIN ranked r1 ON r1.symbol = e.symbol AND r1.k = e.k + 3 JOIN ranked r2 ON r2.symbol = e.symbol AND r2.k = e.k + 4)"""
-MOVES_SQL = WINDOWS_SQL + """, moves AS (SELECT event_id, day, surprise_pct, (p1 / p0 - 1) * 100 AS raw, (b1.close / b0.close - 1) * 100 AS bench
-  FROM win JOIN bars b0 ON b0.symbol = 'N' AND b0.d = entry_d JOIN bars b1 ON b1.symbol = 'N' AND b1.d = exit_d WHERE p0 > 0 AND b0.close > 0)"""
+MOVES_SQL = WINDOWS_SQL + """, bm(symbol, other) AS (VALUES ('A', 'N'), ('N', 'R'), ('R', 'A')), moves AS (SELECT event_id, win.symbol, day, surprise_pct, (p1 / p0 - 1) * 100 AS raw, (b1.close / b0.close - 1) * 100 AS bench
+  FROM win JOIN bm ON bm.symbol = win.symbol JOIN bars b0 ON b0.symbol = other AND b0.d = entry_d JOIN bars b1 ON b1.symbol = other AND b1.d = exit_d WHERE p0 > 0 AND b0.close > 0)"""
 
 
 def event_moves(spark, sf_dir):
-    """(event_id, day, surprise_pct, raw, bench): moves of A and of its benchmark N around events."""
+    """(event_id, symbol, day, surprise_pct, raw, bench): moves of the announcing symbols and of their benchmarks around events."""
     prices = bars(spark, sf_dir)
-    win = event_windows(announcements(spark, sf_dir), prices.where("symbol = 'A'"), 3).where("p0 > 0")
-    at = lambda d, p: prices.where("symbol = 'N'").select(F.col("d").alias(d), F.col("close").alias(p))
-    met = win.join(at("entry_d", "b0"), "entry_d").join(at("exit_d", "b1"), "exit_d").where("b0 > 0")
-    return met.select("event_id", "day", "surprise_pct", ((F.col("p1") / F.col("p0") - 1) * 100).alias("raw"), ((F.col("b1") / F.col("b0") - 1) * 100).alias("bench"))
+    known = prices.join(F.broadcast(spark.createDataFrame(BENCHMARKS, "of string, symbol string")), "symbol")  # a row a declared symbol
+    win = event_windows(announcements(spark, sf_dir), prices, 3).where("p0 > 0")
+    at = lambda d, p: known.select(F.col("of").alias("symbol"), F.col("d").alias(d), F.col("close").alias(p))
+    met = win.join(at("entry_d", "b0"), ["symbol", "entry_d"]).join(at("exit_d", "b1"), ["symbol", "exit_d"]).where("b0 > 0")
+    return met.select("event_id", "symbol", "day", "surprise_pct", ((F.col("p1") / F.col("p0") - 1) * 100).alias("raw"), ((F.col("b1") / F.col("b0") - 1) * 100).alias("bench"))
 
 
-@query("jn_event_entry_exit", f"WITH {WINDOWS_SQL} SELECT event_id, day, entry_d, p0, exit_d, p1 FROM win")
+@query("jn_event_entry_exit", f"WITH {WINDOWS_SQL} SELECT event_id, symbol, day, entry_d, p0, exit_d, p1 FROM win")
 def jn_event_entry_exit(spark, sf_dir):
-    win = event_windows(announcements(spark, sf_dir), bars(spark, sf_dir).where("symbol = 'A'"), 3)
-    return win.select("event_id", "day", "entry_d", "p0", "exit_d", "p1")
+    win = event_windows(announcements(spark, sf_dir), bars(spark, sf_dir), 3)
+    return win.select("event_id", "symbol", "day", "entry_d", "p0", "exit_d", "p1")
 
 
-@query("jn_abnormal_move", f"WITH {MOVES_SQL} SELECT event_id, day, round(surprise_pct, 6) AS surprise_pct, round(raw - bench, 6) AS abnormal_move_pct FROM moves")
+@query("jn_abnormal_move", f"WITH {MOVES_SQL} SELECT event_id, symbol, day, round(surprise_pct, 6) AS surprise_pct, round(raw - bench, 6) AS abnormal_move_pct FROM moves")
 def jn_abnormal_move(spark, sf_dir):
     found = event_moves(spark, sf_dir)
-    return found.select("event_id", "day", *r6("surprise_pct"), F.round(F.col("raw") - F.col("bench"), 6).alias("abnormal_move_pct"))
+    return found.select("event_id", "symbol", "day", *r6("surprise_pct"), F.round(F.col("raw") - F.col("bench"), 6).alias("abnormal_move_pct"))
 
 
 ALERTS_SQL = SERIES_SQL + """, alerts AS (SELECT pair_id, d, v, abs(v) * 0.5 AS predicted FROM series WHERE abs(v) > 6000),
@@ -310,8 +311,7 @@ n AS (SELECT symbol, arg_min(ts, away) AS event_ts, min(away) AS away FROM c WHE
 SELECT linkage_id, leg, legs.symbol, event_ts, round(away, 6) AS days_away, bool_or(away IS NOT NULL) OVER (PARTITION BY linkage_id) AS suppressed FROM legs LEFT JOIN n ON n.symbol = legs.symbol""",
 )
 def jn_event_suppression(spark, sf_dir):
-    symbol = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R")
-    cal = table(spark, sf_dir, "orders").select(symbol.alias("symbol"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    cal = table(spark, sf_dir, "orders").select(announced(F.col("o_orderstatus")).alias("symbol"), F.col("o_orderdate").cast("timestamp").alias("ts"))
     met = within(UNIVERSE.legs_frame(spark), cal, "symbol", F.lit("1997-06-01").cast("timestamp"), "ts", 3.0)
     blocked = F.bool_or(F.col("days_away").isNotNull()).over(Window.partitionBy("linkage_id"))
     return met.select("linkage_id", "leg", "symbol", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"), F.round("days_away", 6).alias("days_away"), blocked.alias("suppressed"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spreadwatch.functions.expressions import log_spread_bps
@@ -10,6 +10,8 @@ from spreadwatch.operators.alignment import pair_frame
 from spreadwatch.plans.registry import table
 from spreadwatch.sources.market import daily_vwap
 
+#: What each symbol's moves are compared with.
+BENCHMARKS = [("A", "N"), ("N", "R"), ("R", "A")]
 PAIRS = [("A-N", "A", "N"), ("A-R", "A", "R"), ("N-R", "N", "R")]
 
 BARS_SQL = """bars AS (
@@ -23,7 +25,7 @@ SERIES_SQL = FRAME_SQL + """, series AS (
 LAGGED_SQL = SERIES_SQL + """, lagged AS (
   SELECT *, lag(v) OVER k AS lv, v - lag(v) OVER k AS dv FROM series WINDOW k AS (PARTITION BY pair_id ORDER BY i))"""
 EVENTS_SQL = """calendar AS (
-  SELECT o_orderkey AS event_id, 'A' AS symbol, CAST(o_orderdate AS DATE) AS day, (o_totalprice / avg(o_totalprice) OVER () - 1) * 100 AS surprise_pct
+  SELECT o_orderkey AS event_id, CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END AS symbol, CAST(o_orderdate AS DATE) AS day, (o_totalprice / avg(o_totalprice) OVER () - 1) * 100 AS surprise_pct
   FROM orders)"""
 
 
@@ -45,13 +47,18 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir).select("pair_id", "d", "pa", "pb", v, i)
 
 
+def announced(status: Column) -> Column:
+    """The symbol that an order of this status announces for."""
+    return F.when(status == "F", "A").when(status == "O", "N").otherwise("R")
+
+
 def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, symbol, day, surprise_pct): every order is one; one number, the mean, is joined in."""
     orders = table(spark, sf_dir, "orders")
     mean = F.avg("o_totalprice").alias("mean")
     found = orders.crossJoin(F.broadcast(orders.agg(mean)))
     return found.select(
-        F.col("o_orderkey").alias("event_id"), F.lit("A").alias("symbol"), F.col("o_orderdate").cast("date").alias("day"),
+        F.col("o_orderkey").alias("event_id"), announced(F.col("o_orderstatus")).alias("symbol"), F.col("o_orderdate").cast("date").alias("day"),
         ((F.col("o_totalprice") / F.col("mean") - 1) * 100).alias("surprise_pct"),
     )
 

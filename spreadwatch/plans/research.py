@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spreadwatch.functions import expressions as E
-from spreadwatch.functions.stats import t_quantile
+from spreadwatch.functions.stats import t_expansion, t_quantile
 from spreadwatch.operators import aggregates as A
 from spreadwatch.operators import research as R
 from spreadwatch.operators import sequential as S
@@ -129,27 +129,30 @@ def ag_alert_count(spark, sf_dir):
 
 # ---- event study
 
-T_SQL = "tq(n, t) AS (VALUES " + ", ".join(f"({n}, {t_quantile(0.9, n - 2)!r}::DOUBLE)" for n in range(3, 201)) + ")"
-WALK_SQL = MOVES_SQL + ", " + T_SQL + """, m AS (SELECT event_id, day, surprise_pct AS x, raw - bench AS y FROM moves),
+# up to 200 degrees of freedom a table, beyond them the expansion in 1/dof, whose error is under 1e-12 there
+_T = t_expansion(0.9)
+T_SQL = "tq(v, t) AS (VALUES " + ", ".join(f"({v}, {t_quantile(0.9, v)!r}::DOUBLE)" for v in range(1, 201)) + ")"
+T_SERIES = " + ".join(f"{g!r}::DOUBLE / pow(e.n - 2, {i})" if i else f"{g!r}::DOUBLE" for i, g in enumerate(_T))
+WALK_SQL = MOVES_SQL + ", " + T_SQL + f""", m AS (SELECT event_id, symbol, day, surprise_pct AS x, raw - bench AS y FROM moves),
 e AS (SELECT *, regr_count(y, x) OVER w AS n, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a, regr_sxx(y, x) OVER w AS sxx, avg(x) OVER w AS mx, greatest(regr_syy(y, x) OVER w - pow(regr_sxy(y, x) OVER w, 2) / nullif(regr_sxx(y, x) OVER w, 0), 0) AS ss
-  FROM m WINDOW w AS (ORDER BY day, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-h AS (SELECT e.*, a + b * x AS centre, CASE WHEN e.n >= 3 THEN t * sqrt(ss / nullif(e.n - 2, 0)) * sqrt(1 + 1.0::DOUBLE / e.n + CASE WHEN sxx > 0 THEN pow(x - mx, 2) / sxx ELSE 0 END) END AS half FROM e LEFT JOIN tq ON tq.n = least(e.n, 200))"""
+  FROM m WINDOW w AS (PARTITION BY symbol ORDER BY day, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT e.*, a + b * x AS centre, CASE WHEN e.n >= 3 THEN CASE WHEN e.n > 202 THEN {T_SERIES} ELSE t END * sqrt(ss / nullif(e.n - 2, 0)) * sqrt(1 + 1.0::DOUBLE / e.n + CASE WHEN sxx > 0 THEN pow(x - mx, 2) / sxx ELSE 0 END) END AS half FROM e LEFT JOIN tq ON tq.v = e.n - 2)"""
 
 
 def abnormal(spark, sf_dir):
-    return event_moves(spark, sf_dir).select(F.lit("A").alias("symbol"), "event_id", "day", F.col("surprise_pct").alias("surprise"), (F.col("raw") - F.col("bench")).alias("move"))
+    return event_moves(spark, sf_dir).select("symbol", "event_id", "day", F.col("surprise_pct").alias("surprise"), (F.col("raw") - F.col("bench")).alias("move"))
 
 
-@query("wn_prediction_interval", f"WITH {WALK_SQL} SELECT event_id, n, round(centre - half, 4) AS low, round(centre + half, 4) AS high FROM h WHERE n >= 3")
+@query("wn_prediction_interval", f"WITH {WALK_SQL} SELECT event_id, symbol, n, round(centre - half, 4) AS low, round(centre + half, 4) AS high FROM h WHERE n >= 3")
 def wn_prediction_interval(spark, sf_dir):
-    rows = R.walk_forward(abnormal(spark, sf_dir), ["day", "event_id"], most=200).where("n >= 3")
-    return rows.select("event_id", F.col("n").cast("long").alias("n"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+    rows = R.walk_forward(abnormal(spark, sf_dir), ["day", "event_id"]).where("n >= 3")
+    return rows.select("event_id", "symbol", F.col("n").cast("long").alias("n"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
-@query("ag_walkforward_coverage", f"WITH {WALK_SQL} SELECT count(*) AS checked, round(avg(CASE WHEN y BETWEEN centre - half AND centre + half THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage FROM h WHERE n >= 12")
+@query("ag_walkforward_coverage", f"WITH {WALK_SQL} SELECT symbol, count(*) AS checked, round(avg(CASE WHEN y BETWEEN centre - half AND centre + half THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage FROM h WHERE n >= 12 GROUP BY symbol")
 def ag_walkforward_coverage(spark, sf_dir):
-    rows = R.walk_forward(abnormal(spark, sf_dir), ["day", "event_id"], most=200).where("checked")
-    return rows.agg(F.count(F.lit(1)).alias("checked"), F.round(F.avg(F.col("inside").cast("double")), 6).alias("coverage"))
+    rows = R.walk_forward(abnormal(spark, sf_dir), ["day", "event_id"]).where("checked")
+    return rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("checked"), F.round(F.avg(F.col("inside").cast("double")), 6).alias("coverage"))
 
 
 @query("pl_event_study")
@@ -159,20 +162,23 @@ def pl_event_study(spark, sf_dir):
 
 @query(
     "pl_event_study_fit",
-    f"""WITH {WALK_SQL}, f AS (SELECT count(*) AS n, regr_intercept(y, x) AS a, regr_slope(y, x) AS b, regr_r2(y, x) AS r2, quantile_cont(abs(y), 0.5) AS typical FROM m),
-c AS (SELECT count(*) AS coverage_n, avg(CASE WHEN y BETWEEN centre - half AND centre + half THEN 1.0::DOUBLE ELSE 0 END) AS coverage FROM h WHERE n >= 12)
-SELECT 'A' AS symbol, n, round(a + b * 0.5, 6) AS expected, round(typical, 6) AS typical_abs_move, round(b, 6) AS beta, round(r2, 6) AS r2, round(coverage, 6) AS coverage, coverage_n, coalesce(abs(coverage - 0.8) <= 0.1, FALSE) AS calibrated FROM f, c WHERE n >= 12""",
+    f"""WITH {WALK_SQL}, f AS (SELECT symbol, count(*) AS n, regr_intercept(y, x) AS a, regr_slope(y, x) AS b, regr_r2(y, x) AS r2, quantile_cont(abs(y), 0.5) AS typical, avg(x) AS mx, regr_sxx(y, x) AS sxx,
+  greatest(regr_syy(y, x) - pow(regr_sxy(y, x), 2) / nullif(regr_sxx(y, x), 0), 0) AS ss FROM m GROUP BY symbol),
+g AS (SELECT e.*, CASE WHEN e.n > 202 THEN {T_SERIES} ELSE t END * sqrt(ss / (e.n - 2)) * sqrt(1 + 1.0::DOUBLE / e.n + pow(0.5 - mx, 2) / sxx) AS half FROM f e LEFT JOIN tq ON tq.v = e.n - 2),
+c AS (SELECT symbol, count(*) AS coverage_n, avg(CASE WHEN y BETWEEN centre - half AND centre + half THEN 1.0::DOUBLE ELSE 0 END) AS coverage FROM h WHERE n >= 12 GROUP BY symbol)
+SELECT symbol, n, round(a + b * 0.5, 6) AS expected, round(a + b * 0.5 - half, 6) AS low, round(a + b * 0.5 + half, 6) AS high, round(typical, 6) AS typical_abs_move, round(b, 6) AS beta, round(r2, 6) AS r2, round(coverage, 6) AS coverage, coverage_n,
+  coalesce(abs(coverage - 0.8) <= 0.1, FALSE) AS calibrated FROM g JOIN c USING (symbol) WHERE n >= 12""",
 )
 def pl_event_study_fit(spark, sf_dir):
-    """The event study for a surprise of half a percent, without what needs t distributions of any size."""
-    found = R.event_study(abnormal(spark, sf_dir), ["day", "event_id"], surprise=0.5, most=200)
+    """The event study for a surprise of half a percent, without its p-values."""
+    found = R.event_study(abnormal(spark, sf_dir), ["day", "event_id"], surprise=0.5)
     longs = [F.col(c).cast("long").alias(c) for c in ("n", "coverage_n")]
-    return found.select("symbol", *longs, *r6("expected", "typical_abs_move", "beta", "r2", "coverage"), "calibrated")
+    return found.select("symbol", *longs, *r6("expected", "low", "high", "typical_abs_move", "beta", "r2", "coverage"), "calibrated")
 
 
-@query("ag_typical_move", f"WITH {MOVES_SQL} SELECT round(quantile_cont(abs(raw - bench), 0.5), 6) AS typical_abs_move, count(*) AS n FROM moves")
+@query("ag_typical_move", f"WITH {MOVES_SQL} SELECT symbol, round(quantile_cont(abs(raw - bench), 0.5), 6) AS typical_abs_move, count(*) AS n FROM moves GROUP BY symbol")
 def ag_typical_move(spark, sf_dir):
-    return abnormal(spark, sf_dir).agg(F.round(F.expr("percentile(abs(move), 0.5)"), 6).alias("typical_abs_move"), F.count(F.lit(1)).alias("n"))
+    return abnormal(spark, sf_dir).groupBy("symbol").agg(F.round(F.expr("percentile(abs(move), 0.5)"), 6).alias("typical_abs_move"), F.count(F.lit(1)).alias("n"))
 
 
 # ---- backtest

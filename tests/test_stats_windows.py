@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spreadwatch.functions.stats import adf, engle_granger, mackinnon_p, t_cdf, t_quantile
+from spreadwatch.functions.stats import adf, engle_granger, mackinnon_p, t_cdf, t_expansion, t_quantile, t_quantile_of, t_quantiles, t_tails
 from spreadwatch.operators import aggregates as A
 from spreadwatch.operators import windows as W
 from spreadwatch.operators.detector import fit_ou
@@ -115,3 +115,30 @@ def test_streamed_windows_across_batches_and_keys(spark, monkeypatch):
             else:
                 assert math.isclose(r.low, np.quantile(past, 0.25)) and math.isclose(r.high, past.max())
                 assert (r.rank is None) == (v[i] is None) and (v[i] is None or math.isclose(r.rank, (past < v[i]).mean() * 100))
+
+
+def test_t_quantiles_of_any_size():
+    dof = np.array([1, 2, 3, 5, 12, 40, 199, 200, 398, 5000, 14_998, 10**6, 10**9, 0, np.nan])
+    for p in (0.6, 0.9, 0.975, 0.9995):
+        found = t_quantiles(p, dof)
+        assert np.isnan(found[-2:]).all()
+        for v, t in zip(dof[:-2], found, strict=False):
+            assert math.isclose(t_tails(t, v), 1 - p, rel_tol=1e-11)
+            if v <= 5000:
+                assert math.isclose(t, t_quantile(p, int(v)), rel_tol=1e-9)
+            if v >= 200:
+                assert math.isclose(t, sum(g / v**i for i, g in enumerate(t_expansion(p))), rel_tol=3e-9)
+    assert round(t_quantiles(0.9, np.array([398]))[0], 4) == 1.2837 and round(t_quantiles(0.9, np.array([14_998]))[0], 4) == 1.2816
+
+
+def test_t_tails_against_the_distribution_function():
+    for v in (1, 3, 30, 400):
+        for t in (0.0, 0.3, 1.7, 1.8, 6.0, 40.0):
+            assert math.isclose(t_tails(t, v), 1 - t_cdf(t, v), rel_tol=1e-9, abs_tol=1e-15)
+
+
+def test_t_quantile_column(spark):
+    got = spark.range(-1, 400).select("id", t_quantile_of(0.9, F.when(F.col("id") != 7, F.col("id"))).alias("t")).collect()
+    for r in got:
+        assert (r.t is None) == (r.id < 1 or r.id == 7)
+        assert r.t is None or math.isclose(r.t, t_quantile(0.9, r.id), rel_tol=1e-10)
