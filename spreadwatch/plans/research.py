@@ -16,7 +16,9 @@ from spreadwatch.plans.basics import ALERTS_SQL, MOVES_SQL, event_moves, outcome
 from spreadwatch.plans.frames import BARS_SQL, FRAME_SQL, LAGGED_SQL, SERIES_SQL, TICKS_SQL, bars, frame, r6, series, ticks
 from spreadwatch.plans.registry import query, table
 from spreadwatch.plans.windows import FLAGS_SQL, OU_SQL, ROLLING_SQL, ou_parts, returns, rolling
-from spreadwatch.sources.config import Linkage
+from spreadwatch.sources.config import AlertRule, Linkage, Universe
+from spreadwatch.sources.shared import shared_folder
+from spreadwatch.streaming.scan import stateful, verdicts_of_quotes
 
 # ---- aggregates
 
@@ -298,6 +300,40 @@ def ss_detector_verdicts(spark, sf_dir):
     return verdicts(series(spark, sf_dir), "pair_id", "i", "v", 26.95).select("pair_id", "d", "seen", *r6("percentile"), "exceeds", "alert")
 
 
+#: Event types as instruments of a live feed, polled by the hour.
+LIVE = Universe((
+    Linkage("flow", "purchases against views", "validation", {"a": ("purchase", "events"), "b": ("view", "events")}, "b * k", "a", {"k": 1.0}, {"cost": 26.95}, AlertRule(1.8, 2.5, 0.0, 1)),
+    Linkage("mix", "clicks against views and signups", "validation", {"a": ("click", "events"), "b": ("view", "events"), "c": ("signup", "events")}, "(b + c) / two", "a", {"two": 2.0}, {"cost": 26.95}, AlertRule(1.8, 2.5, 0.0, 1)),
+))
+LIVE_SQL = """q AS (SELECT event_type AS symbol, date_trunc('hour', ts) + INTERVAL 1 HOUR AS poll, arg_max(value, (ts, value)) AS price, max(ts) AS quoted FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+legs(linkage_id, leg, symbol, n_legs) AS (VALUES ('flow', 'a', 'purchase', 2), ('flow', 'b', 'view', 2), ('mix', 'a', 'click', 3), ('mix', 'b', 'view', 3), ('mix', 'c', 'signup', 3)),
+book AS (SELECT linkage_id, poll, max(CASE WHEN leg = 'a' THEN price END) AS a, max(CASE WHEN leg = 'b' THEN price END) AS b, max(CASE WHEN leg = 'c' THEN price END) AS c, bool_or(epoch(poll - quoted) > 1800) AS stale
+  FROM legs JOIN q USING (symbol) GROUP BY 1, 2 HAVING count(*) = max(n_legs) AND poll <= (SELECT max(poll) FROM q) - INTERVAL 2 HOUR),
+spread AS (SELECT linkage_id, poll, stale, (a - CASE linkage_id WHEN 'flow' THEN b ELSE (b + c) / 2 END) / nullif(a, 0) * 10000 AS v FROM book),
+judged AS (SELECT *, count(*) FILTER (WHERE NOT stale) OVER (PARTITION BY linkage_id ORDER BY poll) AS seen FROM spread WHERE v IS NOT NULL),
+series AS (SELECT linkage_id AS pair_id, poll AS d, v, seen AS i FROM judged WHERE NOT stale)"""
+LIVE_VERDICT_SQL = "WITH " + LIVE_SQL + VERDICT_SQL.removeprefix(SERIES_SQL)
+
+
+@query(
+    "ss_quote_stream_verdicts",
+    f"""{LIVE_VERDICT_SQL} SELECT linkage_id, j.poll AS ts, j.stale, j.seen, round(pct, 6) AS percentile, coalesce(i >= 120 AND coalesce(g.v > hi OR g.v < lo, false) AND coalesce(ok AND net >= 0, false), false) AS alert
+FROM judged j LEFT JOIN g ON NOT j.stale AND g.pair_id = j.linkage_id AND g.d = j.poll""",
+)
+def ss_quote_stream_verdicts(spark, sf_dir):
+    """The events table as a stream of quotes, through books and detectors in one streaming query, to a table of verdicts."""
+    # a pattern, as a stream takes a plain path for a folder
+    feed = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    at = F.col("ts").cast("timestamp")
+    quotes = feed.select((F.date_trunc("hour", at) + F.expr("interval 1 hour")).alias("poll_ts"), F.col("event_type").alias("symbol"), F.col("value").alias("price"), at.alias("ts"), F.lit(False).alias("stale"))
+    found = verdicts_of_quotes(quotes, LIVE, "2 hours", 1800.0)
+    out = shared_folder(spark, "verdicts")
+    writer = found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
+    stateful(spark, writer.start).awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(f"{out}/rows")
+    return rows.select("linkage_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "stale", "seen", *r6("percentile"), "alert")
+
+
 KALMAN_SQL = SERIES_SQL + """, y AS (SELECT *, first_value(pa) OVER (PARTITION BY pair_id ORDER BY i) AS s FROM series),
 kf AS (
   SELECT pair_id, i, 1.0::DOUBLE AS b, 0.0::DOUBLE AS a, 1.0::DOUBLE AS p00, 0.0::DOUBLE AS p01, 1.0::DOUBLE AS p11, 0.0::DOUBLE AS z FROM (SELECT pair_id, 0::BIGINT AS i FROM pairs)

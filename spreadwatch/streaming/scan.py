@@ -1,22 +1,29 @@
-"""The live scan as a stream: observations in, verdicts, alerts and saved state out.
+"""The live scan as a stream: quotes or books in, verdicts, alerts and saved state out.
 
-Quotes become observations per linkage; the detector keeps its state per linkage in Spark's state
-store; each micro-batch is written to the store and then announced. The only exchange is the one
-that brings the rows of a linkage together.
+Quotes become books, observations and verdicts in one query: an operator with a map of the legs
+quoted so far closes each poll's book when the watermark passes it, columns evaluate it, and an
+operator with the detector's state judges it. State lives in Spark's state store and starts from a
+table of saved snapshots, which no driver holds. Each micro-batch is written to the store and then
+announced. The only exchanges are those that bring the rows of a linkage together.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spreadwatch.functions import expressions as E
 from spreadwatch.functions.formula import compile_formula
+from spreadwatch.operators.alignment import asof_join
 from spreadwatch.operators.detector import Detector
 from spreadwatch.operators.sequential import Kalman
 from spreadwatch.sources.config import Universe
@@ -52,16 +59,83 @@ def observations(quotes: DataFrame, universe: Universe, max_age_seconds: float =
 
 
 def books(quotes: DataFrame, legs: DataFrame) -> DataFrame:
-    """Quotes (poll_ts, symbol, price, ts, stale) met with legs (linkage_id, leg, symbol, n_legs) as books for ``observations``.
+    """A table of quotes (poll_ts, symbol, price, ts, stale) met with legs (linkage_id, leg, symbol, n_legs) as books for ``observations``.
 
-    A linkage without a quote for every leg at a poll has no book of it. Legs are declarations and
-    few, quotes may be a stream with a watermark on poll_ts.
+    Of a leg's quotes at one poll the latest counts (of equal times the highest price, a flagged one
+    last). A linkage without a quote for every leg at a poll has no book of it. Legs are
+    declarations and few. Streams go through ``closed_books``.
     """
     met = quotes.where("price is not null").join(F.broadcast(legs), "symbol")  # one row per declared leg
-    whole = met.groupBy("linkage_id", "poll_ts").agg(F.collect_list(F.struct("leg", "price", "ts", "stale")).alias("found"), F.max("n_legs").alias("n_legs"))
-    whole = whole.where(F.size(F.array_distinct(F.transform("found", lambda x: x["leg"]))) == F.col("n_legs"))
+    one = met.groupBy("linkage_id", "poll_ts", "leg", "n_legs").agg(F.max(F.struct("ts", "price", "stale")).alias("quote"))
+    whole = one.groupBy("linkage_id", "poll_ts").agg(F.collect_list(F.struct("leg", "quote.price", "quote.ts", "quote.stale")).alias("found"), F.max("n_legs").alias("n_legs"))
+    return _as_maps(whole.where(F.size("found") == F.col("n_legs")).withColumnRenamed("poll_ts", "ts"))
+
+
+def _as_maps(whole: DataFrame) -> DataFrame:
+    """Books with an array found of (leg, price, ts, stale) as maps by leg."""
     by_leg = lambda c: F.map_from_entries(F.transform(F.array_sort("found"), lambda x: F.struct(x["leg"], x[c])))
-    return whole.select("linkage_id", F.col("poll_ts").alias("ts"), by_leg("price").alias("prices"), by_leg("ts").alias("leg_ts"), by_leg("stale").alias("leg_stale"))
+    return whole.select("linkage_id", "ts", by_leg("price").alias("prices"), by_leg("ts").alias("leg_ts"), by_leg("stale").alias("leg_stale"))
+
+
+CLOSED = "linkage_id string, ts timestamp, found array<struct<leg:string,price:double,at:bigint,stale:boolean>>"
+
+
+class BookKeeper(StatefulProcessor):
+    """Keeps the latest quote of each leg of each open poll of a linkage; an event-time timer closes the poll.
+
+    A book whose legs are not all there when its timer fires is dropped, and a quote that comes
+    after that is too late. State is bounded by the polls that the watermark's delay keeps open.
+    """
+
+    def __init__(self, legs: dict[str, list[str]]):
+        self.legs_of = legs
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.quotes = handle.getMapState("quotes", "poll long, leg string", "at long, price double, stale boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        watermark = timerValues.getCurrentWatermarkInMs()
+        opened = set()
+        for row in rows:
+            if row.poll <= watermark:
+                continue
+            place, new = (row.poll, row.leg), (row.at, row.price, bool(row.stale))
+            old = self.quotes.getValue(place) if self.quotes.containsKey(place) else None
+            if old is None or new > tuple(old):
+                self.quotes.updateValue(place, new)
+            opened.add(row.poll)
+        for poll in opened:
+            self.handle.registerTimer(poll)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        poll, found = expiredTimerInfo.getExpiryTimeInMs(), []
+        for leg in self.legs_of.get(key[0], []):
+            if self.quotes.containsKey((poll, leg)):
+                at, price, stale = self.quotes.getValue((poll, leg))
+                found.append(Row(leg=leg, price=price, at=at, stale=stale))
+                self.quotes.removeKey((poll, leg))
+        if found and len(found) == len(self.legs_of[key[0]]):
+            yield Row(linkage_id=key[0], ts=datetime.fromtimestamp(poll / 1000, UTC), found=found)
+
+    def close(self) -> None:
+        pass
+
+
+def closed_books(quotes: DataFrame, universe: Universe, delay: str) -> DataFrame:
+    """A stream of quotes (poll_ts, symbol, price, ts, stale) as books: ``books`` for a stream.
+
+    A poll's book comes out when the watermark, ``delay`` behind the latest poll, reaches it, so
+    late and repeated quotes are settled before. Polls are told apart by the millisecond.
+    """
+    legs = universe.legs_frame(quotes.sparkSession).select("linkage_id", "leg", "symbol")
+    timed = quotes.where("price is not null and poll_ts is not null").withWatermark("poll_ts", delay)
+    met = timed.join(F.broadcast(legs), "symbol")  # one row per declared leg
+    rows = met.select("linkage_id", "poll_ts", F.unix_millis("poll_ts").alias("poll"), "leg", F.col("price").cast("double").alias("price"), F.unix_micros(F.coalesce("ts", "poll_ts")).alias("at"), F.coalesce("stale", F.lit(False)).alias("stale"))
+    keeper = BookKeeper({x.id: sorted(x.legs) for x in universe.linkages})
+    closed = rows.groupBy("linkage_id").transformWithState(keeper, CLOSED, "Append", "EventTime", eventTimeColumnName="ts")
+    return _as_maps(closed.withColumn("found", F.transform("found", lambda x: F.struct(x["leg"], x["price"], F.timestamp_micros(x["at"]).alias("ts"), x["stale"]))))
 
 
 def history_quotes(bars: DataFrame) -> DataFrame:
@@ -86,70 +160,162 @@ def warmed_up(history: DataFrame, universe: Universe, snapshots: dict[str, str],
     return snapshots | {r.linkage_id: json.dumps(json.loads(r.snapshot) | {"last_alert": None}) for r in last}
 
 
-def _advance(rows: pd.DataFrame, detector: Detector, friction: float, min_edge: float, cooldown: float) -> pd.DataFrame:
+VERDICT_NAMES = [f.split()[0] for f in VERDICT.split(", ")]
+SEEN_NAMES = [f.split()[0] for f in OBSERVATION.split(", ")]
+Rules = dict[str, tuple[float, float, float, float | None]]
+
+
+def _rules(universe: Universe) -> Rules:
+    """Friction, least edge, cooldown in seconds and the filter's delta of each linkage."""
+    return {x.id: (x.total_friction, x.alert.min_net_edge_bps, x.alert.cooldown_minutes * 60.0, x.kalman_delta) for x in universe.linkages}
+
+
+def _new_detector(rules: Rules, linkage: str, snapshot: str | None) -> Detector:
+    if snapshot is not None:
+        return Detector.restore(snapshot)
+    delta = rules[linkage][3]
+    return Detector(Kalman(delta=delta) if delta else Kalman())
+
+
+def _judge(row: Any, detector: Detector, rules: Rules) -> dict[str, Any]:
+    """What the detector says to one observation, as the fields of a verdict."""
+    friction, min_edge, cooldown, _ = rules[row.linkage_id]
+    base = {"linkage_id": row.linkage_id, "ts": row.ts, "spread_bps": row.spread_bps, "reference_price": row.reference_price, "fair_value": row.fair_value, "stale": bool(row.stale), "cooling": False}
+    if row.stale:
+        out = base | {"seen": detector.seen, "alert": False, "reason": f"stale: {row.stale_reason}"}
+    else:
+        said = detector.step(row.spread_bps, row.reference_price, row.fair_value, friction, min_edge)
+        now = pd.Timestamp(row.ts).timestamp()
+        cooling = bool(said["alert"] and detector.last_alert is not None and now - detector.last_alert < cooldown)
+        if said["alert"] and not cooling:
+            detector.last_alert = now
+        out = base | said | {"alert": said["alert"] and not cooling, "cooling": cooling}
+    return {name: out.get(name) for name in VERDICT_NAMES} | {"last_alert": detector.last_alert}
+
+
+def _advance(rows: pd.DataFrame, detector: Detector, rules: Rules) -> pd.DataFrame:
     """The rows of one linkage in time order, with what the detector says to each."""
-    out = []
-    for row in rows.sort_values("ts", kind="stable").itertuples(index=False):
-        base = {"linkage_id": row.linkage_id, "ts": row.ts, "spread_bps": row.spread_bps, "reference_price": row.reference_price, "fair_value": row.fair_value, "stale": bool(row.stale), "cooling": False}
-        if row.stale:
-            out.append(base | {"seen": detector.seen, "alert": False, "reason": f"stale: {row.stale_reason}"})
-        else:
-            said = detector.step(row.spread_bps, row.reference_price, row.fair_value, friction, min_edge)
-            now = row.ts.timestamp()
-            cooling = bool(said["alert"] and detector.last_alert is not None and now - detector.last_alert < cooldown)
-            if said["alert"] and not cooling:
-                detector.last_alert = now
-            out.append(base | said | {"alert": said["alert"] and not cooling, "cooling": cooling})
-    frame = pd.DataFrame(out, columns=[f.split()[0] for f in VERDICT.split(", ")])
-    frame["snapshot"] = None
-    frame["last_alert"] = detector.last_alert
+    frame = pd.DataFrame([_judge(row, detector, rules) for row in rows.sort_values("ts", kind="stable").itertuples(index=False)], columns=VERDICT_NAMES)
     if len(frame):
+        frame["last_alert"] = detector.last_alert
         frame.loc[frame.index[-1], "snapshot"] = detector.snapshot()
     return frame
 
 
 def detect(observed: DataFrame, universe: Universe, snapshots: dict[str, str] | None = None) -> DataFrame:
     """Verdicts of an observation stream; snapshots restores the state of linkages that had one."""
-    rules = {x.id: (x.total_friction, x.alert.min_net_edge_bps, x.alert.cooldown_minutes * 60.0, x.kalman_delta) for x in universe.linkages}
-    saved = snapshots or {}
+    rules, saved = _rules(universe), snapshots or {}
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        friction, min_edge, cooldown, delta = rules[key[0]]
-        if state.exists:
-            detector = Detector.restore(state.get[0])
-        elif key[0] in saved:
-            detector = Detector.restore(saved[key[0]])
-        else:
-            detector = Detector(Kalman(delta=delta) if delta else Kalman())
-        found = _advance(pd.concat(list(batches)), detector, friction, min_edge, cooldown)
+        detector = _new_detector(rules, key[0], state.get[0] if state.exists else saved.get(key[0]))
+        found = _advance(pd.concat(list(batches)), detector, rules)
         state.update((detector.snapshot(),))
         yield found
 
     return observed.groupBy("linkage_id").applyInPandasWithState(step, VERDICT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def replay(observed: DataFrame, universe: Universe, snapshots: dict[str, str] | None = None) -> DataFrame:
-    """The same verdicts over a finished table, for warming up and for comparison."""
-    rules = {x.id: (x.total_friction, x.alert.min_net_edge_bps, x.alert.cooldown_minutes * 60.0, x.kalman_delta) for x in universe.linkages}
-    saved = snapshots or {}
+class Judge(StatefulProcessor):
+    """The detector of each linkage as state of a stream; it starts from a saved snapshot where there is one."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        friction, min_edge, cooldown, delta = rules[key[0]]
-        start = Detector.restore(saved[key[0]]) if key[0] in saved else Detector(Kalman(delta=delta) if delta else Kalman())
-        return _advance(rows, start, friction, min_edge, cooldown)
+    def __init__(self, rules: Rules):
+        self.rules = rules
 
-    return observed.groupBy("linkage_id").applyInPandas(run, VERDICT)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.saved = handle.getValueState("detector", STATE)
+
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:  # noqa: N802, N803
+        if initialState.snapshot is not None:
+            self.saved.update((initialState.snapshot,))
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        detector = _new_detector(self.rules, key[0], self.saved.get()[0] if self.saved.exists() else None)
+        said = [_judge(row, detector, self.rules) for row in sorted(rows, key=lambda r: r.ts)]
+        snapshot = detector.snapshot()
+        self.saved.update((snapshot,))
+        said[-1]["snapshot"] = snapshot
+        for out in said:
+            yield Row(**(out | {"last_alert": detector.last_alert}))
+
+    def close(self) -> None:
+        pass
+
+
+def judge(observed: DataFrame, universe: Universe, initial: DataFrame | None = None) -> DataFrame:
+    """``detect`` for a stream that other stateful operators feed.
+
+    initial: saved snapshots (linkage_id, snapshot); they go straight into the state store.
+    """
+    start = None if initial is None else initial.select("linkage_id", "snapshot").groupBy("linkage_id")
+    return observed.groupBy("linkage_id").transformWithState(Judge(_rules(universe)), VERDICT, "Append", "None", initialState=start)
+
+
+def verdicts_of_quotes(quotes: DataFrame, universe: Universe, delay: str = "2 minutes", max_age_seconds: float = 900.0, initial: DataFrame | None = None) -> DataFrame:
+    """A stream of quotes (poll_ts, symbol, price, ts, stale) to verdicts in one query; see ``closed_books`` and ``judge``.
+
+    It needs the RocksDB state store: see ``stateful``.
+    """
+    return judge(observations(closed_books(quotes, universe, delay), universe, max_age_seconds), universe, initial)
+
+
+#: The setting and the store that operators with timers and maps need.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def replay(observed: DataFrame, universe: Universe, snapshots: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """The same verdicts over a finished table, for warming up and for comparison.
+
+    snapshots (by linkage, or a table of linkage_id and snapshot) are what detectors start from.
+    Rows stream in order of each linkage: a task holds an Arrow batch and one detector, however
+    long a history is. The last row of a linkage carries its snapshot.
+    """
+    rules = _rules(universe)
+    rows = observed.select(*SEEN_NAMES, F.lit(None).cast("string").alias("snapshot"), F.lit(1).alias("_order"))
+    if snapshots is not None:
+        saved = snapshots if isinstance(snapshots, DataFrame) else observed.sparkSession.createDataFrame(list(snapshots.items()), "linkage_id string, snapshot string")
+        rows = rows.unionByName(saved.select("linkage_id", "snapshot", F.lit(0).alias("_order")), allowMissingColumns=True)
+    kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "boolean": pa.bool_(), "timestamp": pa.timestamp("us", tz="UTC")}
+    schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in VERDICT.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, detector, held = None, None, None
+
+        def let_go(last: bool) -> list[dict[str, Any]]:
+            nonlocal held
+            out = [] if held is None else [held | {"snapshot": detector.snapshot() if last else None}]
+            held = None
+            return out
+
+        for batch in batches:
+            found: list[dict[str, Any]] = []
+            for row in batch.to_pylist():
+                if row["linkage_id"] != now:
+                    found += let_go(True)
+                    now, detector = row["linkage_id"], None
+                if not row["_order"]:
+                    detector = _new_detector(rules, now, row["snapshot"])
+                    continue
+                found += let_go(False)
+                if detector is None:
+                    detector = _new_detector(rules, now, None)
+                held = _judge(Row(**row), detector, rules)
+            yield pa.RecordBatch.from_pylist(found, schema=schema)
+        yield pa.RecordBatch.from_pylist(let_go(True), schema=schema)
+
+    return rows.repartition("linkage_id").sortWithinPartitions("linkage_id", "_order", "ts").mapInArrow(run, VERDICT)
 
 
 def suppressed(verdicts: DataFrame, legs: DataFrame, calendar: DataFrame, days: float) -> DataFrame:
     """Adds blocked: a leg of the linkage has an event from the verdict's time to ``days`` later.
 
-    legs: (linkage_id, symbol); calendar: (symbol, event_ts). The interval join is keyed by linkage.
+    legs: (linkage_id, symbol); calendar: (symbol, event_ts). Only the next event after an alert can
+    block it, so an as-of join forward finds it in linear time.
     """
-    events = legs.select("linkage_id", "symbol").join(calendar, "symbol").select("linkage_id", "event_ts").distinct()
-    away = E.days_between(F.col("event_ts"), F.col("ts"))
-    hit = verdicts.where("alert").select("linkage_id", "ts").join(events, "linkage_id").where((away >= 0) & (away <= days)).select("linkage_id", "ts").distinct()
-    return verdicts.join(hit.withColumn("_hit", F.lit(True)), ["linkage_id", "ts"], "left").withColumn("blocked", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    events = legs.select("linkage_id", "symbol").join(calendar, "symbol").select("linkage_id", F.col("event_ts").cast("timestamp").alias("event_ts"))
+    alerts = verdicts.where("alert").select("linkage_id", "ts").distinct()
+    near = asof_join(alerts, events, "linkage_id", F.col("ts").cast("timestamp"), F.col("event_ts"), [], "forward")
+    hit = near.where(E.days_between(F.col("r_ts"), F.col("ts")) <= days).select("linkage_id", "ts", F.lit(True).alias("_hit"))
+    return verdicts.join(hit, ["linkage_id", "ts"], "left").withColumn("blocked", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def sink(store: Store, universe: Universe, notifier: Notifier, calendar: DataFrame | None = None, days: float = 3.0, checkpoint: str | None = None):
@@ -200,3 +366,44 @@ def start(quotes: DataFrame, universe: Universe, store: Store, notifier: Notifie
     writer = found.writeStream.foreachBatch(sink(store, universe, notifier, calendar, checkpoint=checkpoint)).option("checkpointLocation", checkpoint).outputMode("append")
     trigger = {"availableNow": True} if cadence_seconds is None else {"processingTime": f"{cadence_seconds:g} seconds"}
     return writer.trigger(**trigger).start()
+
+
+def saved_state(store: Store, universe: Universe, history: DataFrame | None = None, max_age_seconds: float = float("inf")) -> DataFrame:
+    """(linkage_id, snapshot) to start from, as a table: what can be taken up, warmed up with history (books) where it is not ready."""
+    saved = store.resume(universe.frame(store.spark).select("linkage_id", "fingerprint")).where("snapshot is not null").select("linkage_id", "snapshot", "ready")
+    if history is None:
+        return saved.select("linkage_id", "snapshot")
+    ready = saved.where("ready").select("linkage_id", "snapshot")
+    waiting = observations(history, universe, max_age_seconds).join(ready.select("linkage_id"), "linkage_id", "left_anti")
+    said = replay(waiting, universe).where("snapshot is not null")
+
+    @F.pandas_udf("string")
+    def without_alert(snapshots: pd.Series) -> pd.Series:
+        return snapshots.map(lambda x: json.dumps(json.loads(x) | {"last_alert": None}))  # an alert of the past must not keep a live one back
+
+    warm = said.select("linkage_id", without_alert("snapshot").alias("snapshot"))
+    rest = saved.where("not ready").select("linkage_id", "snapshot").join(warm.select("linkage_id"), "linkage_id", "left_anti")
+    return ready.unionByName(warm).unionByName(rest)
+
+
+def start_quotes(quotes: DataFrame, universe: Universe, store: Store, notifier: Notifier, checkpoint: str, cadence_seconds: float | None = 60.0, calendar: DataFrame | None = None, history: DataFrame | None = None, delay: str = "2 minutes", max_age_seconds: float = 900.0):
+    """Start the scan over a stream of quotes (poll_ts, symbol, price, ts, stale): quotes to announced alerts in one query.
+
+    As ``start``, but books are made in the stream, and saved state goes from the store's table into
+    the state store without passing the driver. The query runs on the RocksDB state store.
+    """
+    found = verdicts_of_quotes(quotes, universe, delay, max_age_seconds, saved_state(store, universe, history))
+    writer = found.writeStream.foreachBatch(sink(store, universe, notifier, calendar, checkpoint=checkpoint)).option("checkpointLocation", checkpoint).outputMode("append")
+    trigger = {"availableNow": True} if cadence_seconds is None else {"processingTime": f"{cadence_seconds:g} seconds"}
+    return stateful(store.spark, writer.trigger(**trigger).start)
+
+
+def stateful(spark, begin):
+    """What ``begin`` starts, on the RocksDB state store; a query keeps the settings it began with, the session gets its own back."""
+    name, provider = STATE_STORE
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        return begin()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -2,6 +2,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spreadwatch.operators.detector import Detector, verdicts
 from spreadwatch.sources import notify, reports
@@ -174,3 +175,77 @@ def test_reports(spark):
     df = spark.createDataFrame([("p|q", 1.5), ("r", None)], "pair_id string, v double")
     assert "p\\|q" in reports.markdown(df, ["pair_id", "v"]) and "and 1 more" in reports.markdown(df, ["pair_id"], 1)
     assert "0 of 4 admitted" in reports.fitted_universe(spark.createDataFrame([(False,)], "admitted boolean"), [], 4)
+
+
+def test_repeated_quotes_make_one_book(spark):
+    twice = [(T, "A", 1.0, T, False), (T, "A", 1.0, T, False), (T, "A", 3.0, T - timedelta(minutes=1), False), (T, "B", 2.0, T, False)]
+    (book,) = scan.books(spark.createDataFrame(twice, QUOTE), U.legs_frame(spark)).collect()
+    assert book.prices == {"a": 1.0, "b": 2.0}  # the latest quote of each leg
+
+
+QUOTE = "poll_ts timestamp, symbol string, price double, ts timestamp, stale boolean"
+
+
+def quotes_of(rows):
+    """Each book as quotes: an older one of each leg first, the one that counts, and that one again."""
+    out = []
+    for _, ts, prices, leg_ts, _ in rows:
+        for leg, symbol in (("a", "A"), ("b", "B")):
+            own = (ts, symbol, prices[leg], leg_ts[leg], False)
+            out += [(ts, symbol, prices[leg] * 2, leg_ts[leg] - timedelta(seconds=9), False), own, own]
+    return out
+
+
+def test_quotes_to_verdicts_as_one_stream_across_restarts(spark, tmp_path):
+    """A stream of quotes, cut in the middle of a poll and started again, says what the replay of its books says."""
+    rows = books(330)
+    quotes = quotes_of(rows)
+    table = spark.createDataFrame(quotes, QUOTE)
+    want = plain(scan.replay(scan.observations(scan.books(table, U.legs_frame(spark)), U), U))
+    store, sent = Store(spark, f"file://{tmp_path}/store"), notify.MemoryNotifier()
+    late = (rows[10][1], "A", 9.0, rows[10][1], False)  # long closed
+    alone = (rows[-1][1] + timedelta(hours=9), "A", 1.0, rows[-1][1], False)  # moves the watermark past all others
+    for cut in (quotes[: 6 * 140 + 3], quotes[6 * 140 + 3 :], [late, alone]):
+        spark.createDataFrame(cut, QUOTE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(QUOTE).parquet(f"{tmp_path}/in")
+        scan.start_quotes(stream, U, store, sent, f"{tmp_path}/checkpoint", cadence_seconds=None).awaitTermination()
+    kept = [w for w in want if not w[3].startswith("stale")]
+    assert store.observations().count() == len(kept) == 329 and store.observations().select("ts").distinct().count() == 329
+    assert store.alert_count() == [w[2] for w in want].count(True) == len(sent.texts) >= 1
+    assert Detector.restore(store.state().first().snapshot).seen == 329
+
+
+def test_quote_stream_takes_up_saved_state_and_history(spark, tmp_path):
+    """Another checkpoint starts from the store's snapshots; a linkage without any is warmed up by its history."""
+    rows = books(260)
+    for name, history in (("cold", None), ("warm", spark.createDataFrame(rows[:200], BOOK))):
+        store, sent = Store(spark, f"file://{tmp_path}/{name}"), notify.MemoryNotifier()
+        for part, cut in enumerate((rows[200:230], rows[230:])):
+            end = [(cut[-1][1] + timedelta(minutes=30), "A", 1.0, cut[-1][1], False)]
+            spark.createDataFrame(quotes_of(cut) + end, QUOTE).coalesce(1).write.parquet(f"{tmp_path}/{name}{part}")
+            stream = spark.readStream.schema(QUOTE).parquet(f"{tmp_path}/{name}{part}")
+            scan.start_quotes(stream, U, store, sent, f"{tmp_path}/{name}-checkpoint{part}", cadence_seconds=None, history=history if not part else None).awaitTermination()
+        seen = Detector.restore(store.state().first().snapshot).seen
+        assert seen == (59 if history is None else 259)  # row 200 is stale
+
+
+def test_replay_streams_and_starts_from_a_table(spark):
+    rows = books(300)
+    seen = scan.observations(spark.createDataFrame(rows + [("x", T + timedelta(days=99), {"a": 1.0}, {"a": T}, {"a": False})], BOOK), U)
+    whole = scan.replay(seen, U).orderBy("ts").collect()
+    assert [r.snapshot is not None for r in whole].count(True) == 1 and whole[-1].snapshot is not None
+    first = scan.replay(seen.where(F.col("ts") < T + timedelta(hours=150)), U)
+    saved = first.where("snapshot is not null").select("linkage_id", "snapshot")
+    rest = scan.replay(seen.where(F.col("ts") >= T + timedelta(hours=150)), U, saved)
+    assert plain(first) + plain(rest) == plain(scan.replay(seen, U))
+    nobody = spark.createDataFrame([("y", "{}")], "linkage_id string, snapshot string")
+    assert scan.replay(seen.limit(0), U).collect() == [] and nobody.count() == 1
+
+
+def test_suppressed_by_the_next_event(spark):
+    at = [(T, True), (T + timedelta(days=2), True), (T + timedelta(days=9), True), (T, False)]
+    said = spark.createDataFrame([("x", ts, alert) for ts, alert in at], "linkage_id string, ts timestamp, alert boolean")
+    legs = spark.createDataFrame([("x", "A"), ("x", "B")], "linkage_id string, symbol string")
+    calendar = spark.createDataFrame([("A", T + timedelta(days=4)), ("B", T + timedelta(days=9)), ("C", T)], "symbol string, event_ts timestamp")
+    got = {(r.ts, r.alert): r.blocked for r in scan.suppressed(said, legs, calendar, 3.0).collect()}
+    assert got[(T + timedelta(days=2), True)] and got[(T + timedelta(days=9), True)] and not got[(T, True)]
