@@ -14,6 +14,7 @@ from spreadwatch.plans.registry import query, table
 from spreadwatch.plans.windows import OU_SQL, ou_parts
 from spreadwatch.sources.config import AlertRule, Linkage, Universe
 from spreadwatch.sources.market import TableSource, event_calendar, last_bars, latest_quotes, ohlc, without_empty_rows
+from spreadwatch.sources.provider import ParquetFeed, register_feed
 from spreadwatch.sources.reports import universe_counts
 from spreadwatch.streaming.scan import books, history_quotes, observations, scan_line
 
@@ -238,6 +239,20 @@ def exp_state_fingerprint(spark, sf_dir):
     return UNIVERSE.frame(spark).select("linkage_id", "fingerprint")
 
 
+# ---- a provider as a data source
+
+PROVIDER_SQL = TICKS_SQL + """, s AS (SELECT symbol, date_trunc('hour', ts) AS ts, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, count(*) AS volume
+  FROM ticks WHERE symbol IN ('view', 'click', 'purchase') AND ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts < TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1, 2)"""
+
+
+@query("src_provider_bars", f"WITH {PROVIDER_SQL} SELECT * FROM s")
+def src_provider_bars(spark, sf_dir):
+    """Hourly bars of some symbols and days from a registered provider; symbols and times are pushed to it."""
+    name = register_feed(spark, "events_feed", ParquetFeed(f"{sf_dir}/events.parquet", ("event_type", "ts", "event_id", "value")))
+    ticks_ = spark.read.format(name).load().where(F.col("symbol").isin("view", "click", "purchase") & (F.col("ts") >= "2024-01-03 00:00:00") & (F.col("ts") < "2024-01-20 12:00:00"))
+    return ohlc(ticks_, "1h").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 # ---- joins and sets
 
 @query("jn_leg_alignment", f"WITH {FRAME_SQL} SELECT pair_id, d, pa, pb FROM frame")
