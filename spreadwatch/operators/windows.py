@@ -1,10 +1,11 @@
 """Causal rolling statistics of series (key, i, v), all keys at once.
 
-Every frame that scores a row ends before it, unless said otherwise. Rows of one key are sorted
-once; frames over the same order share that sort. Means and deviations are Spark's own window
-aggregates. Spark evaluates a sliding frame anew for every row, which is dear for regressions and
-quantiles: those stream through ``with_rolling``, one pass over sorted Arrow batches that carries
-no more than a window of rows from batch to batch and works on many windows at a time.
+Every frame that scores a row ends before it, unless said otherwise. Short frames are Spark's own
+window aggregates. Spark evaluates a sliding frame anew for every row, which is dear for long ones,
+and gives a series to one task; deviations, regressions and quantiles go through ``with_rolling``
+instead: a numbered series is cut into blocks, each with the rows before it that its first windows
+need, so that one series spreads over all tasks, and each task streams sorted Arrow batches with no
+more than a window of rows carried along. Quantiles keep their window as an ordered multiset.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from spreadwatch.functions.expressions import MIN_FIT
+from spreadwatch.sources.shared import shared_folder
 
 Z_WINDOW, Z_MIN = 720, 30
 THRESHOLD_WINDOW, THRESHOLD_MIN = 750, 100
@@ -42,37 +44,107 @@ def rolling_z(v: str, w: WindowSpec, min_rows: int = Z_MIN) -> Column:
 
 #: Rows whose windows are worked on together.
 BLOCK = 1024
+#: Rows of a series that a task scores at least, before another may take the rest.
+SERIES_BLOCK = 1 << 16
 Scores = dict[str, np.ndarray]
 
 
-def with_rolling(df: DataFrame, key: str, order: str, needs: list[str], carry: int, fields: list[str], score: Callable[[Scores, int], Scores]) -> DataFrame:
+def with_row_numbers(df: DataFrame, key: str, order: str | list[str], name: str = "i") -> DataFrame:
+    """``df`` with ``name``, the place of each row in its key by order, from 1, without giving a key to one task.
+
+    Rows are range-partitioned by key and order and written to the shared folder; the rows that
+    each partition holds of each key are summed up (a row a key and partition) and give every
+    partition its start. Ties get numbers in any order. Null keys are one key.
+    """
+    by = [order] if isinstance(order, str) else order
+    at = shared_folder(df.sparkSession, "numbered")
+    placed = df.repartitionByRange(key, *by).sortWithinPartitions(key, *by).withColumns({"_part": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()})
+    placed.write.parquet(at)
+    rows = df.sparkSession.read.schema(placed.schema).parquet(at)
+    held = rows.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_in")).agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = rows.join(held.withColumn("_before", before), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_in")))
+    return met.withColumn(name, (F.col("_before") + F.col("_seq") - F.col("_first") + 1).cast("long")).select(*[F.col(f"`{c}`") for c in df.columns if c != name], name)
+
+
+def with_rolling(df: DataFrame, key: str, order: str, needs: list[str], carry: int, fields: list[str], score: Callable[[Scores, int], Scores], chunk: int = BLOCK) -> DataFrame:
     """``df`` with double columns ``fields``, scored in order of each key.
 
-    ``score`` gets the columns of ``needs`` as arrays (nan for null), of which the first rows are up
-    to ``carry`` earlier ones, and how many these are; it returns the fields of the others.
+    ``order`` numbers the rows of a key from 1 without gaps (see ``with_row_numbers``). ``score``
+    gets the columns of ``needs`` as arrays (nan for null), of which the first rows are up to
+    ``carry`` earlier ones, and how many these are; it returns the fields of the others. A series
+    is cut into blocks of ``SERIES_BLOCK`` rows; the last ``carry`` rows of a block go to the next one too.
     """
     schema = StructType([*df.schema.fields, *(StructField(f, DoubleType()) for f in fields)])
+    size = max(SERIES_BLOCK, carry)
+    own = F.floor((F.col(order) - 1) / size)
+    also = (F.col(order) - 1) % size >= size - carry
+    rows = df.withColumn("_own", own).withColumn("_block", F.explode(F.when(also, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    kept = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tail = None, None
         for batch in batches:
-            keys = batch.column(key).to_pylist()
+            keys = list(zip(batch.column(key).to_pylist(), batch.column("_block").to_pylist(), strict=True))
+            lent = np.not_equal(batch.column("_own").to_numpy(zero_copy_only=False), batch.column("_block").to_numpy(zero_copy_only=False))
             edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             values = {c: batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in needs}
-            found: dict[str, list[np.ndarray]] = {f: [] for f in fields}
+            found: dict[str, list[np.ndarray]] = {f: [np.zeros(0)] for f in fields}
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 before = tail if tail is not None and keys[a] == last else {c: np.zeros(0) for c in needs}
                 whole = {c: np.concatenate([before[c], values[c][a:b]]) for c in needs}
-                start = len(before[needs[0]])
-                for at in range(start, len(whole[needs[0]]), BLOCK):
-                    low, high = max(0, at - carry), min(at + BLOCK, len(whole[needs[0]]))
+                # rows lent by the block before come first and are not scored
+                start = len(before[needs[0]]) + int(lent[a:b].sum())
+                for at in range(start, len(whole[needs[0]]), chunk):
+                    low, high = max(0, at - carry), min(at + chunk, len(whole[needs[0]]))
                     for f, x in score({c: x[low:high] for c, x in whole.items()}, at - low).items():
                         found[f].append(x)
                 last, tail = keys[a], {c: x[max(0, len(x) - carry) :] for c, x in whole.items()}
+            mine = batch.select(kept).filter(pa.array(~lent))
             arrays = [pa.array(np.concatenate(found[f]), pa.float64(), from_pandas=True) for f in fields]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *fields])
+            yield pa.RecordBatch.from_arrays([*mine.columns, *arrays], [*kept, *fields])
+
+    return rows.repartition(key, "_block").sortWithinPartitions(key, "_block", order).mapInArrow(run, schema)
+
 
-    return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+class OrderedWindow:
+    """A multiset of values from a known, sorted universe: insert, delete, rank and select in O(log n).
+
+    A Fenwick tree counts members by the rank of their value, so equal values are as exact as others.
+    """
+
+    def __init__(self, universe: np.ndarray):
+        self.values = universe.tolist()
+        self.m, self.size = len(self.values), 0
+        self.tree = [0] * (self.m + 1)
+        self.top = 1 << (self.m.bit_length() - 1) if self.m else 0
+
+    def add(self, rank: int, n: int = 1) -> None:
+        """Inserts n members of the value with this rank; deletes with a negative n."""
+        tree, m, i = self.tree, self.m, rank + 1
+        self.size += n
+        while i <= m:
+            tree[i] += n
+            i += i & -i
+
+    def below(self, rank: int) -> int:
+        """How many members have a smaller rank."""
+        tree, i, n = self.tree, rank, 0
+        while i:
+            n += tree[i]
+            i &= i - 1
+        return n
+
+    def kth(self, k: int) -> float:
+        """The member with k members before it."""
+        tree, m, at, bit = self.tree, self.m, 0, self.top
+        while bit:
+            i = at + bit
+            if i <= m and tree[i] <= k:
+                k -= tree[i]
+                at = i
+            bit >>= 1
+        return self.values[at]
 
 
 def frames_of(x: np.ndarray, start: int, n: int, upto: bool = False) -> np.ndarray:
@@ -85,21 +157,32 @@ def with_quantiles(df: DataFrame, key: str, order: str, v: str, n: int, quantile
     """Adds quantiles of the n rows before each row, linearly interpolated, and as ``rank`` the share of them strictly below it, in percent."""
 
     def score(columns: Scores, start: int) -> Scores:
-        history, now = frames_of(columns[v], start, n), columns[v][start:]
-        ordered = np.sort(history, axis=1)  # nan last
-        size = np.count_nonzero(~np.isnan(history), axis=1)
-        enough, rows, out = size >= max(1, min_rows), np.arange(len(now)), {}
-        for name, p in quantiles.items():
-            at = np.maximum(size - 1, 0) * p
-            low = np.floor(at).astype(int)
-            a, b = ordered[rows, low], ordered[rows, np.minimum(low + 1, np.maximum(size - 1, 0))]
-            out[name] = np.where(enough, a + (b - a) * (at - low), np.nan)
-        if rank:
-            below = np.count_nonzero(history < now[:, None], axis=1)
-            out[rank] = np.where(enough & ~np.isnan(now), below * 100.0 / np.maximum(size, 1), np.nan)
+        x = columns[v]
+        universe, rank_of = np.unique(x[~np.isnan(x)], return_inverse=True)
+        ranks = np.full(len(x), -1)
+        ranks[~np.isnan(x)] = rank_of
+        ranks, window = ranks.tolist(), OrderedWindow(universe)
+        out = {name: np.full(len(x) - start, np.nan) for name in [*quantiles, *([rank] if rank else [])]}
+        for r in ranks[max(0, start - n) : start]:
+            if r >= 0:
+                window.add(r)
+        for i in range(start, len(x)):
+            if window.size >= max(1, min_rows):
+                for name, p in quantiles.items():
+                    at = (window.size - 1) * p
+                    low = int(at)
+                    a = window.kth(low)
+                    b = window.kth(low + 1) if at > low else a
+                    out[name][i - start] = a + (b - a) * (at - low)
+                if rank and ranks[i] >= 0:
+                    out[rank][i - start] = window.below(ranks[i]) * 100.0 / window.size
+            if ranks[i] >= 0:
+                window.add(ranks[i])
+            if i >= n and ranks[i - n] >= 0:
+                window.add(ranks[i - n], -1)
         return out
 
-    return with_rolling(df, key, order, [v], n, [*quantiles, *([rank] if rank else [])], score)
+    return with_rolling(df, key, order, [v], n, [*quantiles, *([rank] if rank else [])], score, 8 * max(n, BLOCK))
 
 
 def percentile_rank(df: DataFrame, key: str, order: str, v: str, n: int, name: str = "percentile") -> DataFrame:
@@ -152,6 +235,23 @@ def with_ou(df: DataFrame, key: str, order: str, n_pairs: int, min_pairs: int =
     return found.withColumn("fit", F.when(F.col("_fit_n") >= min_pairs, fit)).drop(*[f"_fit_{f}" for f in FIT_FIELDS])
 
 
+def with_z(df: DataFrame, key: str, order: str, v: str, n: int = Z_WINDOW, min_rows: int = Z_MIN, name: str = "z") -> DataFrame:
+    """``rolling_z`` of the n rows before each row, cut into blocks: null with fewer than ``min_rows`` values or equal ones."""
+
+    def score(columns: Scores, start: int) -> Scores:
+        history, now = frames_of(columns[v], start, n), columns[v][start:]
+        known = ~np.isnan(history)
+        size = known.sum(axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = np.where(known, history, 0.0).sum(axis=1) / size
+            off = np.where(known, history - mean[:, None], 0.0)
+            sd = np.sqrt((off * off).sum(axis=1) / (size - 1))
+            spread = np.where(known, history, -np.inf).max(axis=1) > np.where(known, history, np.inf).min(axis=1)
+            return {name: np.where((size >= min_rows) & spread, (now - mean) / sd, np.nan)}
+
+    return with_rolling(df, key, order, [v], n, [name], score)
+
+
 def with_lag(df: DataFrame, key: str, order: str, v: str) -> DataFrame:
     """Adds lv, the level before, and dv, the change from it."""
     w = Window.partitionBy(key).orderBy(order)

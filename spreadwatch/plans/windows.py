@@ -19,8 +19,7 @@ SELECT pair_id, d, i, v, CASE WHEN count(v) OVER w >= 30 AND stddev_samp(v) OVER
 FROM series WINDOW w AS (PARTITION BY pair_id ORDER BY i ROWS BETWEEN 720 PRECEDING AND 1 PRECEDING)""",
 )
 def wn_rolling_z(spark, sf_dir):
-    w = W.past("pair_id", "i", W.Z_WINDOW)
-    scored = series(spark, sf_dir).withColumn("z", W.rolling_z("v", w))
+    scored = W.with_z(series(spark, sf_dir), "pair_id", "i", "v")
     net = F.when(F.col("z").isNotNull(), F.round(F.abs("v") - 26.95, 6))
     return scored.select("pair_id", "d", F.col("i").cast("long").alias("i"), "v", *r6("z"), net.alias("net_edge_bps"))
 

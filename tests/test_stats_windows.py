@@ -142,3 +142,74 @@ def test_t_quantile_column(spark):
     for r in got:
         assert (r.t is None) == (r.id < 1 or r.id == 7)
         assert r.t is None or math.isclose(r.t, t_quantile(0.9, r.id), rel_tol=1e-10)
+
+
+def sorted_windows(x, n, min_rows, p):
+    """Quantiles and ranks of the n values before each one, by sorting each window."""
+    out = []
+    for i, now in enumerate(x):
+        past = [y for y in x[max(0, i - n) : i] if not np.isnan(y)]
+        enough = len(past) >= min_rows
+        out.append((np.quantile(past, p) if enough else None, sum(y < now for y in past) * 100.0 / len(past) if enough and not np.isnan(now) else None))
+    return out
+
+
+def test_ordered_window_under_ties_and_gaps(spark):
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 9, 900).astype(float)
+    x[rng.random(900) < 0.1] = np.nan
+    rows = [("k", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x, 1)]
+    df = spark.createDataFrame(rows, "key string, i long, v double")
+    got = W.with_quantiles(df, "key", "i", "v", 60, {"q": 0.37}, "rank", 20).orderBy("i").collect()
+    for r, (q, rank) in zip(got, sorted_windows(x, 60, 20, 0.37), strict=True):
+        assert (r.q is None) == (q is None) and (q is None or math.isclose(r.q, q, abs_tol=1e-12))
+        assert (r.rank is None) == (rank is None) and (rank is None or math.isclose(r.rank, rank))
+
+
+def test_ordered_window_itself():
+    rng = np.random.default_rng(1)
+    universe = np.array([-3.0, 0.0, 2.5, 7.0, 9.0])
+    window, plain = W.OrderedWindow(universe), []
+    for _ in range(400):
+        rank = int(rng.integers(5))
+        if rng.random() < 0.45 and universe[rank] in plain:
+            window.add(rank, -1)
+            plain.remove(universe[rank])
+        else:
+            window.add(rank)
+            plain.append(universe[rank])
+        assert window.size == len(plain) and [window.kth(k) for k in range(len(plain))] == sorted(plain)
+        assert [window.below(r) for r in range(5)] == [sum(v < universe[r] for v in plain) for r in range(5)]
+    assert W.OrderedWindow(np.zeros(0)).size == 0
+
+
+def test_one_series_over_many_tasks(spark, monkeypatch):
+    """Blocks with the rows before them give the rows of one pass, and one key reaches all tasks."""
+    rng = np.random.default_rng(5)
+    rows = [(k, i, float(rng.normal(0, 20)) if rng.random() > 0.02 else None) for k, n in (("long", 3000), ("short", 40), (None, 300)) for i in range(1, n + 1)]
+    df = spark.createDataFrame(rows, "key string, i long, v double").repartition(3)
+
+    def scored():
+        lagged = W.with_lag(W.with_z(df, "key", "i", "v", 90), "key", "i", "v")
+        return W.with_quantiles(W.causal_detrend(W.with_ou(lagged, "key", "i", 60), "key", "i", "v", 50), "key", "i", "v", 80, {"q": 0.9}, "rank", 30)
+
+    whole = {(r.key, r.i): r for r in scored().collect()}
+    monkeypatch.setattr(W, "SERIES_BLOCK", 100)
+    cut = {(r.key, r.i): r for r in scored().collect()}
+    assert whole.keys() == cut.keys() and len(cut) == len(rows)
+    flat = lambda r: [math.nan if x is None else x for x in (r.z, r.slope, r.resid, r.q, r["rank"], *(r.fit or [None] * 7))]
+    for at, r in whole.items():
+        assert flat(cut[at]) == pytest.approx(flat(r), rel=1e-9, abs=1e-9, nan_ok=True)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would go to one task
+    try:
+        assert W.with_z(df.where("key = 'long'"), "key", "i", "v", 90).groupBy(F.spark_partition_id()).count().count() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_row_numbers_without_one_task_a_key(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, int(x), n) for n, (k, x) in enumerate((k, x) for k, m in (("a", 2000), ("b", 3), (None, 50)) for x in rng.permutation(m))]
+    got = W.with_row_numbers(spark.createDataFrame(rows, "key string, at long, i int").repartition(5), "key", "at")
+    assert got.columns == ["key", "at", "i"] and all(r.i == r.at + 1 for r in got.collect()) and got.count() == len(rows)
+    assert W.with_row_numbers(spark.createDataFrame([], "key string, at long"), "key", "at").collect() == []
