@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spreadwatch.functions.expressions import calibration_verdict, hedged_spread_bps
 from spreadwatch.functions.formula import compile_formula
 from spreadwatch.functions.stats import ols, ou_fit
-from spreadwatch.operators.windows import with_lag
+from spreadwatch.operators.windows import with_lag, with_row_numbers
 
 NORMAL_TAIL_3 = 0.0026998
 
 
+def ols_of(frame: DataFrame, key: str, y: str, x: str) -> DataFrame:
+    """(key, alpha, beta) of y = alpha + beta x over the rows of each key."""
+    fit = ols(F.col(y), F.col(x))
+    return frame.groupBy(key).agg(fit["alpha"].alias("alpha"), fit["beta"].alias("beta"))
+
+
 def ols_hedge(frame: DataFrame) -> DataFrame:
     """ln a = alpha + beta ln b per pair: (pair_id, alpha, beta, r2, n, t)."""
     fit = ols(F.ln("pa"), F.ln("pb"))
@@ -61,14 +67,17 @@ def sigma_lie(df: DataFrame, key: str, v: str, min_rows: int = 100) -> DataFrame
 def bh_threshold(tests: DataFrame, q: float = 0.05) -> DataFrame:
     """``tests`` (family, p, ...) with each family's Benjamini-Hochberg critical value and ``admitted``.
 
-    The value is 0 where nothing passes, and then nothing is admitted.
+    The value is 0 where nothing passes, and then nothing is admitted. Ranks come from range
+    partitions and their sums, so a family of any size is no single task's; a family without a
+    p-value of its own is not ranked (null p), and counts for nothing.
     """
-    w = Window.partitionBy("family")
-    ranked = tests.withColumns({"_i": F.row_number().over(w.orderBy("p")), "_m": F.count(F.lit(1)).over(w)})
-    limit = F.max(F.when(F.col("p") <= F.col("_i") / F.col("_m") * q, F.col("p"))).over(w)
-    ranked = ranked.withColumn("_limit", limit)
-    ranked = ranked.withColumns({"threshold": F.coalesce("_limit", F.lit(0.0)), "admitted": F.coalesce(F.col("p") <= F.col("_limit"), F.lit(False))})
-    return ranked.drop("_i", "_m", "_limit")
+    ranked = with_row_numbers(tests.where("p is not null"), "family", "p", "_i")
+    sizes = ranked.groupBy(F.col("family").alias("_family")).agg(F.count(F.lit(1)).alias("_m"))
+    same = F.col("family").eqNullSafe(F.col("_family"))
+    passing = ranked.join(sizes, same).where(F.col("p") <= F.col("_i") / F.col("_m") * q)
+    limits = passing.groupBy("_family").agg(F.max("p").alias("_limit"))
+    met = tests.join(limits, same, "left")
+    return met.withColumns({"threshold": F.coalesce("_limit", F.lit(0.0)), "admitted": F.coalesce(F.col("p") <= F.col("_limit"), F.lit(False))}).drop("_family", "_limit")
 
 
 def calibrate(closes: DataFrame, linkage, param: str, min_days: int = 30) -> DataFrame:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadwatch.functions import expressions as E
-from spreadwatch.functions.stats import adf, engle_granger, ols, t_pvalue_of, t_quantile_of
+from spreadwatch.functions.stats import ols, t_pvalue_of, t_quantile_of
 from spreadwatch.operators import aggregates as A
 from spreadwatch.operators import windows as W
 from spreadwatch.operators.quality import screen
 from spreadwatch.operators.sequential import greedy_cooldown
+from spreadwatch.operators.unit_root import cointegration, unit_root
 from spreadwatch.sources.config import Linkage, Pair
+from spreadwatch.sources.shared import written
 
 WARMUP, HORIZON = 300, 3
 ADMISSION_SIGMAS, MAX_TRADES = 2.0, 500.0
@@ -63,25 +64,18 @@ def backtest_summary(rows: DataFrame, alerts: DataFrame) -> DataFrame:
     return out.withColumns({"edge": edge, "verdict": E.backtest_verdict(F.col("alerts"), edge, F.col("mean_net"))})
 
 
-def _tests(logs: bool):
-    """Cointegration and unit-root tests of one pair; one series per pair is all a task holds."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pdf = pdf.sort_values("d")
-        a, b, spread = pdf["pa"].to_numpy(), pdf["pb"].to_numpy(), pdf["spread_bps"].to_numpy()
-        if len(pdf) < 60 or (logs and (min(a.min(), b.min()) <= 0)):
-            return pd.DataFrame([(pdf["pair_id"].iloc[0], None, None)], columns=["pair_id", "coint_p", "adf_p"])
-        coint = engle_granger(np.log(a), np.log(b)) if logs else engle_granger(a, b)
-        return pd.DataFrame([(pdf["pair_id"].iloc[0], coint[1], adf(spread)[1])], columns=["pair_id", "coint_p", "adf_p"])
-
-    return run
-
-
 def pair_tests(frame: DataFrame, logs: bool) -> DataFrame:
-    """(pair_id, coint_p, adf_p); logs chooses between log prices and levels for cointegration."""
-    return frame.groupBy("pair_id").applyInPandas(_tests(logs), "pair_id string, coint_p double, adf_p double")
+    """(pair_id, coint_p, adf_p); logs chooses between log prices and levels for cointegration.
+
+    Null for pairs of fewer than 60 rows, and with logs for pairs with a price of 0 or less.
+    """
+    low = frame.groupBy("pair_id").agg(F.min(F.least("pa", "pb")).alias("_low"))
+    sound = low.where("_low > 0").select("pair_id") if logs else low.select("pair_id")
+    tested = frame.join(sound, "pair_id", "left_semi")
+    price = lambda c: F.log(c) if logs else F.col(c)
+    coint = cointegration(tested.select("pair_id", "d", price("pa").alias("_a"), price("pb").alias("_b")), "pair_id", "d", "_a", "_b").select("pair_id", F.col("p").alias("coint_p"))
+    adf = unit_root(tested, "pair_id", "d", "spread_bps").select("pair_id", F.col("p").alias("adf_p"))
+    return low.select("pair_id").join(coint, "pair_id", "left").join(adf, "pair_id", "left")
 
 
 def _measured(spread: DataFrame, fits: DataFrame, window: int) -> DataFrame:
@@ -105,9 +99,9 @@ def profile_measures(frame: DataFrame, window: int = 60) -> DataFrame:
 
 def profile(frame: DataFrame, window: int = 60) -> DataFrame:
     """What there is to know about each pair (pair_id, d, pa, pb), one row per pair."""
-    clean = screen(frame)
+    clean = written(screen(frame), "screened")
     fits = A.ols_hedge(clean)
-    spread = A.hedged_spread(clean, fits)
+    spread = written(A.hedged_spread(clean, fits), "spread")
     out = _measured(spread, fits, window).join(pair_tests(spread, logs=False), "pair_id", "left")
     swing = F.col("corr_max") - F.col("corr_min")
     return out.withColumn("verdict", E.profile_verdict(F.col("n"), F.col("coint_p"), F.col("half_life"), swing))
@@ -118,9 +112,9 @@ def fit_catalogue(frame: DataFrame, catalogue: DataFrame, horizon: float = 3.0,
 
     Pairs without prices for both legs come back refused.
     """
-    clean = screen(frame)
+    clean = written(screen(frame), "screened")
     fits = A.ols_hedge(clean)
-    spread = A.hedged_spread(clean, fits)
+    spread = written(A.hedged_spread(clean, fits), "spread")
     found = fits.withColumn("k", F.exp("alpha"))
     ou = A.ou(spread, "pair_id", "d", "spread_bps").select("pair_id", "theta", "mu", "sigma", "half_life", F.col("t").alias("theta_t"))
     for part in (ou, A.spread_stats(spread, "pair_id", "d", "spread_bps"), pair_tests(spread, logs=True)):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from spreadwatch.functions.expressions import MIN_FIT
-from spreadwatch.sources.shared import shared_folder
+from spreadwatch.sources.shared import written
 
 Z_WINDOW, Z_MIN = 720, 30
 THRESHOLD_WINDOW, THRESHOLD_MIN = 750, 100
@@ -57,16 +57,26 @@ def with_row_numbers(df: DataFrame, key: str, order: str | list[str], name: str
     partition its start. Ties get numbers in any order. Null keys are one key.
     """
     by = [order] if isinstance(order, str) else order
-    at = shared_folder(df.sparkSession, "numbered")
     placed = df.repartitionByRange(key, *by).sortWithinPartitions(key, *by).withColumns({"_part": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()})
-    placed.write.parquet(at)
-    rows = df.sparkSession.read.schema(placed.schema).parquet(at)
+    rows = written(placed, "numbered")
     held = rows.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_in")).agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     met = rows.join(held.withColumn("_before", before), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_in")))
     return met.withColumn(name, (F.col("_before") + F.col("_seq") - F.col("_first") + 1).cast("long")).select(*[F.col(f"`{c}`") for c in df.columns if c != name], name)
 
 
+def in_blocks(df: DataFrame, key: str, order: str, carry: int) -> DataFrame:
+    """``df`` dealt out and sorted by key, _block and order: blocks of a numbered series, each after the ``carry`` rows before it.
+
+    Rows that a block has only lent (_own is another block) come first in it.
+    """
+    size = max(SERIES_BLOCK, carry)
+    own = F.floor((F.col(order) - 1) / size)
+    also = (F.col(order) - 1) % size >= size - carry
+    rows = df.withColumn("_own", own).withColumn("_block", F.explode(F.when(also, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    return rows.repartition(key, "_block").sortWithinPartitions(key, "_block", order)
+
+
 def with_rolling(df: DataFrame, key: str, order: str, needs: list[str], carry: int, fields: list[str], score: Callable[[Scores, int], Scores], chunk: int = BLOCK) -> DataFrame:
     """``df`` with double columns ``fields``, scored in order of each key.
 
@@ -76,10 +86,6 @@ def with_rolling(df: DataFrame, key: str, order: str, needs: list[str], carry: i
     is cut into blocks of ``SERIES_BLOCK`` rows; the last ``carry`` rows of a block go to the next one too.
     """
     schema = StructType([*df.schema.fields, *(StructField(f, DoubleType()) for f in fields)])
-    size = max(SERIES_BLOCK, carry)
-    own = F.floor((F.col(order) - 1) / size)
-    also = (F.col(order) - 1) % size >= size - carry
-    rows = df.withColumn("_own", own).withColumn("_block", F.explode(F.when(also, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
     kept = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +110,7 @@ def with_rolling(df: DataFrame, key: str, order: str, needs: list[str], carry: i
             arrays = [pa.array(np.concatenate(found[f]), pa.float64(), from_pandas=True) for f in fields]
             yield pa.RecordBatch.from_arrays([*mine.columns, *arrays], [*kept, *fields])
 
-    return rows.repartition(key, "_block").sortWithinPartitions(key, "_block", order).mapInArrow(run, schema)
+    return in_blocks(df, key, order, carry).mapInArrow(run, schema)
 
 
 class OrderedWindow:

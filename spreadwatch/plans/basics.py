@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from spreadwatch.functions import expressions as E
@@ -12,7 +12,7 @@ from spreadwatch.operators.alignment import asof_join, complete_legs, event_wind
 from spreadwatch.plans.frames import BARS_SQL, BENCHMARKS, EVENTS_SQL, FRAME_SQL, LAGGED_SQL, SERIES_SQL, TICKS_SQL, announced, announcements, bars, frame, r6, series, ticks
 from spreadwatch.plans.registry import query, table
 from spreadwatch.plans.windows import OU_SQL, ou_parts
-from spreadwatch.sources.config import AlertRule, Linkage, Universe
+from spreadwatch.sources.config import AlertRule, Linkage, Universe, fingerprint_of
 from spreadwatch.sources.market import TableSource, event_calendar, last_bars, latest_quotes, ohlc, without_empty_rows
 from spreadwatch.sources.provider import ParquetFeed, register_feed
 from spreadwatch.sources.reports import universe_counts
@@ -57,9 +57,29 @@ def src_bars_hourly(spark, sf_dir):
     return ohlc(ticks(spark, sf_dir), "1h").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("src_symbols_per_provider", f"WITH {LINKS_SQL} SELECT DISTINCT provider, symbol FROM legs")
+#: Every customer as a declared linkage of an instrument of its nation against one of its segment.
+DECLARED_SQL = """declared AS (SELECT c_custkey AS linkage_id, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'tradeable' ELSE 'observational' END AS category,
+  'N' || c_nationkey AS symbol_a, 'feed' || c_nationkey % 3 AS provider_a, 'S' || c_custkey % 40 || c_mktsegment AS symbol_b, lower(c_mktsegment) AS provider_b, c_nationkey + 0.5 AS k, abs(c_acctbal) / 100 AS fees, c_nationkey * 0.25 AS tax FROM customer)"""
+
+
+def declared(spark, sf_dir):
+    """(linkage_id, category, legs, fair_value, params, reference, friction, kalman_delta) of every customer."""
+    c, nation = table(spark, sf_dir, "customer"), F.col("c_nationkey")
+    leg = lambda symbol, provider: F.struct(symbol.alias("symbol"), provider.alias("provider"))
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    a = leg(text("N", nation.cast("string")), text("feed", (nation % 3).cast("string")))
+    b = leg(text("S", (F.col("c_custkey") % 40).cast("string"), F.col("c_mktsegment")), F.lower("c_mktsegment"))
+    return c.select(
+        F.col("c_custkey").alias("linkage_id"), F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "tradeable").otherwise("observational").alias("category"),
+        F.create_map(F.lit("b"), b, F.lit("a"), a).alias("legs"), F.lit("b * k").alias("fair_value"), F.create_map(F.lit("k"), (nation + 0.5).cast("double")).alias("params"), F.lit("a").alias("reference"),
+        F.create_map(F.lit("fees"), F.abs("c_acctbal") / 100, F.lit("tax"), nation * F.lit(0.25)).alias("friction"), F.lit(None).cast("double").alias("kalman_delta"),
+    )
+
+
+@query("src_symbols_per_provider", f"WITH {DECLARED_SQL} SELECT provider_a AS provider, symbol_a AS symbol FROM declared UNION SELECT provider_b, symbol_b FROM declared")
 def src_symbols_per_provider(spark, sf_dir):
-    return UNIVERSE.legs_frame(spark).select("provider", "symbol").distinct()
+    legs = declared(spark, sf_dir).select(F.explode("legs").alias("leg", "source"))
+    return legs.select("source.provider", "source.symbol").distinct()
 
 
 @query(
@@ -120,9 +140,9 @@ def exp_log_spread(spark, sf_dir):
     return frame(spark, sf_dir).select("pair_id", "d", F.round(E.log_spread_bps(F.col("pa"), F.col("pb")), 6).alias("spread_bps"))
 
 
-@query("exp_total_friction", f"WITH {LINKS_SQL} SELECT linkage_id, category, CAST(friction AS DOUBLE) AS friction FROM links")
+@query("exp_total_friction", f"WITH {DECLARED_SQL} SELECT linkage_id, category, round(fees + tax, 6) AS friction FROM declared")
 def exp_total_friction(spark, sf_dir):
-    return UNIVERSE.frame(spark).select("linkage_id", "category", F.round(E.total_friction(F.col("friction")), 6).alias("friction"))
+    return declared(spark, sf_dir).select("linkage_id", "category", F.round(E.total_friction(F.col("friction")), 6).alias("friction"))
 
 
 @query(
@@ -166,28 +186,35 @@ def exp_alertable(spark, sf_dir):
     return z.select("pair_id", "d", stale.alias("stale"), E.alertable(stale, F.col("z"), E.net_edge(F.col("v"), F.col("z"), F.lit(25.0))).alias("alertable"))
 
 
-SYMBOLS = ["INFY.NS", "RELIANCE.BO", "BARC.L", "SAP.DE", "AAPL", "EURUSD=X", "GC=F", "^GSPC"]
-SYMBOLS_SQL = "s(symbol) AS (VALUES " + ", ".join(f"('{s}')" for s in SYMBOLS) + ")"
+ROUTED_SQL = """s AS (SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'C' || c_custkey || '.NS' WHEN 1 THEN 'C' || c_custkey || '.BO' WHEN 2 THEN 'C' || c_custkey || '.L' WHEN 3 THEN 'C' || c_custkey || '.DE'
+  WHEN 4 THEN 'C' || c_custkey || '=X' WHEN 5 THEN 'C' || c_custkey || '=F' WHEN 6 THEN '^C' || c_custkey ELSE 'C' || c_custkey END AS symbol FROM customer)"""
 
 
 @query(
     "exp_symbol_routing",
-    f"""WITH {SYMBOLS_SQL} SELECT symbol, CASE WHEN symbol LIKE '%.NS' THEN '^NSEI' WHEN symbol LIKE '%.BO' THEN '^BSESN' WHEN symbol LIKE '%.L' THEN '^FTSE' WHEN symbol LIKE '%.DE' THEN '^GDAXI' ELSE '^GSPC' END AS benchmark,
+    f"""WITH {ROUTED_SQL} SELECT symbol, CASE WHEN symbol LIKE '%.NS' THEN '^NSEI' WHEN symbol LIKE '%.BO' THEN '^BSESN' WHEN symbol LIKE '%.L' THEN '^FTSE' WHEN symbol LIKE '%.DE' THEN '^GDAXI' ELSE '^GSPC' END AS benchmark,
   NOT (symbol LIKE '%=X' OR symbol LIKE '%=F' OR symbol LIKE '^%') AS could_report FROM s""",
 )
 def exp_symbol_routing(spark, sf_dir):
-    s = spark.createDataFrame([(x,) for x in SYMBOLS], "symbol string")
+    """Every customer's name as a symbol of one of eight kinds."""
+    key, kind = F.col("c_custkey").cast("string"), F.col("c_custkey") % 8
+    ending = F.element_at(F.array(*map(F.lit, [".NS", ".BO", ".L", ".DE", "=X", "=F", "", ""])), (kind + 1).cast("int"))
+    s = table(spark, sf_dir, "customer").select(F.concat(F.when(kind == 6, "^C").otherwise("C"), key, ending).alias("symbol"))
     return s.select("symbol", E.benchmark_for(F.col("symbol")).alias("benchmark"), E.could_report(F.col("symbol")).alias("could_report"))
 
 
 @query(
     "exp_group_routing",
-    """WITH g(grp, access) AS (VALUES ('fx', 'full'), ('equity_us', 'long_only'), ('india_index', 'none'), ('other', 'full'))
-SELECT grp, CASE grp WHEN 'fx' THEN 4.0::DOUBLE WHEN 'equity_us' THEN 10.0 WHEN 'india_index' THEN 26.95 ELSE 25.0 END AS friction, CASE WHEN access = 'full' THEN 'tradeable' ELSE 'observational' END AS category FROM g""",
+    """WITH g AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'fx' WHEN '2-HIGH' THEN 'equity_us' WHEN '3-MEDIUM' THEN 'india_index' WHEN '5-LOW' THEN 'intermarket' ELSE 'other' END AS grp, CASE o_orderstatus WHEN 'F' THEN 'full' WHEN 'O' THEN 'long_only' ELSE 'none' END AS access FROM orders)
+SELECT o_orderkey AS pair_id, grp, CASE grp WHEN 'fx' THEN 4.0::DOUBLE WHEN 'equity_us' THEN 10.0 WHEN 'india_index' THEN 26.95 WHEN 'intermarket' THEN 12.0 ELSE 25.0 END AS friction, CASE WHEN access = 'full' THEN 'tradeable' ELSE 'observational' END AS category FROM g""",
 )
 def exp_group_routing(spark, sf_dir):
-    g = spark.createDataFrame([("fx", "full"), ("equity_us", "long_only"), ("india_index", "none"), ("other", "full")], "grp string, access string")
-    return g.select("grp", E.group_friction(F.col("grp")).alias("friction"), E.access_category(F.col("access")).alias("category"))
+    """Every order as a pair whose priority names its group and whose status its access."""
+    p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
+    grp = F.when(p == "1-URGENT", "fx").when(p == "2-HIGH", "equity_us").when(p == "3-MEDIUM", "india_index").when(p == "5-LOW", "intermarket").otherwise("other")
+    access = F.when(s == "F", "full").when(s == "O", "long_only").otherwise("none")
+    g = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pair_id"), grp.alias("grp"), access.alias("access"))
+    return g.select("pair_id", "grp", E.group_friction(F.col("grp")).alias("friction"), E.access_category(F.col("access")).alias("category"))
 
 
 FITS_SQL = f"""WITH {LAGGED_SQL}, p AS (SELECT pair_id, d, i, v, {ou_parts("OVER w")} FROM lagged WINDOW w AS (PARTITION BY pair_id ORDER BY i ROWS BETWEEN 249 PRECEDING AND 1 PRECEDING)),
@@ -231,12 +258,14 @@ def exp_tail_probability(spark, sf_dir):
     return series(spark, sf_dir).withColumn("p", p).select("pair_id", "d", F.round(E.tail_probability(F.col("p")), 6).alias("tail"))
 
 
-FINGERPRINT_SQL = " UNION ALL ".join(f"""SELECT '{x.id}' AS linkage_id, substr(sha256('{x.meaning.replace("'", "''")}'), 1, 16) AS fingerprint""" for x in UNIVERSE.linkages)
+FINGERPRINT_SQL = DECLARED_SQL + """, j AS (SELECT linkage_id, '{"fair_value":"b * k","kalman_delta":null,"legs":{"a":{"provider":"' || provider_a || '","symbol":"' || symbol_a || '"},"b":{"provider":"' || provider_b || '","symbol":"' || symbol_b
+  || '"}},"params":{"k":' || CAST(CAST(k AS DOUBLE) AS VARCHAR) || '},"reference":"a"}' AS meaning FROM declared)"""
 
 
-@query("exp_state_fingerprint", FINGERPRINT_SQL)
+@query("exp_state_fingerprint", f"WITH {FINGERPRINT_SQL} SELECT linkage_id, substr(sha256(meaning), 1, 16) AS fingerprint FROM j")
 def exp_state_fingerprint(spark, sf_dir):
-    return UNIVERSE.frame(spark).select("linkage_id", "fingerprint")
+    print_ = fingerprint_of(*[F.col(c) for c in ("fair_value", "legs", "params", "reference", "kalman_delta")])
+    return declared(spark, sf_dir).select("linkage_id", print_.alias("fingerprint"))
 
 
 # ---- a provider as a data source
@@ -429,9 +458,12 @@ def src_rows_with_any_price(spark, sf_dir):
     return without_empty_rows(wide)
 
 
-@query("ag_universe_counts", f"WITH {LINKS_SQL} SELECT category, count(DISTINCT linkage_id) AS linkages, count(DISTINCT symbol) AS symbols FROM links JOIN legs USING (linkage_id) GROUP BY category")
+@query(
+    "ag_universe_counts",
+    f"WITH {DECLARED_SQL}, l AS (SELECT category, linkage_id, symbol_a AS symbol FROM declared UNION ALL SELECT category, linkage_id, symbol_b FROM declared) SELECT category, count(DISTINCT linkage_id) AS linkages, count(DISTINCT symbol) AS symbols FROM l GROUP BY category",
+)
 def ag_universe_counts(spark, sf_dir):
-    return universe_counts(UNIVERSE.frame(spark))
+    return universe_counts(declared(spark, sf_dir))
 
 
 @query(

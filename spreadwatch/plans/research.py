@@ -12,6 +12,7 @@ from spreadwatch.operators import research as R
 from spreadwatch.operators import sequential as S
 from spreadwatch.operators import windows as W
 from spreadwatch.operators.detector import verdicts
+from spreadwatch.operators.unit_root import unit_root
 from spreadwatch.plans.basics import ALERTS_SQL, MOVES_SQL, event_moves, outcomes
 from spreadwatch.plans.frames import BARS_SQL, FRAME_SQL, LAGGED_SQL, SERIES_SQL, TICKS_SQL, bars, frame, r6, series, ticks
 from spreadwatch.plans.registry import query, table
@@ -79,16 +80,16 @@ def ag_sigma_lie(spark, sf_dir):
     return A.sigma_lie(series(spark, sf_dir), "pair_id", "v").select("pair_id", *r6("share_beyond_3", "ratio"))
 
 
-P_VALUES = [("f1", i, p) for i, p in enumerate([0.001, 0.008, 0.039, 0.041, 0.042, 0.06, 0.074, 0.205, 0.212, 0.216])] + [("f2", i, p) for i, p in enumerate([0.2, 0.3, 0.9])]
-
-
 @query(
     "ag_bh_threshold",
-    "WITH p(family, i, p) AS (VALUES " + ", ".join(f"('{a}', {b}, {c}::DOUBLE)" for a, b, c in P_VALUES) + """), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p) AS k, count(*) OVER (PARTITION BY family) AS m FROM p),
-t AS (SELECT *, max(CASE WHEN p <= k::DOUBLE / m * 0.05 THEN p END) OVER (PARTITION BY family) AS threshold FROM r) SELECT family, i::BIGINT AS i, p, coalesce(threshold, 0) AS threshold, coalesce(p <= threshold, false) AS admitted FROM t""",
+    """WITH p AS (SELECT event_type AS family, event_id AS i, exp(-value / 25.0) AS p FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p) AS k, count(*) OVER (PARTITION BY family) AS m FROM p),
+t AS (SELECT *, max(CASE WHEN p <= k::DOUBLE / m * 0.05 THEN p END) OVER (PARTITION BY family) AS threshold FROM r) SELECT family, i, round(p, 9) AS p, round(coalesce(threshold, 0), 9) AS threshold, coalesce(p <= threshold, false) AS admitted FROM t""",
 )
 def ag_bh_threshold(spark, sf_dir):
-    return A.bh_threshold(spark.createDataFrame(P_VALUES, "family string, i long, p double"))
+    """Every event's value against an exponential law of mean 25: a family of tests per event type."""
+    tests = table(spark, sf_dir, "events").select(F.col("event_type").alias("family"), F.col("event_id").alias("i"), F.exp(-F.col("value") / 25.0).alias("p"))
+    found = A.bh_threshold(tests)
+    return found.select("family", "i", F.round("p", 9).alias("p"), F.round("threshold", 9).alias("threshold"), "admitted")
 
 
 RATIO = Linkage("ratio", "A against N", "validation", {"a": ("A", "table"), "b": ("N", "table")}, "b * k", "a", {"k": 1.0})
@@ -284,6 +285,18 @@ def pl_admission(spark, sf_dir):
     return R.fit_catalogue(frame(spark, sf_dir), catalogue).select("pair_id", "n", "k", "beta", "coint_p", "threshold", "half_life", "theta_t", "net_edge", "admitted", "reason")
 
 
+# the change on the level and the change before, both centred: two regressors in closed form
+UNIT_ROOT_SQL = SERIES_SQL + """, l AS (SELECT pair_id, i, v - lag(v) OVER k AS y, lag(v) OVER k AS x, lag(v) OVER k - lag(v, 2) OVER k AS z FROM series WINDOW k AS (PARTITION BY pair_id ORDER BY i)),
+u AS (SELECT * FROM l WHERE z IS NOT NULL), s AS (SELECT pair_id, count(*) AS n, regr_sxx(x, x) AS xx, regr_sxx(z, z) AS zz, regr_sxx(y, y) AS yy, regr_sxy(z, x) AS xz, regr_sxy(y, x) AS xy, regr_sxy(y, z) AS zy FROM u GROUP BY pair_id),
+b AS (SELECT *, xx * zz - xz * xz AS det, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b1, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b2 FROM s)"""
+
+
+@query("ag_unit_root_t", f"WITH {UNIT_ROOT_SQL} SELECT pair_id, n + 2 AS n, round(b1 / sqrt((yy - b1 * xy - b2 * zy) / (n - 3) * zz / det), 6) AS t FROM b")
+def ag_unit_root_t(spark, sf_dir):
+    """The unit-root statistic of each pair's spread with one lag, from summed moments."""
+    return unit_root(series(spark, sf_dir), "pair_id", "i", "v", lags=1).select("pair_id", "n", *r6("t"))
+
+
 # ---- detector, filter, episodes
 
 VERDICT_SQL = LAGGED_SQL + f""", p AS (SELECT pair_id, d, i, v, list(v) OVER w AS h, {ou_parts("OVER u")} FROM lagged WINDOW w AS (PARTITION BY pair_id ORDER BY i ROWS BETWEEN 750 PRECEDING AND 1 PRECEDING), u AS (PARTITION BY pair_id ORDER BY i ROWS BETWEEN 248 PRECEDING AND CURRENT ROW)),

@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spreadwatch.functions.formula import undeclared
 
@@ -209,3 +210,14 @@ def dump_universe(universe: Universe, note: str = "") -> str:
             "fair_value": x.fair_value, "params": x.params, "reference": x.reference, "friction_bps": x.friction_bps, "alert": vars(x.alert), "kalman_delta": x.kalman_delta,
         })
     return json.dumps({"note": note or ("" if rows else "nothing was admitted"), "linkages": rows}, indent=2)
+
+
+def fingerprint_of(fair_value: Column, legs: Column, params: Column, reference: Column, kalman_delta: Column) -> Column:
+    """``Linkage.fingerprint`` as a Column: legs map<string, struct<symbol, provider>>, params map<string, double>.
+
+    Equal to it where numbers are written alike, from a thousandth to ten million.
+    """
+    entry = lambda x: F.struct(x["key"], F.struct(x["value"]["provider"].alias("provider"), x["value"]["symbol"].alias("symbol")))
+    by_name = F.map_from_entries(F.array_sort(F.transform(F.map_entries(legs), entry)))
+    what = F.struct(fair_value.alias("fair_value"), kalman_delta.alias("kalman_delta"), by_name.alias("legs"), F.map_from_entries(F.array_sort(F.map_entries(params))).alias("params"), reference.alias("reference"))
+    return F.substring(F.sha2(F.to_json(what, {"ignoreNullFields": "false"}).cast("binary"), 256), 1, 16)

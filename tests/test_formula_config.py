@@ -82,3 +82,14 @@ def test_catalogue(tmp_path):
         Pair("p", "fx", "X", "X", "full")
     with pytest.raises(ConfigError):
         Catalogue((Pair("p", "g", "X", "Y", "none"), Pair("p", "g", "X", "Z", "none")))
+
+
+def test_fingerprints_in_columns_are_those_of_declarations(spark):
+    from pyspark.sql import functions as F
+
+    from spreadwatch.sources.config import fingerprint_of
+
+    links = [Linkage(f"l{i}", "", "validation", {"b": ("B", "u"), "a": ('A"', "t")}, "b * k + z", "a", {"z": 0.5, "k": 1234.25 + i}, kalman_delta=delta) for i, delta in enumerate((None, 0.25))]
+    frame = Universe(tuple(links)).frame(spark)
+    got = frame.select("linkage_id", fingerprint_of(*[F.col(c) for c in ("fair_value", "legs", "params", "reference", "kalman_delta")]).alias("f")).collect()
+    assert {r.linkage_id: r.f for r in got} == {x.id: x.fingerprint for x in links}
