@@ -24,17 +24,56 @@ def markdown(df: DataFrame, columns: list[str], most: int = MOST) -> str:
     """The first rows of a small table as Markdown, and how many more there are."""
     rows = df.select(*columns).limit(most + 1).collect()
     lines = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
-    lines += ["| " + " | ".join(_cell(v).replace("|", "\\|") for v in r) + " |" for r in rows[:most]]
+    lines += [_row(r) for r in rows[:most]]
     return "\n".join(lines + ([f"and {df.count() - most} more"] if len(rows) > most else []))
 
 
+PAIR_COLUMNS = ["pair_id", "n", "return_corr", "beta", "r2", "coint_p", "half_life", "current_z", "verdict"]
+
+
+def _row(values: Iterable[object]) -> str:
+    return "| " + " | ".join(_cell(v).replace("|", "\\|") for v in values) + " |"
+
+
+def pair_details(row: dict[str, object]) -> str:
+    """All there is to say of one profiled pair; why there is no more, where a measure is missing."""
+    say = lambda c: _cell(row.get(c))
+    lines = [f"\n### {say('pair_id')}: {say('a')} against {say('b')}\n"]
+    lines += [f"- {label}: {row[c]}" for label, c in (("why", "mechanism"), ("breaks when", "breaks_when"), ("access", "access")) if row.get(c)]
+    if row.get("n") is None:
+        return "\n".join([*lines, f"- not profiled: {say('problem')}"])
+    lines += [
+        f"- {say('n')} days from {say('start')} to {say('end')}",
+        f"- regression: beta {say('beta')}, r2 {say('r2')}; returns correlate {say('return_corr')}, now {say('corr_now')}, between {say('corr_min')} and {say('corr_max')} ({say('stability')})",
+        f"- spread: sd {say('sd')} bps, now {say('current_z')} sd from its mean; half-life {say('half_life')} days",
+        f"- tests: cointegration p {say('coint_p')}, unit root p {say('adf_p')}",
+        f"- verdict: {say('verdict')}",
+    ]
+    return "\n".join(lines + ([f"- could not be tested: {say('problem')}"] if row.get("problem") else []))
+
+
 def pairs_report(profiles: DataFrame, catalogue: DataFrame) -> str:
-    """All profiled pairs grouped as the catalogue groups them; a pair without a profile says so."""
-    met = catalogue.join(profiles, "pair_id", "left").withColumn("verdict", F.coalesce("verdict", F.lit("no prices for both legs")))
-    parts = ["# Pairs"]
-    for (group,) in sorted(tuple(r) for r in catalogue.select("grp").distinct().limit(MOST).collect()):
-        own = met.where(F.col("grp") == group).orderBy("pair_id")
-        parts += [f"\n## {group}\n", markdown(own, ["pair_id", "n", "return_corr", "beta", "r2", "coint_p", "half_life", "current_z", "verdict"])]
+    """Every pair of the catalogue, grouped as it groups them: a table per group, then a block of details per pair.
+
+    A pair that could not be profiled or tested is there with the reason. Rows come to the driver
+    partition by partition, in order, however many groups there are.
+    """
+    problem = F.when(F.col("n").isNull(), "no prices for both legs").when(F.col("coint_p").isNull(), F.concat(F.lit("only "), F.col("n").cast("string"), F.lit(" rows, or prices that give no number")))
+    met = catalogue.join(profiles, "pair_id", "left").withColumn("problem", problem).withColumn("verdict", F.coalesce("verdict", "problem"))
+    parts, tables, details, group = ["# Pairs"], [], [], None
+
+    def close() -> None:
+        if tables:
+            parts.extend([f"\n## {group}\n", _row(PAIR_COLUMNS), "|" + " --- |" * len(PAIR_COLUMNS), *tables, *details])
+
+    for r in met.orderBy("grp", "pair_id").toLocalIterator():
+        row = r.asDict()
+        if row["grp"] != group:
+            close()
+            tables, details, group = [], [], row["grp"]
+        tables.append(_row(row.get(c) for c in PAIR_COLUMNS))
+        details.append(pair_details(row))
+    close()
     return "\n".join(parts)
 
 
@@ -79,9 +118,9 @@ def fitted_universe(admissions: DataFrame, linkages: Iterable, n_pairs: int) ->
     return dump_universe(found, f"{len(found.linkages)} of {n_pairs} admitted, {refused} refused")
 
 
-def outcomes(store: Store, horizon_days: int = 3, most: int = MOST) -> DataFrame:
-    """The latest alerts met with the first observation of their linkage ``horizon_days`` or more later."""
-    alerts = store.alerts().drop("run", "batch").orderBy(F.desc("ts")).limit(most)
+def outcomes(store: Store, horizon_days: int = 3) -> DataFrame:
+    """Every alert met with the first observation of its linkage ``horizon_days`` or more later."""
+    alerts = store.alerts().drop("run", "batch")
     due = F.col("ts") + F.expr(f"make_interval(0, 0, 0, {int(horizon_days)})")
     met = asof_join(alerts, store.observations().select("linkage_id", "ts", "spread_bps"), "linkage_id", due, F.col("ts"), ["spread_bps"], "forward")
     move = F.abs("spread_bps") - F.abs("r_spread_bps")
@@ -89,7 +128,7 @@ def outcomes(store: Store, horizon_days: int = 3, most: int = MOST) -> DataFrame
 
 
 def dashboard(store: Store, universe: Universe, horizon_days: int = 3) -> str:
-    """A self-contained HTML page: detectors, latest alerts with outcomes, coverage. Values are escaped."""
+    """A self-contained HTML page: detectors, a scorecard over all alerts, the latest of them with outcomes, coverage. Values are escaped."""
     spark = store.spark
     declared = universe.frame(spark).select("linkage_id", "category", F.col("fingerprint").alias("now"))
     state = store.state().select("linkage_id", "fingerprint", "updated_at", "last_alert_at").join(declared, "linkage_id", "left")

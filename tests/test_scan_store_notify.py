@@ -177,6 +177,29 @@ def test_reports(spark):
     assert "0 of 4 admitted" in reports.fitted_universe(spark.createDataFrame([(False,)], "admitted boolean"), [], 4)
 
 
+def test_pairs_report_has_every_pair_and_why_one_is_missing(spark):
+    catalogue = spark.createDataFrame([(f"p{i:03}", f"g{i:03}", "A", "B", "full", "same metal" if i else None) for i in range(230)], "pair_id string, grp string, a string, b string, access string, mechanism string")
+    profile = "pair_id string, n long, start date, end date, beta double, r2 double, return_corr double, corr_now double, corr_min double, corr_max double, stability string, sd double, current_z double, half_life double, coint_p double, adf_p double, verdict string"
+    whole = ("p001", 300, T.date(), T.date(), 0.9, 0.8, 0.7, 0.6, 0.5, 0.9, "variable", 12.0, 1.5, 4.0, 0.01, 0.02, "tight")
+    few = ("p002", 20, T.date(), T.date(), 0.9, 0.8, 0.7, None, None, None, None, 12.0, 1.5, None, None, None, None)
+    text = reports.pairs_report(spark.createDataFrame([whole, few], profile), catalogue)
+    assert text.count("\n## ") == text.count("\n### ") == 230
+    assert "cointegration p 0.01, unit root p 0.02" in text and "- why: same metal" in text
+    assert "- could not be tested: only 20 rows" in text and text.count("- not profiled: no prices for both legs") == 228
+
+
+def test_scorecard_counts_all_alerts(spark, tmp_path):
+    from spreadwatch.sources.store import ALERTS
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    rows = [("x", T + timedelta(hours=i), "f", "tradeable", 50.0, None, None, None, None, None, 20.0, 5.0, 15.0) for i in range(450)]
+    store.record_alerts(spark.createDataFrame(rows, ALERTS), 0)
+    store.record_observations(spark.createDataFrame([observed(T + timedelta(days=40), 10.0)], SEEN), 0)
+    assert reports.outcomes(store).where("net = 35").count() == 450
+    page = reports.dashboard(store, U)
+    assert "<td>450</td><td>450</td><td>450</td>" in page and "the first 200 of 450" in page
+
+
 def test_repeated_quotes_make_one_book(spark):
     twice = [(T, "A", 1.0, T, False), (T, "A", 1.0, T, False), (T, "A", 3.0, T - timedelta(minutes=1), False), (T, "B", 2.0, T, False)]
     (book,) = scan.books(spark.createDataFrame(twice, QUOTE), U.legs_frame(spark)).collect()
