@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The temporary folder of this process, once there is one. No cached function: those can't be sent to executors by value.
+_LOCAL: list[str] = []
+
 
-@cache
 def _local_folder() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='spreadwatch-')}"
+    if not _LOCAL:
+        _LOCAL.append(f"file://{tempfile.mkdtemp(prefix='spreadwatch-')}")
+    return _LOCAL[0]
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
