@@ -7,16 +7,18 @@ one Arrow batch and the state of one key, however long that key's series is.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from typing import Any
+from typing import Any, ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-ARROW = {"double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64()}
+ARROW = {"double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64(), "array<double>": pa.list_(pa.float64())}
 
 
 def recurrence(df: DataFrame, key: str, order: str, needs: list[str], fields: str, start: Callable[[], Any], step: Callable[..., tuple]) -> DataFrame:
@@ -83,6 +85,15 @@ class Kalman:
 
 
 KALMAN_FIELDS = "beta double, intercept double, beta_var double, prediction double, innovation double, innovation_var double, kz double"
+KALMAN_NAMES = [f.split()[0] for f in KALMAN_FIELDS.split(", ")]
+
+
+def kalman_row(state: Kalman, y: float | None, x: float | None) -> tuple:
+    """What the filter says of a row; nulls of one without both prices, which leaves the filter as it is."""
+    if x is None or y is None or x != x or y != y:
+        return (None,) * len(KALMAN_NAMES)
+    out = state.step(y, x)
+    return tuple(out[n] for n in KALMAN_NAMES)
 
 
 def kalman(df: DataFrame, key: str, order: str, y: str, x: str, delta: float = 1e-7) -> DataFrame:
@@ -90,16 +101,8 @@ def kalman(df: DataFrame, key: str, order: str, y: str, x: str, delta: float = 1
 
     A row without both prices gets nulls and leaves the filter as it is.
     """
-    names = StructType.fromDDL(KALMAN_FIELDS).names
-
-    def step(state: Kalman, b: float | None, a: float | None) -> tuple:
-        if a is None or b is None or a != a or b != b:
-            return (None,) * len(names)
-        out = state.step(b, a)
-        return tuple(out[n] for n in names)
-
     rows = df.select(key, order, F.col(y).cast("double").alias("_y"), F.col(x).cast("double").alias("_x"))
-    out = recurrence(rows, key, order, ["_y", "_x"], KALMAN_FIELDS, lambda: Kalman(delta=delta), step).drop("_y", "_x")
+    out = recurrence(rows, key, order, ["_y", "_x"], KALMAN_FIELDS, lambda: Kalman(delta=delta), kalman_row).drop("_y", "_x")
     return out.withColumn("confident", (F.col("innovation_var") > 0) & (F.col("beta_var") < 1))
 
 
@@ -190,18 +193,79 @@ def pivots(bars: DataFrame, key: str, order: str, n: int) -> DataFrame:
 
 @dataclass
 class Levels:
-    """Price levels that later pivots merge into: mean, touches, last bar, lowest and highest pivot."""
+    """Price levels that later pivots merge into: mean, touches, last bar, lowest and highest pivot.
+
+    A pivot merges into the oldest level within its tolerance. The means lie sorted in buckets of
+    at most ``BUCKET``, each with its oldest level's number, so that is a search for both ends of
+    the tolerance and a minimum over what lies between. A price that isn't finite, or a tolerance
+    that isn't a number, merges with nothing.
+    """
+
+    BUCKET: ClassVar[int] = 256
 
     levels: list[list[float]] = field(default_factory=list)
+    means: list[list[float]] = field(default_factory=lambda: [[]])
+    numbers: list[list[int]] = field(default_factory=lambda: [[]])
+    tops: list[float] = field(default_factory=list)
+    oldest: list[int] = field(default_factory=list)
 
     def absorb(self, price: float, bar: int, tolerance: float) -> None:
-        for level in self.levels:
-            if abs(level[0] - price) <= tolerance:
-                level[1] += 1
-                level[0] += (price - level[0]) / level[1]
-                level[2:] = [bar, min(level[3], price), max(level[4], price)]
-                return
-        self.levels.append([price, 1, bar, price, price])
+        number = self._first_within(price, tolerance)
+        if number is None:
+            number = len(self.levels)
+            self.levels.append([price, 1, bar, price, price])
+        else:
+            level = self.levels[number]
+            self._take_out(level[0], number)
+            level[1] += 1
+            level[0] += (price - level[0]) / level[1]
+            level[2:] = [bar, min(level[3], price), max(level[4], price)]
+        if math.isfinite(price):
+            self._put_in(self.levels[number][0], number)
+
+    def _first_within(self, price: float, tolerance: float) -> int | None:
+        if not (math.isfinite(price) and tolerance >= 0 and self.tops):
+            return None
+        # a difference never falls when the mean rises, so those within the tolerance lie together
+        away = lambda mean: mean - price
+        first = bisect_left(self.tops, -tolerance, key=away)
+        last = min(bisect_right(self.tops, tolerance, key=away), len(self.tops) - 1)
+        if first == len(self.tops):
+            return None
+        found = self.oldest[first + 1 : last]
+        for b in {first, last}:
+            low, high = bisect_left(self.means[b], -tolerance, key=away), bisect_right(self.means[b], tolerance, key=away)
+            found += self.numbers[b][low:high]
+        return min(found, default=None)
+
+    def _put_in(self, mean: float, number: int) -> None:
+        b = min(bisect_left(self.tops, mean), max(0, len(self.tops) - 1))
+        at = bisect_left(self.means[b], mean)
+        self.means[b].insert(at, mean)
+        self.numbers[b].insert(at, number)
+        if len(self.means[b]) > self.BUCKET:
+            half = self.BUCKET // 2
+            self.means[b : b + 1] = [self.means[b][:half], self.means[b][half:]]
+            self.numbers[b : b + 1] = [self.numbers[b][:half], self.numbers[b][half:]]
+            self.tops[b : b + 1] = [self.means[b][-1], self.means[b + 1][-1]]
+            self.oldest[b : b + 1] = [min(self.numbers[b]), min(self.numbers[b + 1])]
+        elif not self.tops:
+            self.tops, self.oldest = [mean], [number]
+        else:
+            self.tops[b], self.oldest[b] = self.means[b][-1], min(self.oldest[b], number)
+
+    def _take_out(self, mean: float, number: int) -> None:
+        b = bisect_left(self.tops, mean)
+        at = bisect_left(self.means[b], mean)
+        while at == len(self.means[b]) or self.numbers[b][at] != number:  # equal means may run on into the next bucket
+            b, at = (b + 1, 0) if at == len(self.means[b]) else (b, at + 1)
+        del self.means[b][at], self.numbers[b][at]
+        if self.means[b]:
+            self.tops[b], self.oldest[b] = self.means[b][-1], min(self.numbers[b])
+        elif len(self.means) > 1:
+            del self.means[b], self.numbers[b], self.tops[b], self.oldest[b]
+        else:
+            self.tops, self.oldest = [], []
 
 
 @dataclass

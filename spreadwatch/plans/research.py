@@ -9,6 +9,7 @@ from spreadwatch.functions import expressions as E
 from spreadwatch.functions.stats import t_expansion, t_quantile
 from spreadwatch.operators import aggregates as A
 from spreadwatch.operators import research as R
+from spreadwatch.operators import scans as X
 from spreadwatch.operators import sequential as S
 from spreadwatch.operators import windows as W
 from spreadwatch.operators.detector import verdicts
@@ -362,6 +363,14 @@ def ss_kalman_batch(spark, sf_dir):
     return found.select("pair_id", F.col("i").cast("long").alias("i"), *r6("beta", "kz"), "confident")
 
 
+@query("ss_kalman_blocks", f"WITH RECURSIVE {KALMAN_SQL} SELECT pair_id, i, round(b, 6) AS beta, round(z, 6) AS kz, p00 < 1 AS confident FROM kf WHERE i > 0")
+def ss_kalman_blocks(spark, sf_dir):
+    """The filter with each series cut over tasks; blocks are small here, so that these series have several."""
+    numbered = W.with_row_numbers(series(spark, sf_dir).drop("i"), "pair_id", "d")
+    found = X.kalman_blocks(numbered, "pair_id", "i", "pa", "pb", size=512)
+    return found.select("pair_id", F.col("i").cast("long").alias("i"), *r6("beta", "kz"), "confident")
+
+
 EPISODE_SQL = SERIES_SQL + """, zs AS (SELECT pair_id, i, d, CASE WHEN count(v) OVER w >= 30 THEN round((v - avg(v) OVER w) / stddev_samp(v) OVER w, 6) END AS z, round(abs(v) - 26.95, 6) AS net FROM series WINDOW w AS (PARTITION BY pair_id ORDER BY i ROWS BETWEEN 720 PRECEDING AND 1 PRECEDING)),
 o AS (SELECT *, epoch(d) AS ts, row_number() OVER (PARTITION BY pair_id ORDER BY i) AS k FROM zs WHERE z IS NOT NULL),
 ep AS (
@@ -418,6 +427,13 @@ def pn_atr(spark, sf_dir):
     return S.atr(daily_ohlc(spark, sf_dir), "symbol", "d").select("symbol", "d", *r6("atr"))
 
 
+@query("pn_atr_blocks", f"WITH RECURSIVE {ATR_SQL} SELECT symbol, d, round(m, 6) AS atr FROM tr LEFT JOIN rma USING (symbol, i)")
+def pn_atr_blocks(spark, sf_dir):
+    """The same with each series cut over tasks."""
+    numbered = W.with_row_numbers(daily_ohlc(spark, sf_dir), "symbol", "d")
+    return X.atr_blocks(numbered, "symbol", "i", size=512).select("symbol", "d", *r6("atr"))
+
+
 @query("pn_levels")
 def pn_levels(spark, sf_dir):
     closes = bars(spark, sf_dir).withColumns({"high": F.col("close"), "low": F.col("close")})
