@@ -21,7 +21,8 @@ class FormulaError(ValueError):
     """A formula that cannot be accepted."""
 
 
-def _parse(text: str) -> ast.expr:
+def parsed(text: str) -> ast.expr:
+    """The syntax tree of a formula."""
     try:
         return ast.parse(text.strip(), mode="eval").body
     except (SyntaxError, ValueError, MemoryError, RecursionError) as exc:
@@ -46,7 +47,7 @@ def names_in(text: str) -> set[str]:
             case _:
                 raise FormulaError(f"{type(node).__name__} is not allowed in {text!r}")
 
-    visit(_parse(text))
+    visit(parsed(text))
     return found
 
 
@@ -99,4 +100,4 @@ def compile_formula(
                 return literal(value)
         raise FormulaError(f"{type(node).__name__} is not allowed")
 
-    return build(_parse(text))
+    return build(parsed(text))

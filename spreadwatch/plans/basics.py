@@ -6,6 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from spreadwatch.functions import expressions as E
+from spreadwatch.functions.exact import with_exact
 from spreadwatch.functions.formula import compile_formula
 from spreadwatch.operators import windows as W
 from spreadwatch.operators.alignment import asof_join, complete_legs, event_windows, within
@@ -122,6 +123,20 @@ def exp_fair_value_formula(spark, sf_dir):
     return fair_values(spark, sf_dir).select("linkage_id", "d", "reference_price", *r6("fair_value"))
 
 
+@query(
+    "exp_formula_exact",
+    """WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(12,2)) AS p, CAST(l_discount AS DECIMAL(4,2)) AS d, CAST(l_tax AS DECIMAL(4,2)) AS t FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(CAST(p * (1 - d) * (1 + t) AS DOUBLE), 6) AS charge,
+       round(CAST(p * (1 - d) * (1 + t) - p - p * t + p * d + p * d * t AS DOUBLE), 12) AS residue FROM l""",
+)
+def exp_formula_exact(spark, sf_dir):
+    """Charges in decimal arithmetic, and terms that cancel: doubles leave a residue, decimals none."""
+    names = {"p": "l_extendedprice", "d": "l_discount", "t": "l_tax"}
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *names.values())
+    charged = with_exact(with_exact(rows, "charge", "p * (1 - d) * (1 + t)", names), "residue", "p * (1 - d) * (1 + t) - p - p * t + p * d + p * d * t", names)
+    return charged.select("l_orderkey", "l_linenumber", *r6("charge"), (F.round("residue", 12) + 0.0).alias("residue"))
+
+
 @query(
     "exp_spread_net_edge",
     f"""WITH {LEGS_SQL}, s AS (SELECT linkage_id, d, a - fair AS spread, (a - fair) / nullif(a, 0) * 10000 AS bps, friction FROM fair JOIN links USING (linkage_id))
