@@ -151,12 +151,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     repeated = scratch(repeated_fingerprints(rows.select("fp"), n_rows), "repeated")
     maybe = KeyBitmap(repeated.select("fp"), n_rows)
     digest = F.sha2(F.col("norm").cast("binary"), 256)
+    # turns the order of ids round; unlike a minus it holds for every bigint
+    smallest = F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit(-(1 << 63)))
     # the byte verification: whole normalised texts are the grouping key
     groups = (
         rows.where(maybe.holds(F.col("fp")))
         .groupBy("fp", "norm")
         .agg(
-            F.max(F.struct("n_code_points", -F.coalesce("doc_id", F.lit((1 << 63) - 1)), "doc_id")).alias("best"),
+            F.max(F.struct("n_code_points", smallest, "doc_id")).alias("best"),
             F.count(F.lit(1)).alias("group_size"),
         )
         .where("group_size > 1")

@@ -59,6 +59,13 @@ def test_exact_dedup_repeated_rows(spark):
     assert got == {(1, 2, 3, False), (2, 2, 3, True), (3, 3, 1, True)}
 
 
+def test_exact_dedup_smallest_and_largest_ids(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(high, "a b"), (low, "a b"), (0, "a b"), (high, "c d"), (None, "c d"), (-1, "e"), (-2, "e")]
+    got = {(r.doc_id, r.keep_id, r.kept) for r in exact.exact_dedup(frame(spark, rows)).collect()}
+    assert got == {(high, low, False), (low, low, True), (0, low, False), (high, high, True), (None, high, False), (-1, -2, False), (-2, -2, True)}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])
 def test_filter_round_trip_and_lossless_merge(n):
     rng = np.random.default_rng(n)
