@@ -7,8 +7,8 @@ line; in a key of enough documents all others lose it. What comes back is a run-
 document, not text.
 
 Skew: a key can't be cut by ranges of its hash. Hashes are counted by their first bits, one row a
-slot and task; occurrences in the few slots that would fill half a partition or more are taken
-out, counted per document and key with partial aggregation, and met again in a plain join that
+slot and task; occurrences in the few slots that would fill half a partition or more (and a
+1,024th of all) are taken out, counted per document and key with partial aggregation, and met again in a plain join that
 Spark can split.
 """
 
@@ -32,6 +32,8 @@ def line_key(line: Column) -> Column:
 
 #: Bits of a hash that name its slot.
 SLOT_BITS = 16
+#: No more slots than this are taken out, at any number of partitions; an average slot is far below the share that it asks for.
+MAX_HOT_SLOTS = 1024
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -42,11 +44,14 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def hot_slots(lines: DataFrame) -> list[int]:
-    """Slots of ``h1`` that hold half a partition's share of all occurrences or more: twice the partitions at most."""
+    """Slots of ``h1`` that hold half a partition's share of all occurrences or more, and at least one in ``MAX_HOT_SLOTS``.
+
+    With thousands of partitions a slot of less than that may fill several; its sort spills.
+    """
     partitions = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = lines.groupBy(F.shiftrightunsigned("h1", 64 - SLOT_BITS).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     whole = sizes.agg(F.sum("n").alias("whole"))
-    return [r.slot for r in sizes.join(F.broadcast(whole)).where(2 * partitions * F.col("n") >= F.col("whole")).select("slot").collect()]  # whole is one row
+    return [r.slot for r in sizes.join(F.broadcast(whole)).where(min(2 * partitions, MAX_HOT_SLOTS) * F.col("n") >= F.col("whole")).select("slot").collect()]  # whole is one row
 
 
 def lost_lines(lines: DataFrame, min_docs: int) -> DataFrame:

@@ -137,6 +137,20 @@ def test_line_dedup_streams_runs_after_one_range_exchange(spark, monkeypatch):
     assert len(line_module.hot_slots(lines)) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_hot_lines_are_few_at_any_number_of_partitions(spark):
+    """Spread hashes have no hot slot at cluster settings; a key of a third of all rows always has."""
+    spread = spark.range(200_000).select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2"), F.col("id").alias("doc_id"), F.lit(0).alias("pos"))
+    one = spark.range(100_000).select(F.xxhash64(F.lit(-5)).alias("h1"), F.lit(1).alias("h2"), F.col("id").alias("doc_id"), F.lit(0).alias("pos"))
+    lines = spread.unionByName(one)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in (8, 2000, 40_000):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            assert len(line_module.hot_slots(lines)) == 1 and line_module.hot_slots(spread) == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_line_dedup_of_many_dropped_runs(spark):
     """Every other line of a long document goes: thousands of runs."""
     common = "\n".join(x for i in range(5000) for x in (f"a line {i} that is in all of the documents", f"short {i}"))
