@@ -238,6 +238,21 @@ def test_quotes_to_verdicts_as_one_stream_across_restarts(spark, tmp_path):
     assert Detector.restore(store.state().first().snapshot).seen == 329
 
 
+def test_quotes_are_reduced_before_they_reach_the_state(spark, tmp_path):
+    """A stream's books are those of the table, and its state sees some rows a book, not each of thousands of quotes."""
+    polls = [T + timedelta(minutes=m, microseconds=200 * m) for m in range(3)] + [T + timedelta(microseconds=400)]
+    quotes = [(p, s, float(i), p - timedelta(seconds=(7 * i) % 50), i % 9 == 0) for p in polls for s in "AB" for i in range(800)]
+    quotes += [(T + timedelta(days=1), "A", 1.0, T, False), (polls[1] + timedelta(seconds=5), "B", 1.0, T, False)]  # the last poll, and one without all legs
+    spark.createDataFrame(quotes, QUOTE).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(QUOTE).parquet(f"{tmp_path}/in")
+    writer = scan.closed_books(stream, U, "2 minutes").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True)
+    query = scan.stateful(spark, lambda: writer.start(f"{tmp_path}/out"))
+    query.awaitTermination()
+    got, want = (sorted((r.ts, r.prices, r.leg_ts, r.leg_stale) for r in df.collect()) for df in (spark.read.parquet(f"{tmp_path}/out"), scan.books(spark.createDataFrame(quotes, QUOTE), U.legs_frame(spark))))
+    assert len(want) == 4 and got == want
+    assert max(op.numRowsUpdated for p in query.recentProgress for op in p.stateOperators) <= 6
+
+
 def test_quote_stream_takes_up_saved_state_and_history(spark, tmp_path):
     """Another checkpoint starts from the store's snapshots; a linkage without any is warmed up by its history."""
     rows = books(260)
