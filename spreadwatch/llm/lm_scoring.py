@@ -12,9 +12,8 @@ What is learned, all of it from documents that are not held out:
 * counts of all words of all texts (Counters in tasks, summed in Spark); they give the base score,
   and through each distinct word's ids the counts of all ids. Ids beyond the ``MODEL_IDS`` most
   frequent share one place in the model and are told apart by their counts.
-* weights from every eighth passage of 32 words of each text, so that what is trained on grows
-  with the corpus. Shards of bounded size train side by side and their weights are averaged after
-  each round; only these averages (0.7 MB) come to the driver.
+* weights from all words of all texts, each id once. Shards of bounded size train side by
+  side and their weights are averaged after each round; only these averages (0.7 MB) come to the driver.
 
 Scale: two passes over the texts. A text goes in pieces of about ``PIECE`` bytes, so no list of a
 whole long text's words exists. The words frequent enough for a table of at most
@@ -41,8 +40,8 @@ from spreadwatch.llm.language_id import VOCABULARY, read_vocabulary
 END = b"\n"
 HELD_OUT = 7, 2
 PIECE = 1 << 18
-#: Words of a passage to train on, and how many passages there are to each one taken.
-PASSAGE, EACH = 32, 8
+#: Words of a passage to train on; all of a text's words are in one.
+PASSAGE = 1024
 #: Distinct words a task counts before it hands them on.
 FLUSH_WORDS = 200_000
 MAX_FREQUENT, MAX_WORD = 1 << 18, 64
@@ -52,7 +51,11 @@ WIDTH, STRIDE, DIM = 32, 16, 16
 #: Words whose windows are worked on together, windows of a matrix product, words a worker remembers.
 GROUP_WORDS, BATCH, CACHE_WORDS = 60_000, 128, 200_000
 #: Training: windows of a step, ids of a shard, rounds, passes over a round's windows, step size.
-STEP, SHARD_IDS, ROUNDS, EPOCHS, RATE = 32, 2_000_000, 3, 1, 0.01
+STEP, SHARD_IDS, ROUNDS, EPOCHS, RATE = 256, 8_000_000, 3, 1, 0.01
+#: A small shard takes smaller steps, of this many windows at least, for that many steps.
+SMALL_STEP, STEPS = 32, 300
+#: Windows of a slice of the attention in training.
+ATTEND = 16
 CHUNK = 256
 
 WHITE = re.compile(rb"[\x20\x09-\x0D]")
@@ -84,9 +87,8 @@ def pieces(raw: bytes) -> Iterator[list[bytes]]:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(word, n) partial counts of all training texts, and rows with a passage instead: words of a text in order, with the end marks it touches."""
-    modulus, rest = HELD_OUT
-    train = docs.where(~is_held_out(F.col("doc_id"))).select(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("crc"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
+    """(word, n) partial counts of all training texts, and rows with a passage instead: all words of a text in order with its end marks, a passage starting at the word the last one ended with."""
+    train = docs.where(~is_held_out(F.col("doc_id"))).select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
     names = ["word", "n", "passage"]
 
     def batch_of(words: list[bytes | None], n: list[int | None], passages: list[bytes | None]) -> pa.RecordBatch:
@@ -96,19 +98,20 @@ def counted(docs: DataFrame) -> DataFrame:
         counts: Counter[bytes] = Counter()
         for batch in batches:
             passages = []
-            for crc, raw in zip(batch.column("crc").to_pylist(), batch.column("raw"), strict=True):
-                first, carried = (crc // modulus % EACH) * PASSAGE, [END]
+            for raw in batch.column("raw"):
+                carried = [END]
                 for words in pieces(raw.as_py()):
                     counts.update(words)
                     carried += words
-                    # passages start at places first, first + EACH * PASSAGE, ... of the text with its marks
-                    while len(carried) >= first + PASSAGE:
-                        passages.append(b" ".join(carried[first : first + PASSAGE]))
-                        carried, first = carried[first + PASSAGE :], (EACH - 1) * PASSAGE
+                    full = (len(carried) - 1) // PASSAGE * PASSAGE
+                    passages += [b" ".join(carried[low : low + PASSAGE + 1]) for low in range(0, full, PASSAGE)]
+                    carried = carried[full:]
+                    if len(passages) >= 4096:
+                        yield batch_of([None] * len(passages), [None] * len(passages), passages)
+                        passages = []
                 counts[END] += 1
                 carried.append(END)
-                if len(carried) > first + 1:
-                    passages.append(b" ".join(carried[first : first + PASSAGE]))
+                passages.append(b" ".join(carried))
                 if len(counts) >= FLUSH_WORDS:
                     yield batch_of(list(counts), list(counts.values()), [None] * len(counts))
                     counts.clear()
@@ -242,7 +245,8 @@ SAFE = 60.0
 def attend(w: dict[str, np.ndarray], x: np.ndarray, first: int, pad: int, safe: bool = False) -> tuple[np.ndarray, ...]:
     """Hidden states of places from ``first`` on of windows x, with what the way back needs.
 
-    ``safe``: the weights are known to give small exponents; then the attention stays unscaled. q comes back scaled.
+    ``safe``: the weights are known to give small exponents. That is the states, the attention and what it
+    adds up to (not divided by it), q (scaled), k, v and what the attention brings.
     """
     asking = x[:, first:]
     q, k, v = w["q"].take(asking, 0), w["k"].take(x, 0), w["v"].take(x, 0)
@@ -257,28 +261,24 @@ def attend(w: dict[str, np.ndarray], x: np.ndarray, first: int, pad: int, safe:
         s -= s.max(axis=2, keepdims=True)
     np.exp(s, out=s)
     total = (s @ np.ones((WIDTH, 1), dtype=s.dtype)) + np.float32(1e-30)
-    if safe:  # only scoring, which asks for nothing but h
-        h = s @ v
-        h /= total
-    else:
-        s /= total
-        h = s @ v
-    h += w["own"].take(asking, 0)
+    seen = s @ v
+    seen /= total
+    h = w["own"].take(asking, 0)
+    h += seen
     h /= 1 + np.abs(h)
-    return h, s, q, k, v
+    return h, s, total, q, k, v, seen
 
 
-def _log_sums(logits: np.ndarray, safe: bool) -> np.ndarray:
-    """Logarithms of the sums of exponentials of each row; turns the rows into probabilities unless ``safe``."""
-    ones = np.ones(logits.shape[1], dtype=logits.dtype)
-    if safe:
-        return np.log(np.exp(logits, out=logits) @ ones)
-    top = logits.max(axis=1)
-    logits -= top[:, None]
-    np.exp(logits, out=logits)
-    total = logits @ ones
-    logits /= total[:, None]
-    return np.log(total) + top
+def _log_sums(logits: np.ndarray, safe: bool, shares: bool = False) -> np.ndarray:
+    """Logarithms of the sums of exponentials of each row; ``shares`` turns the rows into probabilities, else they are used up."""
+    ones, top = np.ones(logits.shape[1], dtype=logits.dtype), None
+    if not safe:
+        top = logits.max(axis=1)
+        logits -= top[:, None]
+    total = np.exp(logits, out=logits) @ ones
+    if shares:
+        logits /= total[:, None]
+    return np.log(total) if safe else np.log(total) + top
 
 
 def small(w: dict[str, np.ndarray]) -> bool:
@@ -323,61 +323,77 @@ def log_probabilities(w: dict[str, np.ndarray], windows: np.ndarray, members: in
 def gradient(w: dict[str, np.ndarray], windows: np.ndarray, members: int, pad: int) -> tuple[float, np.ndarray]:
     """(mean loss, gradient of it) over all places of windows (n, WIDTH + 1)."""
     x, y = windows[:, :WIDTH], windows[:, 1:]
-    h, s, q, k, v = attend(w, x, 0, pad)
+    safe = small(w)
+    # attention goes in slices that stay in a core's cache
+    slices = [slice(low, low + ATTEND) for low in range(0, len(x), ATTEND)]
+    found = [attend(w, x[part], 0, pad, safe) for part in slices]
+    h = np.concatenate([f[0] for f in found])
     flat = np.zeros(sum(p.size for p in w.values()), dtype=np.float32)
     g = views(flat, members)
     real = (y != pad).reshape(-1)
-    rows, target = h.reshape(-1, DIM), np.where(real, y.reshape(-1), 0)
-    weight = (real / max(1, real.sum())).astype(np.float32)
+    target = np.where(real, y.reshape(-1), 0).astype(np.uint16)
+    # rows of a class side by side, so that each class works on a slice
+    order = np.argsort(target, kind="stable")
+    target = target.take(order).astype(np.int64)
+    weight = (real.take(order) / max(1, real.sum())).astype(np.float32)
+    rows, at = h.reshape(-1, DIM).take(order, 0), np.arange(len(target))
     cls, member = target // members, target % members
-    logits = rows @ w["cls"] + w["cls_bias"]
-    at = np.arange(len(target))
-    own = logits[at, cls].copy()
-    loss = ((_log_sums(logits, False) - own) * weight).sum()
+    logits = rows @ w["cls"]
+    logits += w["cls_bias"]
+    own = logits[at, cls]
+    loss = (_log_sums(logits, safe, True) - own) @ weight
     logits[at, cls] -= 1
     logits *= weight[:, None]
     g["cls"][:], g["cls_bias"][:] = rows.T @ logits, logits.sum(axis=0)
     dh = logits @ w["cls"].T
-    # rows of a class side by side, so that each class works on a slice
-    order = np.argsort(cls.astype(np.uint16), kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
-    sorted_rows, sorted_member, sorted_weight, part = rows.take(order, 0), member[order], weight[order], np.empty_like(rows)
-    for c in range(CLASSES):
-        a, b = edges[c], edges[c + 1]
-        if a < b:
-            mine = sorted_rows[a:b]
-            logits = mine @ w["out"][c]
-            logits += w["out_bias"][c]
-            spot = at[: b - a], sorted_member[a:b]
-            own = logits[spot]
-            loss += (_log_sums(logits, False) - own) @ sorted_weight[a:b]
-            logits[spot] -= 1
-            logits *= sorted_weight[a:b, None]
-            g["out"][c], g["out_bias"][c] = mine.T @ logits, logits.sum(axis=0)
-            part[a:b] = logits @ w["out"][c].T
-    dh[order] += part
-    dz = (dh * (1 - np.abs(rows)) ** 2).reshape(h.shape)
-    dv = s.transpose(0, 2, 1) @ dz
-    ds = dz @ v.transpose(0, 2, 1)
-    ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
-    scale = np.float32(1 / math.sqrt(DIM))
-    np.add.at(g["distance"], np.maximum(_BACK, 0)[_BACK >= 0], ds.sum(axis=0)[_BACK >= 0])
-    ids = x.reshape(-1)
+    edges = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+    there = [(c, slice(low, high)) for c, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if low < high]
+    logits = w["out_bias"].take(cls, 0)
+    for c, part in there:
+        logits[part] += rows[part] @ w["out"][c]
+    own = logits[at, member]
+    loss += (_log_sums(logits, safe, True) - own) @ weight
+    logits[at, member] -= 1
+    logits *= weight[:, None]
+    for c, part in there:
+        g["out"][c], g["out_bias"][c] = rows[part].T @ logits[part], logits[part].sum(axis=0)
+        dh[part] += logits[part] @ w["out"][c].T
+    left = 1 - np.abs(rows)
+    dh *= left
+    dh *= left
+    dz = np.empty_like(dh)
+    dz[order] = dh
+    dz = dz.reshape(h.shape)
+    scale, near = np.float32(1 / math.sqrt(DIM)), np.zeros((WIDTH, WIDTH), dtype=rows.dtype)
+    each = np.empty((*x.shape, 4 * DIM), dtype=rows.dtype)
+    for part, (_, s, total, q, k, v, seen) in zip(slices, found, strict=True):
+        d, to = dz[part], each[part]
+        s /= total
+        ds = d @ v.transpose(0, 2, 1)
+        ds -= (d * seen).sum(axis=2, keepdims=True)
+        ds *= s
+        near += ds.sum(axis=0)
+        to[..., :DIM], to[..., DIM : 2 * DIM] = ds @ k, ds.transpose(0, 2, 1) @ q
+        to[..., 2 * DIM : 3 * DIM], to[..., 3 * DIM :] = s.transpose(0, 2, 1) @ d, d
+    np.add.at(g["distance"], np.maximum(_BACK, 0)[_BACK >= 0], near[_BACK >= 0])
+    ids = x.reshape(-1).astype(np.uint16)
     order = np.argsort(ids, kind="stable")
     there, starts = np.unique(ids[order], return_index=True)
-    for name, d in (("q", ds @ k * scale), ("k", ds.transpose(0, 2, 1) @ q), ("v", dv), ("own", dz)):
-        g[name][there] = np.add.reduceat(d.reshape(-1, DIM)[order], starts, axis=0)
+    sums = np.add.reduceat(each.reshape(-1, 4 * DIM).take(order, 0), starts, axis=0)
+    sums[:, :DIM] *= scale
+    for name, part in zip(("q", "k", "v", "own"), np.split(sums, 4, axis=1), strict=True):
+        g[name][there] = part
     return float(loss), flat
 
 
 def trained(flat: np.ndarray, windows: np.ndarray, members: int, pad: int, seed: int) -> np.ndarray:
     """The weights after ``EPOCHS`` passes of Adam over the windows."""
-    flat, rng = flat.copy(), np.random.default_rng(seed)
+    flat, rng, step = flat.copy(), np.random.default_rng(seed), min(STEP, max(SMALL_STEP, len(windows) // STEPS))
     w, mean, square, steps = views(flat, members), np.zeros_like(flat), np.zeros_like(flat), 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(windows))
-        for low in range(0, len(order), STEP):
-            _, grad = gradient(w, windows[order[low : low + STEP]], members, pad)
+        for low in range(0, len(order), step):
+            _, grad = gradient(w, windows[order[low : low + step]], members, pad)
             steps += 1
             mean += np.float32(0.1) * (grad - mean)
             square += np.float32(0.01) * (grad * grad - square)
@@ -385,28 +401,32 @@ def trained(flat: np.ndarray, windows: np.ndarray, members: int, pad: int, seed:
     return flat
 
 
+_WINDOW = np.arange(WIDTH + 1)
+
+
 def training_windows(passages: DataFrame, shared) -> DataFrame:
     """(round, n, ids): windows of the passages as packed 16-bit ids, some hundred to a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        turn, found, n = 0, [], 0
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([turn % ROUNDS], pa.int32()), pa.array([n], pa.int64()), pa.array([np.concatenate(found).astype(np.uint16).tobytes()], pa.binary())], ["round", "n", "ids"])
+
         for batch in batches:
             cut, place, pad = subwords(shared.value), shared.value["place"], shared.value["pad"]
-            rows, found = [], []
             for passage in batch.column("passage").to_pylist():
-                words = [END if w == b"" or w == END else w for w in passage.split(b" ")]
-                ids = place[[i for w in words for i in cut.ids(w)]]
-                fill = np.full(-(len(ids) - 1) % WIDTH, pad, dtype=place.dtype)
-                ids = np.concatenate([ids, fill])
-                found += [ids[low : low + WIDTH + 1] for low in range(0, len(ids) - 1, WIDTH)]
-                if len(found) >= 512:
-                    rows.append(found)
-                    found = []
-            for group in [*rows, found]:
-                if group:
-                    packed = np.stack(group).astype(np.uint16).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([turn % ROUNDS], pa.int32()), pa.array([len(group)], pa.int64()), pa.array([packed], pa.binary())], ["round", "n", "ids"])
-                    turn += 1
+                # the first word was predicted at the end of the passage before; its last id is where this one starts
+                first, *words = passage.split(b" ")
+                ids = place[[cut.ids(first)[-1], *(i for w in words for i in cut.ids(w))]]
+                ids = np.concatenate([ids, np.full(-(len(ids) - 1) % WIDTH, pad, dtype=place.dtype)])
+                found.append(ids.take(_WINDOW + np.arange(0, len(ids) - 1, WIDTH)[:, None]))
+                n += len(found[-1])
+                if n >= 512:
+                    yield packed()
+                    turn, found, n = turn + 1, [], 0
+        if n:
+            yield packed()
 
     return passages.mapInArrow(run, "round int, n long, ids binary")
 
@@ -464,9 +484,6 @@ def _laid_out(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-_WINDOW = np.arange(WIDTH + 1)
-
-
 class Scorer:
     """Scores texts that come in pieces; holds some groups of words, never a whole long text."""
 

@@ -136,6 +136,23 @@ def test_training_learns_what_comes_before(model):
     assert loss < 0.7 < math.log(8)
 
 
+def test_every_id_is_trained_on_once(spark, monkeypatch, model):
+    """What the windows ask the model to predict are all ids of all training texts, however they are cut."""
+    vocabulary, inventory, _ = model
+    monkeypatch.setattr(L, "PASSAGE", 4)
+    monkeypatch.setattr(L, "PIECE", 64)
+    rng = random.Random(5)
+    texts = ["", None, "one"] + [" ".join(rng.choice(["the", "cat", "séamesequences", "zzyzx", "q" * 70]) for _ in range(rng.randrange(1, 200))) for _ in range(80)]
+    passages = L.counted(spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(2)).where("passage is not null").select("passage")
+    shared = spark.sparkContext.broadcast({"vocabulary": vocabulary, "place": inventory.place, "pad": inventory.pad})
+    windows = np.concatenate([np.frombuffer(r.ids, np.uint16).reshape(-1, L.WIDTH + 1) for r in L.training_windows(passages, shared).collect()])
+    cut, want = L.Subwords(vocabulary), Counter()
+    for i, text in enumerate(texts):
+        if not held(i):
+            want.update(inventory.place[[x for t in tokens(text) for x in cut.ids(L.END if t is None else t.encode())]].tolist())
+    assert Counter(int(x) for x in windows[:, 1:].reshape(-1) if x != inventory.pad) == want
+
+
 def test_counts_against_plain_python(spark, monkeypatch):
     monkeypatch.setattr(L, "MAX_FREQUENT", 40)
     monkeypatch.setattr(L, "PIECE", 64)
