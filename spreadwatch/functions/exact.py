@@ -1,9 +1,9 @@
-"""Fair-value formulas in twice the precision of a double, as columns.
+"""Fair-value formulas in twice the precision of a double, as a column.
 
 A value is an unevaluated sum of two doubles (about 31 digits); sums and products carry their
 rounding errors along. What a formula then gives agrees with decimal arithmetic of 28 digits to the
-last place of a double, also where large terms cancel. Every intermediate value is a column of a
-projection of its own level, so expressions stay small, and all of it is generated code.
+last place of a double, also where large terms cancel. A formula is evaluated by numpy over Arrow
+batches: each step is one pass over a batch, and nothing but the result goes back.
 """
 
 from __future__ import annotations
@@ -12,101 +12,113 @@ import ast
 from collections.abc import Mapping
 from decimal import Decimal, localcontext
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegralType
 
 from spreadwatch.functions.formula import FormulaError, number, parsed, undeclared
 
-Pair = tuple[Column, Column]
+#: An array or a constant, in two doubles.
+Pair = tuple[np.ndarray | np.float64, np.ndarray | np.float64]
 #: Cuts a double's 53 bits in halves whose products are exact.
-SPLITTER = 134217729.0
+SPLITTER = np.float64(134217729.0)
 #: The largest whole exponent that is multiplied out.
 MAX_POWER = 64
+#: A decimal text of so many digits at most is the shortest of the double it reads as; places behind the point that are tried.
+DIGITS, PLACES = 15, 9
+ZERO, ONE = np.float64(0.0), np.float64(1.0)
 
 
-class _Steps:
-    """Columns to be added, by level: one is on the level after the last of those it uses."""
-
-    def __init__(self, prefix: str):
-        self.prefix, self.levels, self.at = prefix, [], {}
-
-    def let(self, value: Column, *uses: Column) -> Column:
-        level = 1 + max((self.at.get(str(u), -1) for u in uses), default=-1)
-        if level == len(self.levels):
-            self.levels.append({})
-        name = f"{self.prefix}{sum(map(len, self.levels))}"
-        self.levels[level][name] = value
-        self.at[str(F.col(name))] = level
-        return F.col(name)
-
-    def two_sum(self, a: Column, b: Column) -> Pair:
-        """a + b and its rounding error."""
-        s = self.let(a + b, a, b)
-        part = self.let(s - a, s, a)
-        return s, self.let((a - (s - part)) + (b - part), a, b, s, part)
-
-    def ordered_sum(self, a: Column, b: Column) -> Pair:
-        """The same where b is small beside a."""
-        s = self.let(a + b, a, b)
-        return s, self.let(b - (s - a), a, b, s)
-
-    def halves(self, a: Column) -> Pair:
-        t = self.let(a * SPLITTER, a)
-        high = self.let(t - (t - a), t, a)
-        return high, self.let(a - high, a, high)
-
-    def two_product(self, a: Column, b: Column) -> Pair:
-        """a * b and its rounding error."""
-        p = self.let(a * b, a, b)
-        (ah, al), (bh, bl) = self.halves(a), self.halves(b)
-        return p, self.let(((ah * bh - p) + ah * bl + al * bh) + al * bl, p, ah, al, bh, bl)
-
-    def add(self, x: Pair, y: Pair) -> Pair:
-        s, e = self.two_sum(x[0], y[0])
-        t, f = self.two_sum(x[1], y[1])
-        s, e = self.ordered_sum(s, self.let(e + t, e, t))
-        return self.ordered_sum(s, self.let(e + f, e, f))
-
-    def negative(self, x: Pair) -> Pair:
-        return self.let(-x[0], x[0]), self.let(-x[1], x[1])
-
-    def product(self, x: Pair, y: Pair) -> Pair:
-        p, e = self.two_product(x[0], y[0])
-        return self.ordered_sum(p, self.let(e + (x[0] * y[1] + x[1] * y[0]), e, *x, *y))
-
-    def quotient(self, x: Pair, y: Pair) -> Pair:
-        """Long division in three digits of a double each; null by zero."""
-        zero = F.lit(0.0)
-        digits, rest = [], x
-        for _ in range(3):
-            q = self.let(F.try_divide(rest[0], y[0]), rest[0], y[0])
-            digits.append(q)
-            rest = self.add(rest, self.negative(self.product((q, zero), y)))
-        return self.add(self.ordered_sum(digits[0], digits[1]), (digits[2], zero))
-
-    def power(self, x: Pair, n: int) -> Pair:
-        out, square = (F.lit(1.0), F.lit(0.0)), x
-        for bit in reversed(bin(abs(n))[2:]):
-            if bit == "1":
-                out = self.product(out, square)
-            square = self.product(square, square)
-        return out if n >= 0 else self.quotient((F.lit(1.0), F.lit(0.0)), out)
-
-    def whole(self, n: Column) -> Pair:
-        """A bigint, which may have more bits than a double."""
-        n = self.let(n, n)
-        high = self.let(n.cast("double"), n)
-        # the largest bigints round up to a double that no bigint holds
-        return high, self.let((n.cast("decimal(20,0)") - high.cast("decimal(20,0)")).cast("double"), n, high)
-
-    def decimal(self, value: Column, scale: int) -> Pair:
-        """A decimal of at most 18 digits before and 18 behind the point."""
-        value = self.let(value, value)
-        units = self.let(value.cast("bigint"), value)
-        size = min(scale, 18)
-        rest = self.let(((value - units.cast("decimal(20,0)")).cast(f"decimal(38,{size})") * F.lit(Decimal(10) ** size)).cast("bigint"), value, units)
-        return self.add(self.whole(units), self.quotient(self.whole(rest), (F.lit(float(10**size)), F.lit(0.0))))
+def two_sum(a, b) -> Pair:
+    """a + b and its rounding error."""
+    s = a + b
+    part = s - a
+    return s, (a - (s - part)) + (b - part)
+
+
+def ordered_sum(a, b) -> Pair:
+    """The same where b is small beside a."""
+    s = a + b
+    return s, b - (s - a)
+
+
+def halves(a) -> Pair:
+    t = a * SPLITTER
+    high = t - (t - a)
+    return high, a - high
+
+
+def two_product(a, b) -> Pair:
+    """a * b and its rounding error."""
+    p = a * b
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    return p, ((ah * bh - p) + ah * bl + al * bh) + al * bl
+
+
+def add(x: Pair, y: Pair) -> Pair:
+    s, e = two_sum(x[0], y[0])
+    t, f = two_sum(x[1], y[1])
+    s, e = ordered_sum(s, e + t)
+    return ordered_sum(s, e + f)
+
+
+def negative(x: Pair) -> Pair:
+    return -x[0], -x[1]
+
+
+def product(x: Pair, y: Pair) -> Pair:
+    p, e = two_product(x[0], y[0])
+    return ordered_sum(p, e + (x[0] * y[1] + x[1] * y[0]))
+
+
+def quotient(x: Pair, y: Pair) -> Pair:
+    """Long division in three digits of a double each; nan by zero."""
+    by = np.where(y[0] == 0, np.nan, y[0])
+    digits, rest = [], x
+    for _ in range(3):
+        digits.append(rest[0] / by)
+        rest = add(rest, negative(product((digits[-1], ZERO), y)))
+    return add(ordered_sum(digits[0], digits[1]), (digits[2], ZERO))
+
+
+def power(x: Pair, n: int) -> Pair:
+    out, square = (ONE, ZERO), x
+    for bit in reversed(bin(abs(n))[2:]):
+        if bit == "1":
+            out = product(out, square)
+        square = product(square, square)
+    return out if n >= 0 else quotient((ONE, ZERO), out)
+
+
+def whole(found: pa.Array) -> Pair:
+    """Bigints, which may have more bits than a double."""
+    n = found.fill_null(0).to_numpy(zero_copy_only=False)
+    high = n.astype(np.float64)
+    # the largest bigints round up to a double that no bigint holds
+    over = high >= 2.0**63
+    low = (n - np.where(over, 0.0, high).astype(np.int64)).astype(np.float64)
+    low = np.where(over, (n - np.iinfo(np.int64).max) - 1.0, low)
+    return np.where(found.is_null().to_numpy(zero_copy_only=False), np.nan, high), low
+
+
+def shortest(found: pa.Array) -> Pair:
+    """Doubles as their shortest decimal texts, where their size lies in 0.01 to 1e17, else as they are."""
+    v = found.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+    low = np.zeros(len(v))
+    waiting = np.flatnonzero((np.abs(v) >= 0.01) & (np.abs(v) <= 1e17))
+    for places in range(PLACES + 1):
+        x, scale = v[waiting], np.float64(10.0**places)
+        units = np.rint(x * scale)
+        hit = (np.abs(units) < 10.0**DIGITS) & (units / scale == x)
+        p, e = two_product(x[hit], scale)
+        low[waiting[hit]] = ((units[hit] - p) - e) / scale
+        waiting = waiting[~hit]
+    with localcontext() as c:
+        c.prec = 60
+        low[waiting] = [float(Decimal(repr(x)) - Decimal(x)) for x in v[waiting].tolist()]
+    return v, low
 
 
 def exact_literal(value: object) -> tuple[float, float]:
@@ -129,23 +141,23 @@ def with_exact(df: DataFrame, name: str, text: str, columns: Mapping[str, str],
     params = params or {}
     if missing := undeclared(text, [*columns, *params]):
         raise FormulaError(f"undeclared names {sorted(missing)} in {text!r}")
-    steps = _Steps(f"_{name}_step_")
-    known: dict[str, Pair] = {}
+    tree = parsed(text)
+    used = sorted({n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and n.id in columns})
+    kinds = {of: df.schema[columns[of]].dataType for of in used}
+    sizes = {of: min(kind.scale, 18) for of, kind in kinds.items() if isinstance(kind, DecimalType)}
+    whole_ones = {of for of, kind in kinds.items() if isinstance(kind, IntegralType)}
+
+    def given(of: str) -> list[Column]:
+        """What a task needs of a column: itself, or a decimal's units and the digits behind its point."""
+        value = F.col(f"`{columns[of]}`")
+        if of in sizes:
+            units = value.cast("bigint")
+            return [units, ((value - units.cast("decimal(20,0)")).cast(f"decimal(38,{sizes[of]})") * F.lit(Decimal(10) ** sizes[of])).cast("bigint")]
+        return [value.cast("bigint" if of in whole_ones else "double")]
 
     def literal(value: object) -> Pair:
         high, low = exact_literal(value)
-        return F.lit(high), F.lit(low)
-
-    def column(of: str) -> Pair:
-        kind, value = df.schema[columns[of]].dataType, F.col(f"`{columns[of]}`")
-        if isinstance(kind, IntegralType):
-            return steps.whole(value.cast("bigint"))
-        if isinstance(kind, DecimalType):
-            return steps.decimal(value, kind.scale)
-        value = steps.let(value.cast("double"))
-        plain = F.abs(value).between(0.01, 1e17)
-        high, low = steps.decimal(F.when(plain, value).cast("decimal(38,18)"), 18)
-        return steps.let(F.coalesce(high, value), high, value), steps.let(F.coalesce(low, F.when(value.isNotNull(), 0.0)), low, value)
+        return np.float64(high), np.float64(low)
 
     def exponent(node: ast.expr) -> int | None:
         match node:
@@ -157,28 +169,27 @@ def with_exact(df: DataFrame, name: str, text: str, columns: Mapping[str, str],
                 return int(params[p])
         return None
 
-    def build(node: ast.expr) -> Pair:
+    def build(node: ast.expr, known: Mapping[str, Pair]) -> Pair:
         match node:
             case ast.BinOp(left, ast.Add(), right):
-                return steps.add(build(left), build(right))
+                return add(build(left, known), build(right, known))
             case ast.BinOp(left, ast.Sub(), right):
-                return steps.add(build(left), steps.negative(build(right)))
+                return add(build(left, known), negative(build(right, known)))
             case ast.BinOp(left, ast.Mult(), right):
-                return steps.product(build(left), build(right))
+                return product(build(left, known), build(right, known))
             case ast.BinOp(left, ast.Div(), right):
-                return steps.quotient(build(left), build(right))
+                return quotient(build(left, known), build(right, known))
             case ast.BinOp(left, ast.Pow(), right):
                 if (n := exponent(right)) is not None:
-                    return steps.power(build(left), n)
-                base, power = build(left), build(right)
-                return steps.let(F.pow(base[0] + base[1], power[0] + power[1]), *base, *power), F.lit(0.0)
+                    return power(build(left, known), n)
+                base, to = build(left, known), build(right, known)
+                base, to = base[0] + base[1], to[0] + to[1]
+                return np.where(np.isnan(base) | np.isnan(to), np.nan, np.power(base, to)), ZERO
             case ast.UnaryOp(ast.USub(), operand):
-                return steps.negative(build(operand))
+                return negative(build(operand, known))
             case ast.UnaryOp(ast.UAdd(), operand):
-                return build(operand)
+                return build(operand, known)
             case ast.Name(of) if of in columns:
-                if of not in known:
-                    known[of] = column(of)
                 return known[of]
             case ast.Name(of):
                 return literal(params[of])
@@ -186,11 +197,23 @@ def with_exact(df: DataFrame, name: str, text: str, columns: Mapping[str, str],
                 return literal(value)
         raise FormulaError(f"{type(node).__name__} is not allowed")
 
-    high, low = build(parsed(text))
-    out = df
-    for level in steps.levels:
-        out = out.withColumns(level)
-    total = high + low
-    finite = F.abs(total) < float("inf")  # nan is the largest number here
-    out = out.withColumn(name, F.when(finite, total))
+    # a formula that is not allowed fails here, not in a task
+    with np.errstate(all="ignore"):
+        build(tree, dict.fromkeys(used, (ONE, ZERO)))
+
+    @F.arrow_udf("double")
+    def evaluated(rows: pa.Array) -> pa.Array:
+        parts, known = iter(rows.flatten()), {}
+        with np.errstate(all="ignore"):
+            for of in used:
+                if of in sizes:
+                    known[of] = add(whole(next(parts)), quotient(whole(next(parts)), (np.float64(10 ** sizes[of]), ZERO)))
+                else:
+                    known[of] = whole(next(parts)) if of in whole_ones else shortest(next(parts))
+            high, low = build(tree, known)
+            total = np.broadcast_to(np.asarray(high + low), len(rows))
+            return pa.array(total, pa.float64(), mask=~np.isfinite(total))
+
+    inputs = [c.alias(f"_{i}") for i, c in enumerate(c for of in used for c in given(of))]
+    out = df.withColumn(name, evaluated(F.struct(*(inputs or [F.lit(0).alias("_0")]))))
     return out.select(*[F.col(f"`{c}`") for c in df.columns if c != name], name)

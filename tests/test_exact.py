@@ -65,3 +65,13 @@ def test_nulls_zeros_and_odd_numbers(spark):
 def test_literals_are_their_text():
     high, low = exact_literal(0.1)
     assert high == 0.1 and Decimal(high) + Decimal(low) != Decimal(high) and abs(Decimal(high) + Decimal(low) - Decimal("0.1")) < Decimal("1e-33")
+
+
+def test_a_long_formula_adds_no_steps_to_the_plan(spark):
+    """Intermediate values are no columns: rows stay as wide as they are, whatever a formula's length."""
+    rows = spark.createDataFrame([(1, 2.5, 0.1)], "id long, a double, b double")
+    depth = lambda text: with_exact(rows, "x", text, {"a": "a", "b": "b"})._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert depth("a + b") == depth(" + ".join(["(a * (1 - b) - a / b) ** 3"] * 4))
+    (row,) = with_exact(rows.withColumn("big", F.lit(2**63 - 1)).withColumn("least", F.lit(-(2**63))), "x", "big + least + k", {"big": "big", "least": "least"}, {"k": 0.5}).collect()
+    assert row.x == -0.5
+    assert with_exact(rows, "x", "2 ** 3 / 16", {}).first().x == 0.5
