@@ -22,9 +22,17 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Spark's setting that drops an action's shuffle files as soon as the action has ended.
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's bound on the bytes of a batch between its JVM and Python, Spark's own value of it, and ours.
+BATCH_BYTES, SPARKS_BYTES, OUR_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches to 4 MB, unless a bound was set; whole texts and sets make batches of 10,000 rows that executors hold off their heap."""
+    if spark.conf.get(BATCH_BYTES) == SPARKS_BYTES:
+        spark.conf.set(BATCH_BYTES, OUR_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,6 +51,7 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     JVM ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(FILE_CLEANUP, None)
     spark.conf.set(FILE_CLEANUP, "true")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spreadwatch.llm.common import discard, scratch
+from spreadwatch.llm.common import discard, scratch, small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: About how many labelled rows of each language are learned from.
@@ -396,6 +396,7 @@ def identify(docs: DataFrame, langs: list[str], probabilities: np.ndarray, path:
     to the language first in the alphabet. Null and repeated ids pass through, an empty table gives
     an empty one, other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((langs, probabilities))  # languages x vocabulary
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,6 +413,7 @@ def identify(docs: DataFrame, langs: list[str], probabilities: np.ndarray, path:
 
 def best_score(docs: DataFrame, langs: list[str], probabilities: np.ndarray, path: str = VOCABULARY) -> Callable[[Column], Column]:
     """A function from a column of texts to the score that ``identify`` gives: 0 where no language fits."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((langs, probabilities))  # languages x vocabulary
 
     @F.pandas_udf("double")

@@ -3,11 +3,15 @@
 import os
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from spreadwatch.llm.common import BATCH_BYTES, SPARKS_BYTES, scratch
 from spreadwatch.llm.decontaminate import find_items, normalised
+from spreadwatch.llm.language_id import best_score
 from spreadwatch.llm.queries import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -77,3 +81,22 @@ def test_stages_on_odd_rows(spark):
         assert stage(spark, spark.createDataFrame([], SCHEMA), SF).count() == 0, name
     kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, spark.createDataFrame(odd, SCHEMA), SF).collect()}
     assert 3 in kept and not kept & {1, 2, 4}
+
+
+def test_workers_get_texts_in_small_batches(spark):
+    """However many long texts a partition holds, no batch of them is much over 4 MB; a bound that was set stays."""
+
+    def largest(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([max(b.nbytes for b in batches)])], ["n"])
+
+    before = spark.conf.get(BATCH_BYTES)
+    try:
+        spark.conf.set(BATCH_BYTES, SPARKS_BYTES)
+        docs = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("text "), 1000).alias("text"))
+        assert scratch(docs.mapInArrow(largest, "n long"), "sizes").first().n < 5_000_000
+        spark.conf.set(BATCH_BYTES, SPARKS_BYTES)
+        assert best_score(docs, [], np.zeros((0, 0))) and docs.mapInArrow(largest, "n long").first().n < 5_000_000
+        spark.conf.set(BATCH_BYTES, "8m")
+        assert scratch(docs.mapInArrow(largest, "n long"), "sizes").first().n > 5_000_000
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
