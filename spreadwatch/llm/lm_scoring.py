@@ -9,13 +9,13 @@ masked. Windows of many texts go through batched matrix products together.
 
 What is learned, all of it from documents that are not held out:
 
-* counts of all words of all texts (Counters in tasks, summed in Spark); they give the base score,
+* counts of all words of all texts (by number in tasks, summed in Spark); they give the base score,
   and through each distinct word's ids the counts of all ids. Ids beyond the ``MODEL_IDS`` most
   frequent share one place in the model and are told apart by their counts.
 * weights from all words of all texts, each id once. Shards of bounded size train side by
   side and their weights are averaged after each round; only these averages (0.7 MB) come to the driver.
 
-Scale: two passes over the texts. A text goes in pieces of about ``PIECE`` bytes, so no list of a
+Scale: two passes over the texts; the first counts words and cuts them into ids at once. A text goes in pieces of about ``PIECE`` bytes, so no list of a
 whole long text's words exists. The words frequent enough for a table of at most
 ``MAX_FREQUENT`` entries of 64 bytes are broadcast with their ids; the counts of all others meet
 (row, word) pairs in a join, which no frequent word can skew.
@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -86,37 +88,102 @@ def pieces(raw: bytes) -> Iterator[list[bytes]]:
 # ---- counts and passages
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(word, n) partial counts of all training texts, and rows with a passage instead: all words of a text in order with its end marks, a passage starting at the word the last one ended with."""
+class Cutter:
+    """Numbers the words it meets, counts them and lays out their ids; forgets all at ``restart``."""
+
+    def __init__(self, cut: Subwords):
+        self.cut = cut
+        self.restart()
+
+    def restart(self) -> None:
+        self.numbers: dict[bytes, int] = {END: 0}
+        self.ids, self.lengths = array("i", [self.cut.end]), array("q", [1])
+        self.counts = np.zeros(1 << 12, dtype=np.int64)
+
+    def take(self, words: list[bytes]) -> np.ndarray:
+        """The words' numbers; new words get the next ones. A text's end has number 0."""
+        found = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
+        missed = np.flatnonzero(found < 0)
+        if len(missed):
+            own = [words[i] for i in missed.tolist()]
+            new = list(dict.fromkeys(own))
+            cut = [self.cut.cut(b" " + w) for w in new]
+            self.ids.extend(chain.from_iterable(cut))
+            self.lengths.extend(map(len, cut))
+            self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+            found[missed] = np.fromiter(map(self.numbers.__getitem__, own), np.int64, len(own))
+        return found
+
+    def lay_out(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the numbered words one after another, where each word's ids end)."""
+        lengths = np.array(self.lengths, dtype=np.int64)
+        own = lengths[numbers]
+        return np.array(self.ids, dtype=np.int32)[_laid_out((np.cumsum(lengths) - lengths)[numbers], own)], np.cumsum(own)
+
+    def count(self, numbers: np.ndarray) -> None:
+        more = np.bincount(numbers)
+        if len(more) > len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros(len(more), dtype=np.int64)])
+        self.counts[: len(more)] += more
+
+
+def _id_type(vocabulary: list[bytes]) -> type:
+    """What holds the ids of a vocabulary and the one of a text's end."""
+    return np.uint16 if len(vocabulary) < 1 << 16 else np.int32
+
+
+def counted(docs: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
+    """(word, n) partial counts of all training texts, and rows with a passage instead: the packed ids of all words of a text in order with its end marks, a passage starting at the id the last one ended with."""
     train = docs.where(~is_held_out(F.col("doc_id"))).select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
     names = ["word", "n", "passage"]
+    shared = docs.sparkSession.sparkContext.broadcast({"vocabulary": read_vocabulary(vocabulary_path)})
 
     def batch_of(words: list[bytes | None], n: list[int | None], passages: list[bytes | None]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(passages, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        cutter, kind = Cutter(subwords(shared.value)), _id_type(shared.value["vocabulary"])
+
+        def passages_of(held: list[np.ndarray]) -> pa.RecordBatch:
+            """Of passages as numbers of words, each after the word that the one before ended with."""
+            numbers, edges = np.concatenate(held), np.cumsum([0, *map(len, held)])
+            cutter.count(np.delete(numbers, edges[:-1]))
+            ids, ends = cutter.lay_out(numbers)
+            ids, lows, highs = ids.astype(kind), (ends[edges[:-1]] - 1).tolist(), ends[edges[1:] - 1].tolist()
+            return batch_of([None] * len(held), [None] * len(held), [ids[a:b].tobytes() for a, b in zip(lows, highs, strict=True)])
+
+        def counts() -> pa.RecordBatch:
+            n = len(cutter.numbers)
+            there = np.flatnonzero(cutter.counts[:n]).tolist()
+            words, times = list(cutter.numbers), cutter.counts[there].tolist()
+            return batch_of([words[i] for i in there], times, [None] * len(there))
+
+        held, waiting, end = [], 0, np.zeros(1, dtype=np.int64)
         for batch in batches:
-            passages = []
             for raw in batch.column("raw"):
-                carried = [END]
+                carried = end
                 for words in pieces(raw.as_py()):
-                    counts.update(words)
-                    carried += words
+                    carried = np.concatenate([carried, cutter.take(words)])
                     full = (len(carried) - 1) // PASSAGE * PASSAGE
-                    passages += [b" ".join(carried[low : low + PASSAGE + 1]) for low in range(0, full, PASSAGE)]
-                    carried = carried[full:]
-                    if len(passages) >= 4096:
-                        yield batch_of([None] * len(passages), [None] * len(passages), passages)
-                        passages = []
-                counts[END] += 1
-                carried.append(END)
-                passages.append(b" ".join(carried))
-                if len(counts) >= FLUSH_WORDS:
-                    yield batch_of(list(counts), list(counts.values()), [None] * len(counts))
-                    counts.clear()
-            yield batch_of([None] * len(passages), [None] * len(passages), passages)
-        yield batch_of(list(counts), list(counts.values()), [None] * len(counts))
+                    held += [carried[low : low + PASSAGE + 1] for low in range(0, full, PASSAGE)]
+                    carried, waiting = carried[full:], waiting + full
+                    if held and waiting >= GROUP_WORDS:
+                        yield passages_of(held)
+                        held, waiting = [], 0
+                held.append(np.concatenate([carried, end]))
+                waiting += len(carried)
+                if waiting >= GROUP_WORDS:
+                    yield passages_of(held)
+                    held, waiting = [], 0
+                if len(cutter.numbers) >= FLUSH_WORDS:
+                    if held:
+                        yield passages_of(held)
+                        held, waiting = [], 0
+                    yield counts()
+                    cutter.restart()
+        if held:
+            yield passages_of(held)
+        yield counts()
 
     return train.mapInArrow(run, "word binary, n long, passage binary")
 
@@ -414,11 +481,10 @@ def training_windows(passages: DataFrame, shared) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([turn % ROUNDS], pa.int32()), pa.array([n], pa.int64()), pa.array([np.concatenate(found).astype(np.uint16).tobytes()], pa.binary())], ["round", "n", "ids"])
 
         for batch in batches:
-            cut, place, pad = subwords(shared.value), shared.value["place"], shared.value["pad"]
+            place, pad, kind = shared.value["place"], shared.value["pad"], _id_type(shared.value["vocabulary"])
             for passage in batch.column("passage").to_pylist():
-                # the first word was predicted at the end of the passage before; its last id is where this one starts
-                first, *words = passage.split(b" ")
-                ids = place[[cut.ids(first)[-1], *(i for w in words for i in cut.ids(w))]]
+                # the first id was predicted at the end of the passage before
+                ids = place[np.frombuffer(passage, kind)]
                 ids = np.concatenate([ids, np.full(-(len(ids) - 1) % WIDTH, pad, dtype=place.dtype)])
                 found.append(ids.take(_WINDOW + np.arange(0, len(ids) - 1, WIDTH)[:, None]))
                 n += len(found[-1])
@@ -498,7 +564,7 @@ class Scorer:
         self.waiting = 0
         self.rest: dict[int, np.ndarray] = {}
         self.totals: dict[int, list] = {}  # words, known words, sum of logarithms, log probability
-        self.pairs: list[tuple[int, bytes, int]] = []
+        self.pairs: tuple[list[int], list[bytes], list[int]] = [], [], []  # row, rare word, how often
 
     def add(self, row: int, words: list[bytes], last: bool) -> None:
         known, total = self.lexicon.words, self.totals.setdefault(row, [0, 0, 0.0, 0.0])
@@ -506,7 +572,9 @@ class Scorer:
         rare = np.flatnonzero(index < 0)
         if len(rare):
             own = [words[i] for i in rare.tolist()]
-            self.pairs += [(row, w, n) for w, n in Counter(own).items()]
+            times = Counter(own)
+            for column, more in zip(self.pairs, (repeat(row, len(times)), times, times.values()), strict=True):
+                column.extend(more)
             index[rare] = -1 - np.arange(len(self.extra), len(self.extra) + len(own))
             self.extra += map(self.cut.ids, own)
         total[0] += len(words)
@@ -567,23 +635,21 @@ def scored(docs: DataFrame, shared) -> DataFrame:
         for batch in batches:
             scorer, rids, doc_ids = Scorer(shared.value), batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist()
 
-            def pairs(scorer=scorer, rids=rids) -> pa.RecordBatch:
-                taken, scorer.pairs = scorer.pairs, []
-                n = len(taken)
-                columns = [[rids[r] for r, _, _ in taken], *([[None] * n] * 5), [w for _, w, _ in taken], [k for _, _, k in taken]]
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+            def pairs(scorer=scorer, rids=batch.column("rid")) -> pa.RecordBatch:
+                (rows, words, times), scorer.pairs = scorer.pairs, ([], [], [])
+                return pa.RecordBatch.from_arrays([rids.take(pa.array(rows, pa.int64())), *(pa.nulls(len(rows), t) for t in kinds[1:6]), pa.array(words, pa.binary()), pa.array(times, pa.int64())], names)
 
             for row, raw in enumerate(batch.column("raw")):
                 text = raw.as_py()
                 short = len(text) <= PIECE
                 for words in pieces(text):
                     scorer.add(row, words, short)
-                    if len(scorer.pairs) >= 50_000:
+                    if len(scorer.pairs[0]) >= 50_000:
                         yield pairs()
                 if not short:
                     scorer.add(row, [], True)
             scorer.flush()
-            if scorer.pairs:
+            if scorer.pairs[0]:
                 yield pairs()
             end_known, end_log = shared.value["end_count"] > 0, math.log10(shared.value["end_count"] + 1)
             totals = [scorer.totals[r] for r in range(len(rids))]
@@ -602,7 +668,7 @@ def score_texts(docs: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sc, vocabulary = docs.sparkSession.sparkContext, read_vocabulary(vocabulary_path)
-    gathered = scratch(counted(docs), "gathered")
+    gathered = scratch(counted(docs, vocabulary_path), "gathered")
     words = scratch(gathered.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "words")
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0)).alias("ends")).first()
     inventory = Inventory(id_counts(words, vocabulary), vocabulary)

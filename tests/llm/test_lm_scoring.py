@@ -182,3 +182,22 @@ def test_edges(spark):
     only = next(i for i in range(100) if held(i))
     (row,) = L.score_texts(spark.createDataFrame([(only, None)], SCHEMA)).collect()
     assert tuple(row)[:6] == (only, True, 1, 0, 0, 0.0) and row.score < 0
+
+
+def test_texts_are_cut_once(spark, monkeypatch, model):
+    """The first pass gives passages as ids, so that making windows needs no words and no splitter."""
+    vocabulary, inventory, _ = model
+    monkeypatch.setattr(L, "PASSAGE", 3)
+    monkeypatch.setattr(L, "FLUSH_WORDS", 4)
+    texts = ["The cat zzyzx sat", "", "zzyzx the " * 4]
+    ids = [i for i in range(40) if not held(i)][: len(texts)]
+    rows = L.counted(spark.createDataFrame(list(zip(ids, texts, strict=True)), SCHEMA).coalesce(1)).collect()
+    cut, counts = L.Subwords(vocabulary), Counter()
+    for r in rows:
+        if r.word is not None:
+            counts[bytes(r.word)] += r.n
+    assert counts == Counter(L.END if t is None else t.encode() for x in texts for t in tokens(x))
+    found = [np.frombuffer(r.passage, np.uint16).tolist() for r in rows if r.passage is not None]
+    want = [i for x in texts for t in tokens(x) for i in cut.ids(L.END if t is None else t.encode())]
+    assert [i for p in found for i in p[1:]] == want
+    assert [p[0] for p in found[1:]] == [p[-1] for p in found[:-1]] and found[0][0] == cut.end
