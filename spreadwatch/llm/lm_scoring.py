@@ -9,9 +9,9 @@ masked. Windows of many texts go through batched matrix products together.
 
 What is learned, all of it from documents that are not held out:
 
-* counts of all words of all texts (by number in tasks, summed in Spark); they give the base score,
-  and through each distinct word's ids the counts of all ids. Ids beyond the ``MODEL_IDS`` most
-  frequent share one place in the model and are told apart by their counts.
+* counts of all words and of all their ids of all texts (by number in tasks, summed in Spark); those of
+  words give the base score. Ids beyond the ``MODEL_IDS`` most frequent share one place in the model and
+  are told apart by their counts.
 * weights from all words of all texts, each id once. Shards of bounded size train side by
   side and their weights are averaged after each round; only these averages (0.7 MB) come to the driver.
 
@@ -56,8 +56,8 @@ GROUP_WORDS, BATCH, CACHE_WORDS = 60_000, 128, 200_000
 STEP, SHARD_IDS, ROUNDS, EPOCHS, RATE = 256, 8_000_000, 3, 1, 0.01
 #: A small shard takes smaller steps, of this many windows at least, for that many steps.
 SMALL_STEP, STEPS = 32, 300
-#: Windows of a slice of the attention in training.
-ATTEND = 16
+#: Windows of a slice of the attention in training, rows of a block of the softmax.
+ATTEND, ROWS = 64, 2048
 CHUNK = 256
 
 WHITE = re.compile(rb"[\x20\x09-\x0D]")
@@ -133,30 +133,35 @@ def _id_type(vocabulary: list[bytes]) -> type:
 
 
 def counted(docs: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
-    """(word, n) partial counts of all training texts, and rows with a passage instead: the packed ids of all words of a text in order with its end marks, a passage starting at the id the last one ended with."""
+    """(word, n) and (id, n) partial counts of all training texts, and rows with a passage instead: the packed ids of all words of a text in order with its end marks, a passage starting at the id the last one ended with."""
     train = docs.where(~is_held_out(F.col("doc_id"))).select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
-    names = ["word", "n", "passage"]
+    names = ["word", "n", "passage", "id"]
     shared = docs.sparkSession.sparkContext.broadcast({"vocabulary": read_vocabulary(vocabulary_path)})
 
-    def batch_of(words: list[bytes | None], n: list[int | None], passages: list[bytes | None]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(passages, pa.binary())], names)
+    def batch_of(rows: int, **columns: list | np.ndarray) -> pa.RecordBatch:
+        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(rows, k) for c, k in zip(names, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, kind = Cutter(subwords(shared.value)), _id_type(shared.value["vocabulary"])
+        times = np.zeros(len(shared.value["vocabulary"]) + 1, dtype=np.int64)
 
         def passages_of(held: list[np.ndarray]) -> pa.RecordBatch:
             """Of passages as numbers of words, each after the word that the one before ended with."""
             numbers, edges = np.concatenate(held), np.cumsum([0, *map(len, held)])
             cutter.count(np.delete(numbers, edges[:-1]))
             ids, ends = cutter.lay_out(numbers)
-            ids, lows, highs = ids.astype(kind), (ends[edges[:-1]] - 1).tolist(), ends[edges[1:] - 1].tolist()
-            return batch_of([None] * len(held), [None] * len(held), [ids[a:b].tobytes() for a, b in zip(lows, highs, strict=True)])
+            starts, highs = ends[edges[:-1]], ends[edges[1:] - 1].tolist()
+            ids = ids.astype(kind)
+            found = [ids[a:b] for a, b in zip((starts - 1).tolist(), highs, strict=True)]
+            np.add(times, np.bincount(np.concatenate([x[1:] for x in found]), minlength=len(times)), out=times)
+            return batch_of(len(held), passage=[x.tobytes() for x in found])
 
         def counts() -> pa.RecordBatch:
             n = len(cutter.numbers)
             there = np.flatnonzero(cutter.counts[:n]).tolist()
-            words, times = list(cutter.numbers), cutter.counts[there].tolist()
-            return batch_of([words[i] for i in there], times, [None] * len(there))
+            words = list(cutter.numbers)
+            return batch_of(len(there), word=[words[i] for i in there], n=cutter.counts[there])
 
         held, waiting, end = [], 0, np.zeros(1, dtype=np.int64)
         for batch in batches:
@@ -184,8 +189,10 @@ def counted(docs: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
         if held:
             yield passages_of(held)
         yield counts()
+        there = np.flatnonzero(times)
+        yield batch_of(len(there), id=there, n=times[there])
 
-    return train.mapInArrow(run, "word binary, n long, passage binary")
+    return train.mapInArrow(run, "word binary, n long, passage binary, id int")
 
 
 def frequent_words(words: DataFrame) -> pa.Table:
@@ -230,24 +237,11 @@ def subwords(shared: dict) -> Subwords:
     return shared["subwords"]
 
 
-def id_counts(words: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
-    """How often each id occurs in all training texts, from the counts of their distinct words."""
-    shared = words.sparkSession.sparkContext.broadcast({"vocabulary": vocabulary})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value["vocabulary"]) + 1, dtype=np.int64)
-        for batch in batches:
-            cut = subwords(shared.value)
-            found = [cut.ids(w) for w in batch.column("word").to_pylist()]
-            times = np.repeat(batch.column("c").to_numpy(), [len(x) for x in found])
-            np.add.at(total, np.fromiter((i for x in found for i in x), np.int64, len(times)), times)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["id", "n"])
-
-    table = words.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # one row an id of the vocabulary
+def id_counts(counts: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
+    """How often each id occurs in all training texts, from the tasks' counts."""
+    table = counts.groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # one row an id of the vocabulary
     out = np.zeros(len(vocabulary) + 1, dtype=np.int64)
     out[table.column("id").to_numpy()] = table.column("n").to_numpy()
-    shared.unpersist()
     return out
 
 
@@ -309,48 +303,79 @@ _BACK = np.arange(WIDTH)[:, None] - np.arange(WIDTH)[None, :]
 SAFE = 60.0
 
 
-def attend(w: dict[str, np.ndarray], x: np.ndarray, first: int, pad: int, safe: bool = False) -> tuple[np.ndarray, ...]:
-    """Hidden states of places from ``first`` on of windows x, with what the way back needs.
+def ready(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The weights as products take them: q scaled, v with a one at its end, biases as one more row of their weights."""
+    v, back = w["v"], np.maximum(_BACK, 0)
+    return {
+        "q": w["q"] * np.float32(1 / math.sqrt(DIM)), "k": w["k"], "v": np.concatenate([v, np.ones((len(v), 1), dtype=v.dtype)], axis=1), "own": w["own"],
+        "distance": np.where(_BACK >= 0, w["distance"][back], -1e9).astype(v.dtype),
+        "cls": np.concatenate([w["cls"], w["cls_bias"][None]]), "out": np.concatenate([w["out"], w["out_bias"][:, None]], axis=1),
+    }
+
 
-    ``safe``: the weights are known to give small exponents. That is the states, the attention and what it
-    adds up to (not divided by it), q (scaled), k, v and what the attention brings.
+def attend(t: dict[str, np.ndarray], x: np.ndarray, first: int, pad: int, safe: bool, out: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Puts into ``out`` the hidden states of places from ``first`` on of windows x, each with a one after it; gives what the way back needs.
+
+    t: from ``ready``. ``safe``: the weights are known to give small exponents. That is the attention (not divided by
+    what it adds up to), one over that sum, q, k, v and what the attention brings.
     """
     asking = x[:, first:]
-    q, k, v = w["q"].take(asking, 0), w["k"].take(x, 0), w["v"].take(x, 0)
-    back = _BACK[first:]
-    q *= np.float32(1 / math.sqrt(DIM))
+    q, k, v = t["q"].take(asking, 0), t["k"].take(x, 0), t["v"].take(x, 0)
     s = q @ k.transpose(0, 2, 1)
-    s += np.where(back >= 0, w["distance"][np.maximum(back, 0)], -1e9).astype(s.dtype)
+    s += t["distance"][first : x.shape[1], : x.shape[1]]
     padded = x[:, 0] == pad
     if padded.any():
         s[padded] += np.where(x[padded] == pad, np.float32(-1e9), np.float32(0))[:, None, :]
     if not safe:
         s -= s.max(axis=2, keepdims=True)
     np.exp(s, out=s)
-    total = (s @ np.ones((WIDTH, 1), dtype=s.dtype)) + np.float32(1e-30)
     seen = s @ v
-    seen /= total
-    h = w["own"].take(asking, 0)
-    h += seen
-    h /= 1 + np.abs(h)
-    return h, s, total, q, k, v, seen
-
-
-def _log_sums(logits: np.ndarray, safe: bool, shares: bool = False) -> np.ndarray:
-    """Logarithms of the sums of exponentials of each row; ``shares`` turns the rows into probabilities, else they are used up."""
-    ones, top = np.ones(logits.shape[1], dtype=logits.dtype), None
+    part = 1 / (seen[..., DIM:] + np.float32(1e-30))
+    seen = seen[..., :DIM] * part
+    z = t["own"].take(asking, 0)
+    z += seen
+    size = np.abs(z)
+    size += 1
+    np.divide(z, size, out=out[..., :DIM])
+    out[..., DIM] = 1
+    return s, part, q, k, v, seen
+
+
+def _log_sums(logits: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of exponentials of each row, their logarithms); the rows become those exponentials, with ``safe`` off over that of the largest."""
+    top = None
     if not safe:
         top = logits.max(axis=1)
         logits -= top[:, None]
-    total = np.exp(logits, out=logits) @ ones
-    if shares:
-        logits /= total[:, None]
-    return np.log(total) if safe else np.log(total) + top
+    total = np.exp(logits, out=logits) @ np.ones(logits.shape[1], dtype=logits.dtype)
+    return total, np.log(total) if safe else np.log(total) + top
+
+
+#: Rows added to each other before their sums go by id.
+TOGETHER = 4
+
+
+def sums_by_id(ids: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids that occur, sums of their rows of even length). The last of the rows is zero and no id's: each id's rows are filled
+    up with it to blocks of ``TOGETHER``, which whole-array sums add up; only the blocks' sums go one by one, as pairs."""
+    times = np.bincount(ids, minlength=n)
+    there = np.flatnonzero(times)
+    times = times[there]
+    blocks = -(-times // TOGETHER)
+    starts = np.cumsum(blocks) - blocks
+    index = np.full(int(blocks.sum()) * TOGETHER, len(ids))
+    index[_laid_out(starts * TOGETHER, times)] = np.argsort(ids, kind="stable")
+    index = index.reshape(-1, TOGETHER)
+    wide = rows.take(index[:, 0], 0)
+    for i in range(1, TOGETHER):
+        wide += rows.take(index[:, i], 0)
+    pairs = wide.view(np.result_type(wide, np.complex64))
+    return there, np.add.reduceat(pairs, starts, axis=0).view(wide.dtype)
 
 
 def small(w: dict[str, np.ndarray]) -> bool:
     """Whether no exponent that these weights can give comes near what single precision holds."""
-    norm = lambda x: float(np.sqrt((x * x).sum(axis=-1)).max())
+    norm = lambda x: math.sqrt(np.einsum("nd,nd->n", x, x).max())
     bounds = (
         norm(w["q"]) * norm(w["k"]) / math.sqrt(DIM) + float(np.abs(w["distance"]).max()),
         float(np.abs(w["cls"]).sum(axis=0).max() + np.abs(w["cls_bias"]).max()),
@@ -361,93 +386,99 @@ def small(w: dict[str, np.ndarray]) -> bool:
 
 def log_probabilities(w: dict[str, np.ndarray], windows: np.ndarray, members: int, pad: int, safe: bool = False) -> np.ndarray:
     """Natural log probabilities of the ids after the second half of each window (n, WIDTH + 1); 0 where the id is a pad."""
-    h = np.concatenate([attend(w, windows[low : low + BATCH, :WIDTH], WIDTH - STRIDE, pad, safe)[0] for low in range(0, len(windows), BATCH)]).reshape(-1, DIM)
+    t, h = ready(w), np.empty((len(windows), STRIDE, DIM + 1), dtype=w["own"].dtype)
+    for low in range(0, len(windows), BATCH):
+        attend(t, windows[low : low + BATCH, :WIDTH], WIDTH - STRIDE, pad, safe, h[low : low + BATCH])
     y = windows[:, WIDTH - STRIDE + 1 :].reshape(-1).astype(np.uint16)
     order = np.argsort(y, kind="stable")
     order = order[: np.searchsorted(y[order], pad)]  # a pad is the last place
-    h, y = h.take(order, 0), y[order].astype(np.int64)
-    cls, member = y // members, y % members
-    found = np.empty(len(y))
-    for low in range(0, len(y), BATCH * STRIDE):
-        part = slice(low, low + BATCH * STRIDE)
-        logits = h[part] @ w["cls"]
-        logits += w["cls_bias"]
-        own = logits[np.arange(len(logits)), cls[part]]
-        found[part] = own - _log_sums(logits, safe)
-    edges = np.searchsorted(cls, np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        a, b = edges[c], edges[c + 1]
-        if a < b:
-            logits = h[a:b] @ w["out"][c]
-            logits += w["out_bias"][c]
-            own = logits[np.arange(b - a), member[a:b]]
-            found[a:b] += own - _log_sums(logits, safe)
+    h, found = h.reshape(-1, DIM + 1), np.empty(len(order))
+    for part, rows, cls, own, of_class in _by_class(h, y, order, members):
+        logits = rows @ t["cls"]
+        chosen = logits.reshape(-1).take(cls)
+        chosen -= _log_sums(logits, safe)[1]
+        logits = np.empty((len(rows), members), dtype=h.dtype)
+        for c, some in of_class:
+            np.matmul(rows[some], t["out"][c], out=logits[some])
+        chosen += logits.reshape(-1).take(own)
+        chosen -= _log_sums(logits, safe)[1]
+        found[part] = chosen
     out = np.zeros(len(windows) * STRIDE)
     out[order] = found
     return out.reshape(len(windows), STRIDE)
 
 
+def _by_class(h: np.ndarray, y: np.ndarray, order: np.ndarray, members: int) -> Iterator[tuple]:
+    """Blocks of rows of h in an order that sorts y: (slice of the order, rows, where each row's class and member are
+    in its logits laid end to end, [(class, its slice of the block)]). A block and its logits stay in a core's cache."""
+    for low in range(0, len(order), ROWS):
+        part = slice(low, low + ROWS)
+        own = order[part]
+        cls, member = np.divmod(y.take(own).astype(np.int64), members)
+        at, edges = np.arange(len(own)), np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        yield part, h.take(own, 0), at * CLASSES + cls, at * members + member, [(c, slice(a, b)) for c, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+
+
 def gradient(w: dict[str, np.ndarray], windows: np.ndarray, members: int, pad: int) -> tuple[float, np.ndarray]:
     """(mean loss, gradient of it) over all places of windows (n, WIDTH + 1)."""
     x, y = windows[:, :WIDTH], windows[:, 1:]
-    safe = small(w)
+    t, safe, kind = ready(w), small(w), w["own"].dtype
     # attention goes in slices that stay in a core's cache
     slices = [slice(low, low + ATTEND) for low in range(0, len(x), ATTEND)]
-    found = [attend(w, x[part], 0, pad, safe) for part in slices]
-    h = np.concatenate([f[0] for f in found])
+    h = np.empty((*x.shape, DIM + 1), dtype=kind)
+    found = [attend(t, x[part], 0, pad, safe, h[part]) for part in slices]
     flat = np.zeros(sum(p.size for p in w.values()), dtype=np.float32)
     g = views(flat, members)
     real = (y != pad).reshape(-1)
+    weight = (real / max(1, real.sum())).astype(np.float32)
     target = np.where(real, y.reshape(-1), 0).astype(np.uint16)
-    # rows of a class side by side, so that each class works on a slice
-    order = np.argsort(target, kind="stable")
-    target = target.take(order).astype(np.int64)
-    weight = (real.take(order) / max(1, real.sum())).astype(np.float32)
-    rows, at = h.reshape(-1, DIM).take(order, 0), np.arange(len(target))
-    cls, member = target // members, target % members
-    logits = rows @ w["cls"]
-    logits += w["cls_bias"]
-    own = logits[at, cls]
-    loss = (_log_sums(logits, safe, True) - own) @ weight
-    logits[at, cls] -= 1
-    logits *= weight[:, None]
-    g["cls"][:], g["cls_bias"][:] = rows.T @ logits, logits.sum(axis=0)
-    dh = logits @ w["cls"].T
-    edges = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
-    there = [(c, slice(low, high)) for c, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if low < high]
-    logits = w["out_bias"].take(cls, 0)
-    for c, part in there:
-        logits[part] += rows[part] @ w["out"][c]
-    own = logits[at, member]
-    loss += (_log_sums(logits, safe, True) - own) @ weight
-    logits[at, member] -= 1
-    logits *= weight[:, None]
-    for c, part in there:
-        g["out"][c], g["out_bias"][c] = rows[part].T @ logits[part], logits[part].sum(axis=0)
-        dh[part] += logits[part] @ w["out"][c].T
-    left = 1 - np.abs(rows)
-    dh *= left
-    dh *= left
-    dz = np.empty_like(dh)
-    dz[order] = dh
-    dz = dz.reshape(h.shape)
-    scale, near = np.float32(1 / math.sqrt(DIM)), np.zeros((WIDTH, WIDTH), dtype=rows.dtype)
-    each = np.empty((*x.shape, 4 * DIM), dtype=rows.dtype)
-    for part, (_, s, total, q, k, v, seen) in zip(slices, found, strict=True):
-        d, to = dz[part], each[part]
-        s /= total
+    order, loss = np.argsort(target, kind="stable"), 0.0
+    of_class, of_member = np.zeros((CLASSES, DIM + 1), dtype=kind), np.zeros((CLASSES, members, DIM + 1), dtype=kind)
+    each = np.empty((len(order) + 1, 4 * DIM), dtype=kind)
+    each[-1] = 0
+
+    def less(logits: np.ndarray, own: np.ndarray, share: np.ndarray) -> float:
+        """The loss; the logits become its gradient by them."""
+        flat = logits.reshape(-1)
+        chosen = flat.take(own)
+        total, logs = _log_sums(logits, safe)
+        logits *= (share / total)[:, None]
+        flat[own] -= share
+        return (logs - chosen) @ share
+
+    for part, rows, cls, own, there in _by_class(h.reshape(-1, DIM + 1), target, order, members):
+        share = weight.take(order[part])
+        logits = rows @ t["cls"]
+        loss += less(logits, cls, share)
+        of_class += logits.T @ rows
+        dh = logits @ w["cls"].T
+        logits = np.empty((len(rows), members), dtype=kind)
+        for c, some in there:
+            np.matmul(rows[some], t["out"][c], out=logits[some])
+        loss += less(logits, own, share)
+        for c, some in there:
+            of_member[c] += logits[some].T @ rows[some]
+            dh[some] += logits[some] @ w["out"][c].T
+        left = 1 - np.abs(rows[:, :DIM])
+        dh *= left
+        dh *= left
+        each[order[part], 3 * DIM :] = dh
+    g["cls"][:], g["cls_bias"][:] = of_class[:, :DIM].T, of_class[:, DIM]
+    g["out"][:], g["out_bias"][:] = of_member[..., :DIM].transpose(0, 2, 1), of_member[..., DIM]
+    by_window, near = each[:-1].reshape(*x.shape, 4 * DIM), np.zeros((WIDTH, WIDTH), dtype=kind)
+    for part, (s, inverse, q, k, v, seen) in zip(slices, found, strict=True):
+        to, d = by_window[part], np.empty_like(v)
+        np.multiply(to[..., 3 * DIM :], inverse, out=d[..., :DIM])
+        d[..., DIM] = -np.einsum("wpd,wpd->wp", d[..., :DIM], seen)
         ds = d @ v.transpose(0, 2, 1)
-        ds -= (d * seen).sum(axis=2, keepdims=True)
         ds *= s
         near += ds.sum(axis=0)
-        to[..., :DIM], to[..., DIM : 2 * DIM] = ds @ k, ds.transpose(0, 2, 1) @ q
-        to[..., 2 * DIM : 3 * DIM], to[..., 3 * DIM :] = s.transpose(0, 2, 1) @ d, d
+        np.matmul(ds, k, out=to[..., :DIM])
+        np.matmul(ds.transpose(0, 2, 1), q, out=to[..., DIM : 2 * DIM])
+        np.matmul(s.transpose(0, 2, 1), d[..., :DIM], out=to[..., 2 * DIM : 3 * DIM])
     np.add.at(g["distance"], np.maximum(_BACK, 0)[_BACK >= 0], near[_BACK >= 0])
-    ids = x.reshape(-1).astype(np.uint16)
-    order = np.argsort(ids, kind="stable")
-    there, starts = np.unique(ids[order], return_index=True)
-    sums = np.add.reduceat(each.reshape(-1, 4 * DIM).take(order, 0), starts, axis=0)
-    sums[:, :DIM] *= scale
+    there, sums = sums_by_id(x.reshape(-1).astype(np.uint16), each, len(w["own"]))
+    sums[:, :DIM] *= np.float32(1 / math.sqrt(DIM))
     for name, part in zip(("q", "k", "v", "own"), np.split(sums, 4, axis=1), strict=True):
         g[name][there] = part
     return float(loss), flat
@@ -456,15 +487,26 @@ def gradient(w: dict[str, np.ndarray], windows: np.ndarray, members: int, pad: i
 def trained(flat: np.ndarray, windows: np.ndarray, members: int, pad: int, seed: int) -> np.ndarray:
     """The weights after ``EPOCHS`` passes of Adam over the windows."""
     flat, rng, step = flat.copy(), np.random.default_rng(seed), min(STEP, max(SMALL_STEP, len(windows) // STEPS))
-    w, mean, square, steps = views(flat, members), np.zeros_like(flat), np.zeros_like(flat), 0
+    w, mean, square, move, steps = views(flat, members), np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat), 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(windows))
         for low in range(0, len(order), step):
             _, grad = gradient(w, windows[order[low : low + step]], members, pad)
             steps += 1
-            mean += np.float32(0.1) * (grad - mean)
-            square += np.float32(0.01) * (grad * grad - square)
-            flat -= np.float32(RATE) * (mean / np.float32(1 - 0.9**steps)) / (np.sqrt(square / np.float32(1 - 0.99**steps)) + np.float32(1e-6))
+            np.multiply(grad, grad, out=move)
+            move *= np.float32(0.01)
+            square *= np.float32(0.99)
+            square += move
+            grad *= np.float32(0.1)
+            mean *= np.float32(0.9)
+            mean += grad
+            # both are too small in the first steps; that goes into the rate
+            first, second = 1 - 0.9**steps, math.sqrt(1 - 0.99**steps)
+            np.sqrt(square, out=move)
+            move += np.float32(1e-6 * second)
+            np.divide(mean, move, out=move)
+            move *= np.float32(RATE * second / first)
+            flat -= move
     return flat
 
 
@@ -671,7 +713,7 @@ def score_texts(docs: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame
     gathered = scratch(counted(docs, vocabulary_path), "gathered")
     words = scratch(gathered.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "words")
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0)).alias("ends")).first()
-    inventory = Inventory(id_counts(words, vocabulary), vocabulary)
+    inventory = Inventory(id_counts(gathered.where("id is not null").select("id", "n"), vocabulary), vocabulary)
     model_ids = {"vocabulary": vocabulary, "place": inventory.place, "pad": inventory.pad}
     windows = scratch(training_windows(gathered.where("passage is not null").select("passage"), sc.broadcast(model_ids)), "windows")
     flat = learn_weights(windows, inventory)

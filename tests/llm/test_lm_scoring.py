@@ -201,3 +201,28 @@ def test_texts_are_cut_once(spark, monkeypatch, model):
     want = [i for x in texts for t in tokens(x) for i in cut.ids(L.END if t is None else t.encode())]
     assert [i for p in found for i in p[1:]] == want
     assert [p[0] for p in found[1:]] == [p[-1] for p in found[:-1]] and found[0][0] == cut.end
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_rows_are_summed_by_id_in_blocks(kind):
+    """Sums by id, with as many rows of an id as fill blocks, fall short of one or go beyond."""
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 4000):
+        ids, rows = (40 * rng.random(n) ** 3).astype(np.uint16), rng.standard_normal((n + 1, 6)).astype(kind)
+        rows[-1] = 0
+        there, sums = L.sums_by_id(ids, rows, 50)
+        assert there.tolist() == sorted(set(ids.tolist())) and sums.dtype == kind
+        assert np.allclose(sums, [rows[:-1][ids == i].sum(axis=0) for i in there], atol=1e-3)
+
+
+def test_ids_are_counted_with_the_cut(spark, monkeypatch, model):
+    """The first pass counts the ids as it cuts them, each once, so that no word is cut again for that."""
+    vocabulary, _, _ = model
+    monkeypatch.setattr(L, "PASSAGE", 3)
+    monkeypatch.setattr(L, "FLUSH_WORDS", 4)
+    texts = ["The cat zzyzx sat", "", None, "zzyzx the " * 4]
+    docs = spark.createDataFrame([(i, texts[i % 4]) for i in range(60)], SCHEMA).repartition(3)
+    cut = L.Subwords(vocabulary)
+    want = Counter(x for i in range(60) if not held(i) for t in tokens(texts[i % 4]) for x in cut.ids(L.END if t is None else t.encode()))
+    got = L.id_counts(L.counted(docs).where("id is not null").select("id", "n"), vocabulary)
+    assert {i: n for i, n in enumerate(got.tolist()) if n} == want
